@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, token_output, warc
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": decontaminate.op1_decontaminate}
+    return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op7_token_ids": token_output.op7_token_ids,
+        "op9_warc": warc.op9_warc,
+    }
 
 
 def oracle_sql() -> dict:
