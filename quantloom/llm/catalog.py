@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets, token_output, warc
+from . import decontaminate, mixing, quality, secrets, token_output, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op5_secrets": secrets.op5_secrets,
+        "op6_quality": quality.op6_quality,
         "op7_token_ids": token_output.op7_token_ids,
         "op9_warc": warc.op9_warc,
         "op10_mix_sources": mixing.op10_mix_sources,
