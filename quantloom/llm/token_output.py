@@ -32,7 +32,7 @@ from .common import parts_for, shared_dir, total_bytes
 LENGTH = 2048
 BATCH_SEQUENCES = 256
 PART_BYTES = 48 << 20
-REMEMBERED = 250_000  # pieces, in each Python worker
+REMEMBERED = 800_000  # pieces, in each Python worker
 END_ID = 2
 
 _UNSAFE = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
