@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, secrets, token_output, warc
+from . import ann, decontaminate, mixing, quality, secrets, token_output, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
         "op7_token_ids": token_output.op7_token_ids,
+        "op8_nearest": ann.op8_nearest,
         "op9_warc": warc.op9_warc,
         "op10_mix_sources": mixing.op10_mix_sources,
     }

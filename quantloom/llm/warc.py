@@ -90,7 +90,9 @@ def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, largest: i
     import zstandard
 
     fits = pages.where(F.octet_length("html") <= largest)
-    rows = fits.select("page_id", "url", F.col("html").cast("binary"), F.xxhash64("page_id", "url").alias("o")).orderBy("o").limit(records).collect()
+    order = F.xxhash64("page_id", "url")
+    chosen = F.broadcast(fits.select(order.alias("o")).orderBy("o").limit(records).distinct())  # at most `records` hashes
+    rows = fits.join(chosen, order == F.col("o")).select("page_id", "url", F.col("html").cast("binary"), "o").orderBy("o").limit(records).collect()
     samples = [warc_record(r[0], r[1], bytes(r[2]), None) for r in rows]
     if len(samples) < 8 or sum(map(len, samples)) < 8 * 1024:
         return b""
