@@ -69,6 +69,7 @@ class InvertedFile:
 
 
 def fit(x: np.ndarray, lists: int) -> InvertedFile:
+    x = np.unique(x, axis=0)  # copies would take several lists
     centers = _kmeans(x, min(lists, len(x)), 1)
     rest = x - centers[_nearest(x, centers)]
     books = [_kmeans(rest[:, i : i + SUBSPACE], min(CODE_WORDS, len(x)), 2 + i) for i in range(0, x.shape[1], SUBSPACE)]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, mixing, quality, secrets, token_output, warc
+from . import ann, decontaminate, minhash, mixing, quality, secrets, token_output, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op4_near_duplicates": minhash.op4_near_duplicates,
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
         "op7_token_ids": token_output.op7_token_ids,
