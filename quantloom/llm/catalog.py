@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language_model, minhash, mixing, quality, secrets, token_output, warc
+from . import ann, decontaminate, language_model, minhash, mixing, quality, secrets, suffix_dedup, token_output, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_language_model": language_model.op3_language_model,
         "op4_near_duplicates": minhash.op4_near_duplicates,
         "op5_secrets": secrets.op5_secrets,

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import NONSPACE, chunks, fold, hashed_words, parts_for, text_bytes, total_bytes
 
 ORDER = 2
-PRIOR = 10.0  # m, in tokens
+PRIOR = 100.0  # m, in tokens
 BLOCK_BYTES = 8 << 20
 _END = np.uint64(0x45D9F3B3335B369D)
 _START = np.uint64(0x119DE1F3A5C7B1E9)
