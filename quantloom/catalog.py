@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .queries import calendars, cross_sections, evaluations, factors, joins, portfolios, quality, reports, universes  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
