@@ -27,7 +27,8 @@ SUBSPACE = 2  # dimensions that share a code
 ITERATIONS = 8
 BLOCK = 256
 RERANK = 60
-VISITED = 0.75  # share of the lists that a query visits, 16 of them at least; vectors with clusters need far fewer
+HOME = 8  # lists of a query that are searched first
+VISITED = 0.85  # share of the lists that a query visits, 16 of them at least; vectors with clusters need far fewer
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -151,20 +152,14 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
                 near = _matrix(part.column(1), dim) @ index.centers.T
                 order = np.argsort(-near, 1, kind="stable")
                 seen = np.cumsum(held[order], 1)
-                full = np.maximum(least, (seen < k + 1).sum(1) + 1)  # enough lists for k candidates beside the query
-                lists = [row[:n][held[row[:n]] > 0] for row, n in zip(order, full.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["vec_id", "vec", "lists"])
+                enough = (seen < k + 1).sum(1) + 1  # lists that hold k candidates beside the query
+                home = np.maximum(HOME, enough)
+                full = np.maximum(least, home)
+                lists = [[row[:n][held[row[:n]] > 0] for row, n in zip(order, home.tolist(), strict=True)], [row[m:n][held[row[m:n]] > 0] for row, m, n in zip(order, home.tolist(), full.tolist(), strict=True)]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, pa.list_(pa.int64())) for x in lists]], names=["vec_id", "vec", "home", "others"])
 
-    queries = members.where(F.col("vec_id") % one_in == 0).select("vec_id", "vec").mapInArrow(visit, f"vec_id {kind}, vec binary, lists array<bigint>")
-    visits = stored(queries.select("vec_id", "vec", F.explode("lists").alias("list")), "ann-visits")
+    queries = stored(members.where(F.col("vec_id") % one_in == 0).select("vec_id", "vec").mapInArrow(visit, f"vec_id {kind}, vec binary, home array<bigint>, others array<bigint>"), "ann-visits")
     size = max(BLOCK, -(-rows // len(held)))
-    of_members = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
-    of_visits = visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias("turns"))
-    plan = F.broadcast(of_members.join(of_visits, "list"))  # a row for each list
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("long")
-    turn = F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("long")
-    left = members.join(plan, "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "vec_id", "vec", "codes")
-    right = visits.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "vec_id", "vec", F.lit(None).cast("binary").alias("codes"))
 
     def search(key, table):
         is_query = table.column("codes").is_null()
@@ -173,13 +168,14 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
         if asks.num_rows and own.num_rows:
             q, x = _matrix(asks.column("vec"), dim), _matrix(own.column("vec"), dim)
             codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-            q_ids, ids = asks.column("vec_id").to_numpy(), own.column("vec_id").to_numpy()
+            q_ids, ids, bound = asks.column("vec_id").to_numpy(), own.column("vec_id").to_numpy(), asks.column("bound").to_numpy()
             guess = index.approximate(q, key[0].as_py(), codes)
             guess[q_ids[:, None] == ids[None, :]] = -np.inf
             best = np.argsort(-guess, 1, kind="stable")[:, : max(rerank, k)]
             for i, row in enumerate(best):
                 row = row[ids[row] != q_ids[i]]
                 exact = (x[row] * q[i]).sum(1)
+                row, exact = row[exact >= bound[i]], exact[exact >= bound[i]]
                 top = np.lexsort((ids[row], -exact))[:k]
                 out[0].append(np.full(len(top), q_ids[i]))
                 out[1].append(ids[row][top])
@@ -187,8 +183,24 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
         cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
         return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], float)})
 
-    found = left.unionByName(right).groupBy("list", "block", "turn").applyInArrow(search, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    def scan(visits: DataFrame) -> DataFrame:
+        """What the visits (vec_id, vec, list, bound) find that is not below their bounds."""
+        of_members = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+        of_visits = visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias("turns"))
+        plan = F.broadcast(of_members.join(of_visits, "list"))  # a row for each list
+        block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("long")
+        turn = F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("long")
+        left = members.join(plan, "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "vec_id", "vec", "codes", F.lit(0.0).alias("bound"))
+        right = visits.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "vec_id", "vec", F.lit(None).cast("binary").alias("codes"), "bound")
+        return left.unionByName(right).groupBy("list", "block", "turn").applyInArrow(search, "query_id long, vec_id long, score double")
+
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # the k-th score of a query's best lists bounds what its other lists need to return
+    home = queries.select("vec_id", "vec", F.explode("home").alias("list"), F.lit(float("-inf")).alias("bound"))
+    first = stored(scan(home).withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).drop("rank"), "ann-home")
+    bounds = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+    others = queries.join(bounds, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vec", F.explode("others").alias("list"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    ranked = first.unionByName(scan(stored(others, "ann-others"))).withColumn("rank", F.row_number().over(best_first))
     return ranked.where(F.col("rank") <= k).select(F.col("query_id").cast(kind), "rank", F.col("vec_id").cast(kind), "score")
 
 
