@@ -44,7 +44,7 @@ def correlation(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
     spread = F.stddev_pop(a) * F.stddev_pop(b)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(spread > 1e-15, F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0)))))
+    return F.when(spread > 1e-15, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0)))))
 
 
 def ladder(x: Column, steps: list[tuple[float, object]], otherwise: object, strict: bool = False) -> Column:
