@@ -99,11 +99,12 @@ def wide_ic(ic: DataFrame, factors: list[str], column: str = "rank_ic") -> DataF
 
 def qcut_returns(pairs: DataFrame, groups: int = 5) -> DataFrame:
     """Mean return of equal-frequency groups between value quantiles; where two edges are equal, groups by first rank."""
-    edges = F.percentile("x", F.array(*[F.lit(i / groups) for i in range(groups + 1)])).over(SECTION)
+    # edges are interpolated, so values are compared to nine places
+    edges = F.transform(F.percentile("x", F.array(*[F.lit(i / groups) for i in range(groups + 1)])).over(SECTION), lambda e: F.round(e, 9))
     rows = pairs.where(F.col("x").isNotNull()).withColumn("n", F.count("x").over(SECTION)).withColumn("edges", edges)
     rows = rows.withColumn("first", F.row_number().over(SECTION.orderBy("x", "ts_code")))
     distinct = F.size(F.array_distinct("edges")) == groups + 1
-    by_edge = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("x"))))
+    by_edge = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.round(F.col("x"), 9))))
     width = (F.col("n") - 1) / groups  # the edges of the ranks 1..n
     by_rank = F.greatest(F.lit(1.0), F.ceil((F.col("first") - 1) / F.nullif(width, F.lit(0.0))))
     placed = rows.where(F.col("n") >= groups).withColumn("quantile", F.when(distinct, by_edge).otherwise(F.least(by_rank, F.lit(float(groups)))).cast("int"))

@@ -110,7 +110,7 @@ def batch_ic(v):
 
 
 _QCUT = f"""SELECT trade_date, factor_name, quantile, avg(y) AS group_return, count(*) AS group_count FROM (
-    SELECT *, CAST(CASE WHEN len(list_distinct(e)) = 6 THEN greatest(1, len(list_filter(e, lambda z: z < x))) ELSE least(greatest(1, ceil((f - 1) / nullif((n - 1) / 5, 0))), 5) END AS INT) AS quantile FROM (
+    SELECT *, CAST(CASE WHEN len(list_distinct(list_transform(e, lambda z: round(z, 9)))) = 6 THEN greatest(1, len(list_filter(e, lambda z: round(z, 9) < round(x, 9)))) ELSE least(greatest(1, ceil((f - 1) / nullif((n - 1) / 5, 0))), 5) END AS INT) AS quantile FROM (
     SELECT *, count(x) OVER ({_S}) AS n, row_number() OVER ({_S} ORDER BY x, ts_code) AS f, quantile_cont(x, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) OVER ({_S}) AS e FROM ({_PAIRS}) p WHERE x IS NOT NULL) q WHERE n >= 5) g GROUP BY trade_date, factor_name, quantile"""
 
 

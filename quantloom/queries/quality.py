@@ -1 +1,194 @@
+"""Queries of normalization and quality."""
 
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as op
+from ..registry import query
+
+_TEXT_DATES = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strdate WHEN 1 THEN replace(strdate, '-', '') WHEN 2 THEN concat('x', strdate) ELSE concat(replace(strdate, '-', '/'), '') END AS raw FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS strdate FROM orders) o"
+
+
+@query("canonical_date", f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(raw AS DATE) WHEN 1 THEN CAST(strptime(raw, '%Y%m%d') AS DATE) END AS parsed FROM ({_TEXT_DATES}) t")
+def canonical_date(v):
+    return v.sql(_TEXT_DATES).select("o_orderkey", op.canonical_date(F.col("raw")).alias("parsed"))
+
+
+_RAW = """SELECT CASE WHEN k = 1 THEN NULL ELSE ts_code END AS ts_code, CASE WHEN k = 2 THEN 'soon' ELSE CAST(trade_date AS STRING) END AS trade_date, CASE WHEN k = 3 THEN 'n/a' ELSE CAST(CAST(vol AS INT) AS STRING) END AS vol
+    FROM (SELECT *, row_number() OVER (ORDER BY ts_code, trade_date) % 53 AS k FROM v_day) a UNION ALL SELECT ts_code, CAST(trade_date AS STRING), CAST(CAST(vol AS INT) AS STRING) FROM v_day WHERE day(trade_date) = 1
+    UNION ALL SELECT ts_code, CAST(trade_date AS STRING), '-1' FROM v_day WHERE day(trade_date) = 2"""
+
+
+@query(
+    "normalize_canonical",
+    f"""SELECT ts_code, trade_date, vol, CASE WHEN bad THEN 'bad cast' WHEN ts_code IS NULL OR trade_date IS NULL THEN 'null key' WHEN count(*) OVER (PARTITION BY ts_code, trade_date) > 1 THEN 'conflicting key' END AS problem FROM (
+        SELECT DISTINCT ts_code, try_cast(trade_date AS DATE) AS trade_date, try_cast(vol AS DOUBLE) AS vol, (trade_date IS NOT NULL AND try_cast(trade_date AS DATE) IS NULL) OR (vol IS NOT NULL AND try_cast(vol AS DOUBLE) IS NULL) AS bad FROM ({_RAW}) r) d""",
+    "vol",
+)
+def normalize_canonical(v):
+    return op.normalize_canonical(v.sql(_RAW), ["trade_date"], ["vol"], ["ts_code", "trade_date"])
+
+
+_SPACED = "SELECT concat(' ', ts_code, ' ') AS ts_code, CAST(trade_date AS STRING) AS trade_date, close FROM v_month UNION ALL SELECT ts_code, CAST(trade_date AS STRING), close FROM v_month WHERE month(trade_date) = 3"
+
+
+@query("normalize_factor_input", f"SELECT trim(ts_code) AS ts_code, CAST(trade_date AS DATE) AS trade_date, close, count(*) OVER (PARTITION BY trim(ts_code), trade_date) AS key_rows FROM ({_SPACED}) s", "close")
+def normalize_factor_input(v):
+    return op.normalize_keys(op.require_fields(v.sql(_SPACED), ["ts_code", "trade_date", "close"]))
+
+
+@query("require_fields", "SELECT ts_code, trade_date, close FROM v_month", "close")
+def require_fields(v):
+    return op.require_fields(v.v_month, ["ts_code", "trade_date", "close"]).select("ts_code", "trade_date", "close")
+
+
+_OLD = "SELECT ts_code, trade_date, close, CASE WHEN vol > 60 THEN turnover_rate END AS dv_ttm FROM v_month WHERE year(trade_date) < 1999"
+_NEW = "SELECT ts_code, trade_date, CASE WHEN vol > 120 THEN close + 1 ELSE close END AS close, turnover_rate AS dv_ttm FROM v_month WHERE year(trade_date) > 1996"
+
+
+@query(
+    "canonical_upsert",
+    f"""SELECT coalesce(o.ts_code, n.ts_code) AS ts_code, coalesce(o.trade_date, n.trade_date) AS trade_date, CASE WHEN o.ts_code IS NULL THEN n.close ELSE o.close END AS close, coalesce(o.dv_ttm, n.dv_ttm) AS dv_ttm,
+        o.ts_code IS NOT NULL AND n.ts_code IS NOT NULL AND (o.close IS DISTINCT FROM n.close OR (o.dv_ttm IS NOT NULL AND o.dv_ttm IS DISTINCT FROM n.dv_ttm)) AS conflict
+        FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.ts_code = n.ts_code AND o.trade_date = n.trade_date""",
+    "close dv_ttm",
+)
+def canonical_upsert(v):
+    # both pulls come from one scan's sums, so that equal values are equal
+    rows = v.sql("SELECT ts_code, trade_date, round(close, 6) AS close, vol, round(turnover_rate, 6) AS turnover_rate FROM v_month")
+    old = rows.where("year(trade_date) < 1999").selectExpr("ts_code", "trade_date", "close", "CASE WHEN vol > 60 THEN turnover_rate END AS dv_ttm")
+    new = rows.where("year(trade_date) > 1996").selectExpr("ts_code", "trade_date", "CASE WHEN vol > 120 THEN close + 1 ELSE close END AS close", "turnover_rate AS dv_ttm")
+    return op.canonical_upsert(old, new, ["ts_code", "trade_date"], ("dv_ttm",))
+
+
+@query("reference_priority_dedup", "SELECT ts_code, name, CASE WHEN delist_date IS NOT NULL THEN 'D' WHEN list_status = 'P' THEN 'P' ELSE 'L' END AS list_status FROM v_reference")
+def reference_priority_dedup(v):
+    r = v.v_reference.select("ts_code", "name", "list_status", "delist_date")
+    pulls = {"D": r.where("delist_date IS NOT NULL"), "P": r.where("list_status = 'P'"), "L": r}
+    return op.priority_dedup({s: f.select("ts_code", "name") for s, f in pulls.items()})
+
+
+def _rules(source: str, rules: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS rule, count(CASE WHEN {c} THEN 1 END) AS violations FROM {source}" for n, c in rules.items())
+
+
+@query(
+    "quality_rules",
+    _rules("v_broken", {"high_below_low": "high < low", "close_outside_range": "close > high OR close < low", "negative_volume": "vol < 0", "negative_amount": "amount < 0", "factor_not_positive": "adj_factor <= 0", "null_code": "ts_code IS NULL"})
+    + " UNION ALL SELECT 'row_limit', CASE WHEN count(*) > 20000 THEN 1 ELSE 0 END FROM v_broken",
+)
+def quality_rules(v):
+    return op.quality_rules(v.v_broken, 20_000)
+
+
+_MARKED = """SELECT CASE WHEN k % 17 = 4 THEN concat('T', symbol) WHEN k % 23 = 9 THEN NULL ELSE concat(symbol, CASE k % 3 WHEN 0 THEN '.SH' WHEN 1 THEN '.SZ' ELSE '.BJ' END) END AS ts_code, list_date, delist_date, list_status
+    FROM (SELECT *, CAST(symbol AS INT) AS k FROM v_reference) r"""
+_CLASSED = f"""SELECT *, CASE identifier_class WHEN 'tradable' THEN 'six_digits_and_exchange' WHEN 'legacy' THEN 'not_tradable_in_interval' ELSE 'malformed_code' END AS rule_id FROM (
+    SELECT *, CASE WHEN regexp_matches(ts_code, '^[0-9]{{6}}\\.(SH|SZ|BJ)$') THEN 'tradable' WHEN ts_code IS NOT NULL AND (coalesce(list_date > DATE '1996-06-30' OR delist_date <= DATE '1995-06-01', FALSE) OR list_status = 'D') THEN 'legacy' ELSE 'invalid' END AS identifier_class FROM ({_MARKED}) m) c"""
+
+
+def _classified(v):
+    return op.classify_identifier(v.sql(_MARKED), datetime.date(1995, 6, 1), datetime.date(1996, 6, 30))
+
+
+@query("bad_code_mask", f"SELECT list_date, ts_code, ts_code IS NULL OR NOT regexp_matches(ts_code, '^[0-9]{{6}}\\.(SH|SZ|BJ)$') AS bad FROM ({_MARKED}) m")
+def bad_code_mask(v):
+    return v.sql(_MARKED).select("list_date", "ts_code", op.bad_code(F.col("ts_code")).alias("bad"))
+
+
+@query("classify_identifier", _CLASSED)
+def classify_identifier(v):
+    return _classified(v)
+
+
+@query("identifier_evidence", f"SELECT identifier_class, rule_id, count(*) AS rows, coalesce(string_agg(CASE WHEN n <= 20 THEN ts_code END, ',' ORDER BY ts_code), '') AS samples FROM (SELECT *, row_number() OVER (PARTITION BY identifier_class, rule_id ORDER BY ts_code NULLS FIRST) AS n FROM ({_CLASSED}) c) e GROUP BY identifier_class, rule_id")
+def identifier_evidence(v):
+    return op.identifier_evidence(_classified(v))
+
+
+@query("bounded_samples", f"SELECT DISTINCT identifier_class, ts_code FROM ({_CLASSED}) c ORDER BY identifier_class, ts_code NULLS FIRST LIMIT 20")
+def bounded_samples(v):
+    return op.bounded_samples(_classified(v), ["identifier_class", "ts_code"])
+
+
+@query(
+    "compare_tables",
+    """SELECT coalesce(a.ts_code, b.ts_code) AS ts_code, coalesce(a.trade_date, b.trade_date) AS trade_date, f.field, CASE WHEN b.ts_code IS NULL THEN 'left_only' WHEN a.ts_code IS NULL THEN 'right_only' ELSE 'value' END AS difference
+        FROM (SELECT ts_code, trade_date, high, vol FROM v_broken WHERE day(trade_date) <> 1) a FULL JOIN (SELECT ts_code, trade_date, high, vol FROM v_day WHERE day(trade_date) <> 2) b ON a.ts_code = b.ts_code AND a.trade_date = b.trade_date,
+        (VALUES ('*'), ('high'), ('vol')) f(field) WHERE (f.field = '*' AND (a.ts_code IS NULL OR b.ts_code IS NULL)) OR (f.field = 'high' AND abs(a.high - b.high) > 0.001) OR (f.field = 'vol' AND abs(a.vol - b.vol) > 0.001)""",
+)
+def compare_tables(v):
+    return op.compare_tables(v.v_broken.where("day(trade_date) <> 1"), v.v_day.where("day(trade_date) <> 2"), ["ts_code", "trade_date"], ["high", "vol"], 0.001)
+
+
+@query("check_nonempty_limit", "SELECT trade_date, count(*) AS rows, count(*) < 24 AS complete FROM v_day GROUP BY trade_date")
+def check_nonempty_limit(v):
+    return op.nonempty_within(v.v_day, ["trade_date"], 24)
+
+
+def _complete(have: str, want: str) -> str:
+    return f"SELECT unit, 'missing' AS problem FROM (SELECT unit FROM ({want}) w EXCEPT SELECT unit FROM ({have}) h) a UNION ALL SELECT unit, 'unexpected' FROM (SELECT unit FROM ({have}) h EXCEPT SELECT unit FROM ({want}) w) b"
+
+
+_CAL = "SELECT cal_date AS unit FROM v_calendar WHERE day(cal_date) <> 13"
+_WANT = "SELECT cal_date AS unit FROM v_calendar WHERE year(cal_date) < 2000"
+_TRADED = "SELECT DISTINCT trade_date AS unit FROM v_day"
+_OPEN = "SELECT cal_date AS unit FROM v_open WHERE cal_date >= DATE '1996-01-01'"
+_ONE = "SELECT trade_date AS unit FROM v_day WHERE ts_code = 'Brand#11'"
+_MONTHS = "SELECT DISTINCT substr(CAST(trade_date AS STRING), 1, 7) AS unit FROM v_index_weight WHERE month(trade_date) <> 5"
+_WANT_MONTHS = "SELECT DISTINCT substr(CAST(cal_date AS STRING), 1, 7) AS unit FROM v_calendar WHERE year(cal_date) > 1995"
+
+for _name, _have, _expect in (("check_calendar_units", _CAL, _WANT), ("check_market_units", _TRADED, _OPEN), ("check_entity_units", _ONE, _OPEN), ("check_month_units", _MONTHS, _WANT_MONTHS)):
+
+    def _register(name, have, expect):
+        @query(name, _complete(have, expect))
+        def run(v):
+            return op.completeness(v.sql(have), v.sql(expect))
+
+    _register(_name, _have, _expect)
+
+_ASKED = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat('  ', c_name, ' ') WHEN 1 THEN concat(lower(c_name), '　') WHEN 2 THEN lpad(CAST(c_custkey AS STRING), 6, '6') ELSE lpad(CAST(c_custkey AS STRING), 6, '0') END AS q FROM customer"
+
+
+@query("normalize_query", f"SELECT c_custkey, upper(trim(regexp_replace(q, '[　\\s]+', ' ', 'g'))) AS normalized FROM ({_ASKED}) a")
+def normalize_query(v):
+    return v.sql(_ASKED).select("c_custkey", op.normalize_query(F.col("q")).alias("normalized"))
+
+
+@query("normalize_code", f"SELECT c_custkey, CASE WHEN regexp_matches(q, '^6[0-9]{{5}}$') THEN concat(q, '.SH') WHEN regexp_matches(q, '^[03][0-9]{{5}}$') THEN concat(q, '.SZ') WHEN regexp_matches(q, '^[48][0-9]{{5}}$') THEN concat(q, '.BJ') ELSE q END AS code FROM ({_ASKED}) a")
+def normalize_code(v):
+    return v.sql(_ASKED).select("c_custkey", op.normalize_code(F.col("q")).alias("code"))
+
+
+_LOOK = "SELECT ts_code, name, industry FROM v_reference WHERE market <> 'STAR' UNION ALL SELECT ts_code, name, NULL FROM v_reference WHERE market = 'STAR'"
+
+
+def _lookup(v):
+    r = v.v_reference
+    return op.security_lookup(r.where("market <> 'STAR'").select("ts_code", "name", "industry"), r.select("ts_code", "name"))
+
+
+@query("security_lookup", _LOOK)
+def security_lookup(v):
+    return _lookup(v)
+
+
+@query("search_security", f"SELECT * FROM ({_LOOK}) l WHERE upper(ts_code) = '00001' OR substr(ts_code, 1, 6) = '00001' OR contains(upper(name), '00001')")
+def search_security(v):
+    return op.search_security(_lookup(v), " 00001 ")
+
+
+_RECORDS = "SELECT concat(ts_code, ' ') AS ts_code, replace(CAST(ann_date AS STRING), '-', '') AS ann_date, CAST(end_date AS STRING) AS end_date, value FROM v_financial UNION ALL SELECT ts_code, CAST(ann_date AS STRING), CAST(end_date AS STRING), value + 1 FROM v_financial WHERE day(ann_date) = 7"
+
+
+@query("normalize_financial", "SELECT ts_code, ann_date, end_date, value, count(*) OVER (PARTITION BY ts_code, ann_date, end_date) AS key_rows FROM (SELECT * FROM v_financial UNION ALL SELECT ts_code, ann_date, end_date, value + 1 FROM v_financial WHERE day(ann_date) = 7) f", "value")
+def normalize_financial(v):
+    return op.normalize_financial(v.sql(_RECORDS))
+
+
+@query("finite_positive", _rules("v_broken", {"vol": "vol IS NULL OR vol <= 0", "adj_factor": "adj_factor IS NULL OR adj_factor <= 0", "close": "close IS NULL OR close <= 0"}))
+def finite_positive(v):
+    return op.finite_positive(v.v_broken, ["vol", "adj_factor", "close"])

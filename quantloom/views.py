@@ -67,7 +67,7 @@ VIEWS = {
 _SPARK = {
     "isodow": "extract(DAYOFWEEK_ISO FROM {0})",
     "days": "explode(sequence({0}, {1}, INTERVAL 1 DAY))",
-    "add_days": "date_add({0}, {1})",
+    "add_days": "date_add({0}, CAST({1} AS INT))",
     "add_months": "add_months({0}, {1})",
 }
 _DUCKDB = {
