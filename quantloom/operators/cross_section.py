@@ -6,12 +6,14 @@ a chain of them costs one exchange. Null values are left out of statistics and s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.math import average_rank, ratio
 
-SECTION = Window.partitionBy("trade_date", "factor_name")
+
+def section() -> WindowSpec:
+    return Window.partitionBy("trade_date", "factor_name")
 
 
 def to_long(panel: DataFrame, factors: list[str]) -> DataFrame:
@@ -20,7 +22,7 @@ def to_long(panel: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def fill_median(long: DataFrame) -> DataFrame:
-    return long.withColumn("value", F.coalesce("value", F.median("value").over(SECTION)))
+    return long.withColumn("value", F.coalesce("value", F.median("value").over(section())))
 
 
 def clip(x: Column, low: Column, high: Column) -> Column:
@@ -31,8 +33,8 @@ def winsorize(long: DataFrame, method: str = "mad", lower: float = 0.05, upper:
     """Clip to the section's quantiles, or to `width` scaled median deviations (none where the deviation is 0)."""
     x = F.col("value")
     if method == "quantile":
-        return long.withColumn("value", clip(x, F.percentile(x, F.lit(lower)).over(SECTION), F.percentile(x, F.lit(upper)).over(SECTION)))
-    centred = long.withColumn("_m", F.median(x).over(SECTION)).withColumn("_d", F.median(F.abs(x - F.col("_m"))).over(SECTION))
+        return long.withColumn("value", clip(x, F.percentile(x, F.lit(lower)).over(section()), F.percentile(x, F.lit(upper)).over(section())))
+    centred = long.withColumn("_m", F.median(x).over(section())).withColumn("_d", F.median(F.abs(x - F.col("_m"))).over(section()))
     reach = F.lit(width * 1.4826) * F.col("_d")
     bounded = F.when(F.col("_d") > 0, clip(x, F.col("_m") - reach, F.col("_m") + reach)).otherwise(x)
     return centred.withColumn("value", bounded).drop("_m", "_d")
@@ -40,13 +42,13 @@ def winsorize(long: DataFrame, method: str = "mad", lower: float = 0.05, upper:
 
 def standardize(long: DataFrame, method: str = "zscore", least: int = 5) -> DataFrame:
     """Population z-scores (null where constant), or average ranks scaled to [-1, 1] (0 where constant); null in sections below `least` values."""
-    x, n = F.col("value"), F.count("value").over(SECTION)
+    x, n = F.col("value"), F.count("value").over(section())
     if method == "zscore":
-        spread = F.stddev_pop(x).over(SECTION)
-        scaled = F.when(spread > 1e-12, (x - F.avg(x).over(SECTION)) / F.nullif(spread, F.lit(0.0)))
+        spread = F.stddev_pop(x).over(section())
+        scaled = F.when(spread > 1e-12, (x - F.avg(x).over(section())) / F.nullif(spread, F.lit(0.0)))
     else:
-        constant = F.min(x).over(SECTION) == F.max(x).over(SECTION)
-        scaled = F.when(constant, F.lit(0.0)).otherwise(2 * ratio(average_rank(x, SECTION) - 1, (n - 1).cast("double")) - 1)
+        constant = F.min(x).over(section()) == F.max(x).over(section())
+        scaled = F.when(constant, F.lit(0.0)).otherwise(2 * ratio(average_rank(x, section()) - 1, (n - 1).cast("double")) - 1)
     return long.withColumn("value", F.when(x.isNotNull() & (n >= least), scaled))
 
 
@@ -80,13 +82,13 @@ def neutralize(long: DataFrame, exposures: DataFrame, least: int = 5, least_indu
     rows = rows.withColumn("_ok", usable)
     rows = rows.withColumn("_ok", F.col("_ok") & (F.sum(F.col("_ok").cast("int")).over(industry) >= least_industry))
     y, s = F.when(F.col("_ok"), F.col("value")), F.when(F.col("_ok"), F.col("log_total_mv"))
-    spread = F.stddev_pop(s).over(SECTION)
-    z = F.when(spread > 1e-12, (s - F.avg(s).over(SECTION)) / F.nullif(spread, F.lit(0.0))).otherwise(F.when(F.col("_ok"), 0.0))
+    spread = F.stddev_pop(s).over(section())
+    z = F.when(spread > 1e-12, (s - F.avg(s).over(section())) / F.nullif(spread, F.lit(0.0))).otherwise(F.when(F.col("_ok"), 0.0))
     z = F.when(F.col("factor_name").isin(*SIZE_FACTORS), F.when(F.col("_ok"), 0.0)).otherwise(z)
     rows = rows.withColumn("_z", z).withColumn("_y", y - F.avg(y).over(industry)).withColumn("_x", F.col("_z") - F.avg("_z").over(industry))
-    rows = rows.withColumn("_xx", F.sum(F.col("_x") * F.col("_x")).over(SECTION)).withColumn("_xy", F.sum(F.col("_x") * F.col("_y")).over(SECTION))
-    groups = F.size(F.collect_set(F.when(F.col("_ok"), F.col("industry"))).over(SECTION))  # as many as there are industries
-    rows = rows.withColumn("n", F.sum(F.col("_ok").cast("long")).over(SECTION)).withColumn("design_rank", groups + F.when(F.col("_xx") > 1e-12, 1).otherwise(0))
+    rows = rows.withColumn("_xx", F.sum(F.col("_x") * F.col("_x")).over(section())).withColumn("_xy", F.sum(F.col("_x") * F.col("_y")).over(section()))
+    groups = F.size(F.collect_set(F.when(F.col("_ok"), F.col("industry"))).over(section()))  # as many as there are industries
+    rows = rows.withColumn("n", F.sum(F.col("_ok").cast("long")).over(section())).withColumn("design_rank", groups + F.when(F.col("_xx") > 1e-12, 1).otherwise(0))
     slope = F.when(F.col("_xx") > 1e-12, F.col("_xy") / F.nullif(F.col("_xx"), F.lit(0.0))).otherwise(0.0)
     kept = F.col("_ok") & (F.col("n") >= least) & (F.col("n") > F.col("design_rank"))
     out = rows.withColumn("value", F.when(kept, F.col("_y") - slope * F.col("_x"))).select("trade_date", "ts_code", "factor_name", "value", "n", "design_rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import average_rank, correlation, ratio
-from .cross_section import SECTION
+from .cross_section import section
 
 
 def paired(long: DataFrame, labels: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def paired(long: DataFrame, labels: DataFrame) -> DataFrame:
     rows = long.join(labels.select("trade_date", "ts_code", "forward_return"), ["trade_date", "ts_code"], "left")
     both = F.col("value").isNotNull() & F.col("forward_return").isNotNull()
     rows = rows.withColumn("x", F.when(both, F.col("value"))).withColumn("y", F.when(both, F.col("forward_return")))
-    return rows.withColumn("rx", average_rank(F.col("x"), SECTION)).withColumn("ry", average_rank(F.col("y"), SECTION))
+    return rows.withColumn("rx", average_rank(F.col("x"), section())).withColumn("ry", average_rank(F.col("y"), section()))
 
 
 def ic_by_date(pairs: DataFrame, least: int = 5) -> DataFrame:
@@ -47,7 +47,7 @@ def quantile_returns(pairs: DataFrame, groups: int = 5, least_group: int = 1) ->
     Groups come from average ranks, so ties are never split; sections of fewer values than
     groups have no returns.
     """
-    ranked = pairs.withColumn("n", F.count("x").over(SECTION))
+    ranked = pairs.withColumn("n", F.count("x").over(section()))
     place = F.floor((F.col("rx") - 1) / F.nullif(F.col("n") - 1, F.lit(0)) * groups) + 1
     placed = ranked.withColumn("quantile", F.when(F.col("n") >= groups, F.least(place, F.lit(groups)).cast("int")))
     counted = placed.groupBy("trade_date", "factor_name", "quantile").agg(F.count("y").alias("group_count"), F.avg("y").alias("mean"))
@@ -60,7 +60,7 @@ def quantile_returns(pairs: DataFrame, groups: int = 5, least_group: int = 1) ->
 def long_short(quantiles: DataFrame, groups: int = 5) -> DataFrame:
     """Top less bottom group, and the rank correlation of group and return, of each section."""
     both = quantiles.withColumn("q", F.when(F.col("group_return").isNotNull(), F.col("quantile").cast("double")))
-    both = both.withColumn("rq", average_rank(F.col("q"), SECTION)).withColumn("rr", average_rank(F.col("group_return"), SECTION))
+    both = both.withColumn("rq", average_rank(F.col("q"), section())).withColumn("rr", average_rank(F.col("group_return"), section()))
     pick = lambda g: F.max(F.when(F.col("quantile") == g, F.col("group_return")))
     return both.groupBy("trade_date", "factor_name").agg((pick(groups) - pick(1)).alias("spread"), correlation(F.col("rq"), F.col("rr")).alias("monotonicity"))
 
@@ -100,9 +100,9 @@ def wide_ic(ic: DataFrame, factors: list[str], column: str = "rank_ic") -> DataF
 def qcut_returns(pairs: DataFrame, groups: int = 5) -> DataFrame:
     """Mean return of equal-frequency groups between value quantiles; where two edges are equal, groups by first rank."""
     # edges are interpolated, so values are compared to nine places
-    edges = F.transform(F.percentile("x", F.array(*[F.lit(i / groups) for i in range(groups + 1)])).over(SECTION), lambda e: F.round(e, 9))
-    rows = pairs.where(F.col("x").isNotNull()).withColumn("n", F.count("x").over(SECTION)).withColumn("edges", edges)
-    rows = rows.withColumn("first", F.row_number().over(SECTION.orderBy("x", "ts_code")))
+    edges = F.transform(F.percentile("x", F.array(*[F.lit(i / groups) for i in range(groups + 1)])).over(section()), lambda e: F.round(e, 9))
+    rows = pairs.where(F.col("x").isNotNull()).withColumn("n", F.count("x").over(section())).withColumn("edges", edges)
+    rows = rows.withColumn("first", F.row_number().over(section().orderBy("x", "ts_code")))
     distinct = F.size(F.array_distinct("edges")) == groups + 1
     by_edge = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.round(F.col("x"), 9))))
     width = (F.col("n") - 1) / groups  # the edges of the ranks 1..n
