@@ -1 +1,250 @@
+"""Queries of the report tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import backtest as bt
+from ..operators import evaluation as ev
+from ..operators import reports as op
+from ..registry import query
+from .evaluations import _IC, _QUANTILES, _SPREADS, _stats
+from .portfolios import _BNAV, _CHOSEN, _NAV, _SMETRICS, _bench, _chosen, _nav, _sret
+
+
+def _ladder(x: str, steps: list, otherwise) -> str:
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else repr(v)
+    return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(f'WHEN {x} >= {b} THEN {lit(v)}' for b, v in steps)} ELSE {lit(otherwise)} END"
+
+
+_F6 = "OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
+
+
+def _share(c: str) -> str:
+    return f"(rank() OVER (PARTITION BY trade_date ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY trade_date ORDER BY {c} NULLS LAST RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0) / count({c}) OVER (PARTITION BY trade_date)"
+
+
+_PANEL = f"SELECT ts_code, trade_date, CASE WHEN count(ret) {_F6} = 6 THEN avg(ret) {_F6} END AS momentum, CASE WHEN count(ret) {_F6} = 6 THEN stddev_samp(ret) {_F6} END AS volatility, {_share('turnover_rate')} AS valuation, {_share('total_mv')} AS quality FROM v_ret"
+
+
+def _panel(v):
+    return op.scored_panel(v.v_ret)
+
+
+for _name, _column, _steps, _else, _make in (
+    ("momentum_part", "momentum", op.MOMENTUM_STEPS, 5.0, op.momentum_part),
+    ("volatility_part", "volatility", op.VOLATILITY_STEPS, 20.0, op.volatility_part),
+    ("valuation_part", "valuation", op.VALUATION_STEPS, 5.0, op.valuation_part),
+    ("percentile_label", "valuation", op.PERCENTILE_STEPS, "very low", op.percentile_label),
+    ("volatility_label", "volatility", op.VOLATILITY_LABELS, "low", op.volatility_label),
+    ("momentum_label", "momentum", op.MOMENTUM_LABELS, "negative", op.momentum_label),
+    ("recent_return_label", "momentum", op.RETURN_LABELS, "strong fall", op.return_label),
+    ("recent_vol_label", "volatility", op.VOLATILITY_LABELS, "low", op.volatility_label),
+):
+
+    def _register(name, column, steps, otherwise, make):
+        @query(name, f"SELECT ts_code, trade_date, {_ladder(f'round({column}, 9)', steps, otherwise)} AS value FROM ({_PANEL}) p", "value" if isinstance(otherwise, float) else "")
+        def run(v):
+            return _panel(v).select("ts_code", "trade_date", make(F.round(column, 9)).alias("value"))
+
+    _register(_name, _column, _steps, _else, _make)
+
+_SCORED = f"""SELECT *, coalesce(momentum_score, 0) + coalesce(volatility_score, 0) + coalesce(valuation_score, 0) + coalesce(quality_score, 0) AS score FROM (
+    SELECT *, {_ladder("momentum", op.MOMENTUM_STEPS, 5.0)} AS momentum_score, {_ladder("volatility", op.VOLATILITY_STEPS, 20.0)} AS volatility_score, {_ladder("valuation", op.VALUATION_STEPS, 5.0)} AS valuation_score, quality * 25 AS quality_score FROM ({_PANEL}) p) q"""
+
+
+@query("research_score", _SCORED, "momentum volatility valuation quality momentum_score volatility_score valuation_score quality_score score")
+def research_score(v):
+    return op.research_score(_panel(v))
+
+
+for _name, _steps, _else, _make in (("rating_label", op.RATING_STEPS, "E", op.rating_label), ("trend_label", op.TREND_STEPS, "strong down", op.trend_label)):
+
+    def _register_score(name, steps, otherwise, make):
+        @query(name, f"SELECT ts_code, trade_date, {_ladder('round(score, 9)', steps, otherwise)} AS value FROM ({_SCORED}) s")
+        def run(v):
+            return op.research_score(_panel(v)).select("ts_code", "trade_date", make(F.round("score", 9)).alias("value"))
+
+    _register_score(_name, _steps, _else, _make)
+
+_LAST = "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS n FROM ({0}) x) y WHERE n = 1"
+
+
+@query(
+    "rating_report",
+    f"SELECT ts_code, trade_date, score, {_ladder('score', op.RATING_STEPS, 'E')} AS rating, {_ladder('score', op.TREND_STEPS, 'strong down')} AS trend, {_ladder('momentum', op.MOMENTUM_LABELS, 'negative')} AS momentum_label, {_ladder('volatility', op.VOLATILITY_LABELS, 'low')} AS volatility_label, {_ladder('valuation', op.PERCENTILE_STEPS, 'very low')} AS valuation_label FROM ({_LAST.format(_SCORED)}) l",
+    "score",
+)
+def rating_report(v):
+    return op.rating_report(op.research_score(_panel(v)))
+
+
+_Z = "round((value - avg(value) OVER (PARTITION BY trade_date, factor)) / nullif(stddev_pop(value) OVER (PARTITION BY trade_date, factor), 0), 9)"
+_EXPOSED = f"SELECT trade_date, ts_code, factor, value, {_ladder('z', op.EXPOSURE_LABELS, 'far below')} AS label FROM (SELECT *, {_Z} AS z FROM (SELECT trade_date, ts_code, factor_name AS factor, value FROM v_long) a) b"
+
+
+@query("exposure_table", _EXPOSED, "value")
+def exposure_table(v):
+    return op.exposure_table(v.v_factor, ["factor_a", "factor_b"])
+
+
+@query("exposure_label", f"SELECT factor, label, count(*) AS n FROM ({_EXPOSED}) e GROUP BY factor, label")
+def exposure_label(v):
+    return op.exposure_table(v.v_factor, ["factor_a", "factor_b"]).groupBy("factor", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("score_trends", f"SELECT ts_code, trade_date, momentum, volatility FROM ({_PANEL}) p WHERE momentum IS NOT NULL OR volatility IS NOT NULL", "momentum volatility")
+def score_trends(v):
+    return op.score_trends(_panel(v), ["momentum", "volatility"])
+
+
+def _compound(n: int) -> str:
+    return f"CASE WHEN count(CASE WHEN n <= {n} THEN ret END) = {n} THEN product(CASE WHEN n <= {n} THEN 1 + ret END) - 1 END"
+
+
+_RECENT = f"SELECT ts_code, max(CASE WHEN n = 1 THEN close END) AS last_close, {_compound(3)} AS return_3m, {_compound(6)} AS return_6m, CASE WHEN count(ret) = 6 THEN stddev_samp(ret) END AS volatility_6m FROM (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS n FROM v_ret) r WHERE n <= 6 GROUP BY ts_code"
+
+
+@query("recent_returns", _RECENT, "last_close return_3m return_6m volatility_6m")
+def recent_returns(v):
+    return op.recent_returns(v.v_ret)
+
+
+@query("price_summary", f"SELECT *, {_ladder('return_3m', op.RETURN_LABELS, 'strong fall')} AS return_3m_label, {_ladder('return_6m', op.RETURN_LABELS, 'strong fall')} AS return_6m_label, {_ladder('volatility_6m', op.VOLATILITY_LABELS, 'low')} AS volatility_label FROM ({_RECENT}) r", "last_close return_3m return_6m volatility_6m")
+def price_summary(v):
+    return op.price_summary(v.v_ret)
+
+
+@query("factor_history", "SELECT * FROM v_factor WHERE ts_code = 'S00003'", "factor_a factor_b")
+def factor_history(v):
+    return op.history(v.v_factor, "S00003")
+
+
+@query("selection_history", f"SELECT trade_date, ts_code, score, rank FROM ({_CHOSEN}) c WHERE ts_code = 'S00003'", "score")
+def selection_history(v):
+    return op.history(_chosen(v).select("trade_date", "ts_code", "score", "rank"), "S00003")
+
+
+@query("latest_snapshot", f"SELECT l.*, c.ts_code IS NOT NULL AS selected FROM ({_LAST.format('SELECT * FROM v_factor')}) l LEFT JOIN ({_CHOSEN}) c ON c.ts_code = l.ts_code AND c.trade_date = l.trade_date", "factor_a factor_b")
+def latest_snapshot(v):
+    return op.latest_snapshot(v.v_factor, _chosen(v))
+
+
+@query("selection_frequency", f"SELECT ts_code, observed, selected, selected / observed AS frequency FROM (SELECT p.ts_code, count(DISTINCT p.trade_date) AS observed, count(DISTINCT c.trade_date) AS selected FROM v_pred p LEFT JOIN ({_CHOSEN}) c ON c.ts_code = p.ts_code AND c.trade_date = p.trade_date GROUP BY p.ts_code) f", "frequency")
+def selection_frequency(v):
+    return op.selection_frequency(v.v_pred, _chosen(v))
+
+
+_HELD = "SELECT h.effective_date AS trade_date, h.ts_code, target_weight, score, rank, CASE WHEN rank = 4 THEN ' ' WHEN rank = 5 THEN NULL ELSE h.ts_code END AS industry FROM v_hold h"
+
+
+@query("latest_portfolio", f"SELECT * FROM ({_HELD}) h WHERE trade_date = (SELECT max(effective_date) FROM v_hold)", "target_weight score")
+def latest_portfolio(v):
+    return op.latest_portfolio(v.sql(_HELD))
+
+
+@query("latest_portfolio_date", f"SELECT ts_code, max(try_cast(d AS DATE)) AS last_date FROM (SELECT ts_code, CASE WHEN rank = 1 THEN 'none' ELSE CAST(trade_date AS STRING) END AS d FROM ({_HELD}) h) t GROUP BY ts_code")
+def latest_portfolio_date(v):
+    return v.sql(f"SELECT ts_code, CASE WHEN rank = 1 THEN 'none' ELSE CAST(trade_date AS STRING) END AS d FROM ({_HELD}) h").groupBy("ts_code").agg(op.latest_portfolio_date(F.col("d")).alias("last_date"))
+
+
+@query("industry_distribution", f"SELECT trade_date, coalesce(nullif(trim(industry), ''), 'unknown') AS industry, count(*) AS codes, sum(target_weight) AS weight FROM ({_HELD}) h GROUP BY 1, 2", "weight")
+def industry_distribution(v):
+    return op.industry_distribution(v.sql(_HELD))
+
+
+@query("weight_distribution", f"SELECT trade_date, ts_code, target_weight, rank FROM ({_HELD}) h", "target_weight")
+def weight_distribution(v):
+    return op.weight_distribution(v.sql(_HELD))
+
+
+@query("portfolio_summary", f"SELECT trade_date, count(*) AS codes, count(DISTINCT industry) AS industries, max(CASE WHEN rank = 1 THEN ts_code END) AS heaviest, max(target_weight) AS top_weight, max(CASE WHEN rank = 1 THEN ts_code END) AS best, max(score) AS top_score, avg(score) AS mean_score FROM ({_HELD}) h GROUP BY trade_date", "top_weight top_score mean_score")
+def portfolio_summary(v):
+    return op.portfolio_summary(v.sql(_HELD))
+
+
+def _pairs(v):
+    return ev.paired(v.v_long, v.v_label)
+
+
+_RANKED = f"SELECT factor_name, rank_ic_mean, row_number() OVER (ORDER BY abs(rank_ic_mean) DESC NULLS LAST, factor_name) AS place, {_ladder('abs(rank_ic_mean)', op.IC_LABELS, 'weak')} AS label FROM (SELECT factor_name, avg(rank_ic) AS rank_ic_mean FROM ({_IC}) i GROUP BY factor_name) s"
+
+
+@query("ic_ranking", _RANKED, "rank_ic_mean")
+def ic_ranking(v):
+    return op.ic_ranking(ev.ic_summary(ev.ic_by_date(_pairs(v))))
+
+
+@query("top_factors", f"SELECT * FROM ({_RANKED}) r WHERE place = 1", "rank_ic_mean")
+def top_factors(v):
+    return op.top_factors(op.ic_ranking(ev.ic_summary(ev.ic_by_date(_pairs(v)))), 1)
+
+
+@query("ic_label", f"SELECT trade_date, factor_name, {_ladder('abs(round(rank_ic, 9))', op.IC_LABELS, 'weak')} AS label FROM ({_IC}) i")
+def ic_label(v):
+    return ev.ic_by_date(_pairs(v)).select("trade_date", "factor_name", op.ic_label(F.round("rank_ic", 9)).alias("label"))
+
+
+@query("long_short_report", f"SELECT factor_name, {_stats('spread', 'spread')}, count(spread) AS n_dates FROM ({_SPREADS}) s GROUP BY factor_name", "spread_mean spread_std spread_ir spread_positive")
+def long_short_report(v):
+    return ev.long_short_summary(ev.long_short(ev.quantile_returns(_pairs(v)))).drop("monotonicity_mean")
+
+
+@query("group_return_report", f"SELECT factor_name, quantile, avg(group_return) AS mean_return, count(group_return) AS n FROM ({_QUANTILES}) q GROUP BY factor_name, quantile", "mean_return")
+def group_return_report(v):
+    return op.group_return_report(ev.quantile_returns(_pairs(v)))
+
+
+@query(
+    "backtest_labels",
+    f"SELECT total, max_drawdown, sharpe, win_rate, {_ladder('total', [(0.5, 'high'), (0.0, 'positive')], 'negative')} AS return_label, {_ladder('max_drawdown', [(-0.1, 'small'), (-0.3, 'medium')], 'large')} AS drawdown_label, {_ladder('sharpe', [(1.0, 'good'), (0.0, 'fair')], 'poor')} AS sharpe_label, {_ladder('win_rate', [(0.55, 'high'), (0.45, 'even')], 'low')} AS win_label FROM ({_SMETRICS}) m",
+    "total max_drawdown sharpe win_rate",
+)
+def backtest_labels(v):
+    return op.backtest_labels(bt.simple_metrics(bt.simple_nav(_sret(v))))
+
+
+@query("nav_curve", f"SELECT trade_date, gross_nav, net_nav FROM ({_NAV}) n", "gross_nav net_nav")
+def nav_curve(v):
+    return op.series(_nav(v), ["gross_nav", "net_nav"])
+
+
+@query("turnover_series", f"SELECT trade_date, turnover FROM ({_NAV}) n", "turnover")
+def turnover_series(v):
+    return op.series(_nav(v), ["turnover"])
+
+
+@query("month_return_series", f"SELECT trade_date, net_return FROM ({_NAV}) n", "net_return")
+def month_return_series(v):
+    return op.series(_nav(v), ["net_return"])
+
+
+@query("drawdown_series", f"SELECT trade_date, net_nav / greatest(max(net_nav) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 1) - 1 AS drawdown FROM ({_NAV}) n", "drawdown")
+def drawdown_series(v):
+    return op.series(bt.drawdown(_nav(v), "net_nav"), ["drawdown"])
+
+
+@query(
+    "nav_vs_benchmark",
+    f"SELECT n.trade_date, net_nav, net_return, b.nav AS benchmark_nav, net_nav / greatest(1, max(net_nav) OVER (ORDER BY n.trade_date ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown, product(1 + net_return) OVER (PARTITION BY year(n.trade_date), month(n.trade_date) ORDER BY n.trade_date ROWS UNBOUNDED PRECEDING) - 1 AS month_return FROM ({_NAV}) n JOIN ({_BNAV}) b ON b.trade_date = n.trade_date",
+    "net_nav net_return benchmark_nav drawdown month_return",
+)
+def nav_vs_benchmark(v):
+    return op.nav_vs_benchmark(_nav(v), _bench(v))
+
+
+@query("price_history", "SELECT trade_date, ts_code, close, ret FROM v_ret", "close ret")
+def price_history(v):
+    return op.series(v.v_ret, ["ts_code", "close", "ret"])
+
+
+@query("close_trend", "SELECT trade_date, ts_code, close FROM v_day WHERE close IS NOT NULL", "close")
+def close_trend(v):
+    return op.series(v.v_day, ["ts_code", "close"], complete=True)
+
+
+@query("month_return_trend", "SELECT trade_date, ts_code, ret FROM v_ret WHERE ret IS NOT NULL", "ret")
+def month_return_trend(v):
+    return op.series(v.v_ret, ["ts_code", "ret"], complete=True)
+
 
