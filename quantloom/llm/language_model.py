@@ -31,8 +31,8 @@ _START = np.uint64(0x119DE1F3A5C7B1E9)
 
 
 def _grams(texts, train: np.ndarray, order: int):
-    """Token offsets of the documents, and for every order 1..n the distinct keys, the token's
-    index into them, and each key's training count; then the same for histories' indices."""
+    """Token offsets of the documents, and for every order 1..n the distinct keys, the tokens'
+    indices into them, and each key's training count."""
     data, offsets = text_bytes(texts)
     words, counts = [], []
     for _, _, d, o in chunks(data, offsets):
@@ -51,18 +51,13 @@ def _grams(texts, train: np.ndarray, order: int):
     weight = train[owner].astype(float)
     levels = []
     for k in range(1, order + 1):
-        # the k-gram that ends at a token, and the history it follows; before a text stand start marks
-        key, history = _END, _START
+        # the k-gram that ends at a token; before a text stand start marks
+        key = np.full(len(tokens), np.uint64(k))
         for j in range(k - 1, -1, -1):
             at = np.arange(len(tokens)) - j
-            word = np.where(at >= first[owner], tokens[np.maximum(at, 0)], _START)
-            key = fold(np.full(len(tokens), np.uint64(k)), word) if j == k - 1 else fold(key, word)
-            if j == 1:
-                history = fold(key, np.uint64(0xFF51AFD7ED558CCD))
-        keys = [key] if k == 1 else [key, history]
-        for x in keys:
-            distinct, index = np.unique(x, return_inverse=True)
-            levels.append((distinct, index, np.bincount(index, weight, len(distinct)).astype(np.int64)))
+            key = fold(key, np.where(at >= first[owner], tokens[np.maximum(at, 0)], _START))
+        distinct, index = np.unique(key, return_inverse=True)
+        levels.append((distinct, index, np.bincount(index, weight, len(distinct)).astype(np.int64)))
     return first, levels
 
 
@@ -97,7 +92,7 @@ def score_texts(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR
     blocks = parts_for(spark, total_bytes(docs), block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    levels = 2 * order - 1
+    levels = order
 
     def ask(table):
         block = table.column("block")[0].as_py()
@@ -154,8 +149,11 @@ def score_texts(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR
         per_token = [t[index] for t, (_, index, _) in zip(totals, found, strict=True)]
         unigram = (per_token[0] + 0.5) / (tokens + 0.5 * (distinct + 1))
         p = unigram
+        texts_seen = per_token[0][np.append(first[1:], len(p)) - 1]  # how often the end follows anything: the training texts
         for k in range(1, order):
-            seen, history = per_token[2 * k - 1], per_token[2 * k]
+            # a history occurs as often as the shorter n-gram that ends before the token; a text's start as often as its end
+            seen, history = per_token[k], np.append(0, per_token[k - 1][:-1])
+            history[first] = texts_seen
             failure = prior / (history + prior)
             p = np.where(seen > 0, (seen + prior * p) / (history + prior), failure * p)
         sums = [np.add.reduceat(x, first) for x in (np.ones(len(p), np.int64), (per_token[0] > 0).astype(np.int64), np.log10(unigram), np.log10(p))]
