@@ -193,7 +193,7 @@ def similarity_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     linked = components(links).withColumnRenamed("node", "fp")
     ids = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     of_fp = ids.join(linked, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "least")
-    of_comp = of_fp.groupBy("comp").agg(F.min("least").alias("component_id"))
+    of_comp = stored(of_fp.groupBy("comp").agg(F.min("least").alias("component_id")), "near-components")  # a side of its own, so that a hot component's join can be split
     classes = of_fp.join(of_comp, "comp").select("fp", "component_id")
     full = known.where("n > 0").join(classes, "fp", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(known.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
