@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import calendars, cross_sections, evaluations, factors, joins, learning, portfolios, quality, reports, sources, universes  # noqa: F401
+from .queries import calendars, cross_sections, evaluations, factors, joins, learning, portfolios, quality, reports, sources, studies, universes  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
