@@ -65,16 +65,17 @@ VIEWS = {
 }
 
 VIEWS |= {
-    # a monthly selection of daily codes, effective on the next open day
+    # a monthly selection of daily codes, effective on the next open day; mean prices jump about, so
+    # daily returns are small parts of theirs
     "v_pred": "SELECT trade_date, ts_code, ret AS prediction, forward_return AS target, industry, total_mv FROM v_ret WHERE ret IS NOT NULL",
-    "v_dret": "SELECT ts_code, trade_date, close / lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) - 1 AS ret FROM v_day",
+    "v_dret": "SELECT ts_code, trade_date, 0.02E0 * (close / lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) - 1) AS ret FROM v_day",
     "v_pick": """
         SELECT m AS formation_date, ts_code, amount AS score, CAST(n AS INT) AS rank FROM (
         SELECT last_day(trade_date) AS m, ts_code, sum(amount) AS amount, row_number() OVER (PARTITION BY last_day(trade_date) ORDER BY sum(amount) DESC, ts_code) AS n FROM v_day GROUP BY last_day(trade_date), ts_code) p WHERE n <= 5""",
     "v_hold": """
         SELECT e.effective_date, p.ts_code, (6 - p.rank) / 15.0E0 AS target_weight, p.score, p.rank FROM v_pick p
         JOIN (SELECT f.formation_date, min(o.cal_date) AS effective_date FROM (SELECT DISTINCT formation_date FROM v_pick) f JOIN v_open o ON o.cal_date > f.formation_date GROUP BY f.formation_date) e ON e.formation_date = p.formation_date""",
-    "v_bench": "SELECT trade_date, 'BENCH' AS benchmark_code, 100 * (close / lag(close) OVER (ORDER BY trade_date) - 1) AS pct_chg FROM (SELECT trade_date, sum(amount) / sum(vol) AS close FROM v_day GROUP BY trade_date) b",
+    "v_bench": "SELECT trade_date, 'BENCH' AS benchmark_code, 0.2E0 * (close / lag(close) OVER (ORDER BY trade_date) - 1) AS pct_chg FROM (SELECT trade_date, sum(amount) / sum(vol) AS close FROM v_day GROUP BY trade_date) b",
 }
 
 _SPARK = {
