@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": decontaminate.OP1_SQL}
+    return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
+        "op2_suffix_dedup": suffix_dedup.OP2_SQL,
+        "op4_near_duplicates": minhash.OP4_SQL,
+        "op9_warc": warc.OP9_SQL,
+    }

@@ -345,3 +345,19 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: b
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, b, substr(h, 2000 * b + 1, 2198) AS part FROM d, unnest(range(0, length(h) // 2000 + 1)) AS u(b)),
+s AS (SELECT doc_id, 1000 * b + j AS pos, substr(part, 2 * j + 1, 200) AS g FROM p, unnest(range(0, least(1000, length(part) // 2 - 99))) AS u(j)),
+again AS (SELECT doc_id, pos FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) > 1),
+turn AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER w + 100, true) AS fresh FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+run AS (SELECT doc_id, pos, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM turn),
+span AS (SELECT doc_id, min(pos) AS lo, max(pos) + 100 AS hi FROM run GROUP BY doc_id, k),
+cut AS (SELECT doc_id, lo, hi FROM span UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+kept AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi), 0) AS last FROM cut)
+SELECT doc_id, CAST(length(any_value(h)) // 2 AS BIGINT) AS n_bytes, CAST(sum(hi - lo) AS BIGINT) AS n_removed, CAST(count(*) - 1 AS BIGINT) AS n_spans,
+ sha256(unhex(string_agg(substr(h, 2 * last + 1, 2 * (lo - last)), '' ORDER BY lo, hi))) AS kept_sha256
+FROM kept JOIN d USING (doc_id) GROUP BY doc_id
+"""
