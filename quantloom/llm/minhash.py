@@ -143,11 +143,14 @@ class _Sets:
 
 
 def cluster(sets: _Sets, order: np.ndarray, percent: int) -> np.ndarray:
-    """Labels of the exact clusters. A set in the largest cluster so far is never compared again:
-    its pairs outside it are those of the sets outside."""
+    """Labels of the exact clusters. A set in the largest cluster at its turn waits; passes go on
+    until all sets that were never compared are in one cluster, the largest then: a pair of two
+    such sets changes nothing, and any other pair has been seen from one of its sets."""
     label = np.arange(len(sets.size))
     seen = np.zeros(len(label), bool)
-    for first in (True, False):
+    first = True
+    while True:
+        before = seen.sum()
         for i in order:
             if seen[i]:
                 continue
@@ -162,7 +165,9 @@ def cluster(sets: _Sets, order: np.ndarray, percent: int) -> np.ndarray:
             label[np.isin(label, merge)] = merge.min() if len(merge) else label[i]
             if first:
                 break
-    return label
+        if not first and seen.sum() == before:  # the largest cluster stayed the same throughout this pass
+            return label
+        first = False
 
 
 def similarity_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,23 @@ def test_near_duplicates(monkeypatch, docs, rows, empty, block):
     assert minhash.deduplicate(empty).count() == 0
 
 
+def test_clusters_are_exact_in_any_order():
+    # sets of 100 numbers in a row are linked if they start at most 11 apart
+    def check(starts, order):
+        sets = minhash._Sets(pa.array([" ".join(str(x) for x in range(s, s + 100)) for s in starts]), 1)
+        by_start = np.sort(starts)
+        want = np.cumsum(np.concatenate(([0], np.diff(by_start) > 11)))[np.searchsorted(by_start, starts)]
+        label = minhash.cluster(sets, order, 80)
+        assert len(set(zip(label.tolist(), want.tolist()))) == len(set(label.tolist())) == len(set(want.tolist()))
+
+    # a tight family of 0, 1, 10, which is the largest cluster first, bridged (10 to 20) to a larger one
+    check(np.array([0, 10, 29, 1, 30, 31, 20]), np.arange(7))
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        starts = rng.choice(200, int(rng.integers(2, 40)), replace=False)
+        check(starts, rng.permutation(len(starts)))
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 1000):
