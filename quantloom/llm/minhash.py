@@ -180,6 +180,12 @@ def similarity_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     empty table gives an empty one; other columns aren't read. With 25 bands of 4 a pair at
     0.8 shares no bucket with a probability of 2e-6; what shares one is decided exactly.
     """
+    return _classes(docs, k, percent, bands, rows).drop("comp")
+
+
+def _classes(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of similarity_groups with comp, the component's own key (null without words), as
+    unrelated components can have the same smallest doc_id, or none."""
     known = stored(sketched(docs, k, bands, rows), "near-sketches")
     nodes = known.where("n > 0").groupBy("fp").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("n").alias("n"))
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))
@@ -199,9 +205,9 @@ def similarity_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     ids = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     of_fp = ids.join(linked, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "least")
     of_comp = stored(of_fp.groupBy("comp").agg(F.min("least").alias("component_id")), "near-components")  # a side of its own, so that a hot component's join can be split
-    classes = of_fp.join(of_comp, "comp").select("fp", "component_id")
-    full = known.where("n > 0").join(classes, "fp", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(known.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    classes = of_fp.join(of_comp, "comp").select("fp", "comp", "component_id")
+    full = known.where("n > 0").join(classes, "fp", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", "comp")
+    return full.unionByName(known.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("comp")))
 
 
 def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -255,9 +261,12 @@ def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near-duplicates, with the columns of `docs`: the one with the
-    smallest doc_id (of rows that share it, that of smallest text hash, once). Texts without words all stay."""
-    found = similarity_groups(docs, k, percent)
-    linked = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("row")).select("row.*")
+    smallest doc_id, null only if all are (of a group's rows that share it, that of smallest text
+    hash, once). Unrelated texts with one id, or without ids, are groups of their own. Texts
+    without words all stay."""
+    found = _classes(docs, k, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h"))
+    linked = found.where("n_shingles > 0").groupBy("comp").agg(first.alias("row")).select("row.doc_id", "row.h")
     some = found.where("n_shingles = 0").select("doc_id", "h").distinct()
     single, word, key, turn = (fresh(docs, c) for c in ("doc", "wordless", "texthash", "turn"))
     rows = docs.select(F.struct("*").alias(single), F.col("doc_id"), F.xxhash64("text").alias(key))

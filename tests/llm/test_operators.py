@@ -205,6 +205,17 @@ def test_clusters_are_exact_in_any_order():
         check(starts, rng.permutation(len(starts)))
 
 
+def test_deduplication_keeps_unrelated_texts_of_one_id(spark):
+    r = random.Random(11)
+    t = [" ".join(str(r.random()) for _ in range(60)) for _ in range(6)]
+    near = t[3] + " more"
+    # unrelated texts without ids, one id with two texts that each lead a group, a copy without an id
+    table = [(None, t[0]), (None, t[1]), (None, t[1]), (7, t[2]), (7, t[3]), (8, near), (9, t[4]), (None, t[4]), (None, t[5]), (None, None), (None, "")]
+    got = minhash.deduplicate(spark.createDataFrame(table, "doc_id long, text string"), 4).collect()
+    want = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (9, t[4]), (None, t[5]), (None, None), (None, "")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 1000):
