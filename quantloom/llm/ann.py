@@ -117,7 +117,8 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
 
     Vectors that are null, zero, of another length than most, or with null or non-finite
     components take no part, nor do rows without an id; equal scores go to the smaller id;
-    rows that share an id are candidates each, but not of a query with that id; with at most
+    rows that share an id are candidates each, but not of a query with that id; as queries each
+    has its own `k` neighbours, so that an id that occurs twice has every rank twice; with at most
     `k` candidates all are found; an empty table has no result; other columns aren't read.
     """
     spark = embeddings.sparkSession
@@ -152,23 +153,26 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
                 near = _matrix(part.column(1), dim) @ index.centers.T
                 order = np.argsort(-near, 1, kind="stable")
                 seen = np.cumsum(held[order], 1)
-                enough = (seen < k + 1).sum(1) + 1  # lists that hold k candidates beside the query
+                enough = (seen < k + part.column(2).to_numpy()[:, None]).sum(1) + 1  # lists that hold k candidates beside the rows of the query's id
                 home = np.maximum(HOME, enough)
                 full = np.maximum(least, home)
                 lists = [[row[:n][held[row[:n]] > 0] for row, n in zip(order, home.tolist(), strict=True)], [row[m:n][held[row[m:n]] > 0] for row, m, n in zip(order, home.tolist(), full.tolist(), strict=True)]]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, pa.list_(pa.int64())) for x in lists]], names=["vec_id", "vec", "home", "others"])
 
-    queries = stored(members.where(F.col("vec_id") % one_in == 0).select("vec_id", "vec").mapInArrow(visit, f"vec_id {kind}, vec binary, home array<bigint>, others array<bigint>"), "ann-visits")
+    asked = members.where(F.col("vec_id") % one_in == 0).select("vec_id", "vec")
+    asked = asked.join(asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same")), "vec_id").select("vec_id", "vec", "same")
+    visits = asked.mapInArrow(visit, f"vec_id {kind}, vec binary, home array<bigint>, others array<bigint>")
+    queries = stored(visits.withColumn("query", F.monotonically_increasing_id()), "ann-visits")  # a key for each row, as ids can repeat
     size = max(BLOCK, -(-rows // len(held)))
 
     def search(key, table):
         is_query = table.column("codes").is_null()
         asks, own = table.filter(is_query), table.filter(pc.invert(is_query)).sort_by("vec_id")
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if asks.num_rows and own.num_rows:
             q, x = _matrix(asks.column("vec"), dim), _matrix(own.column("vec"), dim)
             codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-            q_ids, ids, bound = asks.column("vec_id").to_numpy(), own.column("vec_id").to_numpy(), asks.column("bound").to_numpy()
+            keys, q_ids, ids, bound = asks.column("query").to_numpy(), asks.column("vec_id").to_numpy(), own.column("vec_id").to_numpy(), asks.column("bound").to_numpy()
             guess = index.approximate(q, key[0].as_py(), codes)
             guess[q_ids[:, None] == ids[None, :]] = -np.inf
             best = np.argsort(-guess, 1, kind="stable")[:, : max(rerank, k)]
@@ -180,26 +184,27 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
                 out[0].append(np.full(len(top), q_ids[i]))
                 out[1].append(ids[row][top])
                 out[2].append(exact[top])
+                out[3].append(np.full(len(top), keys[i]))
         cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-        return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], float)})
+        return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], float), "query": cat(out[3], np.int64)})
 
     def scan(visits: DataFrame) -> DataFrame:
-        """What the visits (vec_id, vec, list, bound) find that is not below their bounds."""
+        """What the visits (query, vec_id, vec, list, bound) find that is not below their bounds."""
         of_members = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
         of_visits = visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias("turns"))
         plan = F.broadcast(of_members.join(of_visits, "list"))  # a row for each list
         block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("long")
-        turn = F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("long")
-        left = members.join(plan, "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "vec_id", "vec", "codes", F.lit(0.0).alias("bound"))
-        right = visits.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "vec_id", "vec", F.lit(None).cast("binary").alias("codes"), "bound")
-        return left.unionByName(right).groupBy("list", "block", "turn").applyInArrow(search, "query_id long, vec_id long, score double")
+        turn = F.pmod(F.xxhash64("query"), F.col("turns")).cast("long")
+        left = members.join(plan, "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "vec_id", "vec", "codes", F.lit(0.0).alias("bound"), F.lit(None).cast("long").alias("query"))
+        right = visits.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "vec_id", "vec", F.lit(None).cast("binary").alias("codes"), "bound", "query")
+        return left.unionByName(right).groupBy("list", "block", "turn").applyInArrow(search, "query_id long, vec_id long, score double, query long")
 
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best_first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     # the k-th score of a query's best lists bounds what its other lists need to return
-    home = queries.select("vec_id", "vec", F.explode("home").alias("list"), F.lit(float("-inf")).alias("bound"))
+    home = queries.select("query", "vec_id", "vec", F.explode("home").alias("list"), F.lit(float("-inf")).alias("bound"))
     first = stored(scan(home).withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).drop("rank"), "ann-home")
-    bounds = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
-    others = queries.join(bounds, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vec", F.explode("others").alias("list"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    bounds = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+    others = queries.join(bounds, "query", "left").select("query", "vec_id", "vec", F.explode("others").alias("list"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
     ranked = first.unionByName(scan(stored(others, "ann-others"))).withColumn("rank", F.row_number().over(best_first))
     return ranked.where(F.col("rank") <= k).select(F.col("query_id").cast(kind), "rank", F.col("vec_id").cast(kind), "score")
 

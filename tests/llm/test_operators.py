@@ -322,6 +322,20 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_queries(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8)).round(3)
+    data = [*enumerate(x), (0, x[0]), (20, -x[20]), (20, x[7])]  # a row that occurs twice, an id with three vectors
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in data], "vec_id long, embedding array<double>")
+    want = []
+    for q, v in data:
+        if q % 20 == 0:
+            best = sorted((-float((c * v).sum()), i) for i, c in data if i != q)[:10]
+            want += [(q, n + 1, i, round(-s, 9)) for n, (s, i) in enumerate(best)]
+    got = ann.nearest(table, 10, visited=1.0, rerank=len(data)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("least", [0, 20])
 def test_archives(spark, tmp_path, least):
     r = random.Random(3)
