@@ -168,7 +168,8 @@ def importance_summary(losses: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fit_by_fold(prepared: DataFrame, features: list[str], label: str, estimator) -> DataFrame:
-    """Out-of-sample predictions of a `pyspark.ml` regressor fitted fold by fold."""
+    """Out-of-sample predictions of a `pyspark.ml` regressor fitted fold by fold on
+    training rows; one with a validationIndicatorCol gets the fold's validation rows, if any, for its early stop."""
     from functools import reduce
 
     from pyspark.ml.feature import VectorAssembler
@@ -178,6 +179,15 @@ def fit_by_fold(prepared: DataFrame, features: list[str], label: str, estimator)
     parts = []
     for k in folds:
         rows = prepared.where(F.col("fold_id") == k)
-        model = estimator.fit(assembler.transform(rows.where((F.col("role") == "train") & F.col(label).isNotNull())).withColumnRenamed(label, "label"))
+        known, fitted = rows.where(F.col(label).isNotNull()), estimator
+        train = known.where("role = 'train'")
+        if estimator.hasParam("validationIndicatorCol") and estimator.isSet("validationIndicatorCol"):
+            if known.where("role = 'validation'").isEmpty():
+                fitted = estimator.copy()
+                fitted.clear(fitted.getParam("validationIndicatorCol"))
+            else:
+                held_out = estimator.getOrDefault("validationIndicatorCol")
+                train = known.where("role IN ('train', 'validation')").withColumn(held_out, F.col("role") == "validation")
+        model = fitted.fit(assembler.transform(train).withColumnRenamed(label, "label"))
         parts.append(model.transform(assembler.transform(rows.where("role = 'prediction'"))).select("trade_date", "ts_code", F.col(label).alias("target"), "prediction", "fold_id"))
     return reduce(lambda a, b: a.unionByName(b), parts)

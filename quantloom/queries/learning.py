@@ -189,4 +189,4 @@ def elastic_net(v):
 def gbt(v):
     from pyspark.ml.regression import GBTRegressor
 
-    return op.fit_by_fold(_written(v), _FEATURES, "forward_return", GBTRegressor(maxIter=5, maxDepth=3, seed=1))
+    return op.fit_by_fold(_written(v), _FEATURES, "forward_return", GBTRegressor(maxIter=50, maxDepth=3, seed=1, validationIndicatorCol="held_out", validationTol=0.0))
