@@ -270,18 +270,20 @@ def test_quality(spark, docs, empty):
     assert {x["score"] for x in quality.with_score(table, nothing).collect()} == {0.5}
 
 
-def test_token_files(docs, rows, empty):
+def test_token_files(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
-    path = token_output.public_tokenizer()
-    tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
+    tool = Tokenizer.from_file(token_output.public_tokenizer())
+    marks = [(300, "hello <|endoftext|> world"), (301, "<|endoftext|>"), (302, "two\n\n<|endoftext|>\n\nlines <|endof"), (None, "no id")]
+    rows = rows + [(d, t, "en", "a", 0) for d, t in marks]
     want, at = [], 0
-    for d, t in sorted(((r[0], r[1] or "") for r in rows)):
+    for d, t in sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x)):
         ids = tool.encode(t, add_special_tokens=False).ids + [2]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = sorted(tuple(r) for r in token_output.token_files(docs, length=64).collect())
+    clash = docs.union(spark.createDataFrame(marks, "doc_id long, text string").selectExpr("*", "'en'", "'a'", "0L"))
+    clash = clash.withColumns({c: F.lit("x") for c in ("start", "n_tokens", "part", "before", "shelf", "ids_crc32")})
+    got = sorted((tuple(r) for r in token_output.token_files(clash, length=64).collect()), key=lambda x: x[1])
     assert got == want
     assert token_output.token_files(empty).count() == 0
 
@@ -291,11 +293,15 @@ def test_pieces_are_encoded_as_in_their_text():
 
     path = token_output.public_tokenizer()
     tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
-    encode, r = token_output.Encoder(path, "<u2"), random.Random(1)
-    for _ in range(3000):
-        text = "".join(r.choice(" \n\t    ab's ç1!<|endoftext|>\x1c\x85日本") for _ in range(r.randint(0, 30)))
-        assert np.frombuffer(encode([text])[0], "<u2").tolist() == tool.encode(text, add_special_tokens=False).ids
+    encode, r = token_output.Encoder(path, "<u2", 2), random.Random(1)
+    parts = [*" \n\t    ab's\u00e71!.,\x1c\x85\u3000\u65e5\u672c\u2019", "<|endoftext|>", "<|endof", "text|>", "'ll", "\n\n", "word"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(6000)]
+    for i in range(0, len(texts), 50):
+        data = [t.encode() for t in texts[i : i + 50]]
+        ids, counts = encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [
+            tool.encode(t, add_special_tokens=False).ids + [2] for t in texts[i : i + 50]
+        ]
 
 
 def test_nearest(spark):

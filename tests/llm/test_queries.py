@@ -117,7 +117,6 @@ def token_rows(pairs):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(public_tokenizer())
-    tool.encode_special_tokens = True
     out, start = [], 0
     for d, t in sorted(pairs):
         ids = tool.encode(t, add_special_tokens=False).ids + [2]
