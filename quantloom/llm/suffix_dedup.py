@@ -8,15 +8,16 @@ only windows of equal anchors need comparing, and the windows of one anchor, an
 suffix around it, are compared as a whole first.
 
 Round one range-partitions the anchored suffixes, by splitters that a sample of them gives:
-the key begins with the suffix's leading bytes, goes on with a hash of its first 28, and
-ends with a hash of the whole extended suffix. A bucket sorts its keys by multikey
-quicksort. An extended suffix that isn't the first of its kind is a repeat throughout. If
-different ones share an anchor's string, also across a bucket's boundaries, their windows go
-to round two, which sorts the windows' own hashes in the same way.
+the key is the suffix's eight leading bytes, a hash of its first 28, and a hash of the whole
+extended suffix. A bucket sorts its keys by multikey quicksort. An extended suffix that
+isn't the first of its kind is a repeat throughout. If different ones share an anchor's
+string, also across a bucket's boundaries, their windows go to round two, which sorts the
+windows by their leading bytes and hashes in the same way.
 
 Texts are dealt into blocks of bounded size, and exchange keys and verdicts with the
 buckets in arrays; a block sends each key once, so no key is hot. The texts are shuffled
-once. Keys are 128 bits of content in round one and 96 in round two.
+once, and each stage hashes a block once. Keys are 160 bits in round one and 128 in round
+two, 64 of them the leading bytes themselves.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ WINDOW = 100
 SEED = 28
 SPAN = WINDOW - SEED + 1
 BLOCK_BYTES = 6 << 20
+RUN_BYTES = 1 << 16  # text that is hashed at once: its arrays fit a core's cache
 SAMPLE_DOCS = 3000  # splitters come from the anchors of about so many documents
 
 _M = [pow(int(_MULT), e, 1 << 64) for e in range(WINDOW + 1)]
@@ -62,13 +64,13 @@ def multikey_quicksort(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.n
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray):
-    """Keys, extended-suffix hashes, first and last windows of the anchors of a run of documents; the windows' hashes."""
+    """Leading bytes, string hashes, extended-suffix hashes, first and last windows of the anchors of a run of documents; the windows' hashes."""
     n = len(data)
     start, end = offsets[:-1], offsets[1:]
     long = end - start >= WINDOW
     none = np.zeros(0, np.uint64)
     if not long.any():
-        return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64), none
+        return none, none.astype(np.uint32), none, np.zeros(0, np.int64), np.zeros(0, np.int64), none
     h = {1: _BYTE[data]}
     for j in (1, 2, 4, 8, 16, 32):
         h[2 * j] = h[j][:-j] * np.uint64(_M[j]) + h[j][j:]
@@ -93,82 +95,79 @@ def _anchors(data: np.ndarray, offsets: np.ndarray):
     new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
     at = np.flatnonzero(new)
     a, b, p = s[at], s[np.append(at[1:], len(s)) - 1], p[at]
-    lead = (data[p].astype(np.uint64) << np.uint64(56)) | (data[p + 1].astype(np.uint64) << np.uint64(48)) | (data[p + 2].astype(np.uint64) << np.uint64(40))
-    key = lead | (seed[p] >> np.uint64(24))
     whole = fold(fold(window[a], window[b]), ((b - a) << 8 | (p - a)).astype(np.uint64))
-    return key, whole, a, b, window
+    return _leading(data, p), (seed[p] >> np.uint64(32)).astype(np.uint32), whole, a, b, window
+
+
+def _leading(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number of the same order."""
+    return np.ascontiguousarray(data[places[:, None] + np.arange(8)]).view(">u8")[:, 0].astype(np.uint64)
 
 
 class _Block:
-    """The documents of a block in order, and their anchors."""
+    """The documents of a block in order, their anchors and, if asked, the windows of each run of documents."""
 
-    def __init__(self, table):
+    def __init__(self, table, with_windows: bool = True):
         order = pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
         table = table.take(order)
         self.ids = table.column("doc_id")
         self.rank = self.ids.cast(pa.int64()).fill_null(_LAST).to_numpy()
         self.data, self.offsets = text_bytes(table.column("text"))
-        keys, wholes, places = [], [], []
-        for i, _, d, o in chunks(self.data, self.offsets):
-            k, s, a, _, _ = _anchors(d, o)
-            keys.append(k)
-            wholes.append(s)
-            places.append(a + self.offsets[i])
-        self.key, self.whole = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, wholes))
-        place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        order = np.lexsort((self.whole, self.key))  # stable: the first of equal ones is the earliest
-        k, s = self.key[order], self.whole[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        self.first = order[new]
-        self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        self.id_of = self.rank[np.searchsorted(self.offsets, place[self.first], "right") - 1]
+        runs, self.windows_of = [], []
+        for i, _, d, o in chunks(self.data, self.offsets, RUN_BYTES):
+            lead, seed, whole, a, b, window = _anchors(d, o)
+            runs.append((lead, seed, whole, a + self.offsets[i], b + self.offsets[i]))
+            if with_windows:
+                self.windows_of.append((self.offsets[i], len(lead), window))
+        kinds = (np.uint64, np.uint32, np.uint64, np.int64, np.int64)
+        self.lead, self.seed, self.whole, self.begin, self.end = (np.concatenate(x) for x in zip(*(runs or [[np.zeros(0, t) for t in kinds]]), strict=True))
+        self.first, self.group = _distinct(self.lead, self.seed, self.whole)
+        self.id_of = self.rank_at(self.begin[self.first])
+
+    def rank_at(self, places: np.ndarray) -> np.ndarray:
+        return self.rank[np.searchsorted(self.offsets, places, "right") - 1]
 
     def asked(self):
-        return self.key[self.first], self.whole[self.first], self.id_of
+        return self.lead[self.first], self.seed[self.first], self.whole[self.first], self.id_of
+
+    def _is_first(self) -> np.ndarray:
+        out = np.zeros(len(self.lead), bool)
+        out[self.first] = True
+        return out
 
     def windows(self, verdict: np.ndarray):
-        """Of the anchors that go to round two: window hash, key check, place."""
-        hashes, checks, places, done = [], [], [], 0
-        is_first = np.zeros(len(self.key), bool)
-        is_first[self.first] = True
-        chosen = is_first & (verdict[self.group] == 2)
-        for i, _, d, o in chunks(self.data, self.offsets):
-            k, _, a, b, window = _anchors(d, o)
-            own = np.flatnonzero(chosen[done : done + len(k)])
-            done += len(k)
-            n = b[own] - a[own] + 1
-            s = np.repeat(a[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hashes.append(window[s])
-            checks.append(np.repeat(k[own] & np.uint64(0xFFFFFFFF), n).astype(np.uint32))
-            places.append(s + self.offsets[i])
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return cat(hashes, np.uint64), cat(checks, np.uint32), cat(places, np.int64)
+        """Of the anchors that go to round two: the windows' leading bytes, hashes and places."""
+        chosen = self._is_first() & (verdict[self.group] == 2)
+        places, hashes, done = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+        for offset, n, window in self.windows_of:
+            own = done + np.flatnonzero(chosen[done : done + n])
+            done += n
+            if len(own):
+                sizes = self.end[own] - self.begin[own] + 1
+                s = np.repeat(self.begin[own] - offset - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                places.append(s + offset)
+                hashes.append(window[s])
+        self.windows_of = []
+        place = np.concatenate(places)
+        return _leading(self.data, place), np.concatenate(hashes), place
 
     def repeats(self, verdict: np.ndarray) -> np.ndarray:
-        """First places of the windows of anchors that are repeats throughout."""
-        is_first = np.zeros(len(self.key), bool)
-        is_first[self.first] = True
-        chosen = ~is_first | (verdict[self.group] == 1)
-        out, done = [], 0
-        for i, _, d, o in chunks(self.data, self.offsets):
-            k, _, a, b, _ = _anchors(d, o)
-            own = np.flatnonzero(chosen[done : done + len(k)])
-            done += len(k)
-            out.append(np.stack([a[own], b[own]], 1) + self.offsets[i])
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
-def _distinct(hashes: np.ndarray, checks: np.ndarray):
-    """First index of each distinct pair, and every row's pair."""
-    order = np.lexsort((checks, hashes))
-    h, c = hashes[order], checks[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        """First and last windows of the anchors that are repeats throughout."""
+        chosen = ~self._is_first() | (verdict[self.group] == 1)
+        return np.stack([self.begin[chosen], self.end[chosen]], 1)
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct key in the rows' order, and every row's number among them."""
+    order, (*_, same) = multikey_quicksort(list(columns))
+    run = np.cumsum(~same) - 1
+    first = np.minimum.reduceat(order, np.flatnonzero(~same)) if len(order) else order
+    by_place = np.argsort(first)
+    number = np.empty(len(first), np.int64)
+    number[by_place] = np.arange(len(first))
     group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order[new], group
+    group[order] = number[run]
+    return first[by_place], group
 
 
 def _deal(bucket: np.ndarray, buckets: int):
@@ -176,32 +175,53 @@ def _deal(bucket: np.ndarray, buckets: int):
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _bucket(key: np.ndarray, whole: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """Places among the splitters (rows of key and whole, sorted)."""
-    lo, hi = np.searchsorted(splitters[:, 0], key, "left"), np.searchsorted(splitters[:, 0], key, "right")
-    for k in np.unique(key[hi > lo]):  # a splitter's key: the whole decides
-        own = np.flatnonzero(key == k)
+def _bucket(lead: np.ndarray, whole: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """Places among the splitters (rows of leading bytes and whole, sorted)."""
+    lo, hi = np.searchsorted(splitters[:, 0], lead, "left"), np.searchsorted(splitters[:, 0], lead, "right")
+    at = np.flatnonzero(hi > lo)
+    at = at[np.argsort(lead[at])]
+    for own in np.split(at, np.flatnonzero(np.diff(lo[at])) + 1) if len(at) else []:  # a splitter's leading bytes: the whole decides
         lo[own] += np.searchsorted(splitters[lo[own[0]] : hi[own[0]], 1], whole[own], "right")
     return lo
 
 
-def _rows(kind, block, order, bounds, columns, buckets):
-    """A row for each bucket that gets anything."""
+_BIG = np.uint32(0xFFFFFFFF)
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids by their differences: four bytes each, larger ones in eight after them."""
+    step = np.diff(ids, prepend=np.int64(0))
+    big = (step < 0) | (step >= int(_BIG))
+    return np.where(big, _BIG, step.astype(np.uint32)).tobytes() + step[big].astype("<i8").tobytes()
+
+
+def _unpack_ids(data: bytes, n: int, at: int) -> np.ndarray:
+    step = np.frombuffer(data, "<u4", n, at)
+    big = step == _BIG
+    out = step.astype(np.int64)
+    out[big] = np.frombuffer(data[at + 4 * n :], "<i8")
+    return np.cumsum(out)
+
+
+def _rows(kind, block, order, bounds, columns, ids, buckets):
+    """A row for each bucket that gets anything; a bucket's entries are in the order of their places."""
     some = [j for j in range(buckets) if bounds[j + 1] > bounds[j]]
-    data = [b"".join(c[order[bounds[j] : bounds[j + 1]]].tobytes() for c in columns) for j in some]
+    data = []
+    for j in some:
+        own = order[bounds[j] : bounds[j + 1]]
+        data.append(b"".join([np.int64(len(own)).tobytes(), *(c[own].tobytes() for c in columns), _pack_ids(ids[own])]))
     return pa.table({"bucket": pa.array(some, pa.int64()), "block": pa.array([block] * len(some), pa.int64()), "kind": pa.array([kind] * len(some), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def _received(table, types):
-    """The columns of all rows together, the rows' sizes, and every entry's block."""
-    width = sum(np.dtype(t).itemsize for t in types)
+    """The columns of all rows together with the ids, the rows' sizes, and every entry's block."""
     data = table.column("data").to_pylist()
-    sizes = np.array([len(x) // width for x in data])
-    columns = []
-    at = np.zeros(len(data), np.int64)
+    sizes = np.array([int(np.frombuffer(x, "<i8", 1)[0]) for x in data], np.int64)
+    columns, at = [], np.full(len(data), 8)
     for t in types:
         columns.append(np.concatenate([np.frombuffer(x[o : o + n * np.dtype(t).itemsize], t) for x, o, n in zip(data, at.tolist(), sizes.tolist(), strict=True)]))
         at += sizes * np.dtype(t).itemsize
+    columns.append(np.concatenate([_unpack_ids(x, n, o) for x, o, n in zip(data, at.tolist(), sizes.tolist(), strict=True)]))
     return columns, sizes, np.repeat(table.column("block").to_numpy(), sizes)
 
 
@@ -218,13 +238,13 @@ def _splitters(docs: DataFrame, buckets: int, rows: int) -> np.ndarray:
     def sample(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            for _, _, d, o in chunks(data, offsets):
-                key, whole, a, _, _ = _anchors(d, o)
+            for _, _, d, o in chunks(data, offsets, RUN_BYTES):
+                lead, _, whole, _, _, _ = _anchors(d, o)
                 some = np.flatnonzero(whole % np.uint64(8) == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(whole[some].view(np.int64))], names=["key", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(lead[some].view(np.int64)), pa.array(whole[some].view(np.int64))], names=["lead", "whole"])
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(one_in)) == 0).select("text")
-    found = chosen.mapInArrow(sample, "key long, whole long").toArrow()
+    found = chosen.mapInArrow(sample, "lead long, whole long").toArrow()
     pairs = np.unique(np.stack([found.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in (0, 1)], 1), axis=0)
     at = (np.arange(1, buckets) * len(pairs)) // buckets
     return np.unique(pairs[at], axis=0) if len(pairs) else np.zeros((0, 2), np.uint64)
@@ -244,29 +264,31 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: b
     splitters = _splitters(docs, blocks, rows)
     buckets = len(splitters) + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    long = F.octet_length("text") >= WINDOW
+    dealt = rows.where(long).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
 
     def suffixes(table):
-        block = _Block(table)
-        columns = block.asked()
-        order, bounds = _deal(_bucket(columns[0], columns[1], splitters), buckets)
-        return _rows(1, table.column("block")[0].as_py(), order, bounds, columns, buckets)
+        block = _Block(table, with_windows=False)
+        lead, seed, whole, ids = block.asked()
+        order, bounds = _deal(_bucket(lead, whole, splitters), buckets)
+        return _rows(1, table.column("block")[0].as_py(), order, bounds, (lead, seed, whole), ids, buckets)
 
     def judge_suffixes(table):
-        (key, whole, ids), sizes, block = _received(table, ["<u8", "<u8", "<i8"])
-        order, (same_key, same, _, _) = multikey_quicksort([key, whole, ids, block])
+        (lead, seed, whole, ids), sizes, block = _received(table, ["<u8", "<u4", "<u8"])
+        order, (_, same_key, same, _, _) = multikey_quicksort([lead, seed, whole, ids, block])
         verdict = np.zeros(len(order), np.uint8)
-        # several extended suffixes of one key: any row but the run's first whole differs from one before or after
+        # several extended suffixes of one string: any row but the run's first whole differs from one before or after
         run = np.cumsum(~same_key) - 1
         kinds = np.bincount(run, ~same) if len(run) else np.zeros(0)
-        edge = np.isin(key[order], splitters[:, 0])  # the key may go on beyond the bucket's boundary
+        edge = np.isin(lead[order], splitters[:, 0])  # the string may go on beyond the bucket's boundary
         verdict[order] = np.where(same, 1, np.where((kinds[run] > 1) | edge, 2, 0))
         return _replies(table, verdict, sizes, 1)
 
     def verdicts(block, told):
         out = np.zeros(len(block.first), np.uint8)
-        columns = block.asked()
-        order, bounds = _deal(_bucket(columns[0], columns[1], splitters), buckets)
+        lead, _, whole, _ = block.asked()
+        order, bounds = _deal(_bucket(lead, whole, splitters), buckets)
         for j, data in zip(told.column("bucket").to_pylist(), told.column("data").to_pylist(), strict=True):
             out[order[bounds[j] : bounds[j + 1]]] = np.frombuffer(data, np.uint8)
         return out
@@ -277,20 +299,18 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: b
     def windows(table, told):
         block, number = _Block(table), table.column("block")[0].as_py()
         verdict = verdicts(block, told)
-        hashes, checks, places = block.windows(verdict)
-        first, _ = _distinct(hashes, checks)
-        ids = block.rank[np.searchsorted(block.offsets, places[first], "right") - 1]
-        columns = (hashes[first], checks[first], ids)
-        order, bounds = _deal(of_hash(columns[0]), blocks)
-        out = _rows(2, number, order, bounds, columns, blocks)
+        lead, hashes, places = block.windows(verdict)
+        first, _ = _distinct(lead, hashes)
+        order, bounds = _deal(of_hash(hashes[first]), blocks)
+        out = _rows(2, number, order, bounds, (lead[first], hashes[first]), block.rank_at(places[first]), blocks)
         own = pa.table({"bucket": pa.array([-1 - number], pa.int64()), "block": pa.array([number], pa.int64()), "kind": pa.array([1], pa.int32()), "data": pa.array([verdict.tobytes()], pa.binary())})
         return pa.concat_tables([out, own])
 
     def judge_windows(table):
         if table.column("kind")[0].as_py() == 1:  # round one's verdicts on their way back
             return table.select(["block", "bucket", "kind", "data"])
-        (hashes, checks, ids), sizes, block = _received(table, ["<u8", "<u4", "<i8"])
-        order, (_, same, _, _) = multikey_quicksort([hashes, checks, ids, block])
+        (lead, hashes, ids), sizes, block = _received(table, ["<u8", "<u8"])
+        order, (_, same, _, _) = multikey_quicksort([lead, hashes, ids, block])
         verdict = np.zeros(len(order), np.uint8)
         verdict[order] = same
         return _replies(table, verdict, sizes, 2)
@@ -300,8 +320,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: b
         rounds = told.column("kind").to_numpy()
         data = told.column("data").to_pylist()
         verdict = np.frombuffer(data[int(np.flatnonzero(rounds == 1)[0])], np.uint8)
-        hashes, checks, places = block.windows(verdict)
-        first, group = _distinct(hashes, checks)
+        lead, hashes, places = block.windows(verdict)
+        first, group = _distinct(lead, hashes)
         again = np.zeros(len(first), bool)
         order, bounds = _deal(of_hash(hashes[first]), blocks)
         for j, k, x in zip(told.column("bucket").to_pylist(), rounds.tolist(), data, strict=True):
@@ -337,10 +357,16 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: b
 
     message = "bucket long, block long, kind int, data binary"
     reply = "block long, bucket long, kind int, data binary"
-    one = dealt.groupBy("block").applyInArrow(suffixes, message).groupBy("bucket").applyInArrow(judge_suffixes, reply)
-    two = dealt.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(windows, message).groupBy("bucket").applyInArrow(judge_windows, reply)
     result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return dealt.groupBy("block").cogroup(two.groupBy("block")).applyInArrow(cut, result)
+    of_bucket = lambda sent: sent.repartition(blocks, "bucket").groupBy("bucket")
+    own = lambda sent: sent.repartition(blocks, "block").groupBy("block")
+    one = of_bucket(dealt.groupBy("block").applyInArrow(suffixes, message)).applyInArrow(judge_suffixes, reply)
+    two = of_bucket(dealt.groupBy("block").cogroup(own(one)).applyInArrow(windows, message)).applyInArrow(judge_windows, reply)
+    cleaned = dealt.groupBy("block").cogroup(own(two)).applyInArrow(cut, result)
+    text = F.encode("text", "UTF-8")
+    zero = F.lit(0).cast("long")
+    short = rows.where(~long).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), *([text.alias("kept")] if with_text else []))
+    return cleaned.unionByName(short)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
