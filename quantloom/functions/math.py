@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -47,9 +49,19 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when(spread > 1e-15, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0)))))
 
 
-def ladder(x: Column, steps: list[tuple[float, object]], otherwise: object, strict: bool = False) -> Column:
-    """The value of the first step that x reaches (or, if strict, exceeds); null for null."""
-    out = F.when(x.isNull(), None)
-    for bound, value in steps:
-        out = out.when(x > bound if strict else x >= bound, value)
+_TESTS = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}
+
+
+def number(x: Column) -> Column:
+    """NaN as null."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def steps(x: Column, rules: list[tuple[str, float, object]], otherwise: object, missing: object) -> Column:
+    """The value of the first rule (test, bound, value) that x meets; `missing` for null and NaN."""
+    x = number(x)
+    out = F.when(x.isNull(), missing)
+    for test, bound, value in rules:
+        out = out.when(_TESTS[test](x, F.lit(bound)), value)
     return out.otherwise(otherwise)

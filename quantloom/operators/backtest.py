@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.math import ratio
+from ..functions.math import finite, number, ratio
 
 
 def pct_to_decimal(c: Column) -> Column:
@@ -37,12 +37,26 @@ def suspension_events(rows: DataFrame) -> DataFrame:
     return rows.select("trade_date", F.trim("ts_code").alias("ts_code"), F.upper(F.trim("suspend_type")).alias("suspend_type"), F.when(timing != "", timing).alias("suspend_timing")).distinct()
 
 
-def resolve_return(status: DataFrame, returns: DataFrame, robust: bool = False) -> DataFrame:
-    """Observed returns, 0 on a proven suspension (if robust, on unknown gaps too); `unresolved` otherwise."""
+def resolve_return(status: DataFrame, returns: DataFrame, robust: bool = False, fail: bool = True) -> DataFrame:
+    """Observed returns, 0 on a proven suspension (if robust, on unknown gaps too).
+
+    A return that isn't finite or stands on any other status than AVAILABLE or DELIST_DATE, and a
+    gap without resolution, are conflicts: the query fails on them, or names them in `conflict`
+    if not to `fail`. A null return is a gap.
+    """
     joined = status.join(returns.select("trade_date", "ts_code", "ret"), ["trade_date", "ts_code"], "left")
+    there = F.col("ret").isNotNull()
     zero = F.col("status").isin("SUSPENDED", *(["UNKNOWN_MISSING"] if robust else []))
-    value = F.when(F.col("ret").isNotNull(), F.col("ret")).when(zero, 0.0)
-    return joined.select("trade_date", "ts_code", "status", value.alias("ret"), value.isNull().alias("unresolved"))
+    conflict = (
+        F.when(there & finite(F.col("ret")).isNull(), "return is not finite")
+        .when(there & ~F.col("status").isin("AVAILABLE", "DELIST_DATE"), "return conflicts with status")
+        .when(~there & ~zero, "return is missing")
+    )
+    value = F.when(conflict.isNull(), F.coalesce("ret", F.lit(0.0)))
+    if not fail:
+        return joined.select("trade_date", "ts_code", "status", value.alias("ret"), conflict.alias("conflict"))
+    told = F.concat_ws(" ", conflict, "trade_date", "ts_code", "status")
+    return joined.select("trade_date", "ts_code", "status", F.when(conflict.isNull(), value).otherwise(F.raise_error(told).cast("double")).alias("ret"))
 
 
 def missing_fraction_gate(status: DataFrame, limit: float) -> DataFrame:
@@ -163,9 +177,9 @@ def daily_rules(nav: DataFrame) -> DataFrame:
     return _violations(nav, {"cost_on_quiet_day": quiet & (c("cost") != 0), "turnover_on_quiet_day": quiet & (c("turnover") != 0), "notional_on_quiet_day": quiet & (c("notional") != 0), "nav_not_positive": (c("net_nav") <= 0) | (c("gross_nav") <= 0)})
 
 
-def simple_holdings(selected: DataFrame) -> DataFrame:
-    """Equal weights of each period's selected codes, each once."""
-    rows = selected.select("trade_date", "ts_code").dropna().dropDuplicates()
+def simple_holdings(selected: DataFrame, column: str = "forward_return") -> DataFrame:
+    """Equal weights of each period's selected codes that have a next return, each code once (of rows that share a key, the smallest return)."""
+    rows = selected.select("trade_date", "ts_code", number(F.col(column)).alias(column)).dropna().groupBy("trade_date", "ts_code").agg(F.min(column).alias(column))
     return rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("trade_date")))
 
 
@@ -179,9 +193,11 @@ def simple_turnover(held: DataFrame) -> DataFrame:
     return both.groupBy("trade_date", "p").agg(change.alias("c")).select("trade_date", F.when(F.col("p") == 1, 1.0).otherwise(F.col("c")).alias("turnover"))
 
 
-def simple_returns(held: DataFrame, returns: DataFrame, turnover: DataFrame, cost_rate: float) -> DataFrame:
-    gross = held.join(returns.select("trade_date", "ts_code", "forward_return"), ["trade_date", "ts_code"], "left").groupBy("trade_date").agg(F.sum(F.col("weight") * F.coalesce("forward_return", F.lit(0.0))).alias("gross_return"))
-    return gross.join(turnover, "trade_date").withColumn("net_return", F.col("gross_return") - F.col("turnover") * cost_rate)
+def simple_returns(held: DataFrame, turnover: DataFrame, cost_rate: float, column: str = "forward_return") -> DataFrame:
+    """Gross return, turnover, cost and net return of each period of `simple_holdings`."""
+    gross = held.groupBy("trade_date").agg(F.sum(F.col("weight") * F.col(column)).alias("gross_return"))
+    rows = gross.join(turnover, "trade_date", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0))).withColumn("cost", F.col("turnover") * cost_rate)
+    return rows.withColumn("net_return", F.col("gross_return") - F.col("cost"))
 
 
 def simple_nav(returns: DataFrame) -> DataFrame:
@@ -189,14 +205,18 @@ def simple_nav(returns: DataFrame) -> DataFrame:
 
 
 def simple_metrics(nav: DataFrame, periods: float = 12) -> DataFrame:
-    rows = drawdown(nav)
+    """One row of metrics; the drawdown is against the running peak, the Sharpe ratio annual return over annual volatility."""
+    peak = F.max("nav").over(Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0))  # a row for each period
+    rows = nav.withColumn("_d", F.col("nav") / F.nullif(peak, F.lit(0.0)) - 1)
+    last = F.max_by("nav", "trade_date")
     out = rows.agg(
-        F.count(F.lit(1)).alias("periods"), (F.max_by("nav", "trade_date") - 1).alias("total"), (F.stddev_samp("net_return") * periods**0.5).alias("volatility"),
-        (ratio(F.avg("net_return"), F.stddev_samp("net_return")) * periods**0.5).alias("sharpe"), F.min("drawdown").alias("max_drawdown"), F.avg((F.col("net_return") > 0).cast("double")).alias("win_rate"),
+        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count(F.lit(1)).alias("n_periods"), (last - 1).alias("cumulative_return"),
+        F.when(last >= 0, F.pow(last, periods / F.nullif(F.count(F.lit(1)), F.lit(0))) - 1).alias("annual_return"), (F.stddev_samp("net_return") * periods**0.5).alias("annual_volatility"),
+        F.min("_d").alias("max_drawdown"), F.avg("net_return").alias("mean_monthly_return"), F.avg((F.col("net_return") > 0).cast("double")).alias("win_rate"), F.avg("turnover").alias("average_turnover"),
     )
-    return out.withColumn("annual", annualize(F.col("total"), F.col("periods"), periods))
+    return out.withColumn("sharpe_ratio", ratio(F.col("annual_return"), F.col("annual_volatility")))
 
 
-def simple_backtest(selected: DataFrame, returns: DataFrame, cost_rate: float) -> DataFrame:
-    held = simple_holdings(selected)
-    return simple_metrics(simple_nav(simple_returns(held, returns, simple_turnover(held), cost_rate)))
+def simple_backtest(selected: DataFrame, cost_rate: float, column: str = "forward_return") -> DataFrame:
+    held = simple_holdings(selected, column)
+    return simple_metrics(simple_nav(simple_returns(held, simple_turnover(held), cost_rate, column)))

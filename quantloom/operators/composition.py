@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.math import average_rank, ratio
+from ..functions.math import average_rank, number, ratio
 
 
 def resolve_weights(spark, factors: list[str], weights: dict[str, float] | None = None, normalize: bool = True) -> DataFrame:
@@ -49,18 +49,22 @@ def rolling_ic_weights(dates: DataFrame, ic: DataFrame, factors: list[str], look
 
 
 def composite_score(panel: DataFrame, factors: list[str], directions: dict[str, int] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """Score of directions times weights, row rank (best first) and percentile rank of each date."""
-    score = sum((F.col(f) * float((directions or {}).get(f, 1)) * float((weights or {}).get(f, 1 / len(factors))) for f in factors), F.lit(0.0))
-    out = panel.withColumn("score", score)
+    """Score of directions times weights, row rank (best first) and percentile rank of each date.
+
+    A factor that isn't there adds 0; a row without any has no score and no rank."""
+    given = weights or {f: 1 / len(factors) for f in factors}
+    used = [f for f in factors if f in given]
+    score = sum((F.coalesce(number(F.col(f)), F.lit(0.0)) * float((directions or {}).get(f, 1)) * float(given[f]) for f in used), F.lit(0.0))
+    out = panel.withColumn("score", F.when(F.coalesce(*[number(F.col(f)) for f in used], F.lit(None)).isNotNull(), score))
     w = Window.partitionBy("trade_date")
-    place = F.row_number().over(w.orderBy(F.desc_nulls_last("score"), "ts_code"))
+    place = F.when(F.col("score").isNotNull(), F.row_number().over(w.orderBy(F.desc_nulls_last("score"), "ts_code")))
     return out.withColumn("rank", place).withColumn("percentile", ratio(average_rank(F.col("score"), w), F.count("score").over(w).cast("double")))
 
 
 def top_n(scores: DataFrame, n: int, column: str = "score") -> DataFrame:
-    """The best n rows of each date; a window's group limit keeps what is shuffled small."""
+    """The best n rows of each date that have a score; a window's group limit keeps what is shuffled small."""
     place = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc_nulls_last(column), "ts_code"))
-    return scores.withColumn("selected_rank", place).where(F.col("selected_rank") <= n)
+    return scores.where(F.col(column).isNotNull()).withColumn("selected_rank", place).where(F.col("selected_rank") <= n)
 
 
 def scoring_run(panel: DataFrame, factors: list[str], n: int, directions: dict[str, int] | None = None) -> DataFrame:

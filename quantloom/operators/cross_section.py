@@ -29,7 +29,7 @@ def clip(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(low, F.least(high, x)))
 
 
-def winsorize(long: DataFrame, method: str = "mad", lower: float = 0.05, upper: float = 0.95, width: float = 3.0) -> DataFrame:
+def winsorize(long: DataFrame, method: str = "mad", lower: float = 0.01, upper: float = 0.99, width: float = 3.0) -> DataFrame:
     """Clip to the section's quantiles, or to `width` scaled median deviations (none where the deviation is 0)."""
     x = F.col("value")
     if method == "quantile":

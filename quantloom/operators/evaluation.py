@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.math import average_rank, correlation, ratio
+from ..functions.math import average_rank, correlation, finite, ratio
 from .cross_section import section
 
 
 def paired(long: DataFrame, labels: DataFrame) -> DataFrame:
     """The long panel with forward_return, and the average ranks of the rows that have both."""
     rows = long.join(labels.select("trade_date", "ts_code", "forward_return"), ["trade_date", "ts_code"], "left")
-    both = F.col("value").isNotNull() & F.col("forward_return").isNotNull()
+    both = finite(F.col("value")).isNotNull() & finite(F.col("forward_return")).isNotNull()
     rows = rows.withColumn("x", F.when(both, F.col("value"))).withColumn("y", F.when(both, F.col("forward_return")))
     return rows.withColumn("rx", average_rank(F.col("x"), section())).withColumn("ry", average_rank(F.col("y"), section()))
 
@@ -38,31 +38,38 @@ def ic_summary(ic: DataFrame) -> DataFrame:
             ratio(F.avg(c), F.stddev_samp(c)).alias(f"{c}_ir"),
             F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_positive"),
         ]
-    return ic.groupBy("factor_name").agg(*columns, F.avg("coverage").alias("coverage_mean"), F.count("ic").alias("n_dates"))
+    return ic.groupBy("factor_name").agg(
+        F.countDistinct("trade_date").alias("periods"), F.count("ic").alias("n_dates"), F.count("rank_ic").alias("n_rank_dates"), *columns, F.avg("coverage").alias("coverage_mean"), F.avg("n").alias("n_mean")
+    )
 
 
-def quantile_returns(pairs: DataFrame, groups: int = 5, least_group: int = 1) -> DataFrame:
-    """Mean forward return and size of every group of each section, also of empty groups.
+def quantile_returns(pairs: DataFrame, groups: int = 5, least_group: int = 1, least: int = 5) -> DataFrame:
+    """Mean forward return and size of every group of each section, also of empty groups, with the section's size, pairs and coverage.
 
-    Groups come from average ranks, so ties are never split; sections of fewer values than
-    groups have no returns.
+    Groups come from average ranks, so ties are never split; sections of fewer than `least`
+    pairs, and those whose values are all equal, have no groups.
     """
-    ranked = pairs.withColumn("n", F.count("x").over(section()))
+    x = F.col("x")
+    ranked = pairs.withColumn("n", F.count(x).over(section())).withColumn("_varies", F.min(x).over(section()) < F.max(x).over(section()))
     place = F.floor((F.col("rx") - 1) / F.nullif(F.col("n") - 1, F.lit(0)) * groups) + 1
-    placed = ranked.withColumn("quantile", F.when(F.col("n") >= groups, F.least(place, F.lit(groups)).cast("int")))
-    counted = placed.groupBy("trade_date", "factor_name", "quantile").agg(F.count("y").alias("group_count"), F.avg("y").alias("mean"))
-    every = placed.select("trade_date", "factor_name").distinct().withColumn("quantile", F.explode(F.sequence(F.lit(1), F.lit(groups))))
-    out = every.join(counted, ["trade_date", "factor_name", "quantile"], "left")
+    placed = ranked.withColumn("quantile", F.when((F.col("n") >= least) & F.col("_varies"), F.least(place, F.lit(groups)).cast("int")))
+    counted = placed.groupBy("trade_date", "factor_name", "quantile").agg(F.count("y").alias("group_count"), F.avg("y").alias("mean"), F.count(F.lit(1)).alias("_rows"), F.count(x).alias("_pairs"))
+    sizes = counted.groupBy("trade_date", "factor_name").agg(F.sum("_rows").alias("universe_count"), F.sum("_pairs").alias("n_obs"))
+    every = sizes.withColumn("coverage", F.col("n_obs") / F.col("universe_count")).withColumn("quantile", F.explode(F.sequence(F.lit(1), F.lit(groups))))
+    out = every.join(counted.drop("_rows", "_pairs"), ["trade_date", "factor_name", "quantile"], "left")
     count = F.coalesce("group_count", F.lit(0))
-    return out.select("trade_date", "factor_name", "quantile", count.alias("group_count"), F.when(count >= least_group, F.col("mean")).alias("group_return"))
+    return out.select("trade_date", "factor_name", "quantile", "universe_count", "n_obs", "coverage", count.alias("group_count"), F.when(count >= least_group, F.col("mean")).alias("group_return"))
 
 
 def long_short(quantiles: DataFrame, groups: int = 5) -> DataFrame:
-    """Top less bottom group, and the rank correlation of group and return, of each section."""
+    """Bottom and top group and their spread, and the rank correlation of group and return, of each section."""
     both = quantiles.withColumn("q", F.when(F.col("group_return").isNotNull(), F.col("quantile").cast("double")))
     both = both.withColumn("rq", average_rank(F.col("q"), section())).withColumn("rr", average_rank(F.col("group_return"), section()))
     pick = lambda g: F.max(F.when(F.col("quantile") == g, F.col("group_return")))
-    return both.groupBy("trade_date", "factor_name").agg((pick(groups) - pick(1)).alias("spread"), correlation(F.col("rq"), F.col("rr")).alias("monotonicity"))
+    return both.groupBy("trade_date", "factor_name").agg(
+        pick(1).alias("low_return"), pick(groups).alias("high_return"), (pick(groups) - pick(1)).alias("spread"), F.count("group_return").alias("nonempty_groups"),
+        correlation(F.col("rq"), F.col("rr")).alias("monotonicity"), F.max("coverage").alias("coverage"), F.max("n_obs").alias("n_obs"),
+    )
 
 
 def _stats(c: str, prefix: str) -> list:
@@ -75,7 +82,11 @@ def quantile_summary(quantiles: DataFrame) -> DataFrame:
 
 
 def long_short_summary(spreads: DataFrame) -> DataFrame:
-    return spreads.groupBy("factor_name").agg(*_stats("spread", "spread"), F.avg("monotonicity").alias("monotonicity_mean"), F.count("spread").alias("n_dates"))
+    m = F.col("monotonicity")
+    return spreads.groupBy("factor_name").agg(
+        F.countDistinct("trade_date").alias("periods"), *_stats("spread", "spread"), F.count("spread").alias("n_dates"), F.count(m).alias("n_monotonicity"),
+        F.avg(m).alias("monotonicity_mean"), F.avg((m > 0).cast("double")).alias("monotonicity_positive"), F.avg("coverage").alias("coverage_mean"), F.avg("n_obs").alias("n_mean"),
+    )
 
 
 def rank_ic(pairs: DataFrame, least: int = 3) -> DataFrame:

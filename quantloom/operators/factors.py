@@ -159,7 +159,7 @@ def base_factors(panel: DataFrame) -> DataFrame:
         positive(F.col("pe"), ratio(F.lit(1.0), F.col("pe"))).alias("ep"),
         positive(F.col("pb"), ratio(F.lit(1.0), F.col("pb"))).alias("bp"),
         positive(F.col("ps"), ratio(F.lit(1.0), F.col("ps"))).alias("ps_inverse"),
-        F.when(F.col("total_mv") > 0, F.log(F.greatest(F.col("total_mv"), F.lit(1e-300)))).alias("size"),
+        F.when(F.col("total_mv") > 0, -F.log(F.greatest(F.col("total_mv"), F.lit(1e-300)))).alias("size"),
         F.col("turnover_rate").alias("turnover"),
         F.when(F.col("amount") > 0, F.log(F.greatest(F.col("amount"), F.lit(1e-300)))).alias("amount"),
         compound_lagged("monthly_return", 1).alias("momentum_1m"),

@@ -150,27 +150,36 @@ def panel_warnings(panel: DataFrame, names: list[str], high: float = 0.5) -> Dat
     return facts.select("feature", F.explode(warned).alias("warning"))
 
 
-def security_status(dates: DataFrame, codes: DataFrame, suspensions: DataFrame, returns: DataFrame) -> DataFrame:
+def security_status(dates: DataFrame, codes: DataFrame, suspensions: DataFrame, returns: DataFrame, fail: bool = True) -> DataFrame:
     """The status of every code on every date.
 
     `codes` has list_date and delist_date, `suspensions` suspend_type and suspend_timing (only
-    a full day, type S without timing, suspends), `returns` the keys with a return. The dates
-    are few and broadcast, so the grid isn't a shuffle.
+    a full day, type S without timing, suspends), `returns` the keys with a return. A return on
+    a suspended day, and a return or any suspension row before the listing or after the
+    delisting, are conflicts: the query fails on them, or names them in `conflict` if not to
+    `fail`. The dates are few and broadcast, so the grid isn't a shuffle.
     """
     grid = codes.crossJoin(F.broadcast(dates.select("trade_date").distinct()))
-    full_day = suspensions.where("suspend_type = 'S' AND suspend_timing IS NULL").select(*KEYS).distinct().withColumn("_s", F.lit(True))
+    full_day = (F.col("suspend_type") == "S") & F.col("suspend_timing").isNull()
+    events = suspensions.groupBy(*KEYS).agg(F.coalesce(F.bool_or(full_day), F.lit(False)).alias("_s"))
     there = returns.select(*KEYS).distinct().withColumn("_r", F.lit(True))
-    rows = grid.join(full_day, KEYS, "left").join(there, KEYS, "left")
-    d = F.col("trade_date")
+    rows = grid.join(events, KEYS, "left").join(there, KEYS, "left")
+    d, traded, event = F.col("trade_date"), F.col("_r").isNotNull(), F.col("_s").isNotNull()
+    suspended = F.coalesce("_s", F.lit(False))
     status = (
-        F.when(d < F.col("list_date"), "NOT_LISTED")
+        F.when(d < F.col("list_date"), "PRE_LISTING")
+        .when(d > F.col("delist_date"), "POST_DELIST")
         .when(d == F.col("delist_date"), "DELIST_DATE")
-        .when(d > F.col("delist_date"), "DELISTED")
-        .when(F.col("_s") & F.col("_r").isNull(), "SUSPENDED")
-        .when(F.col("_r"), "OBSERVED")
+        .when(traded, "AVAILABLE")
+        .when(suspended, "SUSPENDED")
         .otherwise("UNKNOWN_MISSING")
     )
-    return rows.select(*KEYS, status.alias("status"))
+    rows = rows.withColumn("status", status)
+    conflict = F.when((F.col("status") == "AVAILABLE") & suspended, "return on a suspended day").when(F.col("status").isin("PRE_LISTING", "POST_DELIST") & (traded | event), "data outside the listing")
+    if not fail:
+        return rows.select(*KEYS, "status", conflict.alias("conflict"))
+    told = F.concat_ws(" ", conflict, *KEYS)
+    return rows.select(*KEYS, F.when(conflict.isNull(), F.col("status")).otherwise(F.raise_error(told).cast("string")).alias("status"))
 
 
 def month_panel_join(monthly: DataFrame, reference: DataFrame, basics: DataFrame, constituents: DataFrame) -> DataFrame:

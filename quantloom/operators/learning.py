@@ -13,28 +13,32 @@ from ..functions.math import average_rank, correlation, ratio
 def walk_forward_plan(dates: DataFrame, train: int, validation: int, embargo: int, step: int, expanding: bool = False) -> DataFrame:
     """(fold_id, role, trade_date) of every fold.
 
-    `dates` has a row for each date: trade_date and max_exit (the last exit of its labels).
-    Before a prediction block come `embargo` dates that nothing uses, the validation dates
-    and the training dates; dates whose labels end on or after the first date of the next
-    role are purged.
+    `dates` has a row for each date: trade_date and max_exit (the last exit of its labels). Only
+    dates whose labels are known count. Of those known at a block's start the last `embargo`
+    go unused and the `validation` before them are validation dates; of the dates whose labels
+    are known at the first of these the last `train` (if expanding, all) are training dates. The
+    first block begins where both windows are full, and a block every `step` dates; one
+    without enough history later on fails.
     """
-    placed = dates.withColumn("pos", F.row_number().over(Window.orderBy("trade_date")) - 1)
-    size = placed.agg(F.max("pos").alias("last"))
-    first = train + validation + embargo
-    starts = size.where(F.col("last") >= first).select(F.explode(F.sequence(F.lit(first), F.col("last"), F.lit(step))).alias("start"))
-    folds = starts.withColumn("fold_id", ((F.col("start") - first) / step).cast("int"))
-    rows = folds.crossJoin(placed)  # folds and dates are few
-    back = F.col("start") - F.col("pos")
-    role = (
-        F.when((back <= 0) & (back > -step), "prediction")
-        .when((back > embargo) & (back <= embargo + validation), "validation")
-        .when((back > embargo + validation) & (F.lit(expanding) | (back <= first)), "train")
-    )
-    rows = rows.withColumn("role", role).where("role IS NOT NULL")
-    opens = rows.groupBy("fold_id").agg(F.min(F.when(F.col("role") == "prediction", F.col("trade_date"))).alias("p"), F.min(F.when(F.col("role") == "validation", F.col("trade_date"))).alias("v"))
-    rows = rows.join(opens, "fold_id")
-    limit = F.when(F.col("role") == "train", F.coalesce("v", "p")).when(F.col("role") == "validation", F.col("p"))
-    return rows.where(limit.isNull() | (F.col("max_exit") < limit)).select("fold_id", "role", "trade_date")
+    placed = dates.select("trade_date", "max_exit", (F.row_number().over(Window.orderBy("trade_date")) - 1).alias("pos"))
+    day = F.broadcast(placed)  # a row for each date
+    latest = Window.partitionBy("start").orderBy(F.desc("trade_date"))
+    starts = placed.select(F.col("pos").alias("start"), F.col("trade_date").alias("start_date"))
+    known = starts.join(day, F.col("max_exit") < F.col("start_date")).where("trade_date < start_date").withColumn("_n", F.row_number().over(latest))
+    held_out = known.where((F.col("_n") > embargo) & (F.col("_n") <= embargo + validation)).select("start", "trade_date")
+    opens = held_out.groupBy("start").agg(F.min("trade_date").alias("opening"), F.count(F.lit(1)).alias("_v")).where(F.col("_v") == validation)
+    eligible = opens.join(day, F.col("max_exit") < F.col("opening")).where("trade_date < opening").select("start", "trade_date", F.row_number().over(latest).alias("_n"))
+    full = eligible.groupBy("start").agg(F.count(F.lit(1)).alias("_t")).where(F.col("_t") >= train)
+    first = full.agg(F.min("start").alias("first"))
+    blocks = starts.join(F.broadcast(first), (F.col("start") >= F.col("first")) & ((F.col("start") - F.col("first")) % step == 0)).join(full, "start", "left")
+    short = F.raise_error(F.concat(F.lit("not enough history before "), F.col("start_date").cast("string"))).cast("int")
+    blocks = F.broadcast(blocks.select("start", F.when(F.col("_t").isNotNull(), ((F.col("start") - F.col("first")) / step).cast("int")).otherwise(short).alias("fold_id")))
+    parts = [
+        eligible.where(F.lit(expanding) | (F.col("_n") <= train)).join(blocks, "start").select("fold_id", F.lit("train").alias("role"), "trade_date"),
+        held_out.join(blocks, "start").select("fold_id", F.lit("validation").alias("role"), "trade_date"),
+        placed.join(blocks, (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + step)).select("fold_id", F.lit("prediction").alias("role"), "trade_date"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def walk_forward_window(plan: DataFrame) -> DataFrame:
@@ -137,6 +141,25 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     return ic.agg(F.count("ic").alias("dates"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"), F.avg("rank_ic").alias("rank_ic_mean"), F.stddev_samp("rank_ic").alias("rank_ic_std"), ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_ic_ir"))
 
 
+def evaluate_oos(oos: DataFrame) -> DataFrame:
+    """All out-of-sample tables as one of (scope, metric, value): all rows, each fold, each date, and the dates' coefficients."""
+    by_date = date_ic(oos)
+
+    def long(table: DataFrame, scope) -> DataFrame:
+        numbers = [c for c, t in table.dtypes if t in ("bigint", "double") and c not in ("fold_id", "trade_date")]
+        wide = table.select(scope.alias("scope"), *[F.col(c).cast("double").alias(c) for c in numbers])
+        return wide.unpivot(["scope"], numbers, "metric", "value")
+
+    folds = regression_metrics(oos, ["fold_id"])
+    parts = [
+        long(regression_metrics(oos), F.lit("all")),
+        long(folds, F.concat(F.lit("fold "), F.col("fold_id").cast("string"))),
+        long(by_date, F.col("trade_date").cast("string")),
+        long(ic_summary(by_date), F.lit("dates")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def permute_in_date(panel: DataFrame, column: str, seed: int, by: list[str] | None = None) -> DataFrame:
     """One column shuffled inside each date, the same way for the same seed: values in hash order go to rows in another hash order."""
     w = Window.partitionBy(*(by or []), "trade_date")

@@ -5,84 +5,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.math import average_rank, by_code, ladder, ratio
+from ..functions.math import number, steps
 
-# Steps of the research score's parts and of its labels, best first.
-MOMENTUM_STEPS = [(0.2, 30.0), (0.1, 24.0), (0.0, 18.0), (-0.1, 10.0)]
-VOLATILITY_STEPS = [(0.6, 5.0), (0.4, 10.0), (0.25, 15.0)]
-VALUATION_STEPS = [(0.8, 25.0), (0.6, 20.0), (0.4, 15.0), (0.2, 10.0)]
-RATING_STEPS = [(80.0, "A"), (65.0, "B"), (50.0, "C"), (35.0, "D")]
-TREND_STEPS = [(80.0, "strong up"), (60.0, "up"), (40.0, "sideways"), (20.0, "down")]
-PERCENTILE_STEPS = [(0.8, "very high"), (0.6, "high"), (0.4, "middle"), (0.2, "low")]
-VOLATILITY_LABELS = [(0.4, "high"), (0.2, "medium")]
-MOMENTUM_LABELS = [(0.1, "strong"), (0.0, "positive"), (-0.1, "weak")]
-RETURN_LABELS = [(0.2, "strong rise"), (0.05, "rise"), (-0.05, "flat"), (-0.2, "fall")]
-EXPOSURE_LABELS = [(1.0, "far above"), (0.0, "above"), (-1.0, "below")]
-IC_LABELS = [(0.05, "strong"), (0.02, "medium")]
+# Steps and labels that reports are read by.
+NONE = "N/A"
+PERCENTILE_STEPS = [(">=", 0.8, "样本前 20%"), (">=", 0.6, "样本前 40%"), (">=", 0.4, "样本中位附近"), (">=", 0.2, "样本后 40%")]
+VOLATILITY_STEPS = [("<=", -0.5, "低波动"), ("<", 0.5, "中等波动")]
+MOMENTUM_STEPS = [(">=", 0.5, "动量较强"), (">=", 0.0, "动量偏强"), (">=", -0.5, "动量偏弱")]
+RATING_STEPS = [(">=", 80.0, "偏积极"), (">=", 65.0, "中性偏积极"), (">=", 45.0, "中性"), (">=", 30.0, "中性偏谨慎")]
+TREND_STEPS = [(">=", 80.0, "趋势参考偏强"), (">=", 65.0, "趋势参考略偏强"), (">=", 45.0, "趋势参考中性"), (">=", 30.0, "趋势参考略偏弱")]
+RETURN_STEPS = [(">=", 0.20, "历史阶段涨幅较高"), (">=", 0.05, "历史阶段表现偏强"), (">", -0.05, "历史阶段表现中性"), (">", -0.20, "历史阶段表现偏弱")]
+RECENT_VOLATILITY_STEPS = [("<=", 0.05, "历史波动较低"), ("<=", 0.10, "历史波动中等")]
+EXPOSURE_STEPS = [(">=", 0.5, "显著高于样本均值"), (">=", 0.0, "略高于样本均值"), (">", -0.5, "略低于样本均值")]
+TOTAL_STEPS = [(">=", 0.30, "历史累计收益较高"), (">=", 0.10, "历史累计收益偏强"), (">", -0.10, "历史累计收益中性"), (">", -0.30, "历史累计收益偏弱")]
+DRAWDOWN_STEPS = [(">=", -0.05, "历史回撤较低"), (">=", -0.15, "历史回撤中等")]
+SHARPE_STEPS = [(">=", 1.5, "历史夏普较高"), (">=", 0.8, "历史夏普中等偏高"), (">=", 0.0, "历史夏普一般")]
+WIN_STEPS = [(">=", 0.6, "历史胜率较高"), (">=", 0.45, "历史胜率中等")]
+MOMENTUM_POINTS = [(">=", 1.0, 25.0), (">=", 0.5, 20.0), (">=", 0.0, 15.0), (">=", -0.5, 10.0)]
+VOLATILITY_POINTS = [("<=", -1.0, 15.0), ("<=", -0.5, 12.0), ("<=", 0.5, 8.0), ("<=", 1.0, 5.0)]
+VALUATION_POINTS = [(">=", 0.5, 10.0), (">=", 0.0, 7.0), (">=", -0.5, 5.0)]
 
 
-def momentum_part(x: Column) -> Column:
-    return ladder(x, MOMENTUM_STEPS, 5.0)
+def mean_of(*values: Column) -> Column:
+    """The mean of the values that are there; null if none is."""
+    there = F.filter(F.array(*map(number, values)), lambda x: x.isNotNull())
+    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(there), F.lit(0)))
 
 
-def volatility_part(x: Column) -> Column:
-    return ladder(x, VOLATILITY_STEPS, 20.0)
+def momentum_part(momentum_1m: Column, momentum_3m: Column) -> Column:
+    """0 to 25 by the mean of two standardized momentums."""
+    return steps(mean_of(momentum_1m, momentum_3m), MOMENTUM_POINTS, 5.0, 12.5)
 
 
-def valuation_part(percentile: Column) -> Column:
-    return ladder(percentile, VALUATION_STEPS, 5.0)
+def volatility_part(volatility_6m: Column) -> Column:
+    """0 to 15, the more the calmer."""
+    return steps(volatility_6m, VOLATILITY_POINTS, 2.0, 7.5)
 
 
-def quality_part(percentile: Column) -> Column:
-    return percentile * 25.0
+def valuation_part(ep: Column, bp: Column, ps_inverse: Column) -> Column:
+    """0 to 10 by the mean of three standardized valuations."""
+    return steps(mean_of(ep, bp, ps_inverse), VALUATION_POINTS, 3.0, 5.0)
 
 
 def rating_label(score: Column) -> Column:
-    return ladder(score, RATING_STEPS, "E")
+    return steps(score, RATING_STEPS, "偏谨慎", NONE)
 
 
 def trend_label(score: Column) -> Column:
-    return ladder(score, TREND_STEPS, "strong down")
+    return steps(score, TREND_STEPS, "趋势参考偏弱", NONE)
 
 
 def percentile_label(p: Column) -> Column:
-    return ladder(p, PERCENTILE_STEPS, "very low")
+    return steps(p, PERCENTILE_STEPS, "样本后 20%", NONE)
 
 
-def volatility_label(x: Column) -> Column:
-    return ladder(x, VOLATILITY_LABELS, "low")
+def volatility_label(volatility_6m: Column) -> Column:
+    return steps(volatility_6m, VOLATILITY_STEPS, "高波动", NONE)
 
 
-def momentum_label(x: Column) -> Column:
-    return ladder(x, MOMENTUM_LABELS, "negative")
+def momentum_label(momentum_1m: Column, momentum_3m: Column) -> Column:
+    return steps(mean_of(momentum_1m, momentum_3m), MOMENTUM_STEPS, "动量较弱", NONE)
 
 
 def return_label(x: Column) -> Column:
-    return ladder(x, RETURN_LABELS, "strong fall")
+    return steps(x, RETURN_STEPS, "历史阶段跌幅较大", NONE)
 
 
-def exposure_label(z: Column) -> Column:
-    return ladder(z, EXPOSURE_LABELS, "far below")
+def recent_volatility_label(x: Column) -> Column:
+    return steps(x, RECENT_VOLATILITY_STEPS, "历史波动较高", NONE)
 
 
-def ic_label(ic: Column) -> Column:
-    return ladder(F.abs(ic), IC_LABELS, "weak")
+def exposure_label(value: Column) -> Column:
+    return steps(value, EXPOSURE_STEPS, "显著低于样本均值", NONE)
+
+
+def ic_label(mean: Column, share: Column) -> Column:
+    """By the size of the mean coefficient and the share of positive ones."""
+    m, s = F.abs(number(mean)), number(share)
+    return F.when(m.isNull() | s.isNull(), NONE).when((m >= 0.05) & (s >= 0.6), "历史 IC 表现较强").when((m >= 0.03) & (s >= 0.5), "历史 IC 表现中等").otherwise("历史 IC 表现较弱")
 
 
 def research_score(panel: DataFrame) -> DataFrame:
-    """0-100 of momentum, volatility, valuation and quality (parts that are null count as 0)."""
-    parts = {"momentum_score": momentum_part(F.col("momentum")), "volatility_score": volatility_part(F.col("volatility")), "valuation_score": valuation_part(F.col("valuation")), "quality_score": quality_part(F.col("quality"))}
-    out = panel.withColumns(parts)
-    total = F.lit(0.0)
-    for p in parts:
-        total = total + F.coalesce(p, F.lit(0.0))
-    return out.withColumn("score", total)
+    """0-100 of a standardized panel: half the percentile of its score, momentum, volatility and valuation.
+
+    A percentile that isn't there counts 25, and the other parts have a middle value too."""
+    c = F.col
+    parts = {
+        "score_component": F.coalesce(number(c("score_pct_rank")) * 50.0, F.lit(25.0)),
+        "momentum_component": momentum_part(c("momentum_1m"), c("momentum_3m")),
+        "volatility_component": volatility_part(c("volatility_6m")),
+        "valuation_component": valuation_part(c("ep"), c("bp"), c("ps_inverse")),
+    }
+    labels = {"percentile_label": percentile_label(c("score_pct_rank")), "momentum_label": momentum_label(c("momentum_1m"), c("momentum_3m")), "volatility_label": volatility_label(c("volatility_6m"))}
+    return panel.withColumns(parts | labels).withColumn("research_score", c("score_component") + c("momentum_component") + c("volatility_component") + c("valuation_component"))
 
 
 def rating_report(scored: DataFrame) -> DataFrame:
     """Score, rating, trend and labels of the latest row of each code."""
-    last = latest_rows(scored)
-    return last.select("ts_code", "trade_date", "score", rating_label(F.col("score")).alias("rating"), trend_label(F.col("score")).alias("trend"), momentum_label(F.col("momentum")).alias("momentum_label"), volatility_label(F.col("volatility")).alias("volatility_label"), percentile_label(F.col("valuation")).alias("valuation_label"))
+    score = F.col("research_score")
+    return latest_rows(scored).select("ts_code", "trade_date", "research_score", rating_label(score).alias("rating"), trend_label(score).alias("trend"), "percentile_label", "momentum_label", "volatility_label")
 
 
 def latest_rows(panel: DataFrame) -> DataFrame:
@@ -97,12 +118,11 @@ def latest_snapshot(panel: DataFrame, selected: DataFrame) -> DataFrame:
     return latest_rows(panel).join(flag, ["ts_code", "trade_date"], "left").withColumn("selected", F.coalesce("_s", F.lit(False))).drop("_s")
 
 
-def exposure_table(panel: DataFrame, factors: list[str]) -> DataFrame:
-    """(trade_date, ts_code, factor, value, label): each value against its date's mean and deviation."""
-    long = panel.unpivot(["trade_date", "ts_code"], factors, "factor", "value")
-    w = Window.partitionBy("trade_date", "factor")
-    z = ratio(F.col("value") - F.avg("value").over(w), F.stddev_pop("value").over(w))
-    return long.withColumn("label", exposure_label(F.round(z, 9)))
+def exposure_table(panel: DataFrame, hints: dict[str, str]) -> DataFrame:
+    """(ts_code, factor, value, direction_hint, exposure_label) of the latest standardized values that are there; `hints` names the factors."""
+    rows = latest_rows(panel.select("ts_code", "trade_date", *[number(F.col(f)).alias(f) for f in hints])).unpivot(["ts_code", "trade_date"], list(hints), "factor", "value")
+    hint = F.create_map(*[F.lit(x) for pair in hints.items() for x in pair])[F.col("factor")]
+    return rows.where("value IS NOT NULL").select("ts_code", "trade_date", "factor", "value", hint.alias("direction_hint"), exposure_label(F.col("value")).alias("exposure_label"))
 
 
 def history(panel: DataFrame, code: str) -> DataFrame:
@@ -116,15 +136,23 @@ def score_trends(panel: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def recent_returns(panel: DataFrame, column: str = "ret") -> DataFrame:
-    """Last close, compound return of the last 3 and 6 rows, and the deviation of 6, of each code."""
-    rows = panel.withColumn("_n", F.row_number().over(Window.partitionBy("ts_code").orderBy(F.desc("trade_date")))).where("_n <= 6")
-    compound = lambda n: F.when(F.count(F.when(F.col("_n") <= n, F.col(column))) == n, F.product(F.when(F.col("_n") <= n, 1 + F.col(column))) - 1)
-    return rows.groupBy("ts_code").agg(F.max(F.when(F.col("_n") == 1, F.col("close"))).alias("last_close"), compound(3).alias("return_3m"), compound(6).alias("return_6m"), F.when(F.count(column) == 6, F.stddev_samp(column)).alias("volatility_6m"))
+    """Latest date, close and return of each code, compound return of its last 3 and 6 returns that are
+    there, the deviation of the last 6, and how many there are."""
+    r = number(F.col(column))
+    from_last = Window.partitionBy("ts_code").orderBy(F.desc("trade_date")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = panel.where("trade_date IS NOT NULL").withColumn("_r", r).withColumn("_k", F.count("_r").over(from_last))
+    months = F.count("_r")
+    last = lambda n: F.when(F.col("_k") <= n, F.col("_r"))
+    compound = lambda n: F.when(months >= n, F.product(1 + last(n)) - 1)
+    return rows.groupBy("ts_code").agg(
+        F.max("trade_date").alias("latest_date"), F.max_by("close", "trade_date").alias("latest_close"), F.max_by("_r", "trade_date").alias("latest_monthly_return"), compound(3).alias("recent_3m_return"),
+        compound(6).alias("recent_6m_return"), F.when(months >= 6, F.stddev_samp(last(6))).alias("recent_6m_volatility"), months.alias("available_months"),
+    )
 
 
 def price_summary(panel: DataFrame) -> DataFrame:
-    out = recent_returns(panel)
-    return out.withColumns({"return_3m_label": return_label(F.col("return_3m")), "return_6m_label": return_label(F.col("return_6m")), "volatility_label": volatility_label(F.col("volatility_6m"))})
+    labels = {"recent_3m_label": return_label(F.col("recent_3m_return")), "recent_6m_label": return_label(F.col("recent_6m_return")), "volatility_label": recent_volatility_label(F.col("recent_6m_volatility"))}
+    return recent_returns(panel).withColumns(labels)
 
 
 def selection_frequency(panel: DataFrame, selected: DataFrame) -> DataFrame:
@@ -164,9 +192,9 @@ def portfolio_summary(held: DataFrame) -> DataFrame:
 
 
 def ic_ranking(summary: DataFrame) -> DataFrame:
-    """Factors by the size of their rank IC, with labels."""
-    place = F.row_number().over(Window.orderBy(F.abs("rank_ic_mean").desc_nulls_last(), "factor_name"))  # a row for each factor
-    return summary.select("factor_name", "rank_ic_mean", place.alias("place"), ic_label(F.col("rank_ic_mean")).alias("label"))
+    """Factors by the size of their mean coefficient, with labels."""
+    place = F.row_number().over(Window.orderBy(F.abs("ic_mean").desc_nulls_last(), "factor_name"))  # a row for each factor
+    return summary.select("factor_name", "ic_mean", "ic_positive", F.abs("ic_mean").alias("abs_ic_mean"), place.alias("place"), ic_label(F.col("ic_mean"), F.col("ic_positive")).alias("effectiveness_label"))
 
 
 def top_factors(ranked: DataFrame, n: int) -> DataFrame:
@@ -178,10 +206,11 @@ def group_return_report(quantiles: DataFrame) -> DataFrame:
 
 
 def backtest_labels(metrics: DataFrame) -> DataFrame:
+    c = F.col
     return metrics.select(
-        "total", "max_drawdown", "sharpe", "win_rate",
-        ladder(F.col("total"), [(0.5, "high"), (0.0, "positive")], "negative").alias("return_label"), ladder(F.col("max_drawdown"), [(-0.1, "small"), (-0.3, "medium")], "large").alias("drawdown_label"),
-        ladder(F.col("sharpe"), [(1.0, "good"), (0.0, "fair")], "poor").alias("sharpe_label"), ladder(F.col("win_rate"), [(0.55, "high"), (0.45, "even")], "low").alias("win_label"),
+        "cumulative_return", "max_drawdown", "sharpe_ratio", "win_rate",
+        steps(c("cumulative_return"), TOTAL_STEPS, "历史累计收益较弱", NONE).alias("cumulative_return_label"), steps(c("max_drawdown"), DRAWDOWN_STEPS, "历史回撤较高", NONE).alias("max_drawdown_label"),
+        steps(c("sharpe_ratio"), SHARPE_STEPS, "历史夏普较弱", NONE).alias("sharpe_label"), steps(c("win_rate"), WIN_STEPS, "历史胜率偏低", NONE).alias("win_rate_label"),
     )
 
 
@@ -197,11 +226,3 @@ def nav_vs_benchmark(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
     peak = F.greatest(F.lit(1.0), F.max("net_nav").over(Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)))
     month = Window.partitionBy(F.trunc("trade_date", "month")).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("drawdown", F.col("net_nav") / peak - 1).withColumn("month_return", F.product(1 + F.col("net_return")).over(month) - 1)
-
-
-def scored_panel(panel: DataFrame) -> DataFrame:
-    """momentum, volatility, valuation and quality of a panel with ret, turnover_rate and total_mv, for `research_score`."""
-    frame = by_code().rowsBetween(-5, 0)
-    day = Window.partitionBy("trade_date")
-    share = lambda c: ratio(average_rank(F.col(c), day), F.count(c).over(day).cast("double"))
-    return panel.select("ts_code", "trade_date", F.when(F.count("ret").over(frame) == 6, F.avg("ret").over(frame)).alias("momentum"), F.when(F.count("ret").over(frame) == 6, F.stddev_samp("ret").over(frame)).alias("volatility"), share("turnover_rate").alias("valuation"), share("total_mv").alias("quality"))

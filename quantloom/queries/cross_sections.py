@@ -28,7 +28,7 @@ def fill_median(v):
 
 @query(
     "winsorize",
-    f"""SELECT q.*, m.value AS by_mad FROM (SELECT {_KEYS}, CASE WHEN value IS NOT NULL THEN greatest(quantile_cont(value, 0.05) OVER ({_P}), least(quantile_cont(value, 0.95) OVER ({_P}), value)) END AS by_quantile FROM v_long) q
+    f"""SELECT q.*, m.value AS by_mad FROM (SELECT {_KEYS}, CASE WHEN value IS NOT NULL THEN greatest(quantile_cont(value, 0.01) OVER ({_P}), least(quantile_cont(value, 0.99) OVER ({_P}), value)) END AS by_quantile FROM v_long) q
         JOIN ({_mad("SELECT * FROM v_long")}) m USING (trade_date, ts_code, factor_name)""",
     "by_quantile by_mad",
 )

@@ -39,27 +39,28 @@ def _moments(c: str) -> str:
     return f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std, avg({c}) / nullif(stddev_samp({c}), 0) AS {c}_ir, avg(CASE WHEN {c} > 0 THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END) AS {c}_positive"
 
 
-@query("ic_summary", f"SELECT factor_name, {_moments('ic')}, {_moments('rank_ic')}, avg(coverage) AS coverage_mean, count(ic) AS n_dates FROM ({_IC}) i GROUP BY factor_name", "ic_mean ic_std ic_ir ic_positive rank_ic_mean rank_ic_std rank_ic_ir rank_ic_positive coverage_mean")
+@query("ic_summary", f"SELECT factor_name, {_moments('ic')}, {_moments('rank_ic')}, count(DISTINCT trade_date) AS periods, count(ic) AS n_dates, count(rank_ic) AS n_rank_dates, avg(coverage) AS coverage_mean, avg(n) AS n_mean FROM ({_IC}) i GROUP BY factor_name", "ic_mean ic_std ic_ir ic_positive rank_ic_mean rank_ic_std rank_ic_ir rank_ic_positive coverage_mean n_mean")
 def ic_summary(v):
     return op.ic_summary(op.ic_by_date(_pairs(v)))
 
 
-_PLACED = f"""SELECT *, CASE WHEN n >= 5 AND x IS NOT NULL THEN CAST(least(floor((rx - 1) / nullif(n - 1, 0) * 5) + 1, 5) AS INT) END AS quantile FROM (SELECT *, count(x) OVER ({_S}) AS n FROM ({_PAIRS}) p) q"""
-_QUANTILES = f"""SELECT e.trade_date, e.factor_name, e.quantile, count(y) AS group_count, avg(y) AS group_return FROM (
-    SELECT DISTINCT trade_date, factor_name, CAST(u.q AS INT) AS quantile FROM v_long, (SELECT unnest(range(1, 6)) AS q) u) e
-    LEFT JOIN ({_PLACED}) p ON e.trade_date = p.trade_date AND e.factor_name = p.factor_name AND e.quantile = p.quantile GROUP BY e.trade_date, e.factor_name, e.quantile"""
+_PLACED = f"""SELECT *, CASE WHEN n >= 5 AND lo < hi AND x IS NOT NULL THEN CAST(least(floor((rx - 1) / nullif(n - 1, 0) * 5) + 1, 5) AS INT) END AS quantile FROM (SELECT *, count(x) OVER ({_S}) AS n, min(x) OVER ({_S}) AS lo, max(x) OVER ({_S}) AS hi FROM ({_PAIRS}) p) q"""
+_QUANTILES = f"""SELECT e.trade_date, e.factor_name, e.quantile, universe_count, n_obs, n_obs / universe_count AS coverage, count(y) AS group_count, avg(y) AS group_return FROM (
+    SELECT trade_date, factor_name, CAST(u.q AS INT) AS quantile, count(*) AS universe_count, count(x) AS n_obs FROM ({_PAIRS}) a, (SELECT unnest(range(1, 6)) AS q) u GROUP BY trade_date, factor_name, u.q) e
+    LEFT JOIN ({_PLACED}) p ON e.trade_date = p.trade_date AND e.factor_name = p.factor_name AND e.quantile = p.quantile GROUP BY e.trade_date, e.factor_name, e.quantile, universe_count, n_obs"""
 
 
-@query("quantile_returns", _QUANTILES, "group_return")
+@query("quantile_returns", _QUANTILES, "group_return coverage")
 def quantile_returns(v):
     return op.quantile_returns(_pairs(v))
 
 
-_SPREADS = f"""SELECT trade_date, factor_name, max(CASE WHEN quantile = 5 THEN group_return END) - max(CASE WHEN quantile = 1 THEN group_return END) AS spread, {_corr("rq", "rr")} AS monotonicity FROM (
+_SPREADS = f"""SELECT trade_date, factor_name, max(CASE WHEN quantile = 1 THEN group_return END) AS low_return, max(CASE WHEN quantile = 5 THEN group_return END) AS high_return,
+    max(CASE WHEN quantile = 5 THEN group_return END) - max(CASE WHEN quantile = 1 THEN group_return END) AS spread, count(group_return) AS nonempty_groups, {_corr("rq", "rr")} AS monotonicity, max(coverage) AS coverage, max(n_obs) AS n_obs FROM (
     SELECT *, {_rank("q")} AS rq, {_rank("group_return")} AS rr FROM (SELECT *, CASE WHEN group_return IS NOT NULL THEN quantile END AS q FROM ({_QUANTILES}) a) b) c GROUP BY trade_date, factor_name"""
 
 
-@query("long_short", _SPREADS, "spread monotonicity")
+@query("long_short", _SPREADS, "low_return high_return spread monotonicity coverage")
 def long_short(v):
     return op.long_short(op.quantile_returns(_pairs(v)))
 
@@ -73,15 +74,16 @@ def quantile_summary(v):
     return op.quantile_summary(op.quantile_returns(_pairs(v)))
 
 
-_LS_SUMMARY = f"SELECT factor_name, {_stats('spread', 'spread')}, avg(monotonicity) AS monotonicity_mean, count(spread) AS n_dates FROM ({_SPREADS}) s GROUP BY factor_name"
+_LS_SUMMARY = f"""SELECT factor_name, {_stats('spread', 'spread')}, count(DISTINCT trade_date) AS periods, count(spread) AS n_dates, count(monotonicity) AS n_monotonicity, avg(monotonicity) AS monotonicity_mean,
+    avg(CASE WHEN monotonicity > 0 THEN 1.0 WHEN monotonicity IS NOT NULL THEN 0.0 END) AS monotonicity_positive, avg(coverage) AS coverage_mean, avg(n_obs) AS n_mean FROM ({_SPREADS}) s GROUP BY factor_name"""
 
 
-@query("long_short_summary", _LS_SUMMARY, "spread_mean spread_std spread_ir spread_positive monotonicity_mean")
+@query("long_short_summary", _LS_SUMMARY, "spread_mean spread_std spread_ir spread_positive monotonicity_mean monotonicity_positive coverage_mean n_mean")
 def long_short_summary(v):
     return op.long_short_summary(op.long_short(op.quantile_returns(_pairs(v))))
 
 
-@query("evaluate_panel", f"SELECT s.*, i.rank_ic_mean FROM ({_LS_SUMMARY}) s JOIN (SELECT factor_name, avg(rank_ic) AS rank_ic_mean FROM ({_IC}) i GROUP BY factor_name) i USING (factor_name)", "spread_mean spread_std spread_ir spread_positive monotonicity_mean rank_ic_mean")
+@query("evaluate_panel", f"SELECT s.*, i.rank_ic_mean FROM ({_LS_SUMMARY}) s JOIN (SELECT factor_name, avg(rank_ic) AS rank_ic_mean FROM ({_IC}) i GROUP BY factor_name) i USING (factor_name)", "spread_mean spread_std spread_ir spread_positive monotonicity_mean monotonicity_positive coverage_mean n_mean rank_ic_mean")
 def evaluate_panel(v):
     tables = op.evaluate(v.v_long, v.v_label)
     return tables["long_short_summary"].join(tables["ic_summary"].select("factor_name", "rank_ic_mean"), "factor_name")
@@ -179,9 +181,9 @@ def compose_dynamic(v):
     return composition.compose(preprocess(v.v_long, {"factor_b": -1}), _rolling(v).drop("fallback"))
 
 
-_SCORED = """SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC NULLS LAST, ts_code) AS rank,
+_SCORED = """SELECT *, CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY trade_date ORDER BY score DESC NULLS LAST, ts_code) END AS rank,
     CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY score NULLS LAST) + (count(*) OVER (PARTITION BY trade_date ORDER BY score NULLS LAST RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0 END / nullif(count(score) OVER (PARTITION BY trade_date), 0) AS percentile
-    FROM (SELECT trade_date, ts_code, factor_a, factor_b, 0.0 + factor_a * 0.5 - factor_b * 0.5 AS score FROM v_factor) f"""
+    FROM (SELECT trade_date, ts_code, factor_a, factor_b, CASE WHEN factor_a IS NOT NULL OR factor_b IS NOT NULL THEN coalesce(factor_a, 0) * 0.5 - coalesce(factor_b, 0) * 0.5 END AS score FROM v_factor) f"""
 
 
 @query("composite_score", _SCORED, "factor_a factor_b score percentile")
@@ -189,7 +191,7 @@ def composite_score(v):
     return composition.composite_score(v.v_factor.select("trade_date", "ts_code", "factor_a", "factor_b"), ["factor_a", "factor_b"], {"factor_b": -1})
 
 
-@query("top_n", "SELECT trade_date, ts_code, factor_a AS score, n AS selected_rank FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY factor_a DESC NULLS LAST, ts_code) AS n FROM v_factor) f WHERE n <= 5", "score")
+@query("top_n", "SELECT trade_date, ts_code, factor_a AS score, n AS selected_rank FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY factor_a DESC NULLS LAST, ts_code) AS n FROM v_factor) f WHERE n <= 5 AND factor_a IS NOT NULL", "score")
 def top_n(v):
     return composition.top_n(v.v_factor.selectExpr("trade_date", "ts_code", "factor_a AS score"), 5)
 

@@ -116,7 +116,7 @@ def _prev(n: int) -> str:
 @query(
     "base_factors",
     f"""SELECT ts_code, trade_date, CASE WHEN pe > 0 THEN 1 / pe END AS ep, CASE WHEN pb > 0 THEN 1 / pb END AS bp, CASE WHEN ps > 0 THEN 1 / ps END AS ps_inverse,
-        CASE WHEN total_mv > 0 THEN ln(total_mv) END AS size, turnover_rate AS turnover, CASE WHEN amount > 0 THEN ln(amount) END AS amount,
+        CASE WHEN total_mv > 0 THEN -ln(total_mv) END AS size, turnover_rate AS turnover, CASE WHEN amount > 0 THEN ln(amount) END AS amount,
         CASE WHEN count(monthly_return) {_prev(1)} = 1 THEN product(1 + monthly_return) {_prev(1)} - 1 END AS momentum_1m,
         CASE WHEN count(monthly_return) {_prev(3)} = 3 THEN product(1 + monthly_return) {_prev(3)} - 1 END AS momentum_3m,
         CASE WHEN count(monthly_return) {_prev(6)} = 6 THEN stddev_samp(monthly_return) {_prev(6)} END AS volatility_6m FROM ({_BASE}) p""",

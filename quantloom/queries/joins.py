@@ -155,19 +155,19 @@ def panel_warnings(v):
 
 _SUSPEND = "SELECT trade_date, ts_code, 'S' AS suspend_type, CASE WHEN n > 1 THEN '09:30-10:00' END AS suspend_timing FROM v_activity WHERE errors > 0"
 _CODES = "SELECT ts_code, {add_days(min(trade_date), 2)} AS list_date, CASE WHEN ts_code LIKE '%7' THEN {add_days(max(trade_date), -4)} END AS delist_date FROM v_activity GROUP BY ts_code"
-_OBSERVED = "SELECT trade_date, ts_code FROM v_activity WHERE n > errors"
+_OBSERVED = "SELECT trade_date, ts_code FROM v_activity WHERE n > errors OR day(trade_date) % 5 = 0"
 
 
-@query(
-    "security_status",
-    f"""SELECT g.trade_date, g.ts_code, CASE WHEN g.trade_date < list_date THEN 'NOT_LISTED' WHEN g.trade_date = delist_date THEN 'DELIST_DATE' WHEN g.trade_date > delist_date THEN 'DELISTED'
-        WHEN s.ts_code IS NOT NULL AND r.ts_code IS NULL THEN 'SUSPENDED' WHEN r.ts_code IS NOT NULL THEN 'OBSERVED' ELSE 'UNKNOWN_MISSING' END AS status
+_STATUSES = f"""SELECT g.trade_date, g.ts_code, s.ts_code AS event, s.full_day, r.ts_code AS traded, CASE WHEN g.trade_date < list_date THEN 'PRE_LISTING' WHEN g.trade_date > delist_date THEN 'POST_DELIST' WHEN g.trade_date = delist_date THEN 'DELIST_DATE'
+        WHEN r.ts_code IS NOT NULL THEN 'AVAILABLE' WHEN s.full_day THEN 'SUSPENDED' ELSE 'UNKNOWN_MISSING' END AS status
         FROM (SELECT c.*, d.trade_date FROM ({_CODES}) c, (SELECT DISTINCT trade_date FROM v_activity) d) g
-        LEFT JOIN (SELECT DISTINCT trade_date, ts_code FROM ({_SUSPEND}) s WHERE suspend_type = 'S' AND suspend_timing IS NULL) s ON s.trade_date = g.trade_date AND s.ts_code = g.ts_code
-        LEFT JOIN (SELECT DISTINCT trade_date, ts_code FROM ({_OBSERVED}) r) r ON r.trade_date = g.trade_date AND r.ts_code = g.ts_code""",
-)
+        LEFT JOIN (SELECT trade_date, ts_code, bool_or(suspend_type = 'S' AND suspend_timing IS NULL) AS full_day FROM ({_SUSPEND}) s GROUP BY trade_date, ts_code) s ON s.trade_date = g.trade_date AND s.ts_code = g.ts_code
+        LEFT JOIN (SELECT DISTINCT trade_date, ts_code FROM ({_OBSERVED}) r) r ON r.trade_date = g.trade_date AND r.ts_code = g.ts_code"""
+
+
+@query("security_status", f"SELECT trade_date, ts_code, status, CASE WHEN status = 'AVAILABLE' AND full_day THEN 'return on a suspended day' WHEN status IN ('PRE_LISTING', 'POST_DELIST') AND (event IS NOT NULL OR traded IS NOT NULL) THEN 'data outside the listing' END AS conflict FROM ({_STATUSES}) s")
 def security_status(v):
-    return op.security_status(v.v_activity, v.sql(_CODES), v.sql(_SUSPEND), v.sql(_OBSERVED))
+    return op.security_status(v.v_activity, v.sql(_CODES), v.sql(_SUSPEND), v.sql(_OBSERVED), fail=False)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.math import correlation
 from ..operators import learning as op
 from ..registry import query
 from ..sources.panels import work_dir
@@ -17,14 +18,25 @@ def _panel(v):
     return v.sql(_PANEL)
 
 
+def _kept(v, frame, name: str):
+    """The rows as a table, as several steps read them."""
+    path = work_dir(v.spark, name)
+    frame.write.parquet(path)
+    return v.spark.read.schema(frame.schema).parquet(path)
+
+
 def _plan(v):
-    return op.walk_forward_plan(v.sql(_DATES), 36, 6, 1, 12)
+    dates = _kept(v, v.sql(_DATES), "dates")
+    return _kept(v, op.walk_forward_plan(dates, 36, 6, 1, 12), "plan")
 
 
-_ROLES = f"""SELECT CAST((s - 43) // 12 AS INT) AS fold_id, CASE WHEN pos >= s AND pos < s + 12 THEN 'prediction' WHEN s - pos > 1 AND s - pos <= 7 THEN 'validation' WHEN s - pos > 7 AND s - pos <= 43 THEN 'train' END AS role, trade_date, max_exit
-    FROM (SELECT *, row_number() OVER (ORDER BY trade_date) - 1 AS pos, count(*) OVER () AS n FROM ({_DATES}) d) d, unnest(range(43, 1000, 12)) AS u(s) WHERE s < n"""
-_PLAN = f"""SELECT fold_id, role, trade_date FROM (SELECT *, min(CASE WHEN role = 'prediction' THEN trade_date END) OVER (PARTITION BY fold_id) AS p, min(CASE WHEN role = 'validation' THEN trade_date END) OVER (PARTITION BY fold_id) AS w FROM ({_ROLES}) r WHERE role IS NOT NULL) x
-    WHERE role = 'prediction' OR (role = 'validation' AND max_exit < p) OR (role = 'train' AND max_exit < w)"""
+_PLACED = f"SELECT trade_date, max_exit, row_number() OVER (ORDER BY trade_date) - 1 AS pos FROM ({_DATES}) d"
+_VALID = f"SELECT * FROM (SELECT s.pos AS start, d.trade_date, row_number() OVER (PARTITION BY s.pos ORDER BY d.trade_date DESC) AS n FROM ({_PLACED}) s JOIN ({_PLACED}) d ON d.trade_date < s.trade_date AND d.max_exit < s.trade_date) k WHERE n BETWEEN 2 AND 7"
+_TRAIN = f"SELECT o.start, d.trade_date, row_number() OVER (PARTITION BY o.start ORDER BY d.trade_date DESC) AS n FROM (SELECT start, min(trade_date) AS opening FROM ({_VALID}) v GROUP BY start HAVING count(*) = 6) o JOIN ({_PLACED}) d ON d.trade_date < o.opening AND d.max_exit < o.opening"
+_BLOCKS = f"SELECT start, CAST((start - first) // 12 AS INT) AS fold_id FROM (SELECT start, min(start) OVER () AS first FROM ({_TRAIN}) t WHERE n = 36) f WHERE (start - first) % 12 = 0"
+_PLAN = f"""SELECT fold_id, 'train' AS role, trade_date FROM ({_TRAIN}) t JOIN ({_BLOCKS}) b USING (start) WHERE n <= 36
+    UNION ALL SELECT fold_id, 'validation', trade_date FROM ({_VALID}) v JOIN ({_BLOCKS}) b USING (start)
+    UNION ALL SELECT fold_id, 'prediction', trade_date FROM ({_PLACED}) p JOIN ({_BLOCKS}) b ON p.pos BETWEEN b.start AND b.start + 11"""
 
 
 @query("walk_forward_plan", _PLAN)
@@ -67,6 +79,10 @@ def _prepared(v):
     return op.prepare(_split(v), _FEATURES)
 
 
+def _written(v):
+    return _kept(v, _prepared(v), "prepared")
+
+
 @query("ml_prepare", _PREPARED, "factor_a factor_b forward_return")
 def ml_prepare(v):
     return _prepared(v)
@@ -91,7 +107,7 @@ _OOS = f"SELECT p.trade_date, p.ts_code, p.forward_return AS target, w0 + factor
 
 
 def _oos(v):
-    prepared = _prepared(v)
+    prepared = _written(v)
     return op.predict(prepared, op.ridge(prepared, _FEATURES, "forward_return", 1.0), _FEATURES, "forward_return")
 
 
@@ -131,31 +147,67 @@ def _corr(x: str, y: str) -> str:
 _DATE_IC = f"""SELECT trade_date, count(x) AS n, {_corr("x", "y")} AS ic, {_corr("rx", "ry")} AS rank_ic, CASE WHEN count(x) < 3 THEN 'too few rows' WHEN {_corr("x", "y")} IS NULL THEN 'constant' END AS reason FROM (
     SELECT *, {_rank("x")} AS rx, {_rank("y")} AS ry FROM (SELECT *, CASE WHEN target IS NOT NULL THEN prediction END AS x, CASE WHEN prediction IS NOT NULL THEN target END AS y FROM ({_OOS}) o) p) q GROUP BY trade_date"""
 
-for _name in ("oos_date_ic", "safe_pearson"):
 
-    @query(_name, _DATE_IC, "ic rank_ic")
-    def oos_date_ic(v):
-        return op.date_ic(_oos(v))
+@query("oos_date_ic", _DATE_IC, "ic rank_ic")
+def oos_date_ic(v):
+    return op.date_ic(_oos(v))
 
 
-for _name in ("oos_ic_summary", "oos_evaluate"):
+# per industry-like group of dates: a constant, a short and a full sample of each year's rows
+_SAMPLES = "SELECT year(trade_date) AS year, kind, CASE WHEN kind = 'constant' THEN 1E0 ELSE factor_a END AS x, factor_b AS y FROM v_factor, (SELECT unnest(['full', 'constant']) AS kind) k"
 
-    @query(_name, f"SELECT count(ic) AS dates, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS ic_ir, avg(rank_ic) AS rank_ic_mean, stddev_samp(rank_ic) AS rank_ic_std, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS rank_ic_ir FROM ({_DATE_IC}) i", "ic_mean ic_std ic_ir rank_ic_mean rank_ic_std rank_ic_ir")
-    def oos_ic_summary(v):
-        return op.ic_summary(op.date_ic(_oos(v)))
 
+@query(
+    "safe_pearson",
+    f"SELECT year, kind, count(CASE WHEN y IS NOT NULL THEN x END) AS n, CASE WHEN count(CASE WHEN y IS NOT NULL THEN x END) >= 3 AND stddev_pop(CASE WHEN y IS NOT NULL THEN x END) * stddev_pop(CASE WHEN x IS NOT NULL THEN y END) > 1e-15 THEN corr(x, y) END AS pearson FROM ({_SAMPLES}) s GROUP BY year, kind",
+    "pearson",
+)
+def safe_pearson(v):
+    rows = v.v_factor.select(F.year("trade_date").alias("year"), F.explode(F.array(F.lit("full"), F.lit("constant"))).alias("kind"), "factor_a", "factor_b")
+    x, y = F.when(F.col("kind") == "constant", 1.0).otherwise(F.col("factor_a")), F.col("factor_b")
+    pairs = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
+    return rows.groupBy("year", "kind").agg(pairs.alias("n"), F.when(pairs >= 3, correlation(x, y)).alias("pearson"))
 
-@query("permute_in_date", "SELECT trade_date, count(*) AS n, sum(factor_a) AS total, min(factor_a) AS low, max(factor_a) AS high FROM v_factor GROUP BY trade_date", "total low high")
-def permute_in_date(v):
-    out = op.permute_in_date(v.v_factor.select("trade_date", "ts_code", "factor_a"), "factor_a", 7)
-    return out.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sum("factor_a").alias("total"), F.min("factor_a").alias("low"), F.max("factor_a").alias("high"))
 
+_IC_FACTS = "count(ic) AS dates, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS ic_ir, avg(rank_ic) AS rank_ic_mean, stddev_samp(rank_ic) AS rank_ic_std, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS rank_ic_ir"
 
-def _written(v):
-    """The prepared rows as a table, as several fits read them."""
-    path = work_dir(v.spark, "prepared")
-    _prepared(v).write.parquet(path)
-    return v.spark.read.parquet(path)
+
+@query("oos_ic_summary", f"SELECT {_IC_FACTS} FROM ({_DATE_IC}) i", "ic_mean ic_std ic_ir rank_ic_mean rank_ic_std rank_ic_ir")
+def oos_ic_summary(v):
+    return op.ic_summary(op.date_ic(_oos(v)))
+
+
+def _long_facts(scope: str, source: str, names: str) -> str:
+    return " UNION ALL ".join(f"SELECT {scope}, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM {source} t" for n in names.split())
+
+
+_EVALUATED = " UNION ALL ".join(
+    [
+        _long_facts("'all' AS scope", f"(SELECT {_METRICS} FROM ({_OOS}) o)", "n mae rmse r2"),
+        _long_facts("concat('fold ', fold_id)", f"(SELECT fold_id, {_METRICS} FROM ({_OOS}) o GROUP BY fold_id)", "n mae rmse r2"),
+        _long_facts("CAST(trade_date AS STRING)", f"({_DATE_IC})", "n ic rank_ic"),
+        _long_facts("'dates'", f"(SELECT {_IC_FACTS} FROM ({_DATE_IC}) i)", "dates ic_mean ic_std ic_ir rank_ic_mean rank_ic_std rank_ic_ir"),
+    ]
+)
+
+
+@query("oos_evaluate", _EVALUATED, "value")
+def oos_evaluate(v):
+    return op.evaluate_oos(_kept(v, _oos(v), "oos"))
+
+
+# of the places a value moves to, one in so many rows stays: an unshuffled column has none moved
+@query(
+    "permute_in_date",
+    "SELECT trade_date, count(*) AS n, sum(factor_a) AS total, min(factor_a) AS low, max(factor_a) AS high, count(DISTINCT factor_a) > 10 AS some_moved, sum(total_mv) AS others FROM (SELECT f.*, total_mv FROM v_factor f JOIN v_ret r ON r.ts_code = f.ts_code AND r.trade_date = f.trade_date) f GROUP BY trade_date",
+    "total low high others",
+)
+def permute_in_date(v):
+    rows = v.v_ret.select("trade_date", "ts_code", F.col("ret").alias("factor_a"), F.col("ret").alias("before"), "total_mv")
+    out = op.permute_in_date(rows, "factor_a", 7)
+    moved = F.count_if(~F.col("factor_a").eqNullSafe(F.col("before"))) > 0
+    few = F.countDistinct("before") <= 10  # a handful may stay in place by chance
+    return out.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sum("factor_a").alias("total"), F.min("factor_a").alias("low"), F.max("factor_a").alias("high"), (moved & ~few).alias("some_moved"), F.sum("total_mv").alias("others"))
 
 
 def _losses(v):

@@ -200,12 +200,18 @@ def suspension_events(v):
     return bt.suspension_events(v.sql(_PAUSES))
 
 
-_STATUS = "SELECT o.cal_date AS trade_date, c.ts_code, CASE WHEN r.ret IS NOT NULL THEN 'OBSERVED' WHEN day(o.cal_date) % 3 = 0 THEN 'SUSPENDED' ELSE 'UNKNOWN_MISSING' END AS status FROM v_open o CROSS JOIN (SELECT DISTINCT ts_code FROM v_dret) c LEFT JOIN v_dret r ON r.ts_code = c.ts_code AND r.trade_date = o.cal_date"
+_STATUS = "SELECT o.cal_date AS trade_date, c.ts_code, CASE WHEN day(o.cal_date) = 17 THEN 'SUSPENDED' WHEN r.ret IS NOT NULL THEN 'AVAILABLE' WHEN day(o.cal_date) % 3 = 0 THEN 'SUSPENDED' ELSE 'UNKNOWN_MISSING' END AS status FROM v_open o CROSS JOIN (SELECT DISTINCT ts_code FROM v_dret) c LEFT JOIN v_dret r ON r.ts_code = c.ts_code AND r.trade_date = o.cal_date"
 
 
-@query("resolve_return", f"SELECT s.trade_date, s.ts_code, status, coalesce(ret, CASE WHEN status = 'SUSPENDED' THEN 0 END) AS ret, coalesce(ret, CASE WHEN status = 'SUSPENDED' THEN 0 END) IS NULL AS unresolved FROM ({_STATUS}) s LEFT JOIN v_dret r ON r.ts_code = s.ts_code AND r.trade_date = s.trade_date", "ret")
+@query(
+    "resolve_return",
+    f"""SELECT s.trade_date, s.ts_code, status, CASE WHEN ret IS NOT NULL AND status = 'AVAILABLE' THEN ret WHEN ret IS NULL AND status = 'SUSPENDED' THEN 0 END AS ret,
+        CASE WHEN ret IS NOT NULL AND status <> 'AVAILABLE' THEN 'return conflicts with status' WHEN ret IS NULL AND status <> 'SUSPENDED' THEN 'return is missing' END AS conflict
+        FROM ({_STATUS}) s LEFT JOIN v_dret r ON r.ts_code = s.ts_code AND r.trade_date = s.trade_date""",
+    "ret",
+)
 def resolve_return(v):
-    return bt.resolve_return(v.sql(_STATUS), v.v_dret)
+    return bt.resolve_return(v.sql(_STATUS), v.v_dret, fail=False)
 
 
 @query("missing_fraction_gate", f"SELECT trade_date, avg(CASE WHEN status = 'UNKNOWN_MISSING' THEN 1.0 ELSE 0.0 END) AS missing, avg(CASE WHEN status = 'UNKNOWN_MISSING' THEN 1.0 ELSE 0.0 END) > 0.3 AS fails FROM ({_STATUS}) s GROUP BY trade_date", "missing")
@@ -307,34 +313,57 @@ def holdings_rules(v):
     return bt.holdings_rules(v.sql(_OFF))
 
 
-@query("ledger_rules", "SELECT unnest(['pre_not_one', 'target_not_one', 'change_differs', 'turnover_differs']) AS rule, count(DISTINCT CASE WHEN effective_date IS NULL THEN 1 END) AS violations FROM v_hold")
+# of two codes the ledger is changed, so that every rule is broken somewhere
+_WRONG = "CASE WHEN ts_code = 'Brand#11' AND month(effective_date) = 4 THEN 0.5E0 ELSE 0E0 END"
+_TAMPERED = f"SELECT effective_date, ts_code, pre_weight + {_WRONG} AS pre_weight, target_weight + 2 * {_WRONG} AS target_weight, weight_change, pre_cash, target_cash, turnover + CASE WHEN month(effective_date) = 7 THEN 0.25E0 ELSE 0E0 END AS turnover FROM ledger"
+
+
+def _rules(rules: dict[str, str], rows: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS rule, count(CASE WHEN {x} THEN 1 END) AS violations FROM ({rows}) r" for n, x in rules.items())
+
+
+@query(
+    "ledger_rules",
+    _rules(
+        {"pre_not_one": "abs(pre - 1) > 1e-9", "target_not_one": "abs(post - 1) > 1e-9", "change_differs": "off > 1e-9", "turnover_differs": "abs(t - again) > 1e-9"},
+        f"SELECT sum(pre_weight) + max(pre_cash) AS pre, sum(target_weight) + max(target_cash) AS post, max(abs(weight_change - (target_weight - pre_weight))) AS off, max(turnover) AS t, (sum(abs(weight_change)) + abs(max(target_cash) - max(pre_cash))) / 2 AS again FROM ({_TAMPERED.replace('ledger', f'({_LEDGER}) x')}) l GROUP BY effective_date",
+    ),
+)
 def ledger_rules(v):
-    return bt.ledger_rules(_ledger(v))
+    return bt.ledger_rules(v.spark.sql(_TAMPERED.replace("ledger", "{ledger}"), ledger=_ledger(v)))
 
 
-@query("pre_state_check", f"SELECT effective_date, count(*) AS keys, CAST(0 AS BIGINT) AS different FROM ({_LEDGER}) l GROUP BY effective_date")
+@query("pre_state_check", f"SELECT effective_date, count(*) AS keys, count(CASE WHEN ts_code = 'Brand#11' AND month(effective_date) = 4 THEN 1 END) AS different FROM ({_LEDGER}) l GROUP BY effective_date")
 def pre_state_check(v):
-    return bt.pre_state_check(_drift(v), _ledger(v))
+    return bt.pre_state_check(_drift(v), v.spark.sql(_TAMPERED.replace("ledger", "{ledger}"), ledger=_ledger(v)))
+
 
+_ODD = "SELECT trade_date, is_rebalance, CASE WHEN day(trade_date) = 3 THEN 0.01E0 ELSE cost END AS cost, CASE WHEN day(trade_date) = 4 THEN 0.1E0 ELSE turnover END AS turnover, CASE WHEN day(trade_date) IN (4, 5) THEN 0.1E0 ELSE notional END AS notional, CASE WHEN day(trade_date) = 6 THEN 0E0 ELSE net_nav END AS net_nav, gross_nav FROM nav"
 
-@query("daily_rules", f"SELECT u.rule, CASE u.rule WHEN 'nav_not_positive' THEN bad ELSE 0 END AS violations FROM (SELECT count(CASE WHEN net_nav <= 0 OR gross_nav <= 0 THEN 1 END) AS bad FROM ({_NAV}) n) b, (SELECT unnest(['cost_on_quiet_day', 'turnover_on_quiet_day', 'notional_on_quiet_day', 'nav_not_positive']) AS rule) u")
+
+@query("daily_rules", _rules({"cost_on_quiet_day": "NOT is_rebalance AND cost <> 0", "turnover_on_quiet_day": "NOT is_rebalance AND turnover <> 0", "notional_on_quiet_day": "NOT is_rebalance AND notional <> 0", "nav_not_positive": "net_nav <= 0 OR gross_nav <= 0"}, _ODD.replace("FROM nav", f"FROM ({_NAV}) n")))
 def daily_rules(v):
-    return bt.daily_rules(_nav(v))
+    return bt.daily_rules(v.spark.sql(_ODD.replace("FROM nav", "FROM {nav}"), nav=_nav(v)))
+
+
+_PICKED = f"SELECT c.trade_date, c.ts_code, l.forward_return FROM ({_CHOSEN}) c JOIN v_label l ON l.trade_date = c.trade_date AND l.ts_code = c.ts_code"
+_HELD = f"SELECT trade_date, ts_code, forward_return, 1.0 / count(*) OVER (PARTITION BY trade_date) AS weight FROM (SELECT trade_date, ts_code, min(forward_return) AS forward_return FROM ({_PICKED}) p WHERE forward_return IS NOT NULL GROUP BY trade_date, ts_code) d"
 
 
-_HELD = f"SELECT trade_date, ts_code, 1.0 / count(*) OVER (PARTITION BY trade_date) AS weight FROM (SELECT DISTINCT trade_date, ts_code FROM ({_CHOSEN}) c) d"
+def _picked(v):
+    return _chosen(v).select("trade_date", "ts_code").join(v.v_label, ["trade_date", "ts_code"])
 
 
 def _held(v):
-    return bt.simple_holdings(_chosen(v))
+    return bt.simple_holdings(_picked(v))
 
 
-@query("simple_holdings", _HELD, "weight")
+@query("simple_holdings", _HELD, "forward_return weight")
 def simple_holdings(v):
     return _held(v)
 
 
-_PERIOD = "SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS p FROM (SELECT DISTINCT trade_date FROM v_pred) d"
+_PERIOD = f"SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS p FROM (SELECT DISTINCT trade_date FROM ({_HELD}) h) d"
 _TURN = f"""SELECT d.trade_date, CASE WHEN d.p = 1 THEN 1.0 ELSE sum(abs(coalesce(weight, 0) - coalesce(old, 0))) / 2 END AS turnover FROM (
     SELECT coalesce(a.p, b.p) AS p, weight, old FROM (SELECT d.p, h.ts_code, weight FROM ({_HELD}) h JOIN ({_PERIOD}) d ON d.trade_date = h.trade_date) a
     FULL JOIN (SELECT d.p + 1 AS p, h.ts_code, weight AS old FROM ({_HELD}) h JOIN ({_PERIOD}) d ON d.trade_date = h.trade_date) b ON a.p = b.p AND a.ts_code = b.ts_code) c JOIN ({_PERIOD}) d ON d.p = c.p GROUP BY d.trade_date, d.p"""
@@ -345,15 +374,15 @@ def simple_turnover(v):
     return bt.simple_turnover(_held(v))
 
 
-_SRET = f"SELECT g.trade_date, gross_return, turnover, gross_return - turnover * 0.002 AS net_return FROM (SELECT h.trade_date, sum(weight * coalesce(forward_return, 0)) AS gross_return FROM ({_HELD}) h LEFT JOIN v_label l ON l.trade_date = h.trade_date AND l.ts_code = h.ts_code GROUP BY h.trade_date) g JOIN ({_TURN}) t ON t.trade_date = g.trade_date"
+_SRET = f"SELECT g.trade_date, gross_return, turnover, turnover * 0.002 AS cost, gross_return - turnover * 0.002 AS net_return FROM (SELECT trade_date, sum(weight * forward_return) AS gross_return FROM ({_HELD}) h GROUP BY trade_date) g JOIN ({_TURN}) t ON t.trade_date = g.trade_date"
 
 
 def _sret(v):
     held = _held(v)
-    return bt.simple_returns(held, v.v_label, bt.simple_turnover(held), 0.002)
+    return bt.simple_returns(held, bt.simple_turnover(held), 0.002)
 
 
-@query("simple_period_returns", _SRET, "gross_return turnover net_return")
+@query("simple_period_returns", _SRET, "gross_return turnover cost net_return")
 def simple_period_returns(v):
     return _sret(v)
 
@@ -361,14 +390,16 @@ def simple_period_returns(v):
 _SNAV = f"SELECT *, product(1 + net_return) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS nav FROM ({_SRET}) s"
 
 
-@query("simple_nav", _SNAV, "gross_return turnover net_return nav")
+@query("simple_nav", _SNAV, "gross_return turnover cost net_return nav")
 def simple_nav(v):
     return bt.simple_nav(_sret(v))
 
 
-_SMETRICS = f"""SELECT *, CASE WHEN 1 + total > 0 THEN pow(1 + total, 12.0 / periods) - 1 END AS annual FROM (SELECT count(*) AS periods, arg_max(nav, trade_date) - 1 AS total, stddev_samp(net_return) * sqrt(12) AS volatility, avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(12) AS sharpe, min(dd) AS max_drawdown, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END) AS win_rate
-    FROM (SELECT *, nav / greatest(max(nav) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM ({_SNAV}) s) d) m"""
-_S_DOUBLES = "total volatility sharpe max_drawdown win_rate annual"
+_SMETRICS = f"""SELECT *, annual_return / nullif(annual_volatility, 0) AS sharpe_ratio FROM (SELECT min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS n_periods, arg_max(nav, trade_date) - 1 AS cumulative_return,
+    CASE WHEN arg_max(nav, trade_date) >= 0 THEN pow(arg_max(nav, trade_date), 12.0 / count(*)) - 1 END AS annual_return, stddev_samp(net_return) * sqrt(12) AS annual_volatility, min(dd) AS max_drawdown,
+    avg(net_return) AS mean_monthly_return, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(turnover) AS average_turnover
+    FROM (SELECT *, nav / nullif(max(nav) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd FROM ({_SNAV}) s) d) m"""
+_S_DOUBLES = "cumulative_return annual_return annual_volatility sharpe_ratio max_drawdown mean_monthly_return win_rate average_turnover"
 
 
 @query("simple_metrics", _SMETRICS, _S_DOUBLES)
@@ -378,4 +409,4 @@ def simple_metrics(v):
 
 @query("simple_backtest", _SMETRICS, _S_DOUBLES)
 def simple_backtest(v):
-    return bt.simple_backtest(_chosen(v), v.v_label, 0.002)
+    return bt.simple_backtest(_picked(v), 0.002)

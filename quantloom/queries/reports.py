@@ -11,108 +11,130 @@ from ..registry import query
 from .evaluations import _IC, _QUANTILES, _SPREADS, _stats
 from .portfolios import _BNAV, _CHOSEN, _NAV, _SMETRICS, _bench, _chosen, _nav, _sret
 
+_MOMENTUM = "coalesce((momentum_1m + momentum_3m) / 2, momentum_1m, momentum_3m)"
+_VALUATION = "(coalesce(ep, 0) + coalesce(bp, 0) + coalesce(ps_inverse, 0)) / nullif(CASE WHEN ep IS NULL THEN 0 ELSE 1 END + CASE WHEN bp IS NULL THEN 0 ELSE 1 END + CASE WHEN ps_inverse IS NULL THEN 0 ELSE 1 END, 0)"
+_MOMENTUM_PART = "CASE WHEN {0} IS NULL THEN 12.5 WHEN {0} >= 1 THEN 25 WHEN {0} >= 0.5 THEN 20 WHEN {0} >= 0 THEN 15 WHEN {0} >= -0.5 THEN 10 ELSE 5 END".format(_MOMENTUM)
+_VOLATILITY_PART = "CASE WHEN volatility_6m IS NULL THEN 7.5 WHEN volatility_6m <= -1 THEN 15 WHEN volatility_6m <= -0.5 THEN 12 WHEN volatility_6m <= 0.5 THEN 8 WHEN volatility_6m <= 1 THEN 5 ELSE 2 END"
+_VALUATION_PART = "CASE WHEN {0} IS NULL THEN 5 WHEN {0} >= 0.5 THEN 10 WHEN {0} >= 0 THEN 7 WHEN {0} >= -0.5 THEN 5 ELSE 3 END".format(_VALUATION)
+_PERCENTILE_LABEL = "CASE WHEN score_pct_rank IS NULL THEN 'N/A' WHEN score_pct_rank >= 0.8 THEN '样本前 20%' WHEN score_pct_rank >= 0.6 THEN '样本前 40%' WHEN score_pct_rank >= 0.4 THEN '样本中位附近' WHEN score_pct_rank >= 0.2 THEN '样本后 40%' ELSE '样本后 20%' END"
+_VOLATILITY_LABEL = "CASE WHEN volatility_6m IS NULL THEN 'N/A' WHEN volatility_6m <= -0.5 THEN '低波动' WHEN volatility_6m < 0.5 THEN '中等波动' ELSE '高波动' END"
+_MOMENTUM_LABEL = "CASE WHEN {0} IS NULL THEN 'N/A' WHEN {0} >= 0.5 THEN '动量较强' WHEN {0} >= 0 THEN '动量偏强' WHEN {0} >= -0.5 THEN '动量偏弱' ELSE '动量较弱' END".format(_MOMENTUM)
+_RETURN_LABEL = "CASE WHEN {0} IS NULL THEN 'N/A' WHEN {0} >= 0.2 THEN '历史阶段涨幅较高' WHEN {0} >= 0.05 THEN '历史阶段表现偏强' WHEN {0} > -0.05 THEN '历史阶段表现中性' WHEN {0} > -0.2 THEN '历史阶段表现偏弱' ELSE '历史阶段跌幅较大' END"
+_RECENT_VOLATILITY_LABEL = "CASE WHEN {0} IS NULL THEN 'N/A' WHEN {0} <= 0.05 THEN '历史波动较低' WHEN {0} <= 0.1 THEN '历史波动中等' ELSE '历史波动较高' END"
+_RATING = "CASE WHEN research_score >= 80 THEN '偏积极' WHEN research_score >= 65 THEN '中性偏积极' WHEN research_score >= 45 THEN '中性' WHEN research_score >= 30 THEN '中性偏谨慎' WHEN research_score IS NULL THEN 'N/A' ELSE '偏谨慎' END"
+_TREND = "CASE WHEN research_score >= 80 THEN '趋势参考偏强' WHEN research_score >= 65 THEN '趋势参考略偏强' WHEN research_score >= 45 THEN '趋势参考中性' WHEN research_score >= 30 THEN '趋势参考略偏弱' WHEN research_score IS NULL THEN 'N/A' ELSE '趋势参考偏弱' END"
+_EXPOSURE_LABEL = "CASE WHEN value IS NULL THEN 'N/A' WHEN value >= 0.5 THEN '显著高于样本均值' WHEN value >= 0 THEN '略高于样本均值' WHEN value > -0.5 THEN '略低于样本均值' ELSE '显著低于样本均值' END"
+_KEYS = "ts_code, trade_date"
+c = F.col
 
-def _ladder(x: str, steps: list, otherwise) -> str:
-    lit = lambda v: f"'{v}'" if isinstance(v, str) else repr(v)
-    return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(f'WHEN {x} >= {b} THEN {lit(v)}' for b, v in steps)} ELSE {lit(otherwise)} END"
 
+@query("momentum_part", f"SELECT {_KEYS}, {_MOMENTUM_PART} AS value FROM v_scored", "value")
+def momentum_part(v):
+    return v.v_scored.select("ts_code", "trade_date", op.momentum_part(c("momentum_1m"), c("momentum_3m")).alias("value"))
 
-_F6 = "OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
 
+@query("volatility_part", f"SELECT {_KEYS}, {_VOLATILITY_PART} AS value FROM v_scored", "value")
+def volatility_part(v):
+    return v.v_scored.select("ts_code", "trade_date", op.volatility_part(c("volatility_6m")).alias("value"))
 
-def _share(c: str) -> str:
-    return f"(rank() OVER (PARTITION BY trade_date ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY trade_date ORDER BY {c} NULLS LAST RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0) / count({c}) OVER (PARTITION BY trade_date)"
 
+@query("valuation_part", f"SELECT {_KEYS}, {_VALUATION_PART} AS value FROM v_scored", "value")
+def valuation_part(v):
+    return v.v_scored.select("ts_code", "trade_date", op.valuation_part(c("ep"), c("bp"), c("ps_inverse")).alias("value"))
 
-_PANEL = f"SELECT ts_code, trade_date, CASE WHEN count(ret) {_F6} = 6 THEN avg(ret) {_F6} END AS momentum, CASE WHEN count(ret) {_F6} = 6 THEN stddev_samp(ret) {_F6} END AS volatility, {_share('turnover_rate')} AS valuation, {_share('total_mv')} AS quality FROM v_ret"
 
+@query("percentile_label", f"SELECT {_KEYS}, {_PERCENTILE_LABEL} AS value FROM v_scored")
+def percentile_label(v):
+    return v.v_scored.select("ts_code", "trade_date", op.percentile_label(c("score_pct_rank")).alias("value"))
 
-def _panel(v):
-    return op.scored_panel(v.v_ret)
 
+@query("volatility_label", f"SELECT {_KEYS}, {_VOLATILITY_LABEL} AS value FROM v_scored")
+def volatility_label(v):
+    return v.v_scored.select("ts_code", "trade_date", op.volatility_label(c("volatility_6m")).alias("value"))
 
-for _name, _column, _steps, _else, _make in (
-    ("momentum_part", "momentum", op.MOMENTUM_STEPS, 5.0, op.momentum_part),
-    ("volatility_part", "volatility", op.VOLATILITY_STEPS, 20.0, op.volatility_part),
-    ("valuation_part", "valuation", op.VALUATION_STEPS, 5.0, op.valuation_part),
-    ("percentile_label", "valuation", op.PERCENTILE_STEPS, "very low", op.percentile_label),
-    ("volatility_label", "volatility", op.VOLATILITY_LABELS, "low", op.volatility_label),
-    ("momentum_label", "momentum", op.MOMENTUM_LABELS, "negative", op.momentum_label),
-    ("recent_return_label", "momentum", op.RETURN_LABELS, "strong fall", op.return_label),
-    ("recent_vol_label", "volatility", op.VOLATILITY_LABELS, "low", op.volatility_label),
-):
 
-    def _register(name, column, steps, otherwise, make):
-        @query(name, f"SELECT ts_code, trade_date, {_ladder(f'round({column}, 9)', steps, otherwise)} AS value FROM ({_PANEL}) p", "value" if isinstance(otherwise, float) else "")
-        def run(v):
-            return _panel(v).select("ts_code", "trade_date", make(F.round(column, 9)).alias("value"))
+@query("momentum_label", f"SELECT {_KEYS}, {_MOMENTUM_LABEL} AS value FROM v_scored")
+def momentum_label(v):
+    return v.v_scored.select("ts_code", "trade_date", op.momentum_label(c("momentum_1m"), c("momentum_3m")).alias("value"))
 
-    _register(_name, _column, _steps, _else, _make)
 
-_SCORED = f"""SELECT *, coalesce(momentum_score, 0) + coalesce(volatility_score, 0) + coalesce(valuation_score, 0) + coalesce(quality_score, 0) AS score FROM (
-    SELECT *, {_ladder("momentum", op.MOMENTUM_STEPS, 5.0)} AS momentum_score, {_ladder("volatility", op.VOLATILITY_STEPS, 20.0)} AS volatility_score, {_ladder("valuation", op.VALUATION_STEPS, 5.0)} AS valuation_score, quality * 25 AS quality_score FROM ({_PANEL}) p) q"""
+@query("recent_return_label", f"SELECT {_KEYS}, {_RETURN_LABEL.format('round(ret, 9)')} AS value FROM v_ret")
+def recent_return_label(v):
+    return v.v_ret.select("ts_code", "trade_date", op.return_label(F.round("ret", 9)).alias("value"))
 
 
-@query("research_score", _SCORED, "momentum volatility valuation quality momentum_score volatility_score valuation_score quality_score score")
+_SPREAD6 = "SELECT ts_code, trade_date, 0.2E0 * stddev_samp(ret) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS spread FROM v_ret"
+
+
+@query("recent_vol_label", f"SELECT {_KEYS}, {_RECENT_VOLATILITY_LABEL.format('round(spread, 9)')} AS value FROM ({_SPREAD6}) s")
+def recent_vol_label(v):
+    return v.sql(_SPREAD6).select("ts_code", "trade_date", op.recent_volatility_label(F.round("spread", 9)).alias("value"))
+
+
+_SCORED = f"""SELECT *, score_component + momentum_component + volatility_component + valuation_component AS research_score FROM (
+    SELECT *, coalesce(score_pct_rank * 50, 25) AS score_component, {_MOMENTUM_PART} AS momentum_component, {_VOLATILITY_PART} AS volatility_component, {_VALUATION_PART} AS valuation_component,
+    {_PERCENTILE_LABEL} AS percentile_label, {_MOMENTUM_LABEL} AS momentum_label, {_VOLATILITY_LABEL} AS volatility_label FROM v_scored) q"""
+
+
+@query("research_score", _SCORED, "momentum_1m momentum_3m volatility_6m ep bp ps_inverse size_factor score_pct_rank score_component momentum_component volatility_component valuation_component research_score")
 def research_score(v):
-    return op.research_score(_panel(v))
+    return op.research_score(v.v_scored)
 
 
-for _name, _steps, _else, _make in (("rating_label", op.RATING_STEPS, "E", op.rating_label), ("trend_label", op.TREND_STEPS, "strong down", op.trend_label)):
+@query("rating_label", f"SELECT {_KEYS}, {_RATING} AS value FROM (SELECT {_KEYS}, round(research_score, 6) AS research_score FROM ({_SCORED}) s) r")
+def rating_label(v):
+    return op.research_score(v.v_scored).select("ts_code", "trade_date", op.rating_label(F.round("research_score", 6)).alias("value"))
 
-    def _register_score(name, steps, otherwise, make):
-        @query(name, f"SELECT ts_code, trade_date, {_ladder('round(score, 9)', steps, otherwise)} AS value FROM ({_SCORED}) s")
-        def run(v):
-            return op.research_score(_panel(v)).select("ts_code", "trade_date", make(F.round("score", 9)).alias("value"))
 
-    _register_score(_name, _steps, _else, _make)
+@query("trend_label", f"SELECT {_KEYS}, {_TREND} AS value FROM (SELECT {_KEYS}, round(research_score, 6) AS research_score FROM ({_SCORED}) s) r")
+def trend_label(v):
+    return op.research_score(v.v_scored).select("ts_code", "trade_date", op.trend_label(F.round("research_score", 6)).alias("value"))
+
 
 _LAST = "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS n FROM ({0}) x) y WHERE n = 1"
 
 
-@query(
-    "rating_report",
-    f"SELECT ts_code, trade_date, score, {_ladder('score', op.RATING_STEPS, 'E')} AS rating, {_ladder('score', op.TREND_STEPS, 'strong down')} AS trend, {_ladder('momentum', op.MOMENTUM_LABELS, 'negative')} AS momentum_label, {_ladder('volatility', op.VOLATILITY_LABELS, 'low')} AS volatility_label, {_ladder('valuation', op.PERCENTILE_STEPS, 'very low')} AS valuation_label FROM ({_LAST.format(_SCORED)}) l",
-    "score",
-)
+@query("rating_report", f"SELECT {_KEYS}, research_score, {_RATING} AS rating, {_TREND} AS trend, percentile_label, momentum_label, volatility_label FROM ({_LAST.format(_SCORED)}) l", "research_score")
 def rating_report(v):
-    return op.rating_report(op.research_score(_panel(v)))
+    return op.rating_report(op.research_score(v.v_scored))
 
 
-_Z = "round((value - avg(value) OVER (PARTITION BY trade_date, factor)) / nullif(stddev_pop(value) OVER (PARTITION BY trade_date, factor), 0), 9)"
-_EXPOSED = f"SELECT trade_date, ts_code, factor, value, {_ladder('z', op.EXPOSURE_LABELS, 'far below')} AS label FROM (SELECT *, {_Z} AS z FROM (SELECT trade_date, ts_code, factor_name AS factor, value FROM v_long) a) b"
+_HINTS = {"ep": "up", "size_factor": "up", "momentum_3m": "up", "volatility_6m": "down"}
+_EXPOSED = f"SELECT {_KEYS}, factor, value, CASE factor WHEN 'volatility_6m' THEN 'down' ELSE 'up' END AS direction_hint, {_EXPOSURE_LABEL} AS exposure_label FROM (" + " UNION ALL ".join(f"SELECT {_KEYS}, '{f}' AS factor, {f} AS value FROM ({_LAST.format('SELECT * FROM v_scored')}) l WHERE {f} IS NOT NULL" for f in ("ep", "size_factor", "momentum_3m", "volatility_6m")) + ") e"
 
 
 @query("exposure_table", _EXPOSED, "value")
 def exposure_table(v):
-    return op.exposure_table(v.v_factor, ["factor_a", "factor_b"])
+    return op.exposure_table(v.v_scored, _HINTS)
 
 
-@query("exposure_label", f"SELECT factor, label, count(*) AS n FROM ({_EXPOSED}) e GROUP BY factor, label")
+@query("exposure_label", f"SELECT {_KEYS}, {_EXPOSURE_LABEL} AS label FROM (SELECT {_KEYS}, size_factor AS value FROM v_scored) s")
 def exposure_label(v):
-    return op.exposure_table(v.v_factor, ["factor_a", "factor_b"]).groupBy("factor", "label").agg(F.count(F.lit(1)).alias("n"))
+    return v.v_scored.select("ts_code", "trade_date", op.exposure_label(c("size_factor")).alias("label"))
 
 
-@query("score_trends", f"SELECT ts_code, trade_date, momentum, volatility FROM ({_PANEL}) p WHERE momentum IS NOT NULL OR volatility IS NOT NULL", "momentum volatility")
+@query("score_trends", f"SELECT {_KEYS}, momentum_3m, volatility_6m FROM v_scored WHERE momentum_3m IS NOT NULL OR volatility_6m IS NOT NULL", "momentum_3m volatility_6m")
 def score_trends(v):
-    return op.score_trends(_panel(v), ["momentum", "volatility"])
-
-
-def _compound(n: int) -> str:
-    return f"CASE WHEN count(CASE WHEN n <= {n} THEN ret END) = {n} THEN product(CASE WHEN n <= {n} THEN 1 + ret END) - 1 END"
+    return op.score_trends(v.v_scored, ["momentum_3m", "volatility_6m"])
 
 
-_RECENT = f"SELECT ts_code, max(CASE WHEN n = 1 THEN close END) AS last_close, {_compound(3)} AS return_3m, {_compound(6)} AS return_6m, CASE WHEN count(ret) = 6 THEN stddev_samp(ret) END AS volatility_6m FROM (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS n FROM v_ret) r WHERE n <= 6 GROUP BY ts_code"
+# every seventh row has no return, so the last three are not the last three rows
+_GAPS = "SELECT ts_code, trade_date, sqrt(close) AS close, CASE WHEN (year(trade_date) * 12 + month(trade_date)) % 7 <> 3 THEN 0.2E0 * ret END AS ret FROM v_ret"
+_BACK = f"SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS n FROM ({_GAPS}) g WHERE ret IS NOT NULL"
+_RECENT = f"""SELECT l.ts_code, l.trade_date AS latest_date, l.close AS latest_close, l.ret AS latest_monthly_return, recent_3m_return, recent_6m_return, recent_6m_volatility, coalesce(months, 0) AS available_months FROM ({_LAST.format(_GAPS)}) l LEFT JOIN (
+    SELECT ts_code, CASE WHEN count(*) >= 3 THEN product(CASE WHEN n <= 3 THEN 1 + ret END) - 1 END AS recent_3m_return, CASE WHEN count(*) >= 6 THEN product(CASE WHEN n <= 6 THEN 1 + ret END) - 1 END AS recent_6m_return,
+    CASE WHEN count(*) >= 6 THEN stddev_samp(CASE WHEN n <= 6 THEN ret END) END AS recent_6m_volatility, count(*) AS months FROM ({_BACK}) b GROUP BY ts_code) r USING (ts_code)"""
+_RECENT_DOUBLES = "latest_close latest_monthly_return recent_3m_return recent_6m_return recent_6m_volatility"
 
 
-@query("recent_returns", _RECENT, "last_close return_3m return_6m volatility_6m")
+@query("recent_returns", _RECENT, _RECENT_DOUBLES)
 def recent_returns(v):
-    return op.recent_returns(v.v_ret)
+    return op.recent_returns(v.sql(_GAPS))
 
 
-@query("price_summary", f"SELECT *, {_ladder('return_3m', op.RETURN_LABELS, 'strong fall')} AS return_3m_label, {_ladder('return_6m', op.RETURN_LABELS, 'strong fall')} AS return_6m_label, {_ladder('volatility_6m', op.VOLATILITY_LABELS, 'low')} AS volatility_label FROM ({_RECENT}) r", "last_close return_3m return_6m volatility_6m")
+@query("price_summary", f"SELECT *, {_RETURN_LABEL.format('recent_3m_return')} AS recent_3m_label, {_RETURN_LABEL.format('recent_6m_return')} AS recent_6m_label, {_RECENT_VOLATILITY_LABEL.format('recent_6m_volatility')} AS volatility_label FROM ({_RECENT}) r", _RECENT_DOUBLES)
 def price_summary(v):
-    return op.price_summary(v.v_ret)
+    return op.price_summary(v.sql(_GAPS))
 
 
 @query("factor_history", "SELECT * FROM v_factor WHERE ts_code = 'S00003'", "factor_a factor_b")
@@ -167,27 +189,30 @@ def _pairs(v):
     return ev.paired(v.v_long, v.v_label)
 
 
-_RANKED = f"SELECT factor_name, rank_ic_mean, row_number() OVER (ORDER BY abs(rank_ic_mean) DESC NULLS LAST, factor_name) AS place, {_ladder('abs(rank_ic_mean)', op.IC_LABELS, 'weak')} AS label FROM (SELECT factor_name, avg(rank_ic) AS rank_ic_mean FROM ({_IC}) i GROUP BY factor_name) s"
+_IC_LABEL = "CASE WHEN ic_mean IS NULL OR ic_positive IS NULL THEN 'N/A' WHEN abs(ic_mean) >= 0.05 AND ic_positive >= 0.6 THEN '历史 IC 表现较强' WHEN abs(ic_mean) >= 0.03 AND ic_positive >= 0.5 THEN '历史 IC 表现中等' ELSE '历史 IC 表现较弱' END"
+_MEAN_IC = "avg(ic) AS ic_mean, avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS ic_positive"
+_RANKED = f"SELECT factor_name, ic_mean, ic_positive, abs(ic_mean) AS abs_ic_mean, row_number() OVER (ORDER BY abs(ic_mean) DESC NULLS LAST, factor_name) AS place, {_IC_LABEL} AS effectiveness_label FROM (SELECT factor_name, {_MEAN_IC} FROM ({_IC}) i GROUP BY factor_name) s"
 
 
-@query("ic_ranking", _RANKED, "rank_ic_mean")
+@query("ic_ranking", _RANKED, "ic_mean ic_positive abs_ic_mean")
 def ic_ranking(v):
     return op.ic_ranking(ev.ic_summary(ev.ic_by_date(_pairs(v))))
 
 
-@query("top_factors", f"SELECT * FROM ({_RANKED}) r WHERE place = 1", "rank_ic_mean")
+@query("top_factors", f"SELECT * FROM ({_RANKED}) r WHERE place = 1", "ic_mean ic_positive abs_ic_mean")
 def top_factors(v):
     return op.top_factors(op.ic_ranking(ev.ic_summary(ev.ic_by_date(_pairs(v)))), 1)
 
 
-@query("ic_label", f"SELECT trade_date, factor_name, {_ladder('abs(round(rank_ic, 9))', op.IC_LABELS, 'weak')} AS label FROM ({_IC}) i")
+@query("ic_label", f"SELECT factor_name, year, {_IC_LABEL} AS label FROM (SELECT factor_name, year(trade_date) AS year, {_MEAN_IC} FROM ({_IC}) i GROUP BY 1, 2) s")
 def ic_label(v):
-    return ev.ic_by_date(_pairs(v)).select("trade_date", "factor_name", op.ic_label(F.round("rank_ic", 9)).alias("label"))
+    yearly = ev.ic_by_date(_pairs(v)).groupBy("factor_name", F.year("trade_date").alias("year")).agg(F.avg("ic").alias("m"), F.avg((c("ic") > 0).cast("double")).alias("s"))
+    return yearly.select("factor_name", "year", op.ic_label(c("m"), c("s")).alias("label"))
 
 
 @query("long_short_report", f"SELECT factor_name, {_stats('spread', 'spread')}, count(spread) AS n_dates FROM ({_SPREADS}) s GROUP BY factor_name", "spread_mean spread_std spread_ir spread_positive")
 def long_short_report(v):
-    return ev.long_short_summary(ev.long_short(ev.quantile_returns(_pairs(v)))).drop("monotonicity_mean")
+    return ev.long_short_summary(ev.long_short(ev.quantile_returns(_pairs(v)))).select("factor_name", "spread_mean", "spread_std", "spread_ir", "spread_positive", "n_dates")
 
 
 @query("group_return_report", f"SELECT factor_name, quantile, avg(group_return) AS mean_return, count(group_return) AS n FROM ({_QUANTILES}) q GROUP BY factor_name, quantile", "mean_return")
@@ -197,8 +222,12 @@ def group_return_report(v):
 
 @query(
     "backtest_labels",
-    f"SELECT total, max_drawdown, sharpe, win_rate, {_ladder('total', [(0.5, 'high'), (0.0, 'positive')], 'negative')} AS return_label, {_ladder('max_drawdown', [(-0.1, 'small'), (-0.3, 'medium')], 'large')} AS drawdown_label, {_ladder('sharpe', [(1.0, 'good'), (0.0, 'fair')], 'poor')} AS sharpe_label, {_ladder('win_rate', [(0.55, 'high'), (0.45, 'even')], 'low')} AS win_label FROM ({_SMETRICS}) m",
-    "total max_drawdown sharpe win_rate",
+    f"""SELECT cumulative_return, max_drawdown, sharpe_ratio, win_rate,
+        CASE WHEN cumulative_return IS NULL THEN 'N/A' WHEN cumulative_return >= 0.3 THEN '历史累计收益较高' WHEN cumulative_return >= 0.1 THEN '历史累计收益偏强' WHEN cumulative_return > -0.1 THEN '历史累计收益中性' WHEN cumulative_return > -0.3 THEN '历史累计收益偏弱' ELSE '历史累计收益较弱' END AS cumulative_return_label,
+        CASE WHEN max_drawdown IS NULL THEN 'N/A' WHEN max_drawdown >= -0.05 THEN '历史回撤较低' WHEN max_drawdown >= -0.15 THEN '历史回撤中等' ELSE '历史回撤较高' END AS max_drawdown_label,
+        CASE WHEN sharpe_ratio IS NULL THEN 'N/A' WHEN sharpe_ratio >= 1.5 THEN '历史夏普较高' WHEN sharpe_ratio >= 0.8 THEN '历史夏普中等偏高' WHEN sharpe_ratio >= 0 THEN '历史夏普一般' ELSE '历史夏普较弱' END AS sharpe_label,
+        CASE WHEN win_rate IS NULL THEN 'N/A' WHEN win_rate >= 0.6 THEN '历史胜率较高' WHEN win_rate >= 0.45 THEN '历史胜率中等' ELSE '历史胜率偏低' END AS win_rate_label FROM ({_SMETRICS}) m""",
+    "cumulative_return max_drawdown sharpe_ratio win_rate",
 )
 def backtest_labels(v):
     return op.backtest_labels(bt.simple_metrics(bt.simple_nav(_sret(v))))

@@ -47,11 +47,18 @@ def _stored(v) -> str:
     return path
 
 
-@query("write_partitioned", "SELECT ts_code, trade_date, close, CASE WHEN year(trade_date) = 1997 AND month(trade_date) = 3 THEN 0 ELSE vol END AS vol, year(trade_date) AS year, month(trade_date) AS month FROM v_day WHERE NOT (year(trade_date) = 1997 AND month(trade_date) = 3 AND day(trade_date) > 10)", "close vol")
+# a month's first days come again, with the volumes that lacked and with new codes
+_ROOTS = "SELECT ts_code, trade_date, round(sqrt(close), 6) AS close, round(vol, 6) AS vol FROM v_day"
+_LACKING = "SELECT ts_code, trade_date, round(sqrt(close), 6) AS close, CASE WHEN day(trade_date) <> 5 THEN round(vol, 6) END AS vol FROM v_day"
+_MARCH = "year(trade_date) = 1997 AND month(trade_date) = 3 AND day(trade_date) <= 10"
+
+
+@query("write_partitioned", f"SELECT *, year(trade_date) AS year, month(trade_date) AS month FROM (SELECT ts_code, trade_date, sqrt(close) AS close, CASE WHEN day(trade_date) <> 5 OR {_MARCH} THEN vol END AS vol FROM v_day UNION ALL SELECT concat(ts_code, 'X'), trade_date, sqrt(close), vol FROM v_day WHERE {_MARCH}) m", "close vol")
 def write_partitioned(v):
-    path = _stored(v)
-    again = v.sql(_ROUNDED).where("year(trade_date) = 1997 AND month(trade_date) = 3 AND day(trade_date) <= 10").withColumn("vol", F.lit(0.0))
-    src.write_partitioned(again, path)
+    path = src.work_dir(v.spark, "daily")
+    src.write_partitioned(v.sql(_LACKING), path)
+    again = v.sql(_ROOTS).where(_MARCH)
+    src.write_partitioned(again.unionByName(again.withColumn("ts_code", F.concat("ts_code", F.lit("X")))), path, fillable=("vol",))
     return v.spark.read.parquet(path)
 
 
@@ -138,21 +145,32 @@ def _tables(v):
     return {"factors": v.sql("SELECT trade_date, ts_code, round(factor_a, 6) AS factor_a FROM v_factor"), "labels": v.sql("SELECT trade_date, ts_code, round(forward_return, 6) AS forward_return FROM v_label")}
 
 
-_VERIFIED = "SELECT 'factors' AS \"table\", count(*) AS rows, count(*) AS stored_rows, TRUE AS unchanged FROM v_factor UNION ALL SELECT 'labels', count(*), count(*), TRUE FROM v_label"
+_FIRST = "SELECT trade_date, ts_code, round(factor_a, 6) AS factor_a FROM v_factor WHERE trade_date = (SELECT min(trade_date) FROM v_factor)"
 
-for _name in ("publish_factor_tables", "verify_tables", "publish_research_inputs"):
 
-    def _register(name):
-        @query(name, _VERIFIED)
-        def run(v):
-            path = src.work_dir(v.spark, "published")
-            if name == "publish_research_inputs":
-                path = src.publish_inputs(_tables(v), path)
-            else:
-                src.publish(_tables(v), path)
-            return src.verify(v.spark, path)
+@query("verify_tables", "SELECT 'factors' AS \"table\", count(*) AS rows, count(*) + count(CASE WHEN trade_date = (SELECT min(trade_date) FROM v_factor) THEN 1 END) AS stored_rows, FALSE AS unchanged FROM v_factor UNION ALL SELECT 'labels', count(*), count(*), TRUE FROM v_label")
+def verify_tables(v):
+    path = src.work_dir(v.spark, "published")
+    src.publish(_tables(v), path)
+    v.sql(_FIRST).write.mode("append").parquet(f"{path}/factors")  # a table that was changed afterwards
+    return src.verify(v.spark, path)
+
 
-    _register(_name)
+@query("publish_factor_tables", "SELECT f.trade_date, f.ts_code, factor_a, forward_return, (SELECT count(*) FROM v_factor) AS rows FROM v_factor f JOIN v_label l ON l.trade_date = f.trade_date AND l.ts_code = f.ts_code", "factor_a forward_return")
+def publish_factor_tables(v):
+    path = src.work_dir(v.spark, "published")
+    manifest = src.publish(_tables(v), path).where("table = 'factors'").select("rows")
+    read = lambda name: src.read_panel(v.spark, f"{path}/{name}")
+    return read("factors").join(read("labels"), ["trade_date", "ts_code"]).crossJoin(F.broadcast(manifest))
+
+
+@query("publish_research_inputs", "SELECT u.name, u.name <> 'changed' AS is_first, (SELECT count(*) FROM v_factor) - CASE u.name WHEN 'changed' THEN (SELECT count(*) FROM v_factor WHERE ts_code = 'S00003') ELSE 0 END AS rows FROM (SELECT unnest(['first', 'again', 'changed']) AS name) u")
+def publish_research_inputs(v):
+    root, changed = src.work_dir(v.spark, "published"), _tables(v)
+    changed["factors"] = changed["factors"].where("ts_code <> 'S00003'")
+    paths = {"first": src.publish_inputs(_tables(v), root), "again": src.publish_inputs(_tables(v), root), "changed": src.publish_inputs(changed, root)}
+    facts = [v.spark.read.parquet(f"{p}/manifest").where("table = 'factors'").select(F.lit(n).alias("name"), F.lit(p == paths["first"]).alias("is_first"), "rows") for n, p in paths.items()]
+    return facts[0].unionByName(facts[1]).unionByName(facts[2])
 
 
 @query("load_factor_tables", "SELECT trade_date, ts_code, factor_a FROM v_factor", "factor_a")

@@ -13,12 +13,12 @@ from ..registry import query
 from ..operators import universes
 from .cross_sections import _PREPARED
 from .evaluations import _IC, _moments
-from .learning import _COEF, _FEATURES, _METRICS, _OOS, _panel, _plan, _prepared, _ridge
+from .learning import _COEF, _FEATURES, _METRICS, _OOS, _kept, _panel, _plan, _prepared, _ridge
 
 _STUDY = _IC.replace("FROM v_long l", f"FROM ({_PREPARED}) l")
 
 
-@query("factor_study", f"SELECT factor_name, {_moments('ic')}, {_moments('rank_ic')}, avg(coverage) AS coverage_mean, count(ic) AS n_dates FROM ({_STUDY}) i GROUP BY factor_name", "ic_mean ic_std ic_ir ic_positive rank_ic_mean rank_ic_std rank_ic_ir rank_ic_positive coverage_mean")
+@query("factor_study", f"SELECT factor_name, {_moments('ic')}, {_moments('rank_ic')}, count(DISTINCT trade_date) AS periods, count(ic) AS n_dates, count(rank_ic) AS n_rank_dates, avg(coverage) AS coverage_mean, avg(n) AS n_mean FROM ({_STUDY}) i GROUP BY factor_name", "ic_mean ic_std ic_ir ic_positive rank_ic_mean rank_ic_std rank_ic_ir rank_ic_positive coverage_mean n_mean")
 def factor_study(v):
     weights = composition.resolve_weights(v.spark, ["factor_a", "factor_b"])
     return op.factor_study(v.v_long, v.v_label, {"factor_b": -1}, weights)["ic_summary"]
@@ -49,7 +49,7 @@ def universe_alias(v):
 
 @query("train_table_experiment", f"SELECT m.*, i.feature AS top_feature FROM (SELECT fold_id, {_METRICS} FROM ({_OOS}) o GROUP BY fold_id) m JOIN (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY abs(coefficient) DESC, feature) AS place FROM ({_COEF}) c WHERE feature <> 'intercept') i ON i.fold_id = m.fold_id AND place = 1", "mae rmse r2")
 def train_table_experiment(v):
-    tables = op.train_table_experiment(_panel(v), _plan(v), _FEATURES, "forward_return", 1.0)
+    tables = op.train_table_experiment(_kept(v, _panel(v), "panel"), _plan(v), _FEATURES, "forward_return", 1.0)
     top = tables["importances"].where("place = 1").select("fold_id", F.col("feature").alias("top_feature"))
     return tables["folds"].join(top, "fold_id")
 

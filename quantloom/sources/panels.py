@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coverage import complete_units
-from ..operators.quality import bad_code
+from ..operators.quality import bad_code, canonical_upsert
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -79,10 +82,38 @@ def checked_holdings(held: DataFrame, dates: int, rows: int) -> DataFrame:
     return held
 
 
-def write_partitioned(frame: DataFrame, path: str, date: str = "trade_date") -> None:
-    """By year and month; only the partitions that `frame` has are replaced."""
+def _there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_partitioned(frame: DataFrame, path: str, keys: tuple[str, ...] = ("trade_date", "ts_code"), fillable: tuple[str, ...] = (), date: str = "trade_date") -> None:
+    """Merge rows into a table by year and month: new keys are added, no row is lost.
+
+    Only the partitions that `frame` has are read and written again. A key that is there
+    already must have the same values (nulls of `fillable` columns may be filled), and a
+    key may come once: else nothing is written and it is an error.
+    """
+    spark = frame.sparkSession
     dated = frame.withColumn("year", F.year(date)).withColumn("month", F.month(date))
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    if not dated.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"keys {keys} are not unique")
+    there = _there(spark, path)
+    if there is None:
+        dated.write.partitionBy("year", "month").parquet(path)
+        return
+    touched = dated.select("year", "month").distinct()
+    merged = canonical_upsert(there.join(F.broadcast(touched), ["year", "month"], "left_semi"), dated, list(keys), fillable)
+    staged = work_dir(spark, "merge")  # a table can't be read and replaced at once
+    merged.write.parquet(staged)
+    merged = spark.read.parquet(staged)
+    if not merged.where("conflict").isEmpty():
+        raise ValueError("rows conflict with the rows that are there")
+    merged.drop("conflict").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
 
 
 def write_raw(frame: DataFrame, path: str, fetch_id: str) -> None:
@@ -120,11 +151,7 @@ def publish_inputs(frames: dict[str, DataFrame], root: str) -> str:
     """Publish a set of tables under its content's id; an id that is there already is reused."""
     spark = next(iter(frames.values())).sparkSession
     path = f"{root}/materialization_id={identity(frames)}"
-    try:
-        spark.read.parquet(f"{path}/manifest")
-    except Exception as e:  # not there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if _there(spark, f"{path}/manifest") is None:
         publish(frames, path)
     return path
 

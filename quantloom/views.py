@@ -64,6 +64,18 @@ VIEWS = {
     "v_long": "SELECT ts_code, trade_date, 'factor_a' AS factor_name, factor_a AS value FROM v_factor UNION ALL SELECT ts_code, trade_date, 'factor_b', factor_b FROM v_factor",
 }
 
+# the monthly study's factors, standardized by date, as a report reads them
+_MONTHS = "OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN {0} PRECEDING AND 1 PRECEDING)".format
+_RAW = {
+    "momentum_1m": f"sum(ret) {_MONTHS(1)}", "momentum_3m": f"CASE WHEN count(ret) {_MONTHS(3)} = 3 THEN sum(ret) {_MONTHS(3)} END", "volatility_6m": f"CASE WHEN count(ret) {_MONTHS(6)} = 6 THEN stddev_samp(ret) {_MONTHS(6)} END",
+    "ep": "CASE WHEN turnover_rate > 4 THEN 1 / turnover_rate END", "bp": "1 / close", "ps_inverse": "CASE WHEN amount > 30000 THEN 1 / amount END", "size_factor": "-ln(total_mv)",
+}
+_DAY = "OVER (PARTITION BY trade_date)"
+VIEWS["v_scored"] = f"""
+        SELECT ts_code, trade_date, {", ".join(f"round(({c} - avg({c}) {_DAY}) / nullif(stddev_samp({c}) {_DAY}, 0), 6) AS {c}" for c in _RAW)},
+               CASE WHEN turnover_rate > 3 THEN (rank() OVER (PARTITION BY trade_date ORDER BY amount) + 0.0E0) / count(*) {_DAY} END AS score_pct_rank
+        FROM (SELECT ts_code, trade_date, turnover_rate, amount, {", ".join(f"{x} AS {c}" for c, x in _RAW.items())} FROM v_ret) r"""
+
 VIEWS |= {
     # a monthly selection of daily codes, effective on the next open day; mean prices jump about, so
     # daily returns are small parts of theirs

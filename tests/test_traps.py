@@ -7,7 +7,7 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from quantloom.functions.math import average_rank, correlation, ladder
+from quantloom.functions.math import average_rank, correlation, steps
 from quantloom.operators import cross_section, factors, joins, quality, signals
 
 
@@ -29,9 +29,9 @@ def test_correlation_of_a_constant_is_null(spark):
     assert rows.agg(correlation(F.col("x"), F.col("y"))).first()[0] is None
 
 
-def test_ladder_keeps_null(spark):
-    rows = spark.createDataFrame([(None,), (0.5,), (-1.0,)], "x double")
-    assert [r[0] for r in rows.select(ladder(F.col("x"), [(0.0, "up")], "down")).collect()] == [None, "up", "down"]
+def test_steps_name_what_is_missing(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),), (0.5,), (0.0,), (-1.0,)], "x double")
+    assert [r[0] for r in rows.select(steps(F.col("x"), [(">", 0.0, "up"), (">=", 0.0, "flat")], "down", "none")).collect()] == ["none", "none", "up", "flat", "down"]
 
 
 def test_rolling_factor_needs_a_full_frame(spark):
