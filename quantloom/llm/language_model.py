@@ -2,82 +2,237 @@
 
 The model is an n-gram model with Dirichlet smoothing: p(w | h) = (c(hw) + m p(w | h')) /
 (c(h) + m), where h' is h without its first word and the lowest order is the add-half
-unigram. Its histories are states: a seen n-gram is an arc with its smoothed weight, every
-other word takes the failure arc, of weight m / (c(h) + m), to the state of h'. A text is
-traversed once from left to right, the state being the longest history seen so far; as a
-state depends on the last words only, the positions of a block are traversed together.
+unigram. Its seen histories are states. A seen n-gram is an arc from its history's state to
+the state of the longest history that it ends in, with its smoothed weight; every other word
+takes the failure arc, of weight m / (c(h) + m), to the state of h'. A text is traversed once
+from left to right: the state is carried from token to token and the weights are summed. A
+state depends on the last words only, so a long text is traversed in pieces, each of which
+first reads the words before it, and all pieces of a block advance together.
 
 Neither the model nor the text is ever in one place. Texts are dealt into blocks of bounded
 size by a hash. Each block sends its distinct n-grams, with their training counts, to the
 parts of the model, which add the counts up and answer each block with the totals of what
 it asked for; so a block builds the automaton of just the n-grams that its texts can reach.
+Words and pairs of words go first, and the parts also say which pairs several blocks have. A
+longer n-gram is sent only if other blocks have both shorter ones in it: if one of these is
+the block's alone, so is the longer one, and its own count is the total.
 Blocks, parts and everything shuffled grow with the input.
 """
 
 from __future__ import annotations
 
+import zlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NONSPACE, chunks, fold, hashed_words, parts_for, text_bytes, total_bytes
 
-ORDER = 2
+ORDER = 3
 PRIOR = 100.0  # m, in tokens
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+PIECE = 512  # tokens that are traversed as one
 _END = np.uint64(0x45D9F3B3335B369D)
 _START = np.uint64(0x119DE1F3A5C7B1E9)
 
 
-def _grams(texts, train: np.ndarray, order: int):
-    """Token offsets of the documents, and for every order 1..n the distinct keys, the tokens'
-    indices into them, and each key's training count."""
-    data, offsets = text_bytes(texts)
-    words, counts = [], []
-    for _, _, d, o in chunks(data, offsets):
-        h, b = hashed_words(d, o, NONSPACE)
-        words.append(h)
-        counts.append(np.diff(b))
-    n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    ends = np.cumsum(n + 1) - 1
-    tokens = np.empty(int((n + 1).sum()), np.uint64)
-    is_end = np.zeros(len(tokens), bool)
-    is_end[ends] = True
-    tokens[is_end] = _END
-    tokens[~is_end] = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(n)), n + 1)
-    first = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64) if len(n) else np.zeros(0, np.int64)
-    weight = train[owner].astype(float)
-    levels = []
-    for k in range(1, order + 1):
-        # the k-gram that ends at a token; before a text stand start marks
-        key = np.full(len(tokens), np.uint64(k))
+class _Block:
+    """The tokens of a block's documents, and the n-grams that end at them."""
+
+    def __init__(self, table):
+        self.train = table.column("train").to_numpy(zero_copy_only=False)
+        data, offsets = text_bytes(table.column("text"))
+        words, counts = [], []
+        for _, _, d, o in chunks(data, offsets):
+            h, b = hashed_words(d, o, NONSPACE)
+            words.append(h)
+            counts.append(np.diff(b))
+        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        ends = np.cumsum(n + 1) - 1
+        self.tokens = np.empty(int((n + 1).sum()), np.uint64)
+        self.is_end = np.zeros(len(self.tokens), bool)
+        self.is_end[ends] = True
+        self.tokens[self.is_end] = _END
+        self.tokens[~self.is_end] = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        self.first = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64) if len(n) else np.zeros(0, np.int64)
+        self.sizes = n + 1
+        self.owner = np.repeat(np.arange(len(n)), n + 1)
+        self.weight = self.train[self.owner].astype(float)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of the k-grams, each token's index among them, and their training counts; before a text stand start marks."""
+        key = np.full(len(self.tokens), np.uint64(k))
+        begin = self.first[self.owner]
         for j in range(k - 1, -1, -1):
-            at = np.arange(len(tokens)) - j
-            key = fold(key, np.where(at >= first[owner], tokens[np.maximum(at, 0)], _START))
+            at = np.arange(len(self.tokens)) - j
+            key = fold(key, np.where(at >= begin, self.tokens[np.maximum(at, 0)], _START))
         distinct, index = np.unique(key, return_inverse=True)
-        levels.append((distinct, index, np.bincount(index, weight, len(distinct)).astype(np.int64)))
-    return first, levels
+        return distinct, index, np.bincount(index, self.weight, len(distinct)).astype(np.int64)
+
+    def before(self, values: np.ndarray, start: int) -> np.ndarray:
+        """Each token's value of the token before it; `start` for a text's first."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = start
+        return out
+
+    def shared(self, shorter: np.ndarray, has: np.ndarray, longer: np.ndarray, n: int) -> np.ndarray:
+        """Which of n longer n-grams other blocks may have: those of whose shorter ones they have both. Each token's
+        shorter and longer n-gram are given as indices."""
+        elsewhere = has[shorter]
+        both = elsewhere & self.before(elsewhere, True)
+        out = np.zeros(n, bool)
+        out[longer[both]] = True
+        return out
+
+
+class _Automaton:
+    """States, arcs and failure arcs over a block's n-grams. State 0 is the empty history; the ends of texts lead nowhere."""
+
+    def __init__(self, block: _Block, levels: list, totals: list[np.ndarray], tokens: int, distinct: int, prior: float):
+        order = len(levels)
+        ends = levels[0][1][block.is_end]
+        texts = int(totals[0][ends[0]]) if len(ends) else 0  # training texts
+        self.words = len(levels[0][0])
+        # the states of a text's start, and of the seen n-grams of each level
+        seen = [t > 0 for t in totals[: order - 1]]
+        self.start, states = [0, *range(1, order)], order
+        at_level = []
+        for known in seen:
+            ids = np.zeros(len(known), np.int64)
+            ids[known] = states + np.arange(known.sum())
+            states += int(known.sum())
+            at_level.append(ids)
+        self.failure, count = np.zeros(states, np.int64), np.full(states, texts, np.int64)
+        self.failure[1:order] = np.arange(order - 1)
+        suffix = [np.zeros(0, np.int64)]
+        for k in range(1, order):
+            inside = np.empty(len(levels[k][0]), np.int64)
+            inside[levels[k][1]] = levels[k - 1][1]
+            suffix.append(inside)
+        for k, known in enumerate(seen):
+            own = at_level[k][known]
+            count[own] = totals[k][known]
+            if k:
+                self.failure[own] = at_level[k - 1][suffix[k][known]]
+        self.backoff = np.log10(prior / (count + prior))
+        self.backoff[0] = 0.0
+        p = [(totals[0] + 0.5) / (tokens + 0.5 * (distinct + 1))]
+        self.root = np.log10(p[0])
+        is_end = np.zeros(self.words, bool)
+        is_end[ends] = True
+        self.root_next = np.where(is_end, 0, at_level[0]) if order > 1 else np.zeros(self.words, np.int64)
+        keys, weights, targets = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for k in range(1, order):
+            history = np.empty(len(levels[k][0]), np.int64)
+            history[levels[k][1]] = block.before(at_level[k - 1][levels[k - 1][1]], self.start[k])
+            word = np.empty(len(levels[k][0]), np.int64)
+            word[levels[k][1]] = levels[0][1]
+            p.append((totals[k] + prior * p[k - 1][suffix[k]]) / (count[history] + prior))
+            arc = np.flatnonzero(totals[k] > 0)
+            keys.append(history[arc] * self.words + word[arc])
+            weights.append(np.log10(p[k][arc]))
+            to = at_level[k][arc] if k < order - 1 else at_level[k - 1][suffix[k][arc]]
+            targets.append(np.where(is_end[word[arc]], 0, to))
+        keys = np.concatenate(keys)
+        by_key = np.argsort(keys)
+        self.keys = np.append(keys[by_key], np.iinfo(np.int64).max)
+        self.weights, self.targets = np.concatenate(weights)[by_key], np.concatenate(targets)[by_key]
+        self.order = order
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 weights of the words in the states, by arcs and failure arcs, and the states after them."""
+        out, after, at = np.zeros(len(state)), np.empty(len(state), np.int64), state.copy()
+        open_ = np.arange(len(state))
+        while len(open_):
+            key = at[open_] * self.words + word[open_]
+            place = np.searchsorted(self.keys, key)
+            found = (self.keys[place] == key) & (at[open_] > 0)
+            hit = open_[found]
+            out[hit] += self.weights[place[found]]
+            after[hit] = self.targets[place[found]]
+            open_ = open_[~found]
+            done = at[open_] == 0
+            root = open_[done]
+            out[root] += self.root[word[root]]
+            after[root] = self.root_next[word[root]]
+            open_ = open_[~done]
+            out[open_] += self.backoff[at[open_]]
+            at[open_] = self.failure[at[open_]]
+        return out, after
+
+    def traverse(self, block: _Block, word: np.ndarray) -> np.ndarray:
+        """The log10 probability of every document."""
+        pieces = -(-block.sizes // PIECE)
+        doc = np.repeat(np.arange(len(pieces)), pieces)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        warm = np.where(number > 0, min(self.order - 1, PIECE), 0)  # words that only lead to the state
+        begin = block.first[doc] + number * PIECE - warm
+        size = np.minimum(PIECE, block.sizes[doc] - number * PIECE) + warm
+        order = np.argsort(-size, kind="stable")
+        doc, number, warm, begin, size = doc[order], number[order], warm[order], begin[order], size[order]
+        state = np.where(number > 0, 0, self.start[-1])
+        score = np.zeros(len(doc))
+        for j in range(int(size.max()) if len(size) else 0):
+            n = int(np.searchsorted(-size, -j, "left"))  # pieces of more than j tokens
+            weight, state[:n] = self.step(state[:n], word[begin[:n] + j])
+            score[:n] += np.where(warm[:n] <= j, weight, 0.0)
+        return np.bincount(doc, score, len(block.sizes))
+
+
+def _squeezed(plane: np.ndarray) -> bytes:
+    """Bytes of few different values by their Huffman codes, and the codes' length in eight bytes before them."""
+    z = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    out = z.compress(np.ascontiguousarray(plane)) + z.flush()
+    return np.int64(len(out)).tobytes() + out
+
+
+def _stretched(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    end = at + 8 + int(np.frombuffer(data, "<i8", 1, at)[0])
+    return np.frombuffer(zlib.decompress(data[at + 8 : end], -15), np.uint8), end
 
 
 def _pack(counts: np.ndarray) -> bytes:
     """Counts in a byte each, larger ones in eight after them."""
-    small = np.minimum(counts, 255).astype(np.uint8)
-    return small.tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    return _squeezed(np.minimum(counts, 255).astype(np.uint8)) + counts[counts >= 255].astype("<i8").tobytes()
 
 
-def _unpack(data: bytes, n: int) -> tuple[np.ndarray, int]:
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+def _unpack(data: bytes, at: int = 0) -> np.ndarray:
+    small, at = _stretched(data, at)
+    out = small.astype(np.int64)
     large = np.flatnonzero(out == 255)
-    out[large] = np.frombuffer(data, "<i8", len(large), n)
-    return out, n + 8 * len(large)
+    out[large] = np.frombuffer(data, "<i8", len(large), at)
+    return out
+
+
+_FIVE = np.uint64(40)
+
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences: the five lower bytes of each, the sixth ones, and larger ones whole."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    high = np.minimum(step >> _FIVE, np.uint64(255)).astype(np.uint8)
+    return step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + _squeezed(high) + step[high == 255].astype("<u8").tobytes()
 
-def _by_part(distinct: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    part = (distinct % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+def _keys(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :5] = np.frombuffer(data, np.uint8, 5 * n, at).reshape(n, 5)
+    high, at = _stretched(data, at + 5 * n)
+    step = step.view("<u8")[:, 0] | (high.astype(np.uint64) << _FIVE)
+    big = np.flatnonzero(high == 255)
+    step[big] = np.frombuffer(data[at : at + 8 * len(big)], "<u8")
+    return np.cumsum(step, dtype=np.uint64), at + 8 * len(big)
+
+
+def _bounds(distinct: np.ndarray, parts: int) -> np.ndarray:
+    """Where the sorted keys of each part begin; parts are equal ranges of keys."""
+    part = ((distinct >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return np.searchsorted(part, np.arange(parts + 1))
 
 
 def score_texts(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -91,82 +246,109 @@ def score_texts(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR
     spark = docs.sparkSession
     blocks = parts_for(spark, total_bytes(docs), block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    levels = order
+    dealt = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
 
-    def ask(table):
+    def message(table, asked: dict) -> pa.Table:
+        """A row for each part: for every level its keys and counts."""
         block = table.column("block")[0].as_py()
-        _, found = _grams(table.column("text"), table.column("train").to_numpy(zero_copy_only=False), order)
-        sorted_ = [_by_part(d, blocks) for d, _, _ in found]
+        bounds = {k: _bounds(keys, blocks) for k, (keys, _) in asked.items()}
         rows = []
         for p in range(blocks):
-            head, body = [], []
-            for (d, _, c), (o, b) in zip(found, sorted_, strict=True):
-                own = o[b[p] : b[p + 1]]
-                head.append(len(own))
-                body += [d[own].tobytes(), _pack(c[own])]
-            rows.append(np.array(head, "<i8").tobytes() + b"".join(body))
-        return pa.table({"part": pa.array(range(blocks), pa.int64()), "block": pa.array([block] * blocks, pa.int64()), "asked": pa.array(rows, pa.large_binary()).cast(pa.binary())})
+            body = [np.int64(len(asked)).tobytes()]
+            for k, (keys, counts) in asked.items():
+                a, b = bounds[k][p], bounds[k][p + 1]
+                keys_, counts_ = _steps(keys[a:b]), _pack(counts[a:b])
+                body += [np.array([k, b - a, len(counts_)], "<i8").tobytes(), keys_, counts_]
+            rows.append(b"".join(body))
+        return pa.table({"part": pa.array(range(blocks), pa.int64()), "block": pa.array([block] * blocks, pa.int64()), "data": pa.array(rows, pa.binary())})
 
     def answer(table):
-        part, asked = table.column("part")[0].as_py(), table.column("asked").to_pylist()
-        keys, counts = [[] for _ in range(levels)], [[] for _ in range(levels)]
-        for data in asked:
-            sizes, at = np.frombuffer(data, "<i8", levels), 8 * levels
-            for level, n in enumerate(sizes.tolist()):
-                keys[level].append(np.frombuffer(data, np.uint64, n, at) if at % 8 == 0 else np.frombuffer(data[at : at + 8 * n], np.uint64))
-                at += 8 * n
-                c, used = _unpack(data[at:], n)
-                counts[level].append(c)
-                at += used
-        replies = [[] for _ in asked]
-        for level in range(levels):
-            distinct, index = np.unique(np.concatenate(keys[level]), return_inverse=True)
+        """The totals of every level to each block that asked; from pairs of words on, twice the total, and one more for a key that several blocks have."""
+        asked: dict[int, list] = {}
+        for x in table.column("data").to_pylist():
+            at = 8
+            for _ in range(int(np.frombuffer(x, "<i8", 1)[0])):
+                level, n, width = np.frombuffer(x, "<i8", 3, at).tolist()
+                keys, at = _keys(x, n, at + 24)
+                asked.setdefault(level, []).append((keys, _unpack(x, at)))
+                at += width
+        out = []
+        for level, some in asked.items():
+            distinct, index = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
             total = np.zeros(len(distinct), np.int64)
-            np.add.at(total, index, np.concatenate(counts[level]))
-            if level == 0:
-                known = np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()
-                for r in replies:
-                    r.append(known)
-            ends = np.cumsum([len(x) for x in keys[level]])
-            for r, e, x in zip(replies, ends.tolist(), keys[level], strict=True):
-                r.append(_pack(total[index[e - len(x) : e]]))
-        return pa.table({"block": table.column("block"), "part": pa.array([part] * len(asked), pa.int64()), "told": pa.array([b"".join(r) for r in replies], pa.binary())})
+            np.add.at(total, index, np.concatenate([c for _, c in some]))
+            head, value = b"", total
+            if level == 1:
+                head = np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()
+            else:
+                value = 2 * total + (np.bincount(index, minlength=len(distinct)) > 1)
+            ends = np.cumsum([len(k) for k, _ in some])
+            replies = [head + _pack(value[index[e - len(k) : e]]) for e, (k, _) in zip(ends.tolist(), some, strict=True)]
+            out.append(pa.table({"block": table.column("block"), "part": table.column("part"), "level": pa.array([level] * len(replies), pa.int32()), "data": pa.array(replies, pa.binary())}))
+        return pa.concat_tables(out)
+
+    def told_values(told, level: int, distinct: np.ndarray, sent: np.ndarray | None = None):
+        """What the parts tell of a level's keys, -1 where nothing was sent; of words, all training tokens and distinct ones too."""
+        out = np.full(len(distinct), -1, np.int64)
+        place = np.arange(len(distinct)) if sent is None else np.flatnonzero(sent)
+        bounds, tokens, words = _bounds(distinct[place], blocks), 0, 0
+        rows = told.filter(pc.equal(told.column("level"), level))
+        for p, data in zip(rows.column("part").to_pylist(), rows.column("data").to_pylist(), strict=True):
+            if level == 1:
+                n, v = np.frombuffer(data, "<i8", 2).tolist()
+                tokens, words, data = tokens + n, words + v, data[16:]
+            mine = place[bounds[p] : bounds[p + 1]]
+            out[mine] = _unpack(data)
+        return out, tokens, words
+
+    def ask(table):
+        block = _Block(table)
+        return message(table, {k: (g[0], g[2]) for k in range(1, min(order, 2) + 1) for g in [block.grams(k)]})
+
+    def longer_levels(block, told, upto: int):
+        """The grams of the levels from two to `upto`, their totals (of the last, if it was answered), and which of the last are sent."""
+        levels, totals, sent, has = [], [], None, None
+        for k in range(2, upto + 1):
+            gram = block.grams(k)
+            if k > 2:
+                sent = block.shared(levels[-1][1], has, gram[1], len(gram[0]))
+            value, _, _ = told_values(told, k, gram[0], sent)
+            levels.append(gram)
+            totals.append(np.where(value < 0, gram[2], value >> 1))
+            has = (value > 0) & (value & 1 == 1)
+        return levels, totals, sent
+
+    def ask_longer(k: int):
+        def run(texts, told):
+            levels, _, sent = longer_levels(_Block(texts), told, k)
+            return message(texts, {k: (levels[-1][0][sent], levels[-1][2][sent])})
+
+        return run
 
     def score(texts, told):
-        train_mask = texts.column("train").to_numpy(zero_copy_only=False)
-        first, found = _grams(texts.column("text"), train_mask, order)
-        sorted_ = [_by_part(d, blocks) for d, _, _ in found]
-        totals = [np.zeros(len(d), np.int64) for d, _, _ in found]
-        tokens = distinct = 0
-        for p, data in zip(told.column("part").to_pylist(), told.column("told").to_pylist(), strict=True):
-            n, v = np.frombuffer(data, "<i8", 2).tolist()
-            tokens, distinct, at = tokens + n, distinct + v, 16
-            for level, (o, b) in enumerate(sorted_):
-                own = o[b[p] : b[p + 1]]
-                totals[level][own], used = _unpack(data[at:], len(own))
-                at += used
-        per_token = [t[index] for t, (_, index, _) in zip(totals, found, strict=True)]
-        unigram = (per_token[0] + 0.5) / (tokens + 0.5 * (distinct + 1))
-        p = unigram
-        texts_seen = per_token[0][np.append(first[1:], len(p)) - 1]  # how often the end follows anything: the training texts
-        for k in range(1, order):
-            # a history occurs as often as the shorter n-gram that ends before the token; a text's start as often as its end
-            seen, history = per_token[k], np.append(0, per_token[k - 1][:-1])
-            history[first] = texts_seen
-            failure = prior / (history + prior)
-            p = np.where(seen > 0, (seen + prior * p) / (history + prior), failure * p)
-        sums = [np.add.reduceat(x, first) for x in (np.ones(len(p), np.int64), (per_token[0] > 0).astype(np.int64), np.log10(unigram), np.log10(p))]
+        block = _Block(texts)
+        words = block.grams(1)
+        total, tokens, distinct = told_values(told, 1, words[0])
+        levels, totals, _ = longer_levels(block, told, order)
+        levels, totals = [words, *levels], [total, *totals]
+        automaton = _Automaton(block, levels, totals, tokens, distinct, prior)
+        base, known = automaton.root[words[1]], (total > 0)[words[1]]
+        sums = [np.add.reduceat(x, block.first) for x in (known.astype(np.int64), base)]
         return pa.table(
             {
-                "doc_id": texts.column("doc_id"), "held_out": pa.array(~train_mask), "n_tokens": sums[0], "n_known": sums[1],
-                "train_tokens": np.full(len(first), tokens), "base_score": sums[2], "score": sums[3],
+                "doc_id": texts.column("doc_id"), "held_out": pa.array(~block.train), "n_tokens": block.sizes, "n_known": sums[0],
+                "train_tokens": np.full(len(block.first), tokens), "base_score": sums[1], "score": automaton.traverse(block, words[1]),
             }
         )
 
-    told = dealt.groupBy("block").applyInArrow(ask, "part long, block long, asked binary").groupBy("part").applyInArrow(answer, "block long, part long, told binary")
+    by_part = lambda sent: sent.repartition(blocks, "part").groupBy("part")
+    sent, reply = "part long, block long, data binary", "block long, part long, level int, data binary"
+    answers = [by_part(dealt.groupBy("block").applyInArrow(ask, sent)).applyInArrow(answer, reply).repartition(blocks, "block")]
+    so_far = lambda: reduce(DataFrame.union, answers).groupBy("block")
+    for k in range(3, order + 1):
+        answers.append(by_part(dealt.groupBy("block").cogroup(so_far()).applyInArrow(ask_longer(k), sent)).applyInArrow(answer, reply).repartition(blocks, "block"))
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, result)
+    return dealt.groupBy("block").cogroup(so_far()).applyInArrow(score, result)
 
 
 def op3_language_model(spark, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def test_multikey_quicksort():
     assert levels[1].tolist() == [False] + [a[:2] == b[:2] for a, b in zip(want, want[1:])]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model(docs, rows, empty, order):
     train = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
     counts, histories = defaultdict(Counter), defaultdict(Counter)

@@ -63,24 +63,31 @@ def test_sql(got, duck, name):
 
 
 def test_op3(got, texts):
-    # bigrams over add-half unigrams, prior 100; a start mark before a text
+    # n-grams of three words over shorter ones over add-half unigrams, prior 100; start marks before a text
     tokens = {d: [*words(t), None] for d, t in texts.items()}
-    uni, bi, history = Counter(), Counter(), Counter()
+
+    def histories(w):
+        marked = ["<s>", "<s>", *[("w", x) for x in w]]
+        return [((marked[i + 1],), (marked[i], marked[i + 1])) for i in range(len(w))]
+
+    uni, grams, history = Counter(), Counter(), Counter()
     for d, w in tokens.items():
         if crc_class(d, 5) != 1:
             uni.update(w)
-            pairs = list(zip(["<s>", *[("w", x) for x in w]], w))
-            bi.update(pairs)
-            history.update(h for h, _ in pairs)
+            for hs, x in zip(histories(w), w, strict=True):
+                grams.update((h, x) for h in hs)
+                history.update(hs)
     n, v = sum(uni.values()), len(uni)
     rows = got("op3_language_model")
     assert len(rows) == len(texts)
     for r in rows:
         w, base, score = tokens[r["doc_id"]], 0.0, 0.0
-        for h, x in zip(["<s>", *[("w", y) for y in w]], w):
+        for hs, x in zip(histories(w), w, strict=True):
             p = (uni[x] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
-            score += math.log10((bi[h, x] + 100 * p) / (history[h] + 100))
+            for h in hs:
+                p = (grams[h, x] + 100 * p) / (history[h] + 100)
+            score += math.log10(p)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (crc_class(r["doc_id"], 5) == 1, len(w), sum(uni[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
