@@ -1,12 +1,12 @@
 """Benchmark decontamination over suffix arrays of the training text.
 
-Every run of documents of about a megabyte is a shard. The words of a shard become
-codes of the benchmark's vocabulary (0: not in it), the shard's suffixes are sorted
-into a suffix array, and every benchmark suffix is binary-searched in it, one word
-deeper at a time, which leaves its longest verbatim match and all its places. A
-suffix whose first two words never occur together in the benchmark can hold no match
-and is left out of the array. The work needs no shuffle: the benchmark is broadcast
-in blocks of at most `BLOCK_BYTES`, which are applied one after another.
+Every run of documents of about a megabyte is a shard. The words of a shard become codes of
+the benchmark's vocabulary (0: not in it). The shard's suffixes are sorted one word deeper at
+a time, and every benchmark suffix is binary-searched in them, as far as it has matches: that
+leaves its longest verbatim match and all its places. Suffixes that no benchmark suffix
+matches so far aren't sorted any deeper. The work needs no shuffle of documents: the benchmark
+is stored in blocks of about `BLOCK_BYTES`, and a task takes one block after another for each
+batch of documents.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, chunks, fresh, hashed_words, text_bytes
+from .common import ALNUM, chunks, fresh, hashed_words, shared_dir, text_bytes
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -38,176 +40,154 @@ _STATE = T.StructType(
 
 
 class TestSuffixes:
-    """The windows of a block of benchmark items, as rows of word codes with -1 behind their end."""
+    """The suffixes of a block of benchmark items, as word codes."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
-        words, bounds = hashed_words(data, offsets, ALNUM)
-        self.window = window
-        self.vocabulary, codes = np.unique(words, return_inverse=True)
-        rows, owners = [], []
-        for k, (name, _) in enumerate(items):
-            own = codes[bounds[k] : bounds[k + 1]] + 1
-            for j in range(max(len(own) - window + 1, min(len(own), 1))):
-                row = np.full(window, -1, np.int64)
-                part = own[j : j + window]
-                row[: len(part)] = part
-                rows.append(row)
-                owners.append(name)
-        table = np.array(rows, np.int64).reshape(-1, window)
-        self.rows, which = np.unique(table, axis=0, return_inverse=True)
-        which = which.reshape(-1)
-        self.length = (self.rows >= 0).sum(axis=1)
-        names: list[set] = [set() for _ in range(len(self.rows))]
-        for w, name in zip(which, owners, strict=True):
-            if name is not None:
-                names[w].add(name)
+    def __init__(self, names: list[str | None], texts: pa.Array, window: int):
+        words, bounds = hashed_words(*text_bytes(texts), ALNUM)
         self.names = names
-        width = len(self.vocabulary) + 2
-        self.width = width
-        first, second = self.rows[:, 0], self.rows[:, min(1, window - 1)]
-        self.single = np.unique(first[self.length == 1])
-        self.pairs = np.unique(first[self.length > 1] * width + second[self.length > 1])
-
-    def search(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(window, place) of every occurrence of a window; (place, length) of the longest matches of test suffixes."""
-        none = np.zeros(0, np.int64)
-        if not len(self.rows) or not len(words):
-            return none, none, none, none
+        self.vocabulary, codes = np.unique(words, return_inverse=True)
+        self.codes, self.width = codes + 1, len(self.vocabulary) + 2
+        sizes = np.diff(bounds)
+        self.item = np.repeat(np.arange(len(names)), sizes)
+        at = np.arange(len(words))
+        self.left = bounds[1:][self.item] - at
+        whole = (at == bounds[:-1][self.item]) & (self.left < window)
+        self.window = np.where(self.left >= window, window, np.where(whole, self.left, 0))  # words of the window that begins here, if one does
+
+    def search(self, words: np.ndarray, doc: np.ndarray, docs: int):
+        """Of a shard: how many windows cover each word, (document, item) pairs of windows that occur, and each document's longest match."""
+        cover, longest, pairs = np.zeros(len(words) + 1, np.int64), np.zeros(docs, np.int64), [np.zeros((0, 2), np.int64)]
+        if not len(self.codes) or not len(words):
+            return cover[:-1], pairs[0], longest
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         code = np.where(self.vocabulary[at] == words, at + 1, 0)
-        following = np.zeros_like(code)
-        following[:-1] = np.where(doc[1:] == doc[:-1], code[1:], 0)
-        place = np.flatnonzero(code)
-        pair = code[place] * self.width + following[place]
-        place = place[np.isin(pair, self.pairs) | np.isin(code[place], self.single)]
-        if not len(place):
-            return none, none, none, none
-        depth = np.zeros((self.window, len(place)), np.int64)
-        for k in range(self.window):
-            to = place + k
-            ok = to < len(code)
-            ok[ok] = doc[to[ok]] == doc[place[ok]]
-            depth[k, ok] = code[to[ok]]
-        order = np.lexsort(depth[::-1])  # the suffix array
-        place, depth = place[order], depth[:, order]
-        group = np.zeros(len(place), np.int64)  # where the run of equal prefixes starts
-        lo, hi = np.zeros(len(self.rows), np.int64), np.full(len(self.rows), len(place), np.int64)
-        reached, best_lo, best_hi = np.zeros(len(self.rows), np.int64), lo.copy(), lo.copy()
-        alive = np.ones(len(self.rows), bool)
-        for k in range(self.window):
-            alive &= self.length > k
-            if not alive.any():
-                break
-            key = group * self.width + depth[k]
-            want = lo[alive] * self.width + self.rows[alive, k]
-            left, right = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
-            ids = np.flatnonzero(alive)
-            lo[ids], hi[ids] = left, right
-            found = right > left
-            reached[ids[found]] = k + 1
-            best_lo[ids[found]], best_hi[ids[found]] = left[found], right[found]
-            alive[ids[~found]] = False
+        last = np.searchsorted(doc, doc, "right")  # where each word's document ends
+        place, group = np.flatnonzero(code), None  # suffixes in order, and where the run of equal ones so far begins
+        suffix, low = np.arange(len(self.codes)), np.zeros(len(self.codes), np.int64)
+        depth = 0
+        while len(suffix):
+            there = place + depth < last[place]
+            following = np.where(there, code[np.minimum(place + depth, len(code) - 1)], 0)
+            order = np.argsort(following, kind="stable") if group is None else np.lexsort((following, group))
+            place = place[order]
+            key = following[order] if group is None else group * self.width + following[order]
+            want = low * self.width + self.codes[suffix + depth]
+            first, end = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
+            found = end > first
+            suffix, first, end = suffix[found], first[found], end[found]
+            depth += 1
+            turn = np.zeros(len(place) + 1, np.int64)
+            np.add.at(turn, first, 1)
+            np.add.at(turn, end, -1)
+            kept = np.cumsum(turn[:-1]) > 0
+            longest[doc[place[kept]]] = depth
+            full = np.flatnonzero(self.window[suffix] == depth)
+            if len(full):
+                runs, run = np.unique(first[full], return_index=True)  # equal windows are the same run
+                n = end[full[run]] - runs
+                which = np.repeat(np.arange(len(runs)), n)
+                hit = place[np.repeat(runs - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                np.add.at(cover, hit, 1)
+                np.add.at(cover, hit + depth, -1)
+                held = np.unique(np.stack([which, doc[hit]], 1), axis=0)
+                owned = np.unique(np.stack([np.searchsorted(runs, first[full]), self.item[suffix[full]]], 1), axis=0)
+                a, b = np.searchsorted(owned[:, 0], held[:, 0], "left"), np.searchsorted(owned[:, 0], held[:, 0], "right")
+                m = b - a
+                pairs.append(np.unique(np.stack([np.repeat(held[:, 1], m), owned[np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum()), 1]], 1), axis=0))
             fresh_run = np.ones(len(key), bool)
             fresh_run[1:] = key[1:] != key[:-1]
-            group = np.maximum.accumulate(np.where(fresh_run, np.arange(len(key)), 0))
-        full = np.flatnonzero(reached == self.length)
-        count = best_hi[full] - best_lo[full]
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        hits = place[np.repeat(best_lo[full], count) + inside]
-        some = np.flatnonzero(reached > 0)
-        span = best_hi[some] - best_lo[some]
-        inner = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-        longest_at = place[np.repeat(best_lo[some], span) + inner]
-        return np.repeat(full, count), hits, longest_at, np.repeat(reached[some], span)
-
-
-def _scan(tests: TestSuffixes, texts: pa.Array, state: list[dict | None]) -> list[dict]:
-    data, offsets = text_bytes(texts)
-    out: list[dict] = []
-    for i, j, part, off in chunks(data, offsets):
-        words, bounds = hashed_words(part, off, ALNUM)
-        n = np.diff(bounds)
-        doc = np.repeat(np.arange(j - i), n)
-        window, place, at, reach = tests.search(words, doc)
-        delta = np.zeros(len(words) + 1, np.int64)
-        np.add.at(delta, place, 1)
-        np.add.at(delta, place + tests.length[window], -1)
-        hit = np.cumsum(delta[:-1]) > 0
-        longest = np.zeros(j - i, np.int64)
-        np.maximum.at(longest, doc[at], reach)
-        items: dict[int, set] = {}
-        for w, d in set(zip(window.tolist(), doc[place].tolist(), strict=True)):
-            items.setdefault(d, set()).update(tests.names[w])
-        for k in range(j - i):
-            before = state[i + k]
-            row = {"n_words": int(n[k]), "n_hit": 0, "longest": int(longest[k]), "items": [], "starts": [], "ends": []}
-            mask = hit[bounds[k] : bounds[k + 1]]
-            if before:
-                row["longest"] = max(row["longest"], before["longest"])
-                if before["starts"]:
-                    mask = mask.copy()
-                    for s, e in zip(before["starts"], before["ends"], strict=True):
-                        mask[s:e] = True
-            if k in items or (before and before["items"]) or mask.any():
-                row["items"] = sorted(items.get(k, set()) | set((before or {}).get("items") or []))
-                turn = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-                row["starts"], row["ends"] = np.flatnonzero(turn > 0).tolist(), np.flatnonzero(turn < 0).tolist()
-                row["n_hit"] = int(mask.sum())
-            out.append(row)
-    return out
-
-
-_ARROW = pa.struct(
-    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
-)
+            number = np.cumsum(kept) - 1
+            begins = np.maximum.accumulate(np.where(fresh_run, np.arange(len(key)), 0))
+            place, group = place[kept], number[begins[kept]]
+            longer = self.left[suffix] > depth
+            suffix, low = suffix[longer], number[first[longer]]
+        return np.cumsum(cover[:-1]), np.concatenate(pairs), longest
+
+
+_loaded: dict[tuple[str, int], TestSuffixes] = {}
+
+
+def _block(path: str, window: int) -> TestSuffixes:
+    """A stored block; a worker keeps the last one."""
+    if (path, window) not in _loaded:
+        _loaded.clear()
+        system, name = fs.FileSystem.from_uri(path)
+        table = pq.read_table(name, filesystem=system, columns=["item", "text"])
+        _loaded[path, window] = TestSuffixes(table.column("item").to_pylist(), table.column("text"), window)
+    return _loaded[path, window]
+
+
+def _lists(of: np.ndarray, values: pa.Array, n: int) -> pa.Array:
+    """A list for each of n documents, of the values that are its."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), values)
+
+
+def _scan(blocks: list[str], window: int, texts: pa.Array) -> pa.Array:
+    n = len(texts)
+    shards = [(i, j - i, *hashed_words(d, o, ALNUM)) for i, j, d, o in chunks(*text_bytes(texts))]
+    sizes = np.concatenate([np.diff(b) for *_, b in shards]) if shards else np.zeros(0, np.int64)
+    hit = [np.zeros(len(w), bool) for _, _, w, _ in shards]
+    longest, found = np.zeros(n, np.int64), [set() for _ in range(n)]
+    for path in blocks:
+        tests = _block(path, window)
+        for k, (i, m, words, bounds) in enumerate(shards):
+            cover, pairs, reach = tests.search(words, np.repeat(np.arange(m), np.diff(bounds)), m)
+            hit[k] |= cover > 0
+            longest[i : i + m] = np.maximum(longest[i : i + m], reach)
+            for d, item in pairs.tolist():
+                if tests.names[item] is not None:
+                    found[i + d].add(tests.names[item])
+    mask = np.concatenate(hit) if hit else np.zeros(0, bool)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    edge = np.zeros(len(mask) + 1, bool)
+    edge[0], edge[ends] = True, True
+    before, here = np.append(False, mask), np.append(mask, False)
+    starts, stops = np.flatnonzero(here & (edge | ~before)), np.flatnonzero(before & (edge | ~here))
+    total = np.append(0, np.cumsum(mask))
+    base = ends - sizes
+    items = [sorted(x) for x in found]
+    of_run = owner[starts]
+    columns = [
+        pa.array(sizes),
+        pa.array(total[ends] - total[base]),
+        pa.array(longest),
+        pa.array(items, pa.list_(pa.string())),
+        _lists(of_run, pa.array(starts - base[of_run]), n),
+        _lists(of_run, pa.array(stops - base[of_run]), n),
+    ]
+    return pa.StructArray.from_arrays(columns, names=_STATE.names)
 
 
-def _mapper(tests: TestSuffixes, text: str, state: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index(state)
-            rows = _scan(tests, batch.column(batch.schema.get_field_index(text)), batch.column(k).to_pylist())
-            columns = batch.columns
-            columns[k] = pa.array(rows, _ARROW)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return run
-
-
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark in blocks of at most `limit` bytes (or one item), one block on the driver at a time."""
-    block, size = [], 0
-    for name, text in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
-        if text is None:
-            continue
-        block.append((name, text))
-        size += len(text.encode())
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def stored_blocks(benchmark: DataFrame, block_bytes: int) -> list[str]:
+    """Files of about `block_bytes` of the benchmark's items in the shared folder; items are dealt by a hash."""
+    spark = benchmark.sparkSession
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    count = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    path = shared_dir(spark, "benchmark")
+    items.repartition(count, F.xxhash64("item", "text")).write.parquet(path)
+    return sorted(spark.read.parquet(path).inputFiles())
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, result: str = "contamination") -> DataFrame:
-    """`docs` with a struct column `result`: n_words, n_hit, longest (longest verbatim match
-    of a benchmark suffix, up to `window` words), items (sorted ids of items with a window
-    in the text), starts and ends (runs of hit words).
+    """`docs` with a struct column `result`: n_words, n_hit, longest (words of the longest verbatim
+    match of a benchmark suffix), items (sorted ids of items with a window in the text), starts and
+    ends (runs of hit words).
 
     A null or empty text has no words and no hits; one longer than a shard is a shard of its
     own; repeated rows get the same result each; a benchmark without items, or without words,
-    hits nothing; null item ids hit but aren't listed; other columns pass through, and
-    `result` gets leading underscores if a column has its name.
+    hits nothing; null item ids hit but aren't listed; an empty table gives an empty one; other
+    columns pass through, and `result` gets leading underscores if a column has its name.
     """
     state = fresh(docs, result)
-    out = docs.withColumn(state, F.lit(None).cast(_STATE))
-    schema = T.StructType([*docs.schema.fields, T.StructField(state, _STATE)])
-    blocks = 0
-    for block in _blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_mapper(TestSuffixes(block, window), "text", state), schema)
-        blocks += 1
-    return out if blocks else out.mapInArrow(_mapper(TestSuffixes([], window), "text", state), schema)
+    blocks = stored_blocks(benchmark, block_bytes)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _scan(blocks, window, batch.column(text))], names=[*batch.schema.names, state])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(state, _STATE)]))
 
 
 def contaminated(n_hit, n_words, one_in: int = ONE_IN):

@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,16 @@ def test_decontamination(spark, docs, rows, empty):
         w = find(t)
         for j in range(max(len(w) - 12, 1) if w else 0):
             windows[tuple(w[j : j + 13])].add(str(name))
+    tests = [find(t) for _, t in items]
+
+    @cache
+    def grams(n):
+        return {tuple(t[j : j + n]) for t in tests for j in range(len(t) - n + 1)}
+
     for block_bytes in (decontaminate.BLOCK_BYTES, 40):  # in one block, and in several
         got = decontaminate.find_contamination(docs.withColumn("contamination", F.lit("taken")), bench, block_bytes=block_bytes)
         assert got.columns[-2:] == ["contamination", "_contamination"]
-        seen = 0
+        seen = most = 0
         for r in got.collect():
             w, hit, names = find(r["text"]), set(), set()
             for win, of in windows.items():
@@ -81,8 +88,13 @@ def test_decontamination(spark, docs, rows, empty):
             c = r["_contamination"]
             assert (c["n_words"], c["n_hit"], c["items"]) == (len(w), len(hit), sorted(names))
             assert {x for s, e in zip(c["starts"], c["ends"]) for x in range(s, e)} == hit
+            longest = 0  # over all items, however long the match
+            while any(tuple(w[j : j + longest + 1]) in grams(longest + 1) for j in range(len(w) - longest)):
+                longest += 1
+            assert c["longest"] == longest
+            most = max(most, longest)
             seen += bool(hit)
-        assert seen > 3
+        assert seen > 3 and most > 40
     kept = {r[0] for r in decontaminate.decontaminate(docs, bench).select("doc_id").collect()}
     assert 203 not in kept and 200 in kept
     assert decontaminate.find_contamination(empty, bench).count() == 0
@@ -254,6 +266,59 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+COINCIDENCE = {"hex": (0.12, 0.018), "base32": (0.0667, 0.0054), "base64": (0.0667, 0.0054)}
+
+
+def battery(run):
+    """Encoding, length, combined p-value against uniform symbols, p-value against text."""
+    body = re.sub("=+$", "", run.replace("-", "+").replace("_", "/"))
+    encoding = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body) else "base32" if re.fullmatch("[A-Z2-7]+", body) else "base64"
+    body = body.lower() if encoding == "hex" else body
+    n, k, at = len(body), len(ALPHABETS[encoding]), [ALPHABETS[encoding].index(c) for c in body]
+    cdf = lambda z: math.erfc(-z / 2**0.5) / 2
+    squares, free = sum(c * c for c in Counter(body).values()), k - 1
+    chi = squares * k / n - n
+    p_chi = 1 - cdf(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5)
+    high = [a >= k / 2 for a in at]
+    h, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * h * (n - h) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * cdf(-abs(runs - mean) / var**0.5) if var > 0 else 0.0
+    serial = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(at, at[1:])) / ((k * k - 1) / 12 * (n - 1) ** 0.5)
+    tan = [math.tan((0.5 - min(max(p, 1e-12), 1 - 1e-12)) * math.pi) for p in (p_chi, p_runs, 2 * cdf(-abs(serial)))]
+    rate, cubes = COINCIDENCE[encoding]
+    spread = 2 * rate * (1 - rate) / (n * (n - 1)) + 4 * (cubes - rate * rate) / n
+    return encoding, n, 0.5 - math.atan(sum(tan) / 3) / math.pi, cdf(((squares - n) / (n * (n - 1)) - rate) / spread**0.5)
+
+
+def test_added_spans(spark):
+    r = random.Random(8)
+    letters = "etaoinshrdlucmfwyp"
+    texts = []
+    for i in range(400):
+        word = "".join(r.choices(letters, [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2, 2, 2], k=r.randint(20, 60)))
+        secret = [base64.b64encode(r.randbytes(r.randint(15, 60))).decode(), base64.b32encode(r.randbytes(20)).decode(), r.randbytes(14).hex(), "".join(r.choices(letters, k=40)), "0" * 30, "".join(map(str, range(15)))][i % 6]
+        texts.append(f"{word} and {secret} so {word[::-1]}")
+    found = {}
+    for i, t in enumerate(texts):
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            found[i, m.start(), m.end()] = battery(m[0])
+    level = lambda p: min(math.floor(-math.log10(max(p, 1e-30)) * 10), 300)
+    strata = defaultdict(list)
+    for e, n, _, p in found.values():
+        strata[e, int(math.log2(n))].append(level(p))
+    limit = {}
+    for key, bins in strata.items():
+        passing = [b for b in set(bins) if 10 ** (-b / 10) * len(bins) <= 0.01 * sum(x >= b for x in bins)]
+        limit[key] = min(passing, default=10**6)
+    want = {span for span, (e, n, p_random, p) in found.items() if p_random >= 0.001 and level(p) >= limit[e, int(math.log2(n))]}
+    hexes = {(i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer("[0-9a-f]{32,}", t)}
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit("x")))
+    assert {(row["doc_id"], s["start"], s["end"]) for row in got.collect() for s in row["spans"] if s["kind"] == 3} == want - hexes
+    assert 30 < len(want) < 200  # of 133 random ones, some too short to tell from words
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(2)
     good = [(i, prose(r, 80)) for i in range(300)]
