@@ -5,16 +5,18 @@ pattern's matches give the gaps and the matches in turn, whose lengths add up to
 
 The method adds long runs of an encoding's alphabet that look random. For each candidate
 run the encoding is inferred (hex, base32, base64), and three tests compare it with uniform
-symbols: chi-squared, runs about the middle symbol, and serial correlation. Their smallest
-p-value, times three, must not reject randomness. Whether it may count as a discovery is
-judged against text: the rate at which two of its symbols coincide is compared with that of
-written language, whose spread shrinks with the length, so short runs need stronger
-evidence. The p-values are controlled by Benjamini and Hochberg's procedure in each stratum
-of encoding and length class, over a histogram of all candidates of the corpus.
+symbols: chi-squared, runs about the middle symbol, and serial correlation. Cauchy's
+combination of their p-values must not reject randomness. Whether the run may count as a
+discovery is judged against text: under written language the chi-squared statistic is larger,
+as its symbols coincide more often, with a spread that shrinks with the length; its lower
+tail there is the p-value of a discovery, so short runs need stronger evidence. These are
+controlled by Benjamini and Hochberg's procedure in each stratum of encoding and length
+class, over a histogram of all candidates of the corpus, those that the tests reject included.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +31,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run that is too short holds no longer one
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-# Rates at which two symbols of a text coincide, and sums of cubed symbol rates.
+# Rates at which two symbols of a text coincide, and sums of cubed symbol rates.
 TEXT_COINCIDENCE = {"hex": 0.12, "base32": 0.0667, "base64": 0.0667}
 TEXT_CUBES = {"hex": 0.018, "base32": 0.0054, "base64": 0.0054}
 ALPHABETS = {
@@ -37,7 +39,7 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-LEAST_RANDOM = 0.001  # a candidate whose tests reject randomness at this level is none
+LEAST_RANDOM = 0.001  # a candidate whose combined tests reject randomness at this level is none
 DISCOVERY_RATE = 0.01
 BINS_A_DECADE, DECADES = 10, 30
 
@@ -70,8 +72,14 @@ def _normal_cdf(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def _cauchy(*p_values: Column) -> Column:
+    """Cauchy's combination, which holds for dependent tests too."""
+    heavy = [F.tan((0.5 - F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12))) * math.pi) for p in p_values]
+    return 0.5 - F.atan(reduce(lambda a, x: a + x, heavy) / len(heavy)) / math.pi
+
+
 def _tests(run: Column) -> Column:
-    """encoding, n, p_random (three tests against uniform symbols) and p_text (coincidence against written language)."""
+    """encoding, n, p_random (three tests against uniform symbols) and p_text (chi-squared against written language)."""
     body = F.regexp_replace(F.translate(run, "-_", "+/"), "=+$", "")
     encoding = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
 
@@ -113,7 +121,7 @@ def _tests(run: Column) -> Column:
         return F.struct(
             f["encoding"].alias("encoding"),
             n.cast("long").alias("n"),
-            F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p_random"),
+            _cauchy(p_chi, p_runs, p_serial).alias("p_random"),
             _normal_cdf((rate - text) / F.sqrt(var)).alias("p_text"),
         )
 
@@ -140,8 +148,7 @@ def _with_candidates(docs: DataFrame) -> DataFrame:
     found = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, 3)).otherwise(none)
     runs = F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     tested = F.zip_with(found, runs, lambda s, r: F.struct(s["start"].alias("start"), s["end"].alias("end"), r.alias("run")))
-    lettered = F.filter(tested, lambda x: ~x["run"].rlike("^[0-9]+$|^[A-Za-z]+$"))  # numbers and plain words have no encoding
-    out = F.transform(lettered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tests(x["run"]).alias("test")))
+    out = F.transform(tested, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tests(x["run"]).alias("test")))
     return docs.select("doc_id", F.array_sort(base).alias("base"), out.alias("candidates"))
 
 
