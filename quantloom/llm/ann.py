@@ -26,6 +26,7 @@ CODE_WORDS = 64
 SUBSPACE = 2  # dimensions that share a code
 ITERATIONS = 8
 BLOCK = 256
+SCORES = 1 << 22  # guessed products in memory at once
 RERANK = 60
 HOME = 8  # lists of a query that are searched first
 VISITED = 0.85  # share of the lists that a query visits, 16 of them at least; vectors with clusters need far fewer
@@ -163,7 +164,7 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
     asked = asked.join(asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same")), "vec_id").select("vec_id", "vec", "same")
     visits = asked.mapInArrow(visit, f"vec_id {kind}, vec binary, home array<bigint>, others array<bigint>")
     queries = stored(visits.withColumn("query", F.monotonically_increasing_id()), "ann-visits")  # a key for each row, as ids can repeat
-    size = max(BLOCK, -(-rows // len(held)))
+    size = max(BLOCK, -(-rows // len(held)))  # a task's rows; their scores are taken SCORES at a time
 
     def search(key, table):
         is_query = table.column("codes").is_null()
@@ -173,18 +174,20 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
             q, x = _matrix(asks.column("vec"), dim), _matrix(own.column("vec"), dim)
             codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
             keys, q_ids, ids, bound = asks.column("query").to_numpy(), asks.column("vec_id").to_numpy(), own.column("vec_id").to_numpy(), asks.column("bound").to_numpy()
-            guess = index.approximate(q, key[0].as_py(), codes)
-            guess[q_ids[:, None] == ids[None, :]] = -np.inf
-            best = np.argsort(-guess, 1, kind="stable")[:, : max(rerank, k)]
-            for i, row in enumerate(best):
-                row = row[ids[row] != q_ids[i]]
-                exact = (x[row] * q[i]).sum(1)
-                row, exact = row[exact >= bound[i]], exact[exact >= bound[i]]
-                top = np.lexsort((ids[row], -exact))[:k]
-                out[0].append(np.full(len(top), q_ids[i]))
-                out[1].append(ids[row][top])
-                out[2].append(exact[top])
-                out[3].append(np.full(len(top), keys[i]))
+            for begin in range(0, len(q), step := max(1, SCORES // len(x))):
+                part = slice(begin, begin + step)
+                guess = index.approximate(q[part], key[0].as_py(), codes)
+                guess[q_ids[part, None] == ids[None, :]] = -np.inf
+                best = np.argsort(-guess, 1, kind="stable")[:, : max(rerank, k)]
+                for i, row in enumerate(best, begin):
+                    row = row[ids[row] != q_ids[i]]
+                    exact = (x[row] * q[i]).sum(1)
+                    row, exact = row[exact >= bound[i]], exact[exact >= bound[i]]
+                    top = np.lexsort((ids[row], -exact))[:k]
+                    out[0].append(np.full(len(top), q_ids[i]))
+                    out[1].append(ids[row][top])
+                    out[2].append(exact[top])
+                    out[3].append(np.full(len(top), keys[i]))
         cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
         return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], float), "query": cat(out[3], np.int64)})
 
