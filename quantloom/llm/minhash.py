@@ -262,8 +262,8 @@ def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near-duplicates, with the columns of `docs`: the one with the
     smallest doc_id, null only if all are (of a group's rows that share it, that of smallest text
-    hash, once). Unrelated texts with one id, or without ids, are groups of their own. Texts
-    without words all stay."""
+    hash, and of equal ones that of smallest row hash, once). Unrelated texts with one id, or without ids, are groups of their own. Texts
+    without words, null ones among them, all stay; an empty table stays empty."""
     found = _classes(docs, k, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h"))
     linked = found.where("n_shingles > 0").groupBy("comp").agg(first.alias("row")).select("row.doc_id", "row.h")
@@ -271,8 +271,9 @@ def deduplicate(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     single, word, key, turn = (fresh(docs, c) for c in ("doc", "wordless", "texthash", "turn"))
     rows = docs.select(F.struct("*").alias(single), F.col("doc_id"), F.xxhash64("text").alias(key))
     chosen = linked.withColumn(word, F.lit(False)).unionByName(some.withColumn(word, F.lit(True))).withColumnRenamed("doc_id", "id")
+    hashed = F.xxhash64(*[F.col(f"{single}.`{c}`") for c, t in docs.dtypes if "map<" not in t])
     joined = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col(key) == F.col("h")))
-    place = F.row_number().over(Window.partitionBy("id", "h", word).orderBy(F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("id", "h", word).orderBy(hashed))
     return joined.withColumn(turn, place).where(F.col(word) | (F.col(turn) == 1)).select(f"{single}.*")
 
 

@@ -151,7 +151,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LI
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
-    """The rows of the mix, each as often as its copies say, with the columns of `docs`."""
+    """The rows of the mix, each as often as its copies say, with the columns of `docs`. Nulls, repeated
+    rows and an empty table are as in `mix`; a document without words stays once."""
     mixed = mix(docs, weights, limit, text=True)
     n = fresh(docs, "copy")
     return mixed.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(n)).select("doc.*")

@@ -190,7 +190,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> FlatTrees:
     """Trees from at most `rows` labelled documents; `labels` has doc_id and quality (0 or 1; others are left out).
 
-    Only the sampled ids, whose number is bounded, are broadcast; the documents aren't shuffled.
+    Only the sampled ids, whose number is bounded, are broadcast; the documents aren't shuffled. Of an
+    id's repeated rows one counts, that of the smallest label and statistics.
     """
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
@@ -201,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> FlatTr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = known.withColumn("quality", F.col("quality").cast("int")).mapInArrow(stats, f"doc_id {kind}, quality int, x binary").collect()
+    found = known.withColumn("quality", F.col("quality").cast("int")).mapInArrow(stats, f"doc_id {kind}, quality int, x binary")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("row")).select("doc_id", "row.*").collect()
     found.sort(key=lambda r: (r[0], r[1], r[2]))
     x = np.array([np.frombuffer(r[2], np.float32) for r in found]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in found], float))
