@@ -139,9 +139,11 @@ def performance(nav: DataFrame, benchmark: DataFrame, periods: float = 252, risk
         (F.stddev_samp("active") * year).alias("tracking_error"), ratio(F.avg("active"), F.stddev_samp("active")).alias("_ir"),
         F.avg((F.col("net_return") > 0).cast("double")).alias("win_rate"), F.max("net_return").alias("best_day"), F.min("net_return").alias("worst_day"),
         F.sum("turnover").alias("turnover"), F.sum("cost").alias("cost"), F.count_if("is_rebalance").alias("rebalances"),
+        F.avg(F.when(F.col("is_rebalance"), F.col("turnover"))).alias("average_turnover"), F.sum("notional").alias("traded_notional"),
     )
     out = out.withColumns({"sharpe": F.col("_sharpe") * year, "information_ratio": F.col("_ir") * year}).drop("_sharpe", "_ir")
-    return out.withColumns({"net_annual": annualize(F.col("net_total"), F.col("days"), periods), "bench_annual": annualize(F.col("bench_total"), F.col("days"), periods)})
+    out = out.withColumns({f"{c}_annual": annualize(F.col(f"{c}_total"), F.col("days"), periods) for c in ("gross", "net", "bench")})
+    return out.withColumns({"excess_total": F.col("net_total") - F.col("bench_total"), "excess_annual": F.col("net_annual") - F.col("bench_annual"), "cost_drag": F.col("gross_total") - F.col("net_total")})
 
 
 def _violations(frame: DataFrame, rules: dict) -> DataFrame:

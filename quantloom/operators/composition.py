@@ -37,13 +37,16 @@ def rolling_ic_weights(dates: DataFrame, ic: DataFrame, factors: list[str], look
     each date, negatives as zero or absolute, scaled to 1; equal weights where none is positive."""
     spark = dates.sparkSession
     every = dates.select("trade_date").distinct().crossJoin(F.broadcast(spark.createDataFrame([(f,) for f in factors], "factor_name string")))
-    known = ic.where(F.col(column).isNotNull()).select(F.col("trade_date").alias("ic_date"), "factor_name", F.col(column).alias("_ic"))
-    # both are tables of dates, small beside the panel
-    past = every.join(known, ["factor_name"]).where("ic_date < trade_date")
-    last = past.withColumn("_n", F.row_number().over(Window.partitionBy("trade_date", "factor_name").orderBy(F.desc("ic_date")))).where(F.col("_n") <= lookback)
-    mean = last.groupBy("trade_date", "factor_name").agg(F.when(F.count("_ic") >= least, F.avg("_ic")).alias("mean"))
+    known = ic.where(F.col(column).isNotNull()).select("trade_date", "factor_name", F.col(column).alias("_ic"))
+    # one timeline of each factor, on which what is asked of a date comes before what is known of it
+    by = Window.partitionBy("factor_name")
+    recent = by.orderBy("trade_date").rowsBetween(1 - lookback, 0)
+    state = known.select("trade_date", "factor_name", F.struct(F.count("_ic").over(recent).alias("n"), F.avg("_ic").over(recent).alias("ic")).alias("_state"))
+    line = every.withColumn("_asks", F.lit(True)).unionByName(state.withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+    line = line.withColumn("_state", F.last("_state", ignorenulls=True).over(by.orderBy("trade_date", F.desc("_asks")).rowsBetween(Window.unboundedPreceding, 0)))
+    mean = line.where("_asks").select("trade_date", "factor_name", F.when(F.col("_state.n") >= least, F.col("_state.ic")).alias("mean"))
     raw = F.coalesce(F.greatest(F.col("mean"), F.lit(0.0)) if negative == "zero" else F.abs("mean"), F.lit(0.0))
-    rows = every.join(mean, ["trade_date", "factor_name"], "left").withColumn("raw", raw)
+    rows = mean.withColumn("raw", raw)
     total = F.sum("raw").over(Window.partitionBy("trade_date"))
     return rows.select("trade_date", "factor_name", F.when(total > 0, ratio(F.col("raw"), total)).otherwise(1.0 / len(factors)).alias("weight"), (total <= 0).alias("fallback"))
 

@@ -1,12 +1,15 @@
-"""Risk estimates of small sets of assets per formation date, by pair sums."""
+"""Risk estimates per formation date: covariances by blocks of assets."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import ratio
 
+BLOCK = 512  # assets
 
 def complete_cases(window: DataFrame, least: int) -> DataFrame:
     """Rows of the return dates on which all of a formation date's assets have a return, if there are `least` such dates."""
@@ -17,29 +20,50 @@ def complete_cases(window: DataFrame, least: int) -> DataFrame:
     return rows.join(dates.where(F.col("observations") >= least), "trade_date").select("trade_date", "ts_code", "return_date", "ret", "observations")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Both assets' values for each formation date, return date and pair; the assets of a date are few."""
-    a = rows.select("trade_date", "return_date", F.col("ts_code").alias("i"), F.col("x").alias("xi"))
-    b = rows.select("trade_date", "return_date", F.col("ts_code").alias("j"), F.col("x").alias("xj"))
-    return a.join(b, ["trade_date", "return_date"])
+def _moments(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(trade_date, i, j, s, q, n): mean products of two assets' centred returns and of their squares, over n dates.
+
+    Each asset's window is one row of an array. Assets are dealt into blocks, and the matrix of a date is
+    computed a pair of blocks at a time, so a task holds two blocks of assets, whatever the universe.
+    """
+    date, code = rows.schema["trade_date"].dataType.simpleString(), rows.schema["ts_code"].dataType.simpleString()
+    series = rows.groupBy("trade_date", "ts_code").agg(F.sort_array(F.collect_list(F.struct("return_date", "ret"))).alias("x"))
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("trade_date")) / block)
+    dealt = series.select("trade_date", "ts_code", F.col("x.ret").alias("x"), blocks.alias("blocks"), F.pmod(F.xxhash64("ts_code"), blocks).alias("own"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.select("trade_date", "ts_code", "x", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def products(table: pa.Table) -> pa.Table:
+        x = np.array(table.column("x").to_pylist(), float)
+        x -= x.mean(axis=1, keepdims=True)
+        n, own = x.shape[1], table.column("own").to_numpy()
+        a, b = np.flatnonzero(own == own.min()), np.flatnonzero(own == table.column("high")[0].as_py())
+        s, q = x[a] @ x[b].T / n, (x[a] ** 2) @ (x[b] ** 2).T / n
+        i, j, s, q = np.repeat(a, len(b)), np.tile(b, len(a)), s.ravel(), q.ravel()
+        if len(np.unique(own)) > 1:  # two blocks: both triangles
+            i, j, s, q = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(s, 2), np.tile(q, 2)
+        codes, dates = table.column("ts_code").combine_chunks(), table.column("trade_date").combine_chunks()
+        return pa.table({"trade_date": dates.take(pa.array(np.zeros(len(i), np.int64))), "i": codes.take(pa.array(i)), "j": codes.take(pa.array(j)), "s": s, "q": q, "n": np.full(len(i), float(n))})
+
+    return sent.groupBy("trade_date", "low", "high").applyInArrow(products, f"trade_date {date}, i {code}, j {code}, s double, q double, n double")
 
 
 def covariance(rows: DataFrame) -> DataFrame:
     """(trade_date, i, j, covariance), sample, of complete cases."""
-    return _pairs(rows.withColumn("x", F.col("ret"))).groupBy("trade_date", "i", "j").agg(F.covar_samp("xi", "xj").alias("covariance"))
+    n = F.col("n")
+    return _moments(rows).select("trade_date", "i", "j", (F.col("s") * n / F.nullif(n - 1, F.lit(0.0))).alias("covariance"))
 
 
 def ledoit_wolf(rows: DataFrame) -> DataFrame:
     """(trade_date, i, j, covariance, shrinkage): the covariance shrunk to a multiple of the identity (Ledoit and Wolf, 2004)."""
-    centred = rows.withColumn("x", F.col("ret") - F.avg("ret").over(Window.partitionBy("trade_date", "ts_code")))
-    xi, xj = F.col("xi"), F.col("xj")
-    pair = _pairs(centred).groupBy("trade_date", "i", "j").agg(F.avg(xi * xj).alias("s"), F.avg(xi * xi * xj * xj).alias("q"), F.count(F.lit(1)).cast("double").alias("n"))
-    day = Window.partitionBy("trade_date")
-    p = F.sum(F.when(F.col("i") == F.col("j"), 1.0)).over(day)
-    mean = F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))).over(day) / p
-    squares = F.sum(F.col("s") * F.col("s")).over(day)
-    spread = squares / p - mean * mean
-    noise = (F.sum("q").over(day) - squares) / (F.col("n") * p)
-    facts = pair.withColumn("_mean", mean).withColumn("shrinkage", F.coalesce(ratio(F.least(noise, spread), spread), F.lit(0.0)))
-    identity = F.when(F.col("i") == F.col("j"), F.col("_mean")).otherwise(0.0)
-    return facts.select("trade_date", "i", "j", ((1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * identity).alias("covariance"), "shrinkage")
+    same = F.col("i") == F.col("j")
+    pair = _moments(rows)
+    day = pair.groupBy("trade_date").agg(
+        F.count_if(same).cast("double").alias("p"), F.sum(F.when(same, F.col("s"))).alias("trace"), F.sum(F.col("s") * F.col("s")).alias("squares"), F.sum("q").alias("fourth"), F.max("n").alias("n")
+    )
+    mean = F.col("trace") / F.col("p")
+    spread = F.col("squares") / F.col("p") - mean * mean
+    noise = (F.col("fourth") - F.col("squares")) / (F.col("n") * F.col("p"))
+    facts = day.select("trade_date", mean.alias("_mean"), F.coalesce(ratio(F.least(noise, spread), spread), F.lit(0.0)).alias("shrinkage"))
+    shrunk = (1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * F.when(same, F.col("_mean")).otherwise(0.0)
+    return pair.join(facts, "trade_date").select("trade_date", "i", "j", shrunk.alias("covariance"), "shrinkage")

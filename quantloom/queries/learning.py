@@ -196,36 +196,52 @@ def oos_evaluate(v):
     return op.evaluate_oos(_kept(v, _oos(v), "oos"))
 
 
-# of the places a value moves to, one in so many rows stays: an unshuffled column has none moved
-@query(
-    "permute_in_date",
-    "SELECT trade_date, count(*) AS n, sum(factor_a) AS total, min(factor_a) AS low, max(factor_a) AS high, count(DISTINCT factor_a) > 10 AS some_moved, sum(total_mv) AS others FROM (SELECT f.*, total_mv FROM v_factor f JOIN v_ret r ON r.ts_code = f.ts_code AND r.trade_date = f.trade_date) f GROUP BY trade_date",
-    "total low high others",
-)
+def _place(keys: str, seed: str, k: int) -> str:
+    return f"row_number() OVER (PARTITION BY {keys} ORDER BY md5(concat_ws('|', ts_code, {seed}, {k})), ts_code)"
+
+
+_MOVED = f"SELECT *, {_place('trade_date', '7', 1)} AS a, {_place('trade_date', '7', 2)} AS b FROM v_ret"
+
+
+@query("permute_in_date", f"SELECT x.trade_date, x.ts_code, y.ret AS factor_a, x.total_mv FROM ({_MOVED}) x JOIN ({_MOVED}) y ON x.trade_date = y.trade_date AND x.a = y.b", "factor_a total_mv")
 def permute_in_date(v):
-    rows = v.v_ret.select("trade_date", "ts_code", F.col("ret").alias("factor_a"), F.col("ret").alias("before"), "total_mv")
-    out = op.permute_in_date(rows, "factor_a", 7)
-    moved = F.count_if(~F.col("factor_a").eqNullSafe(F.col("before"))) > 0
-    few = F.countDistinct("before") <= 10  # a handful may stay in place by chance
-    return out.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sum("factor_a").alias("total"), F.min("factor_a").alias("low"), F.max("factor_a").alias("high"), (moved & ~few).alias("some_moved"), F.sum("total_mv").alias("others"))
+    return op.permute_in_date(v.v_ret.select("trade_date", "ts_code", F.col("ret").alias("factor_a"), "total_mv"), "factor_a", 7)
+
+
+def _shuffled(repeats: str) -> str:
+    """Prediction rows with their fold's weights, both features' shuffled values and the repeat."""
+    keys, seed = "fold_id, trade_date, r", "1000 * r + 7"
+    rows = f"SELECT p.*, r, {_place(keys, seed, 1)} AS a, {_place(keys, seed, 2)} AS b FROM ({_PREPARED}) p, (SELECT unnest({repeats}) AS r) u WHERE role = 'prediction'"
+    return f"SELECT x.fold_id, x.r, x.trade_date, x.ts_code, x.forward_return AS y, x.factor_a, x.factor_b, z.factor_a AS moved_a, z.factor_b AS moved_b, w0, wa, wb FROM ({rows}) x JOIN ({rows}) z ON z.fold_id = x.fold_id AND z.trade_date = x.trade_date AND z.r = x.r AND z.b = x.a JOIN ({_WEIGHTS}) w ON w.fold_id = x.fold_id"
+
+
+def _loss_sql(error: str) -> str:
+    e = lambda a, b: error.format(f"(w0 + {a} * wa + {b} * wb - y)")
+    base = e("factor_a", "factor_b")
+    sums = f"SELECT fold_id, r, {e('moved_a', 'factor_b')} - {base} AS la, {e('factor_a', 'moved_b')} - {base} AS lb FROM ({_shuffled('[0, 1]')}) s GROUP BY fold_id, r"
+    return f"SELECT fold_id, 'factor_a' AS feature, CAST(r AS INT) AS repeat, la AS loss FROM ({sums}) t UNION ALL SELECT fold_id, 'factor_b', CAST(r AS INT), lb FROM ({sums}) t"
+
+
+_RMSE, _MAE = _loss_sql("sqrt(avg({0} * {0}))"), _loss_sql("avg(abs({0}))")
+_SUMMED = "avg(loss) AS mean, stddev_samp(loss) AS std, min(loss) AS min, max(loss) AS max, median(loss) AS median, avg(CASE WHEN loss > 0 THEN 1.0 ELSE 0.0 END) AS positive"
 
 
-def _losses(v):
+def _losses(v, scoring: str = "rmse"):
     prepared = _written(v)
-    return op.permutation_importance(prepared, op.ridge(prepared, _FEATURES, "forward_return", 1.0), _FEATURES, "forward_return", 2)
+    return op.permutation_importance(prepared, op.ridge(prepared, _FEATURES, "forward_return", 1.0), _FEATURES, "forward_return", 2, scoring)
 
 
-@query("permutation_importance")
+@query("permutation_importance", f"SELECT 'rmse' AS scoring, * FROM ({_RMSE}) a UNION ALL SELECT 'mae', * FROM ({_MAE}) b", "loss")
 def permutation_importance(v):
-    return _losses(v)
+    return _losses(v).select(F.lit("rmse").alias("scoring"), "*").unionByName(_losses(v, "mae").select(F.lit("mae").alias("scoring"), "*"))
 
 
-@query("importance_fold_agg")
+@query("importance_fold_agg", f"SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY mean DESC, feature) AS place FROM (SELECT fold_id, feature, {_SUMMED} FROM ({_RMSE}) l GROUP BY fold_id, feature) s", "mean std min max median positive")
 def importance_fold_agg(v):
     return op.importance_summary(_losses(v), ["fold_id", "feature"])
 
 
-@query("importance_feature_agg")
+@query("importance_feature_agg", f"SELECT *, row_number() OVER (ORDER BY mean DESC, feature) AS place FROM (SELECT feature, {_SUMMED} FROM ({_RMSE}) l GROUP BY feature) s", "mean std min max median positive")
 def importance_feature_agg(v):
     return op.importance_summary(_losses(v), ["feature"])
 

@@ -285,15 +285,15 @@ def drawdown(v):
 _ROWS = f"SELECT n.*, b.ret AS bench, b.nav AS bench_nav, net_return - b.ret AS active, net_nav / greatest(max(net_nav) OVER (ORDER BY n.trade_date ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd, b.nav / greatest(max(b.nav) OVER (ORDER BY n.trade_date ROWS UNBOUNDED PRECEDING), 1) - 1 AS bdd FROM ({_NAV}) n LEFT JOIN ({_BNAV}) b ON b.trade_date = n.trade_date"
 _METRICS = f"""SELECT count(*) AS days, min(trade_date) AS first_date, max(trade_date) AS last_date, arg_max(gross_nav, trade_date) - 1 AS gross_total, arg_max(net_nav, trade_date) - 1 AS net_total, arg_max(bench_nav, trade_date) - 1 AS bench_total,
     stddev_samp(net_return) * sqrt(252) AS volatility, stddev_samp(bench) * sqrt(252) AS bench_volatility, min(dd) AS max_drawdown, min(bdd) AS bench_max_drawdown, stddev_samp(active) * sqrt(252) AS tracking_error,
-    avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, max(net_return) AS best_day, min(net_return) AS worst_day, sum(turnover) AS turnover, sum(cost) AS cost, count(CASE WHEN is_rebalance THEN 1 END) AS rebalances,
+    avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, max(net_return) AS best_day, min(net_return) AS worst_day, sum(turnover) AS turnover, sum(cost) AS cost, count(CASE WHEN is_rebalance THEN 1 END) AS rebalances, avg(CASE WHEN is_rebalance THEN turnover END) AS average_turnover, sum(notional) AS traded_notional,
     avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(252) AS sharpe, avg(active) / nullif(stddev_samp(active), 0) * sqrt(252) AS information_ratio FROM ({_ROWS}) r"""
 _ANNUAL = "CASE WHEN 1 + {0} > 0 THEN pow(1 + {0}, 252.0 / days) - 1 END"
 
 
 @query(
     "performance",
-    f"SELECT *, {_ANNUAL.format('net_total')} AS net_annual, {_ANNUAL.format('bench_total')} AS bench_annual FROM ({_METRICS}) m",
-    "gross_total net_total bench_total volatility bench_volatility max_drawdown bench_max_drawdown tracking_error win_rate best_day worst_day turnover cost sharpe information_ratio net_annual bench_annual",
+    f"SELECT *, net_annual - bench_annual AS excess_annual FROM (SELECT *, {_ANNUAL.format('gross_total')} AS gross_annual, {_ANNUAL.format('net_total')} AS net_annual, {_ANNUAL.format('bench_total')} AS bench_annual, net_total - bench_total AS excess_total, gross_total - net_total AS cost_drag FROM ({_METRICS}) m) a",
+    "gross_total net_total bench_total volatility bench_volatility max_drawdown bench_max_drawdown tracking_error win_rate best_day worst_day turnover cost average_turnover traded_notional sharpe information_ratio gross_annual net_annual bench_annual excess_total excess_annual cost_drag",
 )
 def performance(v):
     return bt.performance(_nav(v), _bench(v))

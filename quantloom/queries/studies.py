@@ -13,7 +13,7 @@ from ..registry import query
 from ..operators import universes
 from .cross_sections import _PREPARED
 from .evaluations import _IC, _moments
-from .learning import _COEF, _FEATURES, _METRICS, _OOS, _kept, _panel, _plan, _prepared, _ridge
+from .learning import _COEF, _FEATURES, _METRICS, _OOS, _kept, _panel, _plan, _prepared, _ridge, _shuffled
 
 _STUDY = _IC.replace("FROM v_long l", f"FROM ({_PREPARED}) l")
 
@@ -54,7 +54,7 @@ def train_table_experiment(v):
     return tables["folds"].join(top, "fold_id")
 
 
-@query("permutation_loss")
+@query("permutation_loss", f"SELECT fold_id, {_METRICS} FROM (SELECT fold_id, y AS target, w0 + moved_a * wa + factor_b * wb AS prediction FROM ({_shuffled('[0]')}) s) o GROUP BY fold_id", "mae rmse r2")
 def permutation_loss(v):
     shuffled = learning.permute_in_date(_prepared(v).where("role = 'prediction'"), "factor_a", 7, ["fold_id"])
     return learning.regression_metrics(learning.predict(shuffled, _ridge(v), _FEATURES, "forward_return"), ["fold_id"])
