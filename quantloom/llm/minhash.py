@@ -8,9 +8,10 @@ less than earlier ones; from the t-th round on all members go to one bin each ro
 Equal sets are one node throughout, so copies cost nothing. The candidates' components
 (of the graph that links each bucket's nodes to its smallest) are the groups in which
 links are verified on full sets. A group of bounded size is clustered whole. A larger one is dealt into
-blocks, each with the group's leaders, the nodes with the fullest buckets; then every node
-outside the group's largest cluster is compared with all nodes of the group, in tiles of
-blocks. Comparisons that can't change the components are skipped; no pair is listed.
+blocks, each with the group's leaders, the nodes with the fullest buckets. Then only its buckets
+with nodes of several clusters are left: in each, every node outside the bucket's largest
+cluster is compared with all nodes of the bucket, in tiles of blocks. Comparisons that can't
+change the components are skipped; no pair is listed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NONSPACE, chunks, fold, fresh, hashed_words, mix, stored, text_bytes
@@ -191,7 +192,8 @@ def _classes(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))
     placed = nodes.select("fp", F.explode(cut).alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    near = stored(placed.join(buckets, "bucket").groupBy("fp", "least").agg(F.sum("held").alias("held")), "near-candidates")
+    shared = stored(placed.join(buckets, "bucket"), "near-candidates")
+    near = shared.groupBy("fp", "least").agg(F.sum("held").alias("held"))
     groups = components(near.select(F.col("fp").alias("a"), F.col("least").alias("b")))
     degree = near.groupBy("fp").agg(F.sum("held").alias("degree"))
     # a text for each node of a group
@@ -200,7 +202,7 @@ def _classes(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["h"] == wanted["text_hash"]))
     members = stored(joined.select("group", "fp", "n", "degree", "text").dropDuplicates(["fp"]), "near-members")
-    links = _links(members, k, percent)
+    links = _links(members, shared.select("bucket", "fp"), k, percent)
     linked = components(links).withColumnRenamed("node", "fp")
     ids = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     of_fp = ids.join(linked, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "least")
@@ -210,11 +212,14 @@ def _classes(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
     return full.unionByName(known.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("comp")))
 
 
-def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) that connect exactly what verified links connect."""
-    sized = members.groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
-    sized = sized.withColumn("blocks", F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_MEMBERS)))
-    sized = stored(sized.select("group", "blocks"), "near-groups")
+def _blocks(nodes: Column, members: Column) -> Column:
+    """How many blocks hold so many nodes with so many shingles."""
+    return F.greatest(F.ceil(nodes / BLOCK_NODES), F.ceil(members / BLOCK_MEMBERS))
+
+
+def _links(members: DataFrame, shared: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) that connect exactly what verified links connect; `shared` has the buckets (bucket, fp) of more than one node."""
+    sized = stored(members.groupBy("group").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks")), "near-groups")
     large = sized.where("blocks > 1")
     leaders = members.select("group", "fp", "degree").join(large, "group").withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("degree"), "fp"))).where(F.col("place") <= LEADERS)
     dealt = members.join(sized, "group").select("group", "fp", "text", "degree", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block"))
@@ -233,16 +238,21 @@ def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
     first = stored(dealt.unionByName(led).groupBy("group", "block").applyInArrow(within, "a binary, b binary"), "near-links")
     if large.isEmpty():
         return first
-    # every node outside the largest cluster of a large group meets all nodes of its group
+    # buckets of large groups that hold several clusters
     label = components(first).withColumnRenamed("node", "fp")
-    many = stored(members.join(large, "group").join(label, "fp", "left").select("group", "fp", "n", "text", "blocks", F.coalesce("comp", "fp").alias("comp")), "near-large")
-    counts = many.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("held"))
-    largest = counts.groupBy("group").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"))
-    outside = many.join(largest, "group").where("comp <> main")
-    turns = outside.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_MEMBERS)).alias("turns"))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    asks = outside.join(turns, "group").select("group", "fp", "comp", "text", F.lit(True).alias("asks"), F.pmod(F.xxhash64("fp"), F.col("turns")).alias("turn"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    answers = many.join(turns, "group").select("group", "fp", "comp", "text", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), block.alias("block"))
+    some = members.select("group", "fp", "n").join(large.select("group"), "group").join(label, "fp", "left").select("fp", "n", F.coalesce("comp", "fp").alias("comp"))
+    held = stored(shared.join(some, "fp"), "near-buckets")
+    counts = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
+    mixed = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("nodes", "comp")).alias("main"), F.max(F.struct("nodes", "comp", "total")).alias("most"), F.sum("nodes").alias("nodes"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    turns = _blocks(F.col("nodes") - F.col("most.nodes"), F.col("total") - F.col("most.total"))
+    mixed = stored(mixed.select("bucket", "main", _blocks(F.col("nodes"), F.col("total")).alias("blocks"), turns.alias("turns")), "near-mixed")
+    if mixed.isEmpty():
+        return first
+    met = held.join(mixed, "bucket").select("bucket", "fp", "comp", (F.col("comp") != F.col("main")).alias("asks"), "blocks", "turns")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    asks = met.where("asks").select("bucket", "fp", "comp", "asks", F.pmod(F.xxhash64("fp"), F.col("turns")).alias("turn"), F.explode(every("blocks")).alias("block"))
+    answers = met.select("bucket", "fp", "comp", F.lit(False).alias("asks"), F.explode(every("turns")).alias("turn"), F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block"))
+    tiles = asks.unionByName(answers).join(members.select("fp", "text"), "fp")
 
     def across(table):
         fps, comps, asking = table.column("fp").to_pylist(), table.column("comp").to_pylist(), table.column("asks").to_numpy(zero_copy_only=False)
@@ -255,7 +265,7 @@ def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
                         out.setdefault((comps[i], comps[j]), None)
         return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
-    second = stored(asks.unionByName(answers).groupBy("group", "turn", "block").applyInArrow(across, "a binary, b binary"), "near-links")
+    second = stored(tiles.groupBy("bucket", "turn", "block").applyInArrow(across, "a binary, b binary"), "near-links")
     return first.unionByName(second)
 
 
