@@ -9,11 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import LOWER, jaccard_components, words
 
 import corpus_pipeline
-from quantloom.llm import catalog, mixing
+from quantloom.llm import catalog, mixing, quality
 from quantloom.llm.common import stored
 from quantloom.llm.token_output import public_tokenizer
 
@@ -120,6 +121,22 @@ def test_op6(got, texts, duck):
     assert np.mean(above) > 0.9
 
 
+def test_op6_scores_are_those_of_the_trees(spark, got):
+    """Node by node and text by text, from trees fitted on the rows that may be learned from."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    trees = quality.learned(spark, SF, docs)
+    assert len(trees.roots) > 1
+    found = {r["doc_id"]: r["score"] for r in got("op6_quality")}
+    rows = docs.collect()
+    for r, x in zip(rows, quality.features(pa.array([r["text"] for r in rows], pa.string())), strict=True):
+        total = trees.base
+        for at in trees.roots:
+            while trees.left[at] != at:
+                at = (trees.left if x[trees.feature[at]] <= trees.threshold[at] else trees.right)[at]
+            total += trees.value[at]
+        assert found[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+
+
 def token_rows(pairs):
     from tokenizers import Tokenizer
 
@@ -195,6 +212,25 @@ def test_op10(got, duck):
         assert (r["size"], r["source_size"]) == (len(words(text[r["doc_id"]])), sizes[s]) and r["target"] == pytest.approx(goals[s])
 
 
+def test_op10_rates_solve_the_dual(spark, duck):
+    """Each source's multiplier by bisection; copies are the rates rounded up or down."""
+    rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    for s, goal in mix_targets(sizes).items():
+        own = [r for r in rows if r["source"] == s and r["size"]]
+        n = np.array([r["size"] for r in own], float)
+        rates = lambda lam: np.exp(np.minimum(lam * n, math.log(3)))  # noqa: E731, B023
+        lo, hi = -100.0, 100.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if (rates(mid) * n).sum() >= goal else (mid, hi)
+        want = np.full(len(n), 3.0) if goal >= 3 * sizes[s] else rates(hi)
+        assert [r["rate"] for r in own] == pytest.approx(want.tolist(), rel=1e-4)
+        assert all(math.floor(r["rate"] - 1e-6) <= r["copies"] <= math.ceil(r["rate"] + 1e-6) for r in own)
+
+
 def test_pipeline(spark, got):
     """Each stage against brute force on its own input, and the whole run against the last stage."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
