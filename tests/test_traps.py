@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions.math import average_rank, correlation, steps
-from quantloom.operators import cross_section, factors, joins, quality, signals
+from quantloom.operators import composition, cross_section, factors, joins, quality, risk, signals
 
 
 def day(n: int) -> datetime.date:
@@ -74,3 +75,31 @@ def test_least_variance_is_optimal():
             v[i] -= t
             v[j] += t
             assert v @ c @ v >= best - 1e-9
+
+
+def test_moments_do_not_depend_on_blocks(spark):
+    x = np.random.default_rng(3).normal(size=(9, 12))
+    rows = spark.createDataFrame([(day(0), f"c{i}", day(j), float(x[i, j])) for i in range(9) for j in range(12)], "trade_date date, ts_code string, return_date date, ret double")
+    centred = x - x.mean(axis=1, keepdims=True)
+    for block in (2, 4, 512):
+        got = {(r["i"], r["j"]): (r["s"], r["q"], r["n"]) for r in risk._moments(rows, block).collect()}
+        assert len(got) == 81 == risk._moments(rows, block).count()
+        for i in range(9):
+            for j in range(9):
+                want = (centred[i] @ centred[j] / 12, centred[i] ** 2 @ centred[j] ** 2 / 12, 12.0)
+                assert np.allclose(got[f"c{i}", f"c{j}"], want)
+
+
+def test_absent_fields_are_named(spark):
+    with pytest.raises(ValueError, match="absent"):
+        quality.require_fields(spark.range(1), ["id", "absent"])
+
+
+def test_weights_know_only_earlier_dates(spark):
+    dates = spark.createDataFrame([(day(i),) for i in range(5)], "trade_date date")
+    ic = spark.createDataFrame([(day(i), f, v) for i, (a, b) in enumerate([(0.3, -0.1), (0.1, 0.2), (None, 0.4), (0.5, 0.0)]) for f, v in (("a", a), ("b", b))], "trade_date date, factor_name string, rank_ic double")
+    got = {(r["trade_date"], r["factor_name"]): r for r in composition.rolling_ic_weights(dates, ic, ["a", "b"], lookback=2, least=2).collect()}
+    assert [got[day(i), "a"]["fallback"] for i in range(5)] == [True, True, False, False, False]
+    # day 3: a has days 0 and 1, b has days 1 and 2; day 4: a has days 1 and 3, b days 2 and 3
+    wanted = [0.5, 0.5, 0.2 / 0.25, 0.2 / 0.5, 0.3 / 0.5]
+    assert np.allclose([got[day(i), "a"]["weight"] for i in range(5)], wanted)
