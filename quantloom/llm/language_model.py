@@ -35,11 +35,39 @@ from .common import NONSPACE, chunks, fold, hashed_words, parts_for, text_bytes,
 ORDER = 3
 PRIOR = 100.0  # m, in tokens
 BLOCK_BYTES = 6 << 20
-PIECE = 512  # tokens that are traversed as one
+PIECE = 128  # tokens that are traversed as one
 _END = np.uint64(0x45D9F3B3335B369D)
 _START = np.uint64(0x119DE1F3A5C7B1E9)
 
 
+def _ascending(keys: np.ndarray) -> np.ndarray:
+    """The order of unsigned keys. Keys with their place in the low bits are sorted, which is faster than argsort."""
+    bits = max(len(keys), 1).bit_length()
+    drop = max(0, int(keys.max(initial=0)).bit_length() + bits - 64)  # low bits that have no room
+    placed = ((keys >> np.uint64(drop)) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)
+    placed.sort()
+    order = (placed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    found = keys[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def _firsts(ascending: np.ndarray) -> np.ndarray:
+    """Where a value stands that differs from the one before it."""
+    out = np.ones(len(ascending), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=out[1:])
+    return out
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and each key's index among them."""
+    order = _ascending(keys)
+    found = keys[order]
+    first = _firsts(found)
+    index = np.empty(len(keys), np.int64)
+    index[order] = np.cumsum(first) - 1
+    return found[first], index
+
+
 class _Block:
     """The tokens of a block's documents, and the n-grams that end at them."""
 
@@ -63,14 +91,28 @@ class _Block:
         self.owner = np.repeat(np.arange(len(n)), n + 1)
         self.weight = self.train[self.owner].astype(float)
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of the k-grams, each token's index among them, and their training counts; before a text stand start marks."""
+    def keys(self, k: int) -> np.ndarray:
+        """The key of the k-gram that ends at each token; before a text stand start marks."""
         key = np.full(len(self.tokens), np.uint64(k))
         begin = self.first[self.owner]
         for j in range(k - 1, -1, -1):
             at = np.arange(len(self.tokens)) - j
             key = fold(key, np.where(at >= begin, self.tokens[np.maximum(at, 0)], _START))
-        distinct, index = np.unique(key, return_inverse=True)
+        return key
+
+    def counted(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of the k-grams and their training counts."""
+        key = self.keys(k)
+        learned = np.sort(key[self.weight > 0])
+        key.sort()
+        distinct, begin = key[_firsts(key)], np.flatnonzero(_firsts(learned))
+        counts = np.zeros(len(distinct), np.int64)
+        counts[np.searchsorted(distinct, learned[begin])] = np.diff(begin, append=len(learned))
+        return distinct, counts
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of the k-grams, each token's index among them, and their training counts."""
+        distinct, index = _distinct(self.keys(k))
         return distinct, index, np.bincount(index, self.weight, len(distinct)).astype(np.int64)
 
     def before(self, values: np.ndarray, start: int) -> np.ndarray:
@@ -139,7 +181,9 @@ class _Automaton:
             to = at_level[k][arc] if k < order - 1 else at_level[k - 1][suffix[k][arc]]
             targets.append(np.where(is_end[word[arc]], 0, to))
         keys = np.concatenate(keys)
-        by_key = np.argsort(keys)
+        by_key = _ascending(keys.view(np.uint64))
+        self.arcs = np.bincount(keys // max(self.words, 1), minlength=states)
+        self.first = np.cumsum(self.arcs) - self.arcs
         self.keys = np.append(keys[by_key], np.iinfo(np.int64).max)
         self.weights, self.targets = np.concatenate(weights)[by_key], np.concatenate(targets)[by_key]
         self.order = order
@@ -149,9 +193,12 @@ class _Automaton:
         out, after, at = np.zeros(len(state)), np.empty(len(state), np.int64), state.copy()
         open_ = np.arange(len(state))
         while len(open_):
-            key = at[open_] * self.words + word[open_]
-            place = np.searchsorted(self.keys, key)
-            found = (self.keys[place] == key) & (at[open_] > 0)
+            here = at[open_]
+            key = here * self.words + word[open_]
+            place = self.first[here]  # most states have one arc
+            more = np.flatnonzero((self.keys[place] != key) & (self.arcs[here] > 1))
+            place[more] = np.searchsorted(self.keys, key[more])
+            found = (self.keys[place] == key) & (here > 0)
             hit = open_[found]
             out[hit] += self.weights[place[found]]
             after[hit] = self.targets[place[found]]
@@ -274,9 +321,8 @@ def score_texts(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR
                 at += width
         out = []
         for level, some in asked.items():
-            distinct, index = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
-            total = np.zeros(len(distinct), np.int64)
-            np.add.at(total, index, np.concatenate([c for _, c in some]))
+            distinct, index = _distinct(np.concatenate([k for k, _ in some]))
+            total = np.bincount(index, np.concatenate([c for _, c in some]), len(distinct)).astype(np.int64)
             head, value = b"", total
             if level == 1:
                 head = np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()
@@ -303,7 +349,7 @@ def score_texts(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR
 
     def ask(table):
         block = _Block(table)
-        return message(table, {k: (g[0], g[2]) for k in range(1, min(order, 2) + 1) for g in [block.grams(k)]})
+        return message(table, {k: block.counted(k) for k in range(1, min(order, 2) + 1)})
 
     def longer_levels(block, told, upto: int):
         """The grams of the levels from two to `upto`, their totals (of the last, if it was answered), and which of the last are sent."""
