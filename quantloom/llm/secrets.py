@@ -42,6 +42,7 @@ ALPHABETS = {
 LEAST_RANDOM = 0.001  # a candidate whose combined tests reject randomness at this level is none
 DISCOVERY_RATE = 0.01
 BINS_A_DECADE, DECADES = 10, 30
+SPAN_RUN = 1000  # spans of a text that are gathered at a time
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -56,10 +57,14 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None
         start = acc["at"] + x["g"]
         end = start + x["n"]
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["v"] >= least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
-
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(zipped, begin, step, lambda acc: acc["spans"])
+        # full runs are put aside, as appending to all spans of a text with very many would copy them each time
+        full = F.size(acc["spans"]) >= SPAN_RUN
+        spans = F.when(full, one).otherwise(F.concat(acc["spans"], one))
+        runs = F.when(full, F.concat(acc["runs"], F.array(acc["spans"]))).otherwise(acc["runs"])
+        return F.when(x["v"] >= least, F.struct(end.alias("at"), spans.alias("spans"), runs.alias("runs"))).otherwise(F.struct(end.alias("at"), acc["spans"].alias("spans"), acc["runs"].alias("runs")))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"), F.array().cast(f"array<{_SPAN}>").alias("runs"))
+    return F.aggregate(zipped, begin, step, lambda acc: F.flatten(F.concat(acc["runs"], F.array(acc["spans"]))))
 
 
 def _normal_cdf(z: Column) -> Column:
