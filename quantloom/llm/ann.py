@@ -26,6 +26,7 @@ CODE_WORDS = 64
 SUBSPACE = 2  # dimensions that share a code
 ITERATIONS = 8
 BLOCK = 256
+MOST_ROWS = 1 << 15  # a task's members, and its queries, at most on average
 SCORES = 1 << 22  # guessed products in memory at once
 RERANK = 60
 HOME = 8  # lists of a query that are searched first
@@ -164,7 +165,7 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
     asked = asked.join(asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same")), "vec_id").select("vec_id", "vec", "same")
     visits = asked.mapInArrow(visit, f"vec_id {kind}, vec binary, home array<bigint>, others array<bigint>")
     queries = stored(visits.withColumn("query", F.monotonically_increasing_id()), "ann-visits")  # a key for each row, as ids can repeat
-    size = max(BLOCK, -(-rows // len(held)))  # a task's rows; their scores are taken SCORES at a time
+    size = min(max(BLOCK, -(-rows // len(held))), MOST_ROWS)  # a task's rows; their scores are taken SCORES at a time
 
     def search(key, table):
         is_query = table.column("codes").is_null()
