@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 SKIPPABLE = 0x184D2A5D  # the frame that carries a dictionary (fixed value of the format)
 SAMPLE_RECORDS = 1000  # the dictionary learns from so many records at most,
@@ -160,8 +160,9 @@ def read_archive(path: str) -> Iterator[bytes]:
             raise ValueError(f"{path} is cut off")
 
 
-def write_archives(pages: DataFrame, out_dir: str, least: int = 0) -> list[tuple[str, int]]:
-    """Write a record for every row of `pages` (page_id, url, html; null html is empty); the archives' names and records.
+def write_archives(pages: DataFrame, out_dir: str, least: int = 0) -> DataFrame:
+    """Write a record for every row of `pages` (page_id, url, html; null html is empty); (archive, records), the
+    archives' names and counts, from a stored table.
 
     An empty table writes none; repeated rows are records each; other columns aren't read.
     """
@@ -180,34 +181,37 @@ def write_archives(pages: DataFrame, out_dir: str, least: int = 0) -> list[tuple
             writer.close()
             yield pa.RecordBatch.from_pydict({"archive": [n for n, _ in writer.done], "records": [n for _, n in writer.done]})
 
-    return sorted(tuple(r) for r in marked.mapInArrow(write, "archive string, records long").collect())
+    return stored(marked.mapInArrow(write, "archive string, records long"), "warc-archives")
 
 
-def read_archives(spark, out_dir: str, archives: list[tuple[str, int]], id_type: str = "long") -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; a task for each archive.
+def read_archives(out_dir: str, archives: DataFrame, id_type: str = "long") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of `archives`, which are
+    dealt to as many tasks; an archive with another number of records than stated is an error.
 
     A response's length and digest are those of the payload read; a revisit's are those its headers state.
     """
-    names = [n for n, _ in archives]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                rows = []
-                for data in read_archive(f"{out_dir}/{names[k]}"):
+            for name, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, n = [], 0
+                for data in read_archive(f"{out_dir}/{name}"):
                     h, http, payload = parse_record(data)
                     told, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
                     size = int(http.rpartition(b"Content-Length: ")[2])
                     if kind == "response" and (len(payload), digest(payload)) != (size, told):
-                        raise ValueError(f"{names[k]}: a payload differs from its digest")
+                        raise ValueError(f"{name}: a payload differs from its digest")
+                    n += 1
                     rows.append((h["X-Page-ID"] or None, size, told, kind, h.get("X-Refers-To-Page-ID")))
                     if len(rows) == 2000:
                         yield _rows(rows)
                         rows = []
+                if n != count:
+                    raise ValueError(f"{name}: {n} records instead of {count}")
                 if rows:
                     yield _rows(rows)
 
-    out = spark.range(0, len(names), 1, max(len(names), 1)).mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    out = archives.repartition(max(archives.count(), 1), "archive").mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
@@ -219,7 +223,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out_dir = shared_dir(spark, "warc")
-    return read_archives(spark, out_dir, write_archives(pages, out_dir), pages.schema["page_id"].dataType.simpleString())
+    return read_archives(out_dir, write_archives(pages, out_dir), pages.schema["page_id"].dataType.simpleString())
 
 
 OP9_SQL = r"""
