@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language_model, minhash, mixing, quality, secrets, suffix_dedup, token_output, warc
+from . import ann, decontaminate, hard_negatives, language_model, merkle, minhash, mixing, quality, quality_rules, secrets, suffix_dedup, token_output, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_nearest": ann.op8_nearest,
         "op9_warc": warc.op9_warc,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_quality_rules": quality_rules.op13_quality_rules,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict:
         "op2_suffix_dedup": suffix_dedup.OP2_SQL,
         "op4_near_duplicates": minhash.OP4_SQL,
         "op9_warc": warc.OP9_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
+        "op13_quality_rules": quality_rules.OP13_SQL,
     }
