@@ -78,21 +78,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tupl
     return low, starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _MULT, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span (none empty)."""
+    """A 64-bit hash of the bytes of every span (none empty): every eight bytes are mixed with their place before they are added up."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    total = int(first[-1] + lens[-1])
-    pos = np.arange(total) - np.repeat(first, lens)
-    values = _BYTE[low[pos + np.repeat(starts, lens)]] * _powers(int(lens.max()))[pos]
+    n = (lens + 7) >> 3
+    first, begin = np.cumsum(n) - n, np.cumsum(lens) - lens
+    every = np.arange(int(begin[-1] + lens[-1]))
+    padded = np.zeros(8 * int(first[-1] + n[-1]), np.uint8)
+    padded[every + np.repeat(8 * first - begin, lens)] = low[every + np.repeat(starts - begin, lens)]
+    place = np.arange(1, len(padded) // 8 + 1) - np.repeat(first, n)
+    values = mix(padded.view("<u8") + place.astype(np.uint64) * _MULT)
     return mix(np.add.reduceat(values, first) + lens.astype(np.uint64))
 
 

@@ -467,3 +467,21 @@ def test_mixing(spark, docs, rows, empty):
 def test_mixing_keeps_texts_without_words(spark):
     table = spark.createDataFrame([(1, None, "a"), (2, " ", "b")], "doc_id long, text string, source string")
     assert [r["copies"] for r in mixing.mix(table).collect()] == [1, 1]
+
+
+@pytest.mark.parametrize("levels", [10, 12])
+def test_long_words_are_told_apart(spark, levels):
+    """The two Thue-Morse words of 1,024 and of 4,096 letters, which any polynomial modulo 2^64 hashes alike."""
+    word = "a"
+    for _ in range(levels):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, f"one two three {word} four"), (2, f"one two three {other} four"), (3, f"one two three {word} four"), (4, word), (5, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, word)], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, bench).collect()
+    assert {r["doc_id"] for r in found if r["contamination"]["n_hit"]} == {1, 3, 4}
+    groups = {r["doc_id"]: r["component_id"] for r in minhash.similarity_groups(docs, 4, 80).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    scored = {r["doc_id"]: r["n_known"] for r in language_model.score_texts(docs, F.col("doc_id") == 1).collect()}
+    assert scored == {1: 6, 2: 5, 3: 6, 4: 2, 5: 1}
