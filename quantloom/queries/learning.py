@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.math import correlation
+from ..operators import boosting
 from ..operators import learning as op
 from ..registry import query
 from ..sources.panels import work_dir
@@ -12,6 +13,7 @@ from ..sources.panels import work_dir
 _PANEL = "SELECT r.trade_date, r.ts_code, ret AS factor_a, CASE WHEN turnover_rate > 2 THEN turnover_rate END AS factor_b, forward_return, lead(trade_date) OVER (PARTITION BY ts_code ORDER BY trade_date) AS exit_date FROM v_ret r"
 _DATES = f"SELECT trade_date, max(exit_date) AS max_exit FROM ({_PANEL}) p GROUP BY trade_date"
 _FEATURES = ["factor_a", "factor_b"]
+_BOOSTING = boosting.Boosting(trees=10, depth=3, rate=0.2, bins=32, least_rows=10, patience=3)
 
 
 def _panel(v):
@@ -111,11 +113,38 @@ def _oos(v):
     return op.predict(prepared, op.ridge(prepared, _FEATURES, "forward_return", 1.0), _FEATURES, "forward_return")
 
 
-for _name in ("predict", "train_predict_oos"):
+@query("predict", _OOS, "target prediction")
+def predict(v):
+    return _oos(v)
 
-    @query(_name, _OOS, "target prediction")
-    def predict(v):
-        return _oos(v)
+
+# coordinate descent by a recursive query on the centred equations: alpha 0.02, l1_ratio 0.5, 60 sweeps of two coefficients
+_NET_SUMS = f"SELECT fold_id, ma, mb, my, (aa - 1) / n AS aa, (bb - 1) / n AS bb, ab / n AS ab, ay / n AS ay, wy / n AS wy FROM ({_SUMS}) s"
+_SOFT = "sign({0}) * greatest(abs({0}) - 0.01, 0) / ({1} + 0.01)".format
+_NET = f"""WITH RECURSIVE net_sums AS ({_NET_SUMS}), net AS (
+    SELECT *, 0 AS sweep, CAST(0 AS DOUBLE) AS wa, CAST(0 AS DOUBLE) AS wb FROM net_sums
+    UNION ALL
+    SELECT fold_id, ma, mb, my, aa, bb, ab, ay, wy, sweep + 1, na, {_SOFT("(wy - ab * na)", "bb")} FROM (SELECT *, {_SOFT("(ay - ab * wb)", "aa")} AS na FROM net) s WHERE sweep < 60)
+    SELECT *, my - wa * ma - wb * mb AS w0 FROM net WHERE sweep = 60"""
+_NET_OOS = f"SELECT p.trade_date, p.ts_code, p.forward_return AS target, w0 + factor_a * wa + factor_b * wb AS prediction, p.fold_id FROM ({_PREPARED}) p JOIN ({_NET}) w ON w.fold_id = p.fold_id WHERE role = 'prediction'"
+
+
+def _net(prepared, features, label):
+    return op.elastic_net(prepared, features, label, 0.02, 0.5)
+
+
+@query("elastic_net", _NET_OOS, "target prediction")
+def elastic_net(v):
+    prepared = _written(v)
+    return op.predict(prepared, _net(prepared, _FEATURES, "forward_return"), _FEATURES, "forward_return")
+
+
+_MODELS = {"ridge": lambda p, f, y: op.ridge(p, f, y, 1.0), "elastic_net": _net}
+
+
+@query("train_predict_oos", f"SELECT 'ridge' AS model, * FROM ({_OOS}) r UNION ALL SELECT 'elastic_net', * FROM ({_NET_OOS}) e", "target prediction")
+def train_predict_oos(v):
+    return op.train_predict(_written(v), _FEATURES, "forward_return", _MODELS)
 
 
 @query("importances", f"SELECT fold_id, feature, coefficient, abs(coefficient) AS importance, abs(coefficient) / sum(abs(coefficient)) OVER (PARTITION BY fold_id) AS share, row_number() OVER (PARTITION BY fold_id ORDER BY abs(coefficient) DESC, feature) AS place FROM ({_COEF}) c WHERE feature <> 'intercept'", "coefficient importance share")
@@ -246,15 +275,8 @@ def importance_feature_agg(v):
     return op.importance_summary(_losses(v), ["feature"])
 
 
-@query("elastic_net")
-def elastic_net(v):
-    from pyspark.ml.regression import LinearRegression
-
-    return op.fit_by_fold(_written(v), _FEATURES, "forward_return", LinearRegression(regParam=0.001, elasticNetParam=0.5, standardization=False))
-
-
 @query("gbt")
 def gbt(v):
-    from pyspark.ml.regression import GBTRegressor
-
-    return op.fit_by_fold(_written(v), _FEATURES, "forward_return", GBTRegressor(maxIter=50, maxDepth=3, seed=1, validationIndicatorCol="held_out", validationTol=0.0))
+    split = _kept(v, _split(v), "split")  # not prepared: nulls have bins of their own
+    forest = boosting.fit_forest(split, _FEATURES, "forward_return", _BOOSTING)
+    return boosting.predict_forest(split, forest, _FEATURES, "forward_return")
