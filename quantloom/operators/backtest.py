@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.math import finite, number, ratio
 
+WEIGHT_TOLERANCE = 1e-12
+
 
 def pct_to_decimal(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c / 100)
@@ -72,13 +74,30 @@ def segments(targets: DataFrame, days: DataFrame) -> DataFrame:
     return rows.withColumn("event", F.last("e", ignorenulls=True).over(before)).where("event IS NOT NULL").select("trade_date", "event")
 
 
+def held_days(targets: DataFrame, days: DataFrame) -> DataFrame:
+    """event, trade_date, ts_code and target_weight: each holding's codes on the open days until, and on, the next rebalance."""
+    held = targets.select(F.col("effective_date").alias("event"), "ts_code", "target_weight")
+    return held.join(F.broadcast(segments(targets, days)), "event")  # a row for each date
+
+
 def drifted(targets: DataFrame, returns: DataFrame, days: DataFrame) -> DataFrame:
-    """event, trade_date, ts_code, value (of 1 at the event) and weight at the close of each day of a holding; missing returns are 0."""
-    held = targets.select(F.col("effective_date").alias("event"), "ts_code", "target_weight").join(F.broadcast(segments(targets, days)), "event")
-    rows = held.join(returns.select("trade_date", "ts_code", "ret"), ["trade_date", "ts_code"], "left")
-    growth = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(Window.partitionBy("event", "ts_code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0))
-    valued = rows.withColumn("value", F.col("target_weight") * growth)
-    return valued.select("event", "trade_date", "ts_code", "value", ratio(F.col("value"), F.sum("value").over(Window.partitionBy("event", "trade_date"))).alias("weight"))
+    """event, trade_date, ts_code, value (of 1 at the event), cash and weight at the close of each day of a
+    holding, and the value `before` the day and its `gain`.
+
+    What the targets leave of 1 is cash, which keeps its value and so drifts in weight. `returns`
+    are resolved ones (`resolve_return`): a code held with a positive weight fails on a day without
+    one, and on one below -1.
+    """
+    rows = held_days(targets, days).join(returns.select("trade_date", "ts_code", "ret"), ["trade_date", "ts_code"], "left")
+    told = F.concat_ws(" ", F.lit("no resolved return, or one below -1, of a held code:"), "trade_date", "ts_code", F.col("ret").cast("string"))
+    wrong = F.col("ret").isNull() | (F.col("ret") < -1)
+    ret = F.when(F.col("target_weight") <= WEIGHT_TOLERANCE, 0.0).when(wrong, F.raise_error(told).cast("double")).otherwise(F.col("ret"))
+    growth = F.product(1 + ret).over(Window.partitionBy("event", "ts_code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0))
+    day = Window.partitionBy("event", "trade_date")
+    valued = rows.withColumns({"value": F.col("target_weight") * growth, "cash": 1 - F.sum("target_weight").over(day), "_ret": ret})
+    before = F.coalesce(F.lag("value").over(Window.partitionBy("event", "ts_code").orderBy("trade_date")), F.col("target_weight"))
+    valued = valued.withColumn("before", before).withColumn("gain", F.col("before") * F.col("_ret"))
+    return valued.select("event", "trade_date", "ts_code", "value", "cash", ratio(F.col("value"), F.sum("value").over(day) + F.col("cash")).alias("weight"), "before", "gain")
 
 
 def rebalance_ledger(targets: DataFrame, drift: DataFrame) -> DataFrame:
@@ -94,14 +113,21 @@ def rebalance_ledger(targets: DataFrame, drift: DataFrame) -> DataFrame:
 
 
 def daily_nav(drift: DataFrame, ledger: DataFrame, cost_rate: float) -> DataFrame:
-    """Gross and net return and value of each day from the first rebalance on; cost is notional times the rate, on its day."""
-    value = drift.groupBy("event", "trade_date").agg(F.sum("value").alias("v"))
-    gross = ratio(F.col("v"), F.coalesce(F.lag("v").over(Window.partitionBy("event").orderBy("trade_date")), F.lit(1.0))) - 1
+    """Gross and net return and value of each day from the first rebalance on.
+
+    The gross return is of all that is held, cash included. A rebalance takes notional times the rate
+    from the day's closing value, so a net factor is the gross factor times 1 less the cost. Fails where
+    a cost isn't in [0, 1) or a factor isn't positive.
+    """
+    value = drift.groupBy("event", "trade_date").agg(F.sum("gain").alias("gain"), (F.sum("before") + F.max("cash")).alias("before"))
+    gross = ratio(F.col("gain"), F.col("before"))
     events = ledger.groupBy("effective_date").agg(F.max("turnover").alias("turnover"), F.max("notional").alias("notional")).withColumnRenamed("effective_date", "trade_date")
     days = value.select("trade_date", gross.alias("gross_return")).join(events, "trade_date", "full")
     cost = F.coalesce("notional", F.lit(0.0)) * cost_rate
     out = days.select("trade_date", F.coalesce("gross_return", F.lit(0.0)).alias("gross_return"), cost.alias("cost"), F.col("notional").isNotNull().alias("is_rebalance"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.coalesce("notional", F.lit(0.0)).alias("notional"))
-    out = out.withColumn("net_return", F.col("gross_return") - F.col("cost"))
+    fits = (F.col("cost") >= 0) & (F.col("cost") < 1) & (F.col("gross_return") > -1) & finite(F.col("gross_return")).isNotNull()
+    told = F.raise_error(F.concat_ws(" ", F.lit("cost or return out of range:"), "trade_date", "cost", "gross_return")).cast("double")
+    out = out.withColumn("net_return", F.when(fits, (1 + F.col("gross_return")) * (1 - F.col("cost")) - 1).otherwise(told))
     path = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)  # a row for each day
     return out.withColumn("gross_nav", F.product(1 + F.col("gross_return")).over(path)).withColumn("net_nav", F.product(1 + F.col("net_return")).over(path))
 

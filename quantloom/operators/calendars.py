@@ -18,6 +18,29 @@ def calendar_gaps(calendar: DataFrame) -> DataFrame:
     return gaps.unionByName(twice)
 
 
+def proven(calendar: DataFrame) -> DataFrame:
+    """The calendar's rows; the query fails on a missing or repeated day, and on an is_open other than 0 and 1."""
+    before = F.lag("cal_date").over(Window.orderBy("cal_date"))
+    wrong = F.when(F.datediff("cal_date", before) == 0, "repeated day").when(F.datediff("cal_date", before) > 1, "missing day before").when(F.col("is_open").isNull() | ~F.col("is_open").isin(0, 1), "is_open is neither 0 nor 1 on")
+    checked = F.when(wrong.isNull(), F.col("is_open")).otherwise(F.raise_error(F.concat_ws(" ", wrong, "cal_date")).cast("int"))
+    return calendar.select("cal_date", checked.alias("is_open"))
+
+
+def open_dates_from_coverage(calendar: DataFrame, coverage: DataFrame, start, end, fail: bool = True) -> DataFrame:
+    """(cal_date, problem): the open days of an interval, each proven by a complete unit of coverage (unit, status) and one row.
+
+    Fails on a natural day that isn't; with `fail` off it is listed with its problem instead.
+    """
+    asked = calendar.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("cal_date"))
+    complete = coverage.where("status = 'COMPLETE'").select(F.to_date("unit").alias("cal_date"), F.lit(True).alias("complete")).distinct()
+    rows = calendar.groupBy("cal_date").agg(F.count(F.lit(1)).alias("n"), F.max("is_open").alias("is_open"))
+    days = asked.join(complete, "cal_date", "left").join(rows, "cal_date", "left")
+    problem = F.when(F.col("complete").isNull(), "unit is not complete").when(F.coalesce("n", F.lit(0)) != 1, "unit is missing or ambiguous")
+    if fail:
+        problem = F.when(problem.isNotNull(), F.raise_error(F.concat_ws(" ", problem, "cal_date")))
+    return days.withColumn("problem", problem).where("problem IS NOT NULL OR is_open = 1").select("cal_date", "problem")
+
+
 def open_days(calendar: DataFrame) -> DataFrame:
     """(cal_date, pos) of the open days in order."""
     days = calendar.where("is_open = 1").select("cal_date").distinct()
@@ -36,11 +59,13 @@ def next_trading_day(dates: DataFrame, days: DataFrame, column: str = "cal_date"
     return found.where("asked").select(F.col("d").alias(column), "next_trading_day")
 
 
-def shift_open(anchors: DataFrame, days: DataFrame, periods: int, column: str = "cal_date") -> DataFrame:
-    """The open day `periods` positions after each open anchor."""
+def shift_open(anchors: DataFrame, days: DataFrame, periods: int, column: str = "cal_date", fail: bool = True) -> DataFrame:
+    """The open day `periods` positions after each anchor, which must be open. Fails where there is none, or gives null."""
     at = days.select(F.col("cal_date").alias(column), (F.col("pos") + periods).alias("_p"))
     to = days.select(F.col("pos").alias("_p"), F.col("cal_date").alias("shifted"))
-    return anchors.join(at, column).join(to, "_p", "left").drop("_p")
+    found = anchors.join(at, column, "left").join(to, "_p", "left")
+    told = F.raise_error(F.concat_ws(" ", F.lit(f"no open day {periods} after"), column)).cast("date")
+    return found.withColumn("shifted", F.coalesce("shifted", told) if fail else F.col("shifted")).drop("_p")
 
 
 def formation_dates(days: DataFrame, frequency: str = "MONTHLY") -> DataFrame:
@@ -56,20 +81,30 @@ def formation_dates_checked(calendar: DataFrame) -> DataFrame:
     return month.where((F.col("n") == F.dayofmonth(F.last_day("m"))) & F.col("formation_date").isNotNull()).select("formation_date")
 
 
-def history_window(formations: DataFrame, days: DataFrame, kind: str, n: int = 1) -> DataFrame:
-    """(formation_date, first_date, last_date) of the last n open days, n calendar months, or the day itself."""
-    f = formations.select("formation_date")
+def history_window(formations: DataFrame, days: DataFrame, kind: str, n: int = 1, fail: bool = True) -> DataFrame:
+    """(formation_date, first_date, last_date): the last n open days, the open days of the last n calendar months, or the day itself.
+
+    A formation date must be an open day. Fails where the calendar doesn't reach back far enough (for
+    months: has no open day in the first of them), or gives a null first_date.
+    """
+    at = formations.select("formation_date").join(days.select(F.col("cal_date").alias("formation_date"), "pos"), "formation_date", "left")
     if kind == "DAYS":
-        at = f.join(days, F.col("formation_date") == F.col("cal_date")).select("formation_date", F.greatest(F.col("pos") - n + 1, F.lit(1)).alias("pos"))
-        return at.join(days, "pos").select("formation_date", F.col("cal_date").alias("first_date"), F.col("formation_date").alias("last_date"))
-    first = F.add_months(F.trunc("formation_date", "month"), -(n - 1)) if kind == "MONTHS" else F.col("formation_date")
-    return f.select("formation_date", first.alias("first_date"), F.col("formation_date").alias("last_date"))
+        first = days.select((F.col("pos") + (n - 1)).alias("pos"), F.col("cal_date").alias("first_date"))
+        found = at.join(first, "pos", "left")
+    elif kind == "MONTHS":
+        first = days.groupBy(F.trunc("cal_date", "month").alias("month")).agg(F.min("cal_date").alias("first_date"))
+        found = at.withColumn("month", F.add_months(F.trunc("formation_date", "month"), -(n - 1))).join(first, "month", "left").withColumn("first_date", F.when(F.col("pos").isNotNull(), F.col("first_date")))
+    else:
+        found = at.withColumn("first_date", F.when(F.col("pos").isNotNull(), F.col("formation_date")))
+    told = F.raise_error(F.concat_ws(" ", F.lit("not enough calendar history before"), "formation_date")).cast("date")
+    return found.select("formation_date", (F.coalesce("first_date", told) if fail else F.col("first_date")).alias("first_date"), F.col("formation_date").alias("last_date"))
 
 
 def open_window(formations: DataFrame, days: DataFrame, n: int) -> DataFrame:
-    """(formation_date, window_date): the last n open days up to each formation date."""
+    """(formation_date, window_date): the last n open days up to each formation date; fails where there are fewer."""
     at = formations.join(days, F.col("formation_date") == F.col("cal_date")).select("formation_date", F.col("pos").alias("p"))
-    spread = at.select("formation_date", F.explode(F.sequence(F.greatest(F.col("p") - n + 1, F.lit(1)), F.col("p"))).alias("pos"))
+    short = F.raise_error(F.concat_ws(" ", F.lit("not enough calendar history before"), "formation_date")).cast("int")
+    spread = at.select("formation_date", F.explode(F.sequence(F.when(F.col("p") >= n, F.col("p") - n + 1).otherwise(short), F.col("p"))).alias("pos"))
     return spread.join(days, "pos").select("formation_date", F.col("cal_date").alias("window_date"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.math import number, steps
+from ..functions.math import number, ratio, steps
 
 # Steps and labels that reports are read by.
 NONE = "N/A"
+UNKNOWN_INDUSTRY = "未知行业"
 PERCENTILE_STEPS = [(">=", 0.8, "样本前 20%"), (">=", 0.6, "样本前 40%"), (">=", 0.4, "样本中位附近"), (">=", 0.2, "样本后 40%")]
 VOLATILITY_STEPS = [("<=", -0.5, "低波动"), ("<", 0.5, "中等波动")]
 MOMENTUM_STEPS = [(">=", 0.5, "动量较强"), (">=", 0.0, "动量偏强"), (">=", -0.5, "动量偏弱")]
@@ -163,10 +164,11 @@ def selection_frequency(panel: DataFrame, selected: DataFrame) -> DataFrame:
     return out.select("ts_code", "observed", "selected", (F.col("selected") / F.col("observed")).alias("frequency"))
 
 
-def latest_portfolio(held: DataFrame) -> DataFrame:
-    """The rows of the last date, by rank."""
+def latest_portfolio(held: DataFrame, by: str = "rank") -> DataFrame:
+    """The rows of the last date, by rank, or by descending score; a null industry gets its label."""
     last = held.agg(F.max("trade_date").alias("trade_date"))
-    return held.join(F.broadcast(last), "trade_date", "left_semi").orderBy("rank")
+    rows = held.join(F.broadcast(last), "trade_date", "left_semi").withColumn("industry", F.coalesce("industry", F.lit(UNKNOWN_INDUSTRY)))
+    return rows.orderBy("rank" if by == "rank" else F.desc("score"))
 
 
 def latest_portfolio_date(dates: Column) -> Column:
@@ -174,20 +176,24 @@ def latest_portfolio_date(dates: Column) -> Column:
     return F.max(F.try_to_date(dates, "yyyy-MM-dd"))
 
 
-def industry_distribution(held: DataFrame) -> DataFrame:
-    name = F.coalesce(F.nullif(F.trim("industry"), F.lit("")), F.lit("unknown"))
-    return held.groupBy("trade_date", name.alias("industry")).agg(F.count(F.lit(1)).alias("codes"), F.sum("target_weight").alias("weight"))
+def industry_distribution(latest: DataFrame) -> DataFrame:
+    """Codes and weight of each industry of a portfolio, with null as unknown."""
+    name = F.coalesce("industry", F.lit(UNKNOWN_INDUSTRY))
+    return latest.groupBy(name.alias("industry")).agg(F.count("ts_code").alias("count"), F.coalesce(F.sum("target_weight"), F.lit(0.0)).alias("weight")).orderBy(F.desc("weight"))
 
 
 def weight_distribution(held: DataFrame) -> DataFrame:
     return held.select("trade_date", "ts_code", "target_weight", "rank").orderBy("trade_date", F.desc("target_weight"), "rank")
 
 
-def portfolio_summary(held: DataFrame) -> DataFrame:
-    """Size, industries, heaviest and best code, and means, of each date."""
-    return held.groupBy("trade_date").agg(
-        F.count(F.lit(1)).alias("codes"), F.countDistinct("industry").alias("industries"), F.max_by("ts_code", F.struct("target_weight", "ts_code")).alias("heaviest"), F.max("target_weight").alias("top_weight"),
-        F.max_by("ts_code", F.struct("score", "ts_code")).alias("best"), F.max("score").alias("top_score"), F.avg("score").alias("mean_score"),
+def portfolio_summary(latest: DataFrame) -> DataFrame:
+    """One row of a portfolio: its date, size and industries (null is one), the code of most weight (then of
+    first rank) and of best score (then of first rank) by name, if it has one, and mean score and percentile."""
+    label = F.coalesce("name", "ts_code")
+    return latest.agg(
+        F.max("trade_date").alias("latest_date"), F.count(F.lit(1)).alias("holding_count"), F.countDistinct(F.coalesce("industry", F.lit(UNKNOWN_INDUSTRY))).alias("industry_count"),
+        F.max_by(label, F.struct("target_weight", -F.col("rank"))).alias("top_weight_stock"), F.max_by(label, F.when(F.col("score").isNotNull(), F.struct("score", -F.col("rank")))).alias("top_score_stock"),
+        F.avg("score").alias("average_score"), F.avg("score_pct_rank").alias("average_score_pct_rank"),
     )
 
 
@@ -220,6 +226,20 @@ def series(table: DataFrame, columns: list[str], order: str = "trade_date", comp
     return rows.dropna(subset=[order, *columns] if complete else [order]).orderBy(order)
 
 
+def nav_curve(nav: DataFrame) -> DataFrame:
+    """gross_return, cost, net_return, nav, drawdown and turnover by date; the drawdown is against the highest value so far."""
+    peak = F.max("net_nav").over(Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0))  # a row for each day
+    rows = nav.select("trade_date", "gross_return", "cost", "net_return", F.col("net_nav").alias("nav"), (F.col("net_nav") / peak - 1).alias("drawdown"), "turnover")
+    return rows.dropna(subset=["trade_date"]).orderBy("trade_date")
+
+
+def long_short_report(spreads: DataFrame) -> DataFrame:
+    """Mean, deviation and ratio of each factor's spreads; a date without a spread counts as not positive."""
+    x = F.col("spread")
+    positive = F.avg(F.coalesce((x > 0).cast("double"), F.lit(0.0)))
+    return spreads.groupBy("factor_name").agg(F.avg(x).alias("spread_mean"), F.stddev_samp(x).alias("spread_std"), ratio(F.avg(x), F.stddev_samp(x)).alias("spread_ir"), positive.alias("spread_positive"), F.count(x).alias("n_dates"))
+
+
 def nav_vs_benchmark(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Values, drawdown and the running return within the month."""
     both = nav.select("trade_date", "net_nav", "net_return").join(benchmark.select("trade_date", F.col("nav").alias("benchmark_nav")), "trade_date")

@@ -20,16 +20,18 @@ def factor_study(long: DataFrame, labels: DataFrame, directions: dict[str, int],
 
 
 def research_plan(spark, names: list[str], days: DataFrame, start, end, lag: int, holding: int) -> DataFrame:
-    """(dataset_id, start_date, end_date): from the longest look-back of any factor to the last label's exit."""
+    """(dataset_id, start_date, end_date): from the longest look-back of any factor before the first open day of
+    the interval to the exit of the last one's label; fails where the calendar lacks either."""
     metadata = factors.factor_metadata(spark).where(F.col("factor_name").isin(names))
-    need = coverage.factor_requirements(metadata, days, start, end)
-    last = days.where(F.col("cal_date") <= F.lit(end)).agg(F.max("pos").alias("p"))
-    exit_date = last.join(days, F.col("pos") == F.col("p") + lag + holding, "left").select(F.coalesce("cal_date", F.lit(end)).alias("exit_date"))
-    return need.groupBy("dataset_id").agg(F.min("start_date").alias("start_date")).crossJoin(F.broadcast(exit_date)).select("dataset_id", "start_date", F.col("exit_date").alias("end_date"))
+    formations = days.where(F.col("cal_date").between(F.lit(start), F.lit(end))).select(F.col("cal_date").alias("formation_date"))
+    need = coverage.factor_requirements(metadata, days, formations)
+    last = formations.agg(F.max("formation_date").alias("cal_date"))
+    exit_date = calendars.shift_open(last, days, lag + holding).select(F.col("shifted").alias("exit_date"))
+    return need.groupBy("dataset_id").agg(F.min("start_date").alias("start_date")).join(F.broadcast(exit_date), F.lit(True)).select("dataset_id", "start_date", F.col("exit_date").alias("end_date"))
 
 
 def portfolio_requirements(formations: DataFrame, days: DataFrame, lookback: int) -> DataFrame:
-    """One row: the range of open days that weights with a look-back need."""
+    """One row: the range of open days that weights with a look-back need; fails where the calendar is too short."""
     return calendars.history_window(formations, days, "DAYS", lookback).agg(F.min("first_date").alias("start_date"), F.max("last_date").alias("end_date"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,13 +47,18 @@ def schedule(universes: list[DataFrame]) -> DataFrame:
 
 
 #: Names of pools from before universes had specifications.
-ALIASES = {"hs300": ("INDEX", "000300.SH"), "zz500": ("INDEX", "000905.SH"), "all": ("ALL_A_SHARES", None)}
-
-
-def universe_from_alias(pool: str) -> tuple[str, str | None]:
-    if pool not in ALIASES:
-        raise ValueError(f"unknown pool {pool}")
-    return ALIASES[pool]
+ALIASES = {"HS300": ("INDEX", "000300.SH"), "CSI300": ("INDEX", "000300.SH"), "ALL": ("ALL_A_SHARES", None), "ALL_A_SHARES": ("ALL_A_SHARES", None)}
+
+
+def universe_from_alias(pool: Column) -> Column:
+    """A struct of kind and index code for a pool's name, in any case; a name with a dot is an index; others fail."""
+    name = F.upper(F.trim(pool))
+    kind, code = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for alias, (k, c) in ALIASES.items():
+        kind, code = F.when(name == alias, k).otherwise(kind), F.when(name == alias, c).otherwise(code)
+    unknown = F.raise_error(F.concat(F.lit("unsupported pool: "), F.coalesce(pool, F.lit("null")))).cast("string")
+    listed = name.isin(*ALIASES)
+    return F.struct(F.when(listed, kind).when(F.contains(name, F.lit(".")), "INDEX").otherwise(unknown).alias("kind"), F.when(listed, code).otherwise(name).alias("code"))
 
 
 def period_constituents(weights: DataFrame, start, end) -> DataFrame:

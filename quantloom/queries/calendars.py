@@ -16,12 +16,20 @@ _HOLED = "SELECT cal_date, is_open FROM v_calendar WHERE day(cal_date) <> 17 UNI
 
 @query("build_trading_calendar", "SELECT cal_date, pos FROM v_open")
 def build_trading_calendar(v):
-    return cal.open_days(v.v_calendar)
+    return cal.open_days(cal.proven(v.v_calendar))
 
 
-@query("open_dates_from_coverage", f"SELECT cal_date, 'missing' AS problem FROM v_calendar WHERE day(cal_date) = 17 AND cal_date BETWEEN (SELECT min(cal_date) FROM ({_HOLED}) h) AND (SELECT max(cal_date) FROM ({_HOLED}) h) UNION ALL SELECT cal_date, 'duplicate' FROM v_calendar WHERE day(cal_date) = 5 AND month(cal_date) = 2")
+# days whose units failed, days without a row, and days with two
+_OF_CALENDAR = "SELECT CAST(cal_date AS STRING) AS unit, CASE WHEN day(cal_date) = 21 THEN 'FAILED' ELSE 'COMPLETE' END AS status FROM v_calendar WHERE day(cal_date) <> 23"
+
+
+@query(
+    "open_dates_from_coverage",
+    f"""SELECT c.cal_date, CASE WHEN day(c.cal_date) IN (21, 23) THEN 'unit is not complete' WHEN coalesce(n, 0) <> 1 THEN 'unit is missing or ambiguous' END AS problem
+        FROM v_calendar c LEFT JOIN (SELECT cal_date, count(*) AS n FROM ({_HOLED}) h GROUP BY cal_date) h ON h.cal_date = c.cal_date WHERE c.cal_date BETWEEN DATE '1995-02-01' AND DATE '1997-12-31' AND (c.is_open = 1 OR day(c.cal_date) IN (21, 23) OR coalesce(n, 0) <> 1)""",
+)
 def open_dates_from_coverage(v):
-    return cal.calendar_gaps(v.sql(_HOLED))
+    return cal.open_dates_from_coverage(v.sql(_HOLED), v.sql(_OF_CALENDAR), datetime.date(1995, 2, 1), datetime.date(1997, 12, 31), fail=False)
 
 
 @query("is_trading_day", "SELECT cal_date, is_open = 1 AS is_trading_day FROM v_calendar")
@@ -37,7 +45,7 @@ def next_trading_day(v):
 @query("shift_open_date", "SELECT cal_date, lead(cal_date, 5) OVER (ORDER BY cal_date) AS shifted FROM v_open")
 def shift_open_date(v):
     days = cal.open_days(v.v_calendar)
-    return cal.shift_open(days.select("cal_date"), days, 5)
+    return cal.shift_open(days.select("cal_date"), days, 5, fail=False)
 
 
 _FORM = "SELECT max(cal_date) AS formation_date FROM v_open GROUP BY year(cal_date), month(cal_date)"
@@ -55,13 +63,15 @@ def formation_dates_checked(v):
 
 @query(
     "resolve_history",
-    f"""SELECT 'DAYS' AS kind, f.formation_date, d.cal_date AS first_date, f.formation_date AS last_date FROM ({_FORM}) f JOIN v_open o ON o.cal_date = f.formation_date JOIN v_open d ON d.pos = greatest(o.pos - 19, 1)
-        UNION ALL SELECT 'MONTHS', formation_date, {{add_months(CAST(date_trunc('month', formation_date) AS DATE), -2)}}, formation_date FROM ({_FORM}) f""",
+    f"""SELECT 'DAYS' AS kind, f.formation_date, d.cal_date AS first_date, f.formation_date AS last_date FROM ({_FORM}) f JOIN v_open o ON o.cal_date = f.formation_date LEFT JOIN v_open d ON d.pos = o.pos - 59
+        UNION ALL SELECT 'MONTHS', formation_date, (SELECT min(o.cal_date) FROM v_open o WHERE date_trunc('month', o.cal_date) = date_trunc('month', formation_date) - INTERVAL 2 MONTH), formation_date FROM ({_FORM}) f
+        UNION ALL SELECT 'DAY', formation_date, formation_date, formation_date FROM ({_FORM}) f""",
 )
 def resolve_history(v):
     days = cal.open_days(v.v_calendar)
     forms = cal.formation_dates(days)
-    return cal.history_window(forms, days, "DAYS", 20).withColumn("kind", F.lit("DAYS")).unionByName(cal.history_window(forms, days, "MONTHS", 3).withColumn("kind", F.lit("MONTHS")))
+    windows = [cal.history_window(forms, days, kind, n, fail=False).withColumn("kind", F.lit(kind)) for kind, n in (("DAYS", 60), ("MONTHS", 3), ("DAY", 1))]
+    return windows[0].unionByName(windows[1]).unionByName(windows[2])
 
 
 @query("open_window", f"SELECT f.formation_date, d.cal_date AS window_date FROM ({_FORM}) f JOIN v_open o ON o.cal_date = f.formation_date JOIN v_open d ON d.pos BETWEEN o.pos - 9 AND o.pos")
@@ -129,7 +139,7 @@ _SPANS = "SELECT concat('d', CAST(c_nationkey AS STRING)) AS dataset_id, {add_da
 @query(
     "merge_intervals",
     f"""SELECT dataset_id, min(start_date) AS start_date, max(end_date) AS end_date FROM (SELECT *, sum(fresh) OVER (PARTITION BY dataset_id ORDER BY start_date, end_date ROWS UNBOUNDED PRECEDING) AS island FROM (
-        SELECT *, CASE WHEN start_date <= max(end_date) OVER (PARTITION BY dataset_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM ({_SPANS}) s) a) b GROUP BY dataset_id, island""",
+        SELECT *, CASE WHEN start_date <= max(end_date) OVER (PARTITION BY dataset_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ({_SPANS}) s) a) b GROUP BY dataset_id, island""",
 )
 def merge_intervals(v):
     return cov.merge_intervals(v.sql(_SPANS), ["dataset_id"])
@@ -143,10 +153,22 @@ def union_requirements(v):
     return cov.union_requirements(v.sql(_FIELDED).withColumn("fields", F.array("field")), ["dataset_id", "scope_key"])
 
 
-@query("merge_snapshot_requirements", f"SELECT DISTINCT * FROM ({_NEED}) n WHERE kind <> 'SNAPSHOT' UNION ALL SELECT dataset_id, left(scope_key, 5), kind, min(start_date), max(end_date) FROM ({_NEED}) n WHERE kind = 'SNAPSHOT' GROUP BY dataset_id, left(scope_key, 5), kind")
+# requirements of orders: fields and reasons by priority, a cutoff by month, snapshots of some segments
+_ASKED = """SELECT n_name AS dataset_id, c_mktsegment AS scope_key, CASE WHEN c_mktsegment LIKE '%L%' THEN 'SNAPSHOT' ELSE 'DAYS' END AS kind, CAST(o_orderdate AS DATE) AS start_date, {add_days(CAST(o_orderdate AS DATE), o_orderkey % 40)} AS end_date,
+    left(o_orderpriority, 1) AS field, concat('r', CAST(o_orderkey % 3 AS STRING)) AS reason, CASE WHEN o_orderkey % 4 > 0 THEN DATE '1999-01-01' END AS cutoff FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+_COALESCED = f"""SELECT dataset_id, scope_key, kind, field, cutoff, min(start_date) AS start_date, max(end_date) AS end_date, list(reason) AS reasons FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY dataset_id, scope_key, kind, field, cutoff ORDER BY start_date, end_date ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN start_date <= max(end_date) OVER (PARTITION BY dataset_id, scope_key, kind, field, cutoff ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ({_ASKED}) s) a) b GROUP BY dataset_id, scope_key, kind, field, cutoff, island"""
+
+
+@query(
+    "merge_snapshot_requirements",
+    f"""SELECT dataset_id, scope_key, kind, start_date, end_date, field AS fields, cutoff, array_to_string(list_sort(list_distinct(reasons)), ',') AS reasons FROM ({_COALESCED}) c WHERE kind <> 'SNAPSHOT'
+        UNION ALL SELECT dataset_id, scope_key, kind, min(start_date), max(end_date), string_agg(DISTINCT field, ',' ORDER BY field), max(cutoff), string_agg(DISTINCT reason, ',' ORDER BY reason) FROM ({_ASKED}) a WHERE kind = 'SNAPSHOT' GROUP BY dataset_id, scope_key, kind""",
+)
 def merge_snapshot_requirements(v):
-    snapshot = F.when(F.col("kind") == "SNAPSHOT", F.substring("scope_key", 1, 5)).otherwise(F.col("scope_key"))
-    return cov.merge_snapshots(v.sql(_NEED).withColumn("scope_key", snapshot))
+    asked = v.sql(_ASKED).withColumns({"fields": F.array("field"), "reasons": F.array("reason")}).drop("field", "reason")
+    return cov.merge_snapshots(asked).withColumns({"fields": F.array_join("fields", ","), "reasons": F.array_join("reasons", ",")})
 
 
 _CACHED = "SELECT ts_code AS dataset_id, min(trade_date) AS first_date, max(trade_date) AS last_date FROM v_month WHERE vol > 60 GROUP BY ts_code"
@@ -167,31 +189,48 @@ def coverage_by_dataset(v):
     return _ranges(v).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("ranges"), F.min("start_date").alias("first_missing"), F.max("end_date").alias("last_missing"))
 
 
+# month-end formations of two years; factors of the same fields are one requirement where their ranges overlap
 @query(
     "factor_requirements",
-    "SELECT factor_name, 'daily' AS dataset_id, d.cal_date AS start_date, DATE '1999-12-31' AS end_date FROM (SELECT min(pos) AS p FROM v_open WHERE cal_date >= DATE '1998-01-01') f, (VALUES ('momentum_20d', 20), ('momentum_60d', 60), ('high_52w', 251)) m(factor_name, back) JOIN v_open d ON d.pos = greatest(p - back, 1)",
+    f"""SELECT dataset_id, 'ALL' AS scope_key, 'OPEN_DAYS' AS kind, d.cal_date AS start_date, last AS end_date, fields, last AS cutoff, reasons FROM (SELECT min(formation_date) AS first, max(formation_date) AS last FROM ({_FORM}) x WHERE formation_date BETWEEN DATE '1998-01-05' AND DATE '1999-12-30') f
+        JOIN v_open o ON o.cal_date = first, (VALUES ('daily', 'close', 251, 'factor:high_52w,factor:momentum_20d,factor:momentum_60d'), ('daily_basic', 'turnover_rate', 19, 'factor:turnover_mean_20d')) m(dataset_id, fields, back, reasons) JOIN v_open d ON d.pos = o.pos - back""",
 )
 def factor_requirements(v):
-    metadata = factors.factor_metadata(v.spark).where(F.col("factor_name").isin("momentum_20d", "momentum_60d", "high_52w"))
-    return cov.factor_requirements(metadata, cal.open_days(v.v_calendar), datetime.date(1998, 1, 1), datetime.date(1999, 12, 31))
+    metadata = factors.factor_metadata(v.spark).where(F.col("factor_name").isin("momentum_20d", "momentum_60d", "high_52w", "turnover_mean_20d"))
+    days = cal.open_days(v.v_calendar)
+    forms = cal.formation_dates(days).where("formation_date BETWEEN DATE '1998-01-05' AND DATE '1999-12-30'")
+    return cov.factor_requirements(metadata, days, forms).withColumns({"fields": F.array_join("fields", ","), "reasons": F.array_join("reasons", ",")})
 
 
-_STORED = "SELECT CAST(trade_date AS STRING) AS unit, ts_code FROM v_day WHERE NOT (day(trade_date) = 9 AND ts_code = 'Brand#11')"
+_ROWS = "SELECT CAST(trade_date AS STRING) AS unit, ts_code, CAST(vol AS BIGINT) AS vol, CASE WHEN vol > 30 THEN trade_date END AS noted FROM v_day"
+# what was stored since: a changed value, a lost row, a value that became null, and two rows whose units are exchanged
+_STORED = f"""SELECT CASE WHEN swapped AND day = 20 THEN following WHEN swapped AND day = 21 THEN before ELSE unit END AS unit, ts_code, CASE WHEN day = 7 AND ts_code = 'Brand#11' THEN vol + 1 ELSE vol END AS vol, CASE WHEN day = 13 THEN NULL ELSE noted END AS noted FROM (
+    SELECT *, ts_code = 'Brand#21' AS swapped, day(CAST(unit AS DATE)) AS day, CAST({{add_days(CAST(unit AS DATE), 1)}} AS STRING) AS following, CAST({{add_days(CAST(unit AS DATE), -1)}} AS STRING) AS before FROM ({_ROWS}) r) t WHERE NOT (day = 9 AND ts_code = 'Brand#11')"""
+_TEXT = "coalesce(length(CAST(noted AS STRING)) || ':' || CAST(noted AS STRING), '-') || length(ts_code) || ':' || ts_code || length(CAST(vol AS STRING)) || ':' || CAST(vol AS STRING)"
+_HASHED = "SELECT unit, count(*) AS row_count, sha256(concat_ws(':', count(*), sum(CAST(concat('0x', substr(m, 1, 15)) AS BIGINT)), sum(CAST(concat('0x', substr(m, 16, 15)) AS BIGINT)))) AS content_hash FROM (SELECT unit, md5({0}) AS m FROM ({1}) r) h GROUP BY unit".format
+_DERIVED = f"SELECT 'daily' AS dataset_id, 'ALL' AS scope_key, unit, 'COMPLETE' AS status, row_count, '1.0' AS schema_version, content_hash FROM ({_HASHED(_TEXT, _ROWS)}) f"
+_RECORDED = "CASE WHEN day(CAST(unit AS DATE)) = 3 THEN '0.9' ELSE '1.0' END"
 
 
-@query("verified_units", f"SELECT dataset_id, scope_key, c.unit, row_count, coalesce(n, 0) AS stored, row_count = coalesce(n, 0) AS verified FROM v_coverage c LEFT JOIN (SELECT unit, count(*) AS n FROM ({_STORED}) s GROUP BY unit) s ON c.unit = s.unit WHERE status = 'COMPLETE'")
-def verified_units(v):
-    return cov.verified_units(v.sql(_STORED), v.v_coverage)
+@query("derive_coverage", _DERIVED)
+def derive_coverage(v):
+    return cov.derive_coverage(v.sql(_ROWS), "daily")
 
 
-@query("derive_coverage", "SELECT 'daily' AS dataset_id, 'ALL' AS scope_key, CAST(trade_date AS STRING) AS unit, 'COMPLETE' AS status, count(*) AS row_count FROM v_day GROUP BY trade_date")
-def derive_coverage(v):
-    return cov.derive_coverage(v.sql("SELECT CAST(trade_date AS STRING) AS unit FROM v_day"), "daily")
+@query(
+    "verified_units",
+    f"""SELECT c.dataset_id, c.scope_key, c.unit, c.row_count, coalesce(s.row_count, 0) AS stored, {_RECORDED.replace("unit", "c.unit")} AS schema_version,
+        coalesce(s.row_count = c.row_count AND s.content_hash = c.content_hash, FALSE) AND day(CAST(c.unit AS DATE)) <> 3 AS verified FROM ({_DERIVED}) c LEFT JOIN ({_HASHED(_TEXT, _STORED)}) s ON s.unit = c.unit WHERE day(CAST(c.unit AS DATE)) <> 5""",
+)
+def verified_units(v):
+    version, failed = F.when(F.dayofmonth(F.to_date("unit")) == 3, "0.9").otherwise("1.0"), F.when(F.dayofmonth(F.to_date("unit")) == 5, "FAILED").otherwise("COMPLETE")
+    recorded = cov.derive_coverage(v.sql(_ROWS), "daily").withColumns({"schema_version": version, "status": failed})
+    return cov.verified_units(v.sql(_STORED), recorded, ["ts_code", "vol", "noted"], "1.0")
 
 
 @query("empty_unit_proof", "SELECT 'suspend_d' AS dataset_id, 'ALL' AS scope_key, CAST(cal_date AS STRING) AS unit, 'COMPLETE' AS status, CAST(0 AS BIGINT) AS row_count FROM v_open WHERE cal_date NOT IN (SELECT trade_date FROM v_day WHERE vol < 5) UNION ALL SELECT 'suspend_d', 'ALL', CAST(trade_date AS STRING), 'COMPLETE', count(*) FROM v_day WHERE vol < 5 GROUP BY trade_date")
 def empty_unit_proof(v):
-    held = cov.derive_coverage(v.sql("SELECT CAST(trade_date AS STRING) AS unit FROM v_day WHERE vol < 5"), "suspend_d")
+    held = cov.derive_coverage(v.sql("SELECT CAST(trade_date AS STRING) AS unit FROM v_day WHERE vol < 5"), "suspend_d").drop("schema_version", "content_hash")
     asked = v.sql("SELECT CAST(cal_date AS STRING) AS unit FROM v_open")
     empty = asked.join(held, "unit", "left_anti").select(F.lit("suspend_d").alias("dataset_id"), F.lit("ALL").alias("scope_key"), "unit", F.lit("COMPLETE").alias("status"), F.lit(0).cast("long").alias("row_count"))
     return held.unionByName(empty)

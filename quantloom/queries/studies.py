@@ -24,15 +24,15 @@ def factor_study(v):
     return op.factor_study(v.v_long, v.v_label, {"factor_b": -1}, weights)["ic_summary"]
 
 
-@query("research_plan", "SELECT 'daily' AS dataset_id, s.cal_date AS start_date, e.cal_date AS end_date FROM v_open s, v_open e WHERE s.pos = (SELECT greatest(min(pos) - 251, 1) FROM v_open WHERE cal_date >= DATE '1998-01-01') AND e.pos = (SELECT max(pos) + 21 FROM v_open WHERE cal_date <= DATE '1999-12-31')")
+@query("research_plan", "SELECT 'daily' AS dataset_id, s.cal_date AS start_date, e.cal_date AS end_date FROM v_open s, v_open e WHERE s.pos = (SELECT min(pos) - 251 FROM v_open WHERE cal_date >= DATE '1998-01-01') AND e.pos = (SELECT max(pos) + 21 FROM v_open WHERE cal_date <= DATE '1999-12-31')")
 def research_plan(v):
     return op.research_plan(v.spark, ["momentum_20d", "high_52w"], cal.open_days(v.v_calendar), datetime.date(1998, 1, 1), datetime.date(1999, 12, 31), 1, 20)
 
 
-@query("portfolio_requirements", "SELECT (SELECT cal_date FROM v_open WHERE pos = greatest((SELECT min(o.pos) FROM v_open o JOIN (SELECT max(cal_date) AS d FROM v_open GROUP BY year(cal_date), month(cal_date)) f ON f.d = o.cal_date) - 19, 1)) AS start_date, (SELECT max(cal_date) FROM v_open) AS end_date")
+@query("portfolio_requirements", "SELECT s.cal_date AS start_date, f.last AS end_date FROM (SELECT min(d) AS first, max(d) AS last FROM (SELECT max(cal_date) AS d FROM v_open GROUP BY year(cal_date), month(cal_date)) m WHERE d >= DATE '1995-06-01') f JOIN v_open o ON o.cal_date = f.first JOIN v_open s ON s.pos = o.pos - 59")
 def portfolio_requirements(v):
     days = cal.open_days(v.v_calendar)
-    return op.portfolio_requirements(cal.formation_dates(days), days, 20)
+    return op.portfolio_requirements(cal.formation_dates(days).where("formation_date >= DATE '1995-06-01'"), days, 60)
 
 
 @query("ml_history_need", "SELECT ts_code, count(*) AS periods, count(*) >= 45 AS enough FROM v_month GROUP BY ts_code")
@@ -41,10 +41,16 @@ def ml_history_need(v):
     return v.v_month.groupBy("ts_code").agg(F.count(F.lit(1)).alias("periods")).withColumn("enough", F.col("periods") >= need)
 
 
-@query("universe_alias", "SELECT index_code, 'INDEX' AS kind, '000300.SH' AS code, count(*) AS rows FROM v_index_weight GROUP BY index_code")
+# a pool's name for every customer, in mixed case, of which an index by its code is one
+_POOLS = "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' hs300 ' WHEN 1 THEN 'CSI300' WHEN 2 THEN 'all' WHEN 3 THEN 'All_A_Shares' WHEN 4 THEN '000905.sh' ELSE concat(CAST(c_nationkey AS STRING), '.SZ') END AS pool FROM customer"
+
+
+@query(
+    "universe_alias",
+    f"""SELECT c_custkey, CASE WHEN p IN ('ALL', 'ALL_A_SHARES') THEN 'ALL_A_SHARES' ELSE 'INDEX' END AS kind, CASE WHEN p IN ('HS300', 'CSI300') THEN '000300.SH' WHEN p NOT IN ('ALL', 'ALL_A_SHARES') THEN p END AS code FROM (SELECT c_custkey, upper(trim(pool)) AS p FROM ({_POOLS}) q) u""",
+)
 def universe_alias(v):
-    kind, code = universes.universe_from_alias("hs300")
-    return v.v_index_weight.groupBy("index_code").agg(F.count(F.lit(1)).alias("rows")).select("index_code", F.lit(kind).alias("kind"), F.lit(code).alias("code"), "rows")
+    return v.sql(_POOLS).select("c_custkey", universes.universe_from_alias(F.col("pool")).alias("u")).select("c_custkey", "u.kind", "u.code")
 
 
 @query("train_table_experiment", f"SELECT m.*, i.feature AS top_feature FROM (SELECT fold_id, {_METRICS} FROM ({_OOS}) o GROUP BY fold_id) m JOIN (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY abs(coefficient) DESC, feature) AS place FROM ({_COEF}) c WHERE feature <> 'intercept') i ON i.fold_id = m.fold_id AND place = 1", "mae rmse r2")

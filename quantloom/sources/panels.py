@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coverage import complete_units
-from ..operators.quality import bad_code, canonical_upsert
+from ..operators.quality import canonical_upsert
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -69,11 +69,6 @@ def read_range(dataset: DataFrame, start, end, code: str | None = None, date: st
     return rows.where(F.col("ts_code") == code) if code else rows
 
 
-def read_tradable(reference: DataFrame) -> DataFrame:
-    """Reference rows whose code is tradable."""
-    return reference.where(~bad_code(F.col("ts_code")))
-
-
 def checked_holdings(held: DataFrame, dates: int, rows: int) -> DataFrame:
     """Published holdings, if they have the dates and rows that they should."""
     found = held.agg(F.countDistinct("effective_date"), F.count(F.lit(1))).first()
