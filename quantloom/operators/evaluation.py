@@ -17,7 +17,7 @@ def paired(long: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("rx", average_rank(F.col("x"), section())).withColumn("ry", average_rank(F.col("y"), section()))
 
 
-def ic_by_date(pairs: DataFrame, least: int = 5) -> DataFrame:
+def ic_by_date(pairs: DataFrame, least: int = 20) -> DataFrame:
     """Pearson and rank IC, number of pairs and coverage of each section; null below `least` pairs."""
     n = F.count("x")
     return pairs.groupBy("trade_date", "factor_name").agg(
@@ -43,7 +43,7 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     )
 
 
-def quantile_returns(pairs: DataFrame, groups: int = 5, least_group: int = 1, least: int = 5) -> DataFrame:
+def quantile_returns(pairs: DataFrame, groups: int = 5, least_group: int = 1, least: int = 20) -> DataFrame:
     """Mean forward return and size of every group of each section, also of empty groups, with the section's size, pairs and coverage.
 
     Groups come from average ranks, so ties are never split; sections of fewer than `least`
@@ -128,10 +128,10 @@ def high_minus_low(groups: DataFrame, high: int = 5, low: int = 1) -> DataFrame:
     return groups.groupBy("trade_date", "factor_name").agg((pick(high) - pick(low)).alias("spread")).where(F.col("spread").isNotNull())
 
 
-def evaluate(long: DataFrame, labels: DataFrame, groups: int = 5) -> dict[str, DataFrame]:
+def evaluate(long: DataFrame, labels: DataFrame, groups: int = 5, least: int = 20) -> dict[str, DataFrame]:
     """The six tables of a panel: ic, ic_summary, quantiles, quantile_summary, long_short, long_short_summary."""
     pairs = paired(long, labels)
-    ic, quantiles = ic_by_date(pairs), quantile_returns(pairs, groups)
+    ic, quantiles = ic_by_date(pairs, least), quantile_returns(pairs, groups, least=least)
     spreads = long_short(quantiles, groups)
     return {"ic": ic, "ic_summary": ic_summary(ic), "quantiles": quantiles, "quantile_summary": quantile_summary(quantiles), "long_short": spreads, "long_short_summary": long_short_summary(spreads)}
 

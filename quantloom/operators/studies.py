@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from . import calendars, composition, coverage, cross_section, evaluation, factors, learning
 
 
-def factor_study(long: DataFrame, labels: DataFrame, directions: dict[str, int], weights: DataFrame | None = None) -> dict[str, DataFrame]:
+def factor_study(long: DataFrame, labels: DataFrame, directions: dict[str, int], weights: DataFrame | None = None, least: int = 20) -> dict[str, DataFrame]:
     """Transformed factors, their evaluation tables, and the composite's score and coefficients."""
-    prepared = cross_section.preprocess(long, directions)
-    tables = evaluation.evaluate(prepared, labels)
+    prepared = cross_section.preprocess(long, directions, least=min(least, 5))
+    tables = evaluation.evaluate(prepared, labels, least=least)
     if weights is not None:
         score = composition.compose(prepared, weights)
         as_factor = score.select("trade_date", "ts_code", F.lit("composite").alias("factor_name"), F.col("score").alias("value"))
-        tables |= {"score": score, "composite_ic": evaluation.ic_by_date(evaluation.paired(as_factor, labels))}
+        tables |= {"score": score, "composite_ic": evaluation.ic_by_date(evaluation.paired(as_factor, labels), least)}
     return tables | {"prepared": prepared}
 
 

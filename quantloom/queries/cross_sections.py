@@ -48,8 +48,8 @@ _RANK = f"rank() OVER ({_P} ORDER BY value NULLS LAST) + (count(*) OVER ({_P} OR
     "by_zscore by_rank",
 )
 def standardize(v):
-    ranks = op.standardize(v.v_long, "rank").withColumnRenamed("value", "by_rank")
-    return op.standardize(v.v_long).withColumnRenamed("value", "by_zscore").join(ranks, ["trade_date", "ts_code", "factor_name"])
+    ranks = op.standardize(v.v_long, "rank", 5).withColumnRenamed("value", "by_rank")
+    return op.standardize(v.v_long, least=5).withColumnRenamed("value", "by_zscore").join(ranks, ["trade_date", "ts_code", "factor_name"])
 
 
 _PREPARED = _z(f"SELECT {_KEYS}, CASE WHEN factor_name = 'factor_b' THEN -value ELSE value END AS value FROM ({_mad(_FILL)}) w")
@@ -57,34 +57,38 @@ _PREPARED = _z(f"SELECT {_KEYS}, CASE WHEN factor_name = 'factor_b' THEN -value
 
 @query("preprocess_factors", _PREPARED, "value")
 def preprocess_factors(v):
-    return op.preprocess(v.v_long, {"factor_b": -1})
+    return op.preprocess(v.v_long, {"factor_b": -1}, least=5)
 
 
-_EXPOSURE = "SELECT trade_date, ts_code, industry, ln(total_mv) AS log_total_mv FROM v_month"
+# size is lacking for some rows, the same for all of a section in April, and a third factor is a size itself
+_EXPOSURE = "SELECT trade_date, ts_code, industry, CASE WHEN month(trade_date) = 4 THEN 8.0E0 WHEN turnover_rate > 6 THEN NULL ELSE ln(total_mv) END AS log_total_mv FROM v_month"
+_LONG = "SELECT trade_date, ts_code, factor_name, value FROM v_long UNION ALL SELECT trade_date, ts_code, 'log_circ_mv', ln(total_mv) + turnover_rate FROM v_month"
 _I = "PARTITION BY trade_date, factor_name, industry"
 _NEUTRAL = f"""
-    SELECT trade_date, ts_code, factor_name, CASE WHEN ok AND n >= 5 AND n > design_rank THEN y - CASE WHEN xx > 1e-12 THEN xy / nullif(xx, 0) ELSE 0 END * x END AS value, n, design_rank FROM (
+    SELECT trade_date, ts_code, factor_name, CASE WHEN ok AND n >= 5 AND NOT flat AND n > design_rank THEN y - CASE WHEN xx > 1e-12 THEN xy / nullif(xx, 0) ELSE 0 END * x END AS value, n, design_rank, flat FROM (
     SELECT *, g + CASE WHEN xx > 1e-12 THEN 1 ELSE 0 END AS design_rank FROM (
     SELECT *, sum(x * x) OVER ({_P}) AS xx, sum(x * y) OVER ({_P}) AS xy, count(y) OVER ({_P}) AS n, count(DISTINCT CASE WHEN ok THEN industry END) OVER ({_P}) AS g FROM (
     SELECT *, z - avg(z) OVER ({_I}) AS x FROM (
-    SELECT *, CASE WHEN ok THEN value - avg(CASE WHEN ok THEN value END) OVER ({_I}) END AS y,
-           CASE WHEN ok THEN coalesce((log_total_mv - avg(CASE WHEN ok THEN log_total_mv END) OVER ({_P})) / nullif(stddev_pop(CASE WHEN ok THEN log_total_mv END) OVER ({_P}), 0), 0) END AS z FROM (
-    SELECT l.*, e.industry, e.log_total_mv, value IS NOT NULL AND e.industry IS NOT NULL AND count(CASE WHEN value IS NOT NULL THEN e.industry END) OVER (PARTITION BY l.trade_date, factor_name, e.industry) >= 2 AS ok
-    FROM v_long l LEFT JOIN ({_EXPOSURE}) e ON l.trade_date = e.trade_date AND l.ts_code = e.ts_code) a) b) c) d) f"""
+    SELECT *, CASE WHEN ok THEN value - avg(CASE WHEN ok THEN value END) OVER ({_I}) END AS y, sized AND coalesce(spread <= 1e-12, TRUE) AS flat,
+           CASE WHEN ok AND sized THEN (log_total_mv - avg(CASE WHEN ok THEN log_total_mv END) OVER ({_P})) / nullif(spread, 0) WHEN ok THEN 0 END AS z FROM (
+    SELECT *, stddev_pop(CASE WHEN ok AND sized THEN log_total_mv END) OVER ({_P}) AS spread FROM (
+    SELECT *, fit AND count(CASE WHEN fit THEN 1 END) OVER ({_I}) >= 2 AS ok FROM (
+    SELECT l.*, e.industry, e.log_total_mv, factor_name <> 'log_circ_mv' AS sized, value IS NOT NULL AND e.industry IS NOT NULL AND (factor_name = 'log_circ_mv' OR e.log_total_mv IS NOT NULL) AS fit
+    FROM ({_LONG}) l LEFT JOIN ({_EXPOSURE}) e ON l.trade_date = e.trade_date AND l.ts_code = e.ts_code) a0) a1) a) b) c) d) f"""
 
 
 @query("neutralize", f"SELECT trade_date, ts_code, factor_name, value FROM ({_NEUTRAL}) r", "value")
 def neutralize(v):
-    return op.neutralize(v.v_long, v.sql(_EXPOSURE)).drop("n", "design_rank")
+    return op.neutralize(v.sql(_LONG), v.sql(_EXPOSURE), 5).drop("n", "design_rank", "flat_size")
 
 
 @query(
     "neutralize_section",
     f"""SELECT trade_date, factor_name, max(n) AS n, CAST(max(design_rank) AS BIGINT) AS design_rank,
-        CASE WHEN max(n) < 5 THEN 'too few rows' WHEN max(n) <= max(design_rank) THEN 'no degree of freedom' ELSE 'neutralized' END AS status FROM ({_NEUTRAL}) r GROUP BY trade_date, factor_name""",
+        CASE WHEN max(n) < 5 THEN 'too few rows' WHEN bool_or(flat) THEN 'size is constant' WHEN max(n) <= max(design_rank) THEN 'no degree of freedom' ELSE 'neutralized' END AS status FROM ({_NEUTRAL}) r GROUP BY trade_date, factor_name""",
 )
 def neutralize_section(v):
-    return op.neutralize_sections(op.neutralize(v.v_long, v.sql(_EXPOSURE)))
+    return op.neutralize_sections(op.neutralize(v.sql(_LONG), v.sql(_EXPOSURE), 5), 5)
 
 
 _WIDE = "SELECT trade_date, ts_code, industry, forward_return, CASE WHEN turnover_rate > 2 THEN turnover_rate END AS x FROM v_ret"

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from ..operators import composition, evaluation as op
+from pyspark.sql import functions as F
+
+from ..operators import composition, cross_section
+from ..operators import evaluation as op
 from ..registry import query
+from ..sources.panels import work_dir
 from .cross_sections import _PREPARED
 
 _S = "PARTITION BY trade_date, factor_name"
@@ -32,7 +36,7 @@ def _pairs(v):
 
 @query("ic_by_date", _IC, "ic rank_ic coverage")
 def ic_by_date(v):
-    return op.ic_by_date(_pairs(v))
+    return op.ic_by_date(_pairs(v), 5)
 
 
 def _moments(c: str) -> str:
@@ -41,7 +45,7 @@ def _moments(c: str) -> str:
 
 @query("ic_summary", f"SELECT factor_name, {_moments('ic')}, {_moments('rank_ic')}, count(DISTINCT trade_date) AS periods, count(ic) AS n_dates, count(rank_ic) AS n_rank_dates, avg(coverage) AS coverage_mean, avg(n) AS n_mean FROM ({_IC}) i GROUP BY factor_name", "ic_mean ic_std ic_ir ic_positive rank_ic_mean rank_ic_std rank_ic_ir rank_ic_positive coverage_mean n_mean")
 def ic_summary(v):
-    return op.ic_summary(op.ic_by_date(_pairs(v)))
+    return op.ic_summary(op.ic_by_date(_pairs(v), 5))
 
 
 _PLACED = f"""SELECT *, CASE WHEN n >= 5 AND lo < hi AND x IS NOT NULL THEN CAST(least(floor((rx - 1) / nullif(n - 1, 0) * 5) + 1, 5) AS INT) END AS quantile FROM (SELECT *, count(x) OVER ({_S}) AS n, min(x) OVER ({_S}) AS lo, max(x) OVER ({_S}) AS hi FROM ({_PAIRS}) p) q"""
@@ -52,7 +56,7 @@ _QUANTILES = f"""SELECT e.trade_date, e.factor_name, e.quantile, universe_count,
 
 @query("quantile_returns", _QUANTILES, "group_return coverage")
 def quantile_returns(v):
-    return op.quantile_returns(_pairs(v))
+    return op.quantile_returns(_pairs(v), least=5)
 
 
 _SPREADS = f"""SELECT trade_date, factor_name, max(CASE WHEN quantile = 1 THEN group_return END) AS low_return, max(CASE WHEN quantile = 5 THEN group_return END) AS high_return,
@@ -62,7 +66,7 @@ _SPREADS = f"""SELECT trade_date, factor_name, max(CASE WHEN quantile = 1 THEN g
 
 @query("long_short", _SPREADS, "low_return high_return spread monotonicity coverage")
 def long_short(v):
-    return op.long_short(op.quantile_returns(_pairs(v)))
+    return op.long_short(op.quantile_returns(_pairs(v), least=5))
 
 
 def _stats(c: str, p: str) -> str:
@@ -71,7 +75,7 @@ def _stats(c: str, p: str) -> str:
 
 @query("quantile_summary", f"SELECT factor_name, quantile, {_stats('group_return', 'return')}, avg(group_count) AS size_mean, count(group_return) AS n_dates FROM ({_QUANTILES}) q GROUP BY factor_name, quantile", "return_mean return_std return_ir return_positive size_mean")
 def quantile_summary(v):
-    return op.quantile_summary(op.quantile_returns(_pairs(v)))
+    return op.quantile_summary(op.quantile_returns(_pairs(v), least=5))
 
 
 _LS_SUMMARY = f"""SELECT factor_name, {_stats('spread', 'spread')}, count(DISTINCT trade_date) AS periods, count(spread) AS n_dates, count(monotonicity) AS n_monotonicity, avg(monotonicity) AS monotonicity_mean,
@@ -80,12 +84,12 @@ _LS_SUMMARY = f"""SELECT factor_name, {_stats('spread', 'spread')}, count(DISTIN
 
 @query("long_short_summary", _LS_SUMMARY, "spread_mean spread_std spread_ir spread_positive monotonicity_mean monotonicity_positive coverage_mean n_mean")
 def long_short_summary(v):
-    return op.long_short_summary(op.long_short(op.quantile_returns(_pairs(v))))
+    return op.long_short_summary(op.long_short(op.quantile_returns(_pairs(v), least=5)))
 
 
 @query("evaluate_panel", f"SELECT s.*, i.rank_ic_mean FROM ({_LS_SUMMARY}) s JOIN (SELECT factor_name, avg(rank_ic) AS rank_ic_mean FROM ({_IC}) i GROUP BY factor_name) i USING (factor_name)", "spread_mean spread_std spread_ir spread_positive monotonicity_mean monotonicity_positive coverage_mean n_mean rank_ic_mean")
 def evaluate_panel(v):
-    tables = op.evaluate(v.v_long, v.v_label)
+    tables = op.evaluate(v.v_long, v.v_label, least=5)
     return tables["long_short_summary"].join(tables["ic_summary"].select("factor_name", "rank_ic_mean"), "factor_name")
 
 
@@ -140,45 +144,54 @@ def resolve_weights(v):
     return v.v_long.groupBy("factor_name").agg({"value": "count"}).withColumnRenamed("count(value)", "n_values").join(weights, "factor_name").select("factor_name", "weight", "n_values")
 
 
-@query(
-    "compose_score",
-    f"""SELECT trade_date, ts_code, sum(weight * value) * sum(abs(weight)) / nullif(sum(CASE WHEN value IS NOT NULL THEN abs(weight) ELSE 0 END), 0) AS score, count(value) AS valid_count,
-        sum(CASE WHEN value IS NOT NULL THEN abs(weight) ELSE 0 END) / nullif(sum(abs(weight)), 0) AS weight_coverage FROM ({_PREPARED}) l JOIN {_W} w USING (factor_name) GROUP BY trade_date, ts_code""",
-    "score weight_coverage",
-)
+# weights that don't sum to 1, so that a score divided by the valid weight shows
+_RAW_W = "(SELECT 'factor_a' AS factor_name, 3E0 AS weight UNION ALL SELECT 'factor_b', 1E0)"
+
+
+def _composed(weights: str, key: str, used: str) -> str:
+    valid = f"value IS NOT NULL AND {used}"
+    return f"""SELECT trade_date, ts_code, sum(CASE WHEN {valid} THEN weight * value END) / nullif(sum(CASE WHEN {valid} THEN weight ELSE 0 END), 0) AS score, count(CASE WHEN {valid} THEN 1 END) AS valid_count,
+        sum(CASE WHEN {valid} THEN weight ELSE 0 END) / nullif(sum(CASE WHEN {used} THEN weight END), 0) AS weight_coverage FROM ({_PREPARED}) l JOIN ({weights}) w USING ({key}) GROUP BY trade_date, ts_code"""
+
+
+_ALL_OR_NONE = f"SELECT trade_date, ts_code, CASE WHEN count(value) = count(*) THEN sum(weight * value) END AS complete_score FROM ({_PREPARED}) l JOIN {_RAW_W} w USING (factor_name) GROUP BY trade_date, ts_code"
+
+
+@query("compose_score", f"SELECT c.*, complete_score FROM ({_composed(f'SELECT * FROM {_RAW_W} x', 'factor_name', 'TRUE')}) c JOIN ({_ALL_OR_NONE}) a USING (trade_date, ts_code)", "score weight_coverage complete_score")
 def compose_score(v):
-    from ..operators.cross_section import preprocess
+    weights = composition.resolve_weights(v.spark, ["factor_a", "factor_b"], {"factor_a": 3.0, "factor_b": 1.0}, normalize=False)
+    prepared = _prepared(v)
+    complete = composition.compose(prepared, weights, renormalize=False).select("trade_date", "ts_code", F.col("score").alias("complete_score"))
+    return composition.compose(prepared, weights).join(complete, ["trade_date", "ts_code"])
 
-    weights = composition.resolve_weights(v.spark, ["factor_a", "factor_b"], {"factor_a": 3.0, "factor_b": 1.0})
-    return composition.compose(preprocess(v.v_long, {"factor_b": -1}), weights)
+
+_HISTORY = f"""SELECT e.trade_date, e.factor_name, count(rank_ic) AS history_periods, min(p.known) AS history_start, max(p.known) AS history_end, avg(rank_ic) AS historical_mean, CASE WHEN count(rank_ic) >= 3 THEN greatest(avg(rank_ic), 0) END AS raw
+    FROM (SELECT DISTINCT trade_date, factor_name FROM v_long) e LEFT JOIN (
+    SELECT d.trade_date, i.factor_name, i.trade_date AS known, i.rank_ic, row_number() OVER (PARTITION BY d.trade_date, i.factor_name ORDER BY i.trade_date DESC) AS n FROM (SELECT DISTINCT trade_date FROM v_long) d JOIN ({_IC}) i ON i.trade_date < d.trade_date AND i.rank_ic IS NOT NULL) p
+    ON e.trade_date = p.trade_date AND e.factor_name = p.factor_name AND n <= 6 GROUP BY e.trade_date, e.factor_name"""
+_ROLLING = f"SELECT trade_date, factor_name, history_periods, history_start, history_end, historical_mean, raw, CASE WHEN total > 0 THEN coalesce(raw / total, 0) ELSE 0.5 END AS weight, total <= 0 AS fallback FROM (SELECT *, coalesce(sum(raw) OVER (PARTITION BY trade_date), 0) AS total FROM ({_HISTORY}) r) t"
 
 
-_ROLLING = f"""SELECT trade_date, factor_name, CASE WHEN total > 0 THEN raw / nullif(total, 0) ELSE 0.5 END AS weight, total <= 0 AS fallback FROM (SELECT *, sum(raw) OVER (PARTITION BY trade_date) AS total FROM (
-    SELECT e.trade_date, e.factor_name, coalesce(greatest(CASE WHEN count(rank_ic) >= 3 THEN avg(rank_ic) END, 0), 0) AS raw FROM (SELECT DISTINCT trade_date, factor_name FROM v_long) e LEFT JOIN (
-    SELECT d.trade_date, i.factor_name, i.rank_ic, row_number() OVER (PARTITION BY d.trade_date, i.factor_name ORDER BY i.trade_date DESC) AS n FROM (SELECT DISTINCT trade_date FROM v_long) d JOIN ({_IC}) i ON i.trade_date < d.trade_date AND i.rank_ic IS NOT NULL) p
-    ON e.trade_date = p.trade_date AND e.factor_name = p.factor_name AND n <= 6 GROUP BY e.trade_date, e.factor_name) r) t"""
+def _prepared(v):
+    """The prepared factors as a table, as scores and coefficients both read them."""
+    prepared = cross_section.preprocess(v.v_long, {"factor_b": -1}, least=5)
+    path = work_dir(v.spark, "prepared-factors")
+    prepared.write.parquet(path)
+    return v.spark.read.schema(prepared.schema).parquet(path)
 
 
 def _rolling(v):
-    ic = op.ic_by_date(_pairs(v))
-    return composition.rolling_ic_weights(v.v_long, ic, ["factor_a", "factor_b"])
+    return composition.rolling_ic_weights(v.v_long, op.ic_by_date(_pairs(v), 5), ["factor_a", "factor_b"], 6, 3)
 
 
-@query("rolling_ic_weights", _ROLLING.replace("greatest(CASE WHEN count(rank_ic) >= 3 THEN avg(rank_ic) END, 0)", "CASE WHEN count(rank_ic) >= 3 AND avg(rank_ic) > 0 THEN avg(rank_ic) END"), "weight")
+@query("rolling_ic_weights", _ROLLING, "historical_mean raw weight")
 def rolling_ic_weights(v):
     return _rolling(v)
 
 
-@query(
-    "compose_dynamic",
-    f"""SELECT l.trade_date, l.ts_code, sum(weight * value) * sum(abs(weight)) / nullif(sum(CASE WHEN value IS NOT NULL THEN abs(weight) ELSE 0 END), 0) AS score, count(value) AS valid_count,
-        sum(CASE WHEN value IS NOT NULL THEN abs(weight) ELSE 0 END) / nullif(sum(abs(weight)), 0) AS weight_coverage FROM ({_PREPARED}) l JOIN ({_ROLLING}) w USING (trade_date, factor_name) GROUP BY l.trade_date, l.ts_code""".replace("greatest(CASE WHEN count(rank_ic) >= 3 THEN avg(rank_ic) END, 0)", "CASE WHEN count(rank_ic) >= 3 AND avg(rank_ic) > 0 THEN avg(rank_ic) END"),
-    "score weight_coverage",
-)
+@query("compose_dynamic", _composed(f"SELECT trade_date, factor_name, weight FROM ({_ROLLING}) x", "trade_date, factor_name", "weight > 0"), "score weight_coverage")
 def compose_dynamic(v):
-    from ..operators.cross_section import preprocess
-
-    return composition.compose(preprocess(v.v_long, {"factor_b": -1}), _rolling(v).drop("fallback"))
+    return composition.compose(_prepared(v), _rolling(v).select("trade_date", "factor_name", "weight"))
 
 
 _SCORED = """SELECT *, CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY trade_date ORDER BY score DESC NULLS LAST, ts_code) END AS rank,

@@ -207,17 +207,17 @@ _RANKED = f"SELECT factor_name, ic_mean, ic_positive, abs(ic_mean) AS abs_ic_mea
 
 @query("ic_ranking", _RANKED, "ic_mean ic_positive abs_ic_mean")
 def ic_ranking(v):
-    return op.ic_ranking(ev.ic_summary(ev.ic_by_date(_pairs(v))))
+    return op.ic_ranking(ev.ic_summary(ev.ic_by_date(_pairs(v), 5)))
 
 
 @query("top_factors", f"SELECT * FROM ({_RANKED}) r WHERE place = 1", "ic_mean ic_positive abs_ic_mean")
 def top_factors(v):
-    return op.top_factors(op.ic_ranking(ev.ic_summary(ev.ic_by_date(_pairs(v)))), 1)
+    return op.top_factors(op.ic_ranking(ev.ic_summary(ev.ic_by_date(_pairs(v), 5))), 1)
 
 
 @query("ic_label", f"SELECT factor_name, year, {_IC_LABEL} AS label FROM (SELECT factor_name, year(trade_date) AS year, {_MEAN_IC} FROM ({_IC}) i GROUP BY 1, 2) s")
 def ic_label(v):
-    yearly = ev.ic_by_date(_pairs(v)).groupBy("factor_name", F.year("trade_date").alias("year")).agg(F.avg("ic").alias("m"), F.avg((c("ic") > 0).cast("double")).alias("s"))
+    yearly = ev.ic_by_date(_pairs(v), 5).groupBy("factor_name", F.year("trade_date").alias("year")).agg(F.avg("ic").alias("m"), F.avg((c("ic") > 0).cast("double")).alias("s"))
     return yearly.select("factor_name", "year", op.ic_label(c("m"), c("s")).alias("label"))
 
 
@@ -227,13 +227,13 @@ _HOLED = f"SELECT factor_name, trade_date, CASE WHEN month(trade_date) <> 6 THEN
 
 @query("long_short_report", f"SELECT factor_name, avg(spread) AS spread_mean, stddev_samp(spread) AS spread_std, avg(spread) / nullif(stddev_samp(spread), 0) AS spread_ir, avg(CASE WHEN spread > 0 THEN 1.0 ELSE 0.0 END) AS spread_positive, count(spread) AS n_dates FROM ({_HOLED}) s GROUP BY factor_name", "spread_mean spread_std spread_ir spread_positive")
 def long_short_report(v):
-    spreads = ev.long_short(ev.quantile_returns(_pairs(v)))
+    spreads = ev.long_short(ev.quantile_returns(_pairs(v), least=5))
     return op.long_short_report(spreads.withColumn("spread", F.when(F.month("trade_date") != 6, F.col("spread"))))
 
 
 @query("group_return_report", f"SELECT factor_name, quantile, avg(group_return) AS mean_return, count(group_return) AS n FROM ({_QUANTILES}) q GROUP BY factor_name, quantile", "mean_return")
 def group_return_report(v):
-    return op.group_return_report(ev.quantile_returns(_pairs(v)))
+    return op.group_return_report(ev.quantile_returns(_pairs(v), least=5))
 
 
 @query(

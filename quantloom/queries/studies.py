@@ -21,7 +21,7 @@ _STUDY = _IC.replace("FROM v_long l", f"FROM ({_PREPARED}) l")
 @query("factor_study", f"SELECT factor_name, {_moments('ic')}, {_moments('rank_ic')}, count(DISTINCT trade_date) AS periods, count(ic) AS n_dates, count(rank_ic) AS n_rank_dates, avg(coverage) AS coverage_mean, avg(n) AS n_mean FROM ({_STUDY}) i GROUP BY factor_name", "ic_mean ic_std ic_ir ic_positive rank_ic_mean rank_ic_std rank_ic_ir rank_ic_positive coverage_mean n_mean")
 def factor_study(v):
     weights = composition.resolve_weights(v.spark, ["factor_a", "factor_b"])
-    return op.factor_study(v.v_long, v.v_label, {"factor_b": -1}, weights)["ic_summary"]
+    return op.factor_study(v.v_long, v.v_label, {"factor_b": -1}, weights, 5)["ic_summary"]
 
 
 @query("research_plan", "SELECT 'daily' AS dataset_id, s.cal_date AS start_date, e.cal_date AS end_date FROM v_open s, v_open e WHERE s.pos = (SELECT min(pos) - 251 FROM v_open WHERE cal_date >= DATE '1998-01-01') AND e.pos = (SELECT max(pos) + 21 FROM v_open WHERE cal_date <= DATE '1999-12-31')")
