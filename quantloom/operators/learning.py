@@ -166,37 +166,71 @@ def predict(prepared: DataFrame, coefficients: DataFrame, features: list[str], l
     return rows.select("trade_date", "ts_code", F.col(label).alias("target"), value.alias("prediction"), "fold_id")
 
 
-def importances(coefficients: DataFrame) -> DataFrame:
-    """Size of each coefficient, its share of the fold's, and its place."""
-    rows = coefficients.where("feature <> 'intercept'").withColumn("importance", F.abs("coefficient"))
-    w = Window.partitionBy("fold_id")
-    return rows.withColumn("share", ratio(F.col("importance"), F.sum("importance").over(w))).withColumn("place", F.row_number().over(w.orderBy(F.desc("importance"), "feature")))
+def importances(coefficients: DataFrame, features: list[str]) -> DataFrame:
+    """Size, direction and place of each coefficient of a fold: largest first, ties by the feature's position."""
+    at = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
+    rows = coefficients.where("feature <> 'intercept'").withColumns({"position": at, "importance": F.abs("coefficient")})
+    sign = F.when(F.col("coefficient") > 0, "positive").when(F.col("coefficient") < 0, "negative").otherwise("zero")
+    place = F.row_number().over(Window.partitionBy("fold_id").orderBy(F.desc("importance"), "position"))
+    return rows.withColumns({"direction": sign, "place": place})
 
 
 def _errors() -> list[Column]:
     e = F.col("prediction") - F.col("target")
     n = F.count(e)
-    return [n.alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - ratio(F.sum(e * e), F.var_pop(F.when(e.isNotNull(), F.col("target"))) * n)).alias("r2")]
+    there = F.when(e.isNotNull(), F.col("target"))
+    constant = F.min(there) == F.max(there)
+    r2 = 1 - ratio(F.sum(e * e), F.var_pop(there) * n)
+    reason = F.when(n < 2, "insufficient_observations").when(constant, "constant_target")
+    return [n.alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(reason.isNull(), r2).alias("r2"), reason.alias("r2_reason")]
 
 
 def regression_metrics(oos: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows, mean absolute and root mean square error and r2, with the reason where it has none."""
     return oos.groupBy(*by).agg(*_errors()) if by else oos.agg(*_errors())
 
 
+def pearson_reason(x: Column, y: Column, least: int) -> Column:
+    """Why pairs have no correlation (an aggregate): too few, or a constant side; null if they have one."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    flat_x, flat_y = F.min(a) == F.max(a), F.min(b) == F.max(b)
+    return (
+        F.when(F.count(a) < least, "insufficient_cross_section")
+        .when(flat_x & flat_y, "constant_target_and_prediction")
+        .when(flat_y, "constant_target")
+        .when(flat_x, "constant_prediction")
+    )
+
+
 def date_ic(oos: DataFrame, least: int = 3) -> DataFrame:
-    """Pearson and rank correlation of each date, with a reason where there is none."""
-    w = Window.partitionBy("trade_date")
+    """Pearson and rank correlation of each date and fold, each with the reason where there is none."""
+    w = Window.partitionBy("trade_date", "fold_id")
     both = F.col("prediction").isNotNull() & F.col("target").isNotNull()
     rows = oos.withColumn("x", F.when(both, F.col("prediction"))).withColumn("y", F.when(both, F.col("target")))
     rows = rows.withColumn("rx", average_rank(F.col("x"), w)).withColumn("ry", average_rank(F.col("y"), w))
-    out = rows.groupBy("trade_date").agg(F.count("x").alias("n"), correlation(F.col("x"), F.col("y")).alias("_ic"), correlation(F.col("rx"), F.col("ry")).alias("_rank_ic"))
-    enough = F.col("n") >= least
-    reason = F.when(~enough, "too few rows").when(F.col("_ic").isNull(), "constant")
-    return out.select("trade_date", "n", F.when(enough, F.col("_ic")).alias("ic"), F.when(enough, F.col("_rank_ic")).alias("rank_ic"), reason.alias("reason"))
+    parts = [F.count("x").alias("n")]
+    for a, b, name in (("x", "y", "ic"), ("rx", "ry", "rank_ic")):
+        x, y = F.col(a), F.col(b)
+        reason = pearson_reason(x, y, least)
+        parts += [F.when(reason.isNull(), correlation(x, y)).alias(name), reason.alias(f"{name}_reason")]
+    return rows.groupBy("trade_date", "fold_id").agg(*parts)
+
+
+def _ic_facts(name: str) -> list[Column]:
+    mean, std = F.avg(name), F.stddev_samp(name)
+    return [mean.alias(f"{name}_mean"), std.alias(f"{name}_std"), ratio(mean, std).alias(f"{name}_ir"), F.count(name).alias(f"{name}_valid_dates"), F.count_if(F.col(name).isNull()).alias(f"{name}_invalid_dates")]
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
-    return ic.agg(F.count("ic").alias("dates"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"), F.avg("rank_ic").alias("rank_ic_mean"), F.stddev_samp("rank_ic").alias("rank_ic_std"), ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_ic_ir"))
+    """One row: dates, and for both coefficients mean, deviation, ratio and the dates with and without one."""
+    return ic.agg(F.count(F.lit(1)).alias("dates"), *_ic_facts("ic"), *_ic_facts("rank_ic"))
+
+
+def fold_metrics(oos: DataFrame, ic: DataFrame) -> DataFrame:
+    """The errors of each fold, its dates and rows, and both coefficients over its dates."""
+    spans = oos.groupBy("fold_id").agg(F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("trade_date").alias("n_dates"), *_errors())
+    return spans.join(ic.groupBy("fold_id").agg(*_ic_facts("ic"), *_ic_facts("rank_ic")), "fold_id")
 
 
 def evaluate_oos(oos: DataFrame) -> DataFrame:
@@ -208,10 +242,9 @@ def evaluate_oos(oos: DataFrame) -> DataFrame:
         wide = table.select(scope.alias("scope"), *[F.col(c).cast("double").alias(c) for c in numbers])
         return wide.unpivot(["scope"], numbers, "metric", "value")
 
-    folds = regression_metrics(oos, ["fold_id"])
     parts = [
         long(regression_metrics(oos), F.lit("all")),
-        long(folds, F.concat(F.lit("fold "), F.col("fold_id").cast("string"))),
+        long(fold_metrics(oos, by_date), F.concat(F.lit("fold "), F.col("fold_id").cast("string"))),
         long(by_date, F.col("trade_date").cast("string")),
         long(ic_summary(by_date), F.lit("dates")),
     ]

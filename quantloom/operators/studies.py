@@ -45,4 +45,4 @@ def train_table_experiment(panel: DataFrame, plan: DataFrame, features: list[str
     prepared = learning.prepare(learning.materialize_split(panel, plan), features)
     coefficients = learning.ridge(prepared, features, label, alpha)
     oos = learning.predict(prepared, coefficients, features, label)
-    return {"coefficients": coefficients, "oos": oos, "folds": learning.regression_metrics(oos, ["fold_id"]), "importances": learning.importances(coefficients), "date_ic": learning.date_ic(oos)}
+    return {"coefficients": coefficients, "oos": oos, "folds": learning.fold_metrics(oos, learning.date_ic(oos)), "importances": learning.importances(coefficients, features), "date_ic": learning.date_ic(oos)}

@@ -147,39 +147,68 @@ def train_predict_oos(v):
     return op.train_predict(_written(v), _FEATURES, "forward_return", _MODELS)
 
 
-@query("importances", f"SELECT fold_id, feature, coefficient, abs(coefficient) AS importance, abs(coefficient) / sum(abs(coefficient)) OVER (PARTITION BY fold_id) AS share, row_number() OVER (PARTITION BY fold_id ORDER BY abs(coefficient) DESC, feature) AS place FROM ({_COEF}) c WHERE feature <> 'intercept'", "coefficient importance share")
+@query(
+    "importances",
+    f"SELECT fold_id, feature, coefficient, CAST(CASE feature WHEN 'factor_a' THEN 0 ELSE 1 END AS BIGINT) AS position, abs(coefficient) AS importance, CASE WHEN coefficient > 0 THEN 'positive' WHEN coefficient < 0 THEN 'negative' ELSE 'zero' END AS direction, row_number() OVER (PARTITION BY fold_id ORDER BY abs(coefficient) DESC, feature) AS place FROM ({_COEF}) c WHERE feature <> 'intercept'",
+    "coefficient importance",
+)
 def importances(v):
-    return op.importances(_ridge(v))
+    return op.importances(_ridge(v), _FEATURES)
 
 
-_METRICS = "count(prediction - target) AS n, avg(abs(prediction - target)) AS mae, sqrt(avg((prediction - target) * (prediction - target))) AS rmse, 1 - sum((prediction - target) * (prediction - target)) / nullif(var_pop(CASE WHEN prediction IS NOT NULL THEN target END) * count(prediction - target), 0) AS r2"
+_THERE = "CASE WHEN prediction IS NOT NULL THEN target END"
+_R2_REASON = f"CASE WHEN count(prediction - target) < 2 THEN 'insufficient_observations' WHEN min({_THERE}) = max({_THERE}) THEN 'constant_target' END"
+_METRICS = f"count(prediction - target) AS n, avg(abs(prediction - target)) AS mae, sqrt(avg((prediction - target) * (prediction - target))) AS rmse, CASE WHEN {_R2_REASON} IS NULL THEN 1 - sum((prediction - target) * (prediction - target)) / nullif(var_pop({_THERE}) * count(prediction - target), 0) END AS r2, {_R2_REASON} AS r2_reason"
+# rows of some dates that have no coefficient: one row, a constant target, a constant prediction, and both
+_ODD = """SELECT trade_date, ts_code, CASE WHEN month(trade_date) IN (3, 5) THEN 0.5E0 ELSE target END AS target, CASE WHEN month(trade_date) IN (4, 5) THEN 0.25E0 ELSE prediction END AS prediction, fold_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY ts_code) AS k FROM {0}) r WHERE month(trade_date) <> 6 OR k <= 2"""
+_ODD_OOS = _ODD.format(f"({_OOS})")
 
 
-@query("oos_regression", f"SELECT {_METRICS} FROM ({_OOS}) o", "mae rmse r2")
-def oos_regression(v):
-    return op.regression_metrics(_oos(v))
+def _odd(v):
+    return _kept(v, v.spark.sql(_ODD.format("{oos}"), oos=_kept(v, _oos(v), "oos")), "odd-oos")
 
 
-@query("oos_fold_metrics", f"SELECT fold_id, {_METRICS} FROM ({_OOS}) o GROUP BY fold_id", "mae rmse r2")
-def oos_fold_metrics(v):
-    return op.regression_metrics(_oos(v), ["fold_id"])
+@query("oos_regression", f"SELECT {_METRICS} FROM ({_ODD_OOS}) o UNION ALL SELECT {_METRICS} FROM ({_ODD_OOS}) o WHERE month(trade_date) = 3", "mae rmse r2")
+def oos_regression(v):
+    oos = _odd(v)
+    return op.regression_metrics(oos).unionByName(op.regression_metrics(oos.where("month(trade_date) = 3")))
 
 
 def _rank(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY trade_date ORDER BY {x} NULLS LAST RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0 END"
 
 
+def _reason(x: str, y: str) -> str:
+    return f"CASE WHEN count({x}) < 3 THEN 'insufficient_cross_section' WHEN min({x}) = max({x}) AND min({y}) = max({y}) THEN 'constant_target_and_prediction' WHEN min({y}) = max({y}) THEN 'constant_target' WHEN min({x}) = max({x}) THEN 'constant_prediction' END"
+
+
 def _corr(x: str, y: str) -> str:
-    return f"CASE WHEN count(x) >= 3 AND stddev_pop({x}) * stddev_pop({y}) > 1e-15 THEN covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) END"
+    return f"CASE WHEN {_reason(x, y)} IS NULL AND stddev_pop({x}) * stddev_pop({y}) > 1e-15 THEN covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) END"
 
 
-_DATE_IC = f"""SELECT trade_date, count(x) AS n, {_corr("x", "y")} AS ic, {_corr("rx", "ry")} AS rank_ic, CASE WHEN count(x) < 3 THEN 'too few rows' WHEN {_corr("x", "y")} IS NULL THEN 'constant' END AS reason FROM (
-    SELECT *, {_rank("x")} AS rx, {_rank("y")} AS ry FROM (SELECT *, CASE WHEN target IS NOT NULL THEN prediction END AS x, CASE WHEN prediction IS NOT NULL THEN target END AS y FROM ({_OOS}) o) p) q GROUP BY trade_date"""
+_DATE_IC = f"""SELECT trade_date, fold_id, count(x) AS n, {_corr("x", "y")} AS ic, {_reason("x", "y")} AS ic_reason, {_corr("rx", "ry")} AS rank_ic, {_reason("rx", "ry")} AS rank_ic_reason FROM (
+    SELECT *, {_rank("x")} AS rx, {_rank("y")} AS ry FROM (SELECT *, CASE WHEN target IS NOT NULL THEN prediction END AS x, CASE WHEN prediction IS NOT NULL THEN target END AS y FROM ({_ODD_OOS}) o) p) q GROUP BY trade_date, fold_id"""
 
 
 @query("oos_date_ic", _DATE_IC, "ic rank_ic")
 def oos_date_ic(v):
-    return op.date_ic(_oos(v))
+    return op.date_ic(_odd(v))
+
+
+def _facts(c: str) -> str:
+    return f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std, avg({c}) / nullif(stddev_samp({c}), 0) AS {c}_ir, count({c}) AS {c}_valid_dates, count(*) - count({c}) AS {c}_invalid_dates"
+
+
+_FOLDS = f"""SELECT * FROM (SELECT fold_id, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS n_rows, count(DISTINCT trade_date) AS n_dates, {_METRICS} FROM ({_ODD_OOS}) o GROUP BY fold_id) a
+    JOIN (SELECT fold_id, {_facts("ic")}, {_facts("rank_ic")} FROM ({_DATE_IC}) i GROUP BY fold_id) b USING (fold_id)"""
+_IC_DOUBLES = "ic_mean ic_std ic_ir rank_ic_mean rank_ic_std rank_ic_ir"
+
+
+@query("oos_fold_metrics", _FOLDS, f"mae rmse r2 {_IC_DOUBLES}")
+def oos_fold_metrics(v):
+    oos = _odd(v)
+    return op.fold_metrics(oos, op.date_ic(oos))
 
 
 # per industry-like group of dates: a constant, a short and a full sample of each year's rows
@@ -188,41 +217,43 @@ _SAMPLES = "SELECT year(trade_date) AS year, kind, CASE WHEN kind = 'constant' T
 
 @query(
     "safe_pearson",
-    f"SELECT year, kind, count(CASE WHEN y IS NOT NULL THEN x END) AS n, CASE WHEN count(CASE WHEN y IS NOT NULL THEN x END) >= 3 AND stddev_pop(CASE WHEN y IS NOT NULL THEN x END) * stddev_pop(CASE WHEN x IS NOT NULL THEN y END) > 1e-15 THEN corr(x, y) END AS pearson FROM ({_SAMPLES}) s GROUP BY year, kind",
+    f"SELECT year, kind, count(x) AS n, CASE WHEN {_reason('x', 'y')} IS NULL THEN corr(x, y) END AS pearson, {_reason('x', 'y')} AS reason FROM (SELECT year, kind, CASE WHEN y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL THEN y END AS y FROM ({_SAMPLES}) r) s GROUP BY year, kind",
     "pearson",
 )
 def safe_pearson(v):
     rows = v.v_factor.select(F.year("trade_date").alias("year"), F.explode(F.array(F.lit("full"), F.lit("constant"))).alias("kind"), "factor_a", "factor_b")
     x, y = F.when(F.col("kind") == "constant", 1.0).otherwise(F.col("factor_a")), F.col("factor_b")
+    reason = op.pearson_reason(x, y, 3)
     pairs = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
-    return rows.groupBy("year", "kind").agg(pairs.alias("n"), F.when(pairs >= 3, correlation(x, y)).alias("pearson"))
+    return rows.groupBy("year", "kind").agg(pairs.alias("n"), F.when(reason.isNull(), correlation(x, y)).alias("pearson"), reason.alias("reason"))
 
 
-_IC_FACTS = "count(ic) AS dates, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS ic_ir, avg(rank_ic) AS rank_ic_mean, stddev_samp(rank_ic) AS rank_ic_std, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS rank_ic_ir"
+_IC_FACTS = f"count(*) AS dates, {_facts('ic')}, {_facts('rank_ic')}"
 
 
-@query("oos_ic_summary", f"SELECT {_IC_FACTS} FROM ({_DATE_IC}) i", "ic_mean ic_std ic_ir rank_ic_mean rank_ic_std rank_ic_ir")
+@query("oos_ic_summary", f"SELECT {_IC_FACTS} FROM ({_DATE_IC}) i", _IC_DOUBLES)
 def oos_ic_summary(v):
-    return op.ic_summary(op.date_ic(_oos(v)))
+    return op.ic_summary(op.date_ic(_odd(v)))
 
 
 def _long_facts(scope: str, source: str, names: str) -> str:
     return " UNION ALL ".join(f"SELECT {scope}, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM {source} t" for n in names.split())
 
 
+_COUNTS = "ic_valid_dates ic_invalid_dates rank_ic_valid_dates rank_ic_invalid_dates"
 _EVALUATED = " UNION ALL ".join(
     [
-        _long_facts("'all' AS scope", f"(SELECT {_METRICS} FROM ({_OOS}) o)", "n mae rmse r2"),
-        _long_facts("concat('fold ', fold_id)", f"(SELECT fold_id, {_METRICS} FROM ({_OOS}) o GROUP BY fold_id)", "n mae rmse r2"),
+        _long_facts("'all' AS scope", f"(SELECT {_METRICS} FROM ({_ODD_OOS}) o)", "n mae rmse r2"),
+        _long_facts("concat('fold ', fold_id)", f"({_FOLDS})", f"n_rows n_dates n mae rmse r2 {_IC_DOUBLES} {_COUNTS}"),
         _long_facts("CAST(trade_date AS STRING)", f"({_DATE_IC})", "n ic rank_ic"),
-        _long_facts("'dates'", f"(SELECT {_IC_FACTS} FROM ({_DATE_IC}) i)", "dates ic_mean ic_std ic_ir rank_ic_mean rank_ic_std rank_ic_ir"),
+        _long_facts("'dates'", f"(SELECT {_IC_FACTS} FROM ({_DATE_IC}) i)", f"dates {_IC_DOUBLES} {_COUNTS}"),
     ]
 )
 
 
 @query("oos_evaluate", _EVALUATED, "value")
 def oos_evaluate(v):
-    return op.evaluate_oos(_kept(v, _oos(v), "oos"))
+    return op.evaluate_oos(_odd(v))
 
 
 def _place(keys: str, seed: str, k: int) -> str:

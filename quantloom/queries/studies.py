@@ -57,7 +57,7 @@ def universe_alias(v):
 def train_table_experiment(v):
     tables = op.train_table_experiment(_kept(v, _panel(v), "panel"), _plan(v), _FEATURES, "forward_return", 1.0)
     top = tables["importances"].where("place = 1").select("fold_id", F.col("feature").alias("top_feature"))
-    return tables["folds"].join(top, "fold_id")
+    return tables["folds"].select("fold_id", "n", "mae", "rmse", "r2", "r2_reason").join(top, "fold_id")
 
 
 @query("permutation_loss", f"SELECT fold_id, {_METRICS} FROM (SELECT fold_id, y AS target, w0 + moved_a * wa + factor_b * wb AS prediction FROM ({_shuffled('[0]')}) s) o GROUP BY fold_id", "mae rmse r2")

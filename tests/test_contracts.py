@@ -146,3 +146,51 @@ def test_blank_queries_find_nothing(spark):
     assert quality.search_security(lookup, " 　 ").count() == 0
     assert [r["ts_code"] for r in quality.search_security(lookup, "600000").collect()] == ["600000.SH"]
     assert [r["ts_code"] for r in quality.search_security(lookup, "ban").collect()] == ["600000.SH"]
+
+
+def test_shrinkage_without_pairs_is_that_of_all_pairs(spark):
+    import numpy as np
+
+    from quantloom.operators import risk
+
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, (assets, dates) in enumerate(((30, 8), (3, 12), (1, 5))):
+        x = r.normal(0, 1, (assets, dates)) + r.normal(0, 2, dates)
+        rows += [(day(k), f"A{i:03d}", day(100 + t), float(x[i, t]), dates) for i in range(assets) for t in range(dates)]
+        x = x - x.mean(1, keepdims=True)
+        s, q = x @ x.T / dates, (x**2) @ (x**2).T / dates
+        mean = np.trace(s) / assets
+        spread, noise = (s**2).sum() / assets - mean**2, (q - s**2).sum() / dates / assets
+        want[day(k)] = (assets, dates, mean, min(noise, spread) / spread if assets > 1 else None)
+    frame = spark.createDataFrame(rows, "trade_date date, ts_code string, return_date date, ret double, observations int").repartition(4)
+    for f in risk.shrinkage_facts(frame).collect():
+        assets, dates, mean, shrinkage = want[f["trade_date"]]
+        assert (f["assets"], f["observations"], f["mean"]) == (assets, dates, pytest.approx(mean))
+        assert shrinkage is None or f["shrinkage"] == pytest.approx(shrinkage)
+    assert len(want) == risk.shrinkage_facts(frame).count()
+
+
+def test_neutralization_needs_a_size_that_varies(spark):
+    from quantloom.operators import cross_section
+
+    rows = [(day(d), f"c{i}", f, float(i * i % 7) if i else math.nan) for d in (0, 1) for i in range(12) for f in ("x", "log_total_mv")]
+    sizes = [(day(d), f"c{i}", "a" if i < 6 else "b", None if i == 1 else float(i) if d else 5.0) for d in (0, 1) for i in range(12)]
+    long = spark.createDataFrame(rows, "trade_date date, ts_code string, factor_name string, value double")
+    exposures = spark.createDataFrame(sizes, "trade_date date, ts_code string, industry string, log_total_mv double")
+    got = {(r["trade_date"], r["factor_name"]): r["n_values"] for r in cross_section.neutralize(long, exposures, 5).groupBy("trade_date", "factor_name").agg(F.count("value").alias("n_values")).collect()}
+    # NaN is no value; without a size a row lacks only where size is regressed on; a constant size has no residuals
+    assert got == {(day(0), "x"): 0, (day(1), "x"): 10, (day(0), "log_total_mv"): 11, (day(1), "log_total_mv"): 11}
+
+
+def test_compositions_divide_by_the_valid_weight(spark):
+    from quantloom.operators import composition
+
+    long = spark.createDataFrame([(day(0), "A", "f", 1.0), (day(0), "A", "g", 2.0), (day(0), "A", "h", 9.0), (day(0), "B", "f", 4.0), (day(0), "B", "g", math.nan), (day(0), "B", "h", 1.0)], "trade_date date, ts_code string, factor_name string, value double")
+    weights = spark.createDataFrame([(day(0), "f", 0.75), (day(0), "g", 2.25), (day(0), "h", 0.0)], "trade_date date, factor_name string, weight double")
+    got = {r["ts_code"]: tuple(r)[2:] for r in composition.compose(long, weights).collect()}
+    assert got == {"A": (1.75, 2, 1.0), "B": (4.0, 1, 0.25)}
+    whole = {r["ts_code"]: r["score"] for r in composition.compose(long, weights, renormalize=False).collect()}
+    assert whole == {"A": 5.25, "B": None}
+    few = {r["ts_code"]: r["score"] for r in composition.compose(long, weights, least=2).collect()}
+    assert few == {"A": 1.75, "B": None}
