@@ -119,17 +119,29 @@ def describe_requirements(metadata: DataFrame, names: list[str]) -> DataFrame:
     return wanted.agg(union("datasets").alias("datasets"), union("fields").alias("fields"), F.max("lookback").alias("lookback"), F.max("lag").alias("lag"))
 
 
-def user_factor(panel: DataFrame, name: str, function: Callable, fields: list[str]) -> DataFrame:
-    """A factor from a user's Python function of one security's rows (pandas) to a series of as many values."""
-    schema = "ts_code string, trade_date date, " + f"{name} double"
-
-    def run(rows):
-        rows = rows.sort_values("trade_date")
-        out = rows[["ts_code", "trade_date"]].copy()
-        out[name] = function(rows[["ts_code", "trade_date", *fields]]).astype(float)
-        return out
+def user_factor(panel: DataFrame, name: str, function: Callable, fields: list[str], lookback: int | None = None, chunk: int = 10_000) -> DataFrame:
+    """A factor from a user's Python function of one security's rows in date order (pandas) to a series of as many values.
 
-    return panel.select("ts_code", "trade_date", *fields).groupBy("ts_code").applyInPandas(run, schema)
+    With `lookback`, how many earlier rows a value depends on, a security's rows are dealt in chunks of
+    `chunk`, each with the rows before it that its first ones need, so no task needs a whole
+    history; the values are those of the whole.
+    """
+    schema = "ts_code string, trade_date date, " + f"{name} double"
+    rows = panel.select("ts_code", "trade_date", *fields)
+    if lookback is None:
+        rows = rows.withColumns({"_own": F.lit(0).cast("long"), "_chunk": F.lit(0).cast("long")})
+    else:
+        place = (F.row_number().over(by_code()) - 1).cast("long")
+        rows = rows.withColumn("_place", place).withColumn("_own", F.floor(F.col("_place") / chunk))
+        rows = rows.withColumn("_chunk", F.explode(F.sequence(F.col("_own"), F.floor((F.col("_place") + lookback) / chunk)))).drop("_place")
+
+    def run(part):
+        part = part.sort_values("trade_date")
+        out = part[["ts_code", "trade_date"]].copy()
+        out[name] = function(part[["ts_code", "trade_date", *fields]]).astype(float)
+        return out[(part["_own"] == part["_chunk"]).to_numpy()]
+
+    return rows.groupBy("ts_code", "_chunk").applyInPandas(run, schema)
 
 
 def monthly_return(monthly: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from ..functions.math import ratio
 KEYS = ["trade_date", "ts_code"]
 
 
-def asof_financials(panel: DataFrame, records: DataFrame, values: list[str], lag: int = 0) -> DataFrame:
+def asof_financials(panel: DataFrame, records: DataFrame, values: list[str], lag: int = 1) -> DataFrame:
     """The latest usable record of each code at every trading row.
 
     A record is usable `lag` trading rows after its code's first trading row at or after the
-    announcement; of records usable from the same row the one with the latest (ann_date,
+    announcement (0 would use it on its own day); of records usable from the same row the one with the latest (ann_date,
     end_date) counts, and later rows take the last usable one. Union, sort and a running
     last: one exchange by code, no range join.
     """

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.math import ratio
+from .backtest import resolve_return
 
 
 def day() -> WindowSpec:
@@ -85,13 +86,27 @@ def weight_rules(candidates: DataFrame, weighted: DataFrame, tolerance: float =
     return out.withColumn("valid", F.col("same_keys") & F.col("not_negative") & F.coalesce("sums_to_one", F.lit(False)))
 
 
-def return_window(chosen: DataFrame, returns: DataFrame, n: int) -> DataFrame:
-    """trade_date (formation), ts_code, return_date, ret: the last n dates of returns up to each formation date."""
-    dates = returns.select("trade_date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("trade_date")))
-    at = chosen.select("trade_date", "ts_code").join(dates, "trade_date")
-    spread = at.select("trade_date", "ts_code", F.explode(F.sequence(F.greatest(F.col("pos") - n + 1, F.lit(1)), F.col("pos"))).alias("pos"))
-    placed = spread.join(dates.select("pos", F.col("trade_date").alias("return_date")), "pos")
-    return placed.join(returns.select("ts_code", F.col("trade_date").alias("return_date"), "ret"), ["ts_code", "return_date"], "left").select("trade_date", "ts_code", "return_date", "ret")
+def return_window(chosen: DataFrame, resolved: DataFrame, days: DataFrame, n: int) -> DataFrame:
+    """trade_date (formation), ts_code, return_date, ret: the last n open days up to each formation date.
+
+    `days` has cal_date and pos, `resolved` the status and the resolved return of every code and day (see
+    `resolved_returns`); days before a listing are left out. Fails where a formation date has fewer
+    than n open days behind it, and where a code has no status on one of them.
+    """
+    at = chosen.select("trade_date", "ts_code").join(days.select(F.col("cal_date").alias("trade_date"), "pos"), "trade_date", "left")
+    short = F.raise_error(F.concat_ws(" ", F.lit("not enough calendar history before"), "trade_date")).cast("int")
+    spread = at.select("trade_date", "ts_code", F.explode(F.sequence(F.when(F.col("pos") >= n, F.col("pos") - n + 1).otherwise(short), F.coalesce("pos", F.lit(0)))).alias("pos"))
+    placed = spread.join(days.select("pos", F.col("cal_date").alias("return_date")), "pos")
+    rows = placed.join(resolved.select("ts_code", F.col("trade_date").alias("return_date"), "status", "ret"), ["ts_code", "return_date"], "left")
+    told = F.raise_error(F.concat_ws(" ", F.lit("no status of"), "ts_code", "return_date")).cast("boolean")
+    return rows.where(F.when(F.col("status").isNull(), told).otherwise(F.col("status") != "PRE_LISTING")).select("trade_date", "ts_code", "return_date", "ret")
+
+
+def resolved_returns(status: DataFrame, returns: DataFrame) -> DataFrame:
+    """trade_date, ts_code, status and return of every code and day, each resolved once: 0 when suspended, none
+    before the listing; conflicts and unknown gaps fail."""
+    early = status.where("status = 'PRE_LISTING'").select("trade_date", "ts_code", "status", F.lit(None).cast("double").alias("ret"))
+    return resolve_return(status.where("status <> 'PRE_LISTING'"), returns).unionByName(early)
 
 
 def sample_volatility(window: DataFrame, least: int) -> DataFrame:

@@ -53,11 +53,17 @@ def weight_rank(v):
 
 
 _DATES = "SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS pos FROM (SELECT DISTINCT trade_date FROM v_ret) d"
-_WINDOW = f"SELECT c.trade_date, c.ts_code, w.trade_date AS return_date, r.ret FROM ({_CHOSEN}) c JOIN ({_DATES}) d ON d.trade_date = c.trade_date JOIN ({_DATES}) w ON w.pos BETWEEN d.pos - 11 AND d.pos LEFT JOIN v_ret r ON r.ts_code = c.ts_code AND r.trade_date = w.trade_date"
+# up to a code's first row it isn't listed; later gaps are suspensions
+_MONTHLY = "SELECT d.trade_date, c.ts_code, CASE WHEN d.trade_date <= c.first THEN 'PRE_LISTING' WHEN r.ret IS NULL THEN 'SUSPENDED' ELSE 'AVAILABLE' END AS status FROM (SELECT DISTINCT trade_date FROM v_ret) d CROSS JOIN (SELECT ts_code, min(trade_date) AS first FROM v_ret GROUP BY ts_code) c LEFT JOIN v_ret r ON r.ts_code = c.ts_code AND r.trade_date = d.trade_date"
+_ASKED = f"SELECT c.* FROM ({_CHOSEN}) c JOIN ({_DATES}) d ON d.trade_date = c.trade_date WHERE d.pos >= 12"
+_WINDOW = f"SELECT c.trade_date, c.ts_code, w.trade_date AS return_date, coalesce(r.ret, 0) AS ret FROM ({_ASKED}) c JOIN ({_DATES}) d ON d.trade_date = c.trade_date JOIN ({_DATES}) w ON w.pos BETWEEN d.pos - 11 AND d.pos JOIN ({_MONTHLY}) s ON s.ts_code = c.ts_code AND s.trade_date = w.trade_date AND s.status <> 'PRE_LISTING' LEFT JOIN v_ret r ON r.ts_code = c.ts_code AND r.trade_date = w.trade_date"
 
 
 def _window(v):
-    return op.return_window(_chosen(v), v.v_ret.select("trade_date", "ts_code", "ret"), 12)
+    days = v.sql(_DATES).withColumnRenamed("trade_date", "cal_date")
+    resolved = op.resolved_returns(v.sql(_MONTHLY), v.v_ret.where("ret IS NOT NULL").select("trade_date", "ts_code", "ret"))
+    asked = _chosen(v).join(F.broadcast(days.where("pos >= 12").select(F.col("cal_date").alias("trade_date"))), "trade_date", "left_semi")
+    return op.return_window(asked, resolved, days, 12)
 
 
 @query("return_window", _WINDOW, "ret")

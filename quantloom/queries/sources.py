@@ -72,11 +72,28 @@ def read_unit(v):
 
 _COVERED = "SELECT CAST(unit AS DATE) AS trade_date FROM v_coverage WHERE status = 'COMPLETE' AND row_count > 10"
 
-for _name in ("read_covered_slice", "read_universe_slice"):
+_UNIVERSE = "SELECT trade_date, con_code AS ts_code, weight FROM v_index_weight"
+_SNAPSHOTS = "SELECT trade_date FROM v_index_weight WHERE month(trade_date) % 3 = 0"
 
-    @query(_name, f"SELECT trade_date, ts_code, close FROM v_day WHERE trade_date IN (SELECT trade_date FROM ({_COVERED}) c)", "close")
-    def read_covered_slice(v):
-        return src.read_covered(v.v_day.select("trade_date", "ts_code", "close"), v.sql(_COVERED), v.v_coverage)
+
+def _partitioned(v, frame, name: str):
+    path = src.work_dir(v.spark, name)
+    src.write_partitioned(frame, path)
+    return v.spark.read.parquet(path)
+
+
+@query("read_covered_slice", f"SELECT trade_date, ts_code, close FROM v_day WHERE trade_date IN (SELECT trade_date FROM ({_COVERED}) c)", "close")
+def read_covered_slice(v):
+    daily = _partitioned(v, v.v_day.select("trade_date", "ts_code", "close"), "daily")
+    return src.read_covered(daily, v.sql(_COVERED), v.v_coverage).select("trade_date", "ts_code", "close")
+
+
+# an index's snapshots of every quarter, each of which the coverage calls complete
+@query("read_universe_slice", f"SELECT * FROM ({_UNIVERSE}) u WHERE month(trade_date) % 3 = 0", "weight")
+def read_universe_slice(v):
+    dates = v.sql(_SNAPSHOTS)
+    complete = dates.distinct().select(F.lit("index_weight").alias("dataset_id"), F.lit("IDX").alias("scope_key"), F.col("trade_date").cast("string").alias("unit"), F.lit("COMPLETE").alias("status"))
+    return src.read_covered(_partitioned(v, v.sql(_UNIVERSE), "universe"), dates, complete).select("trade_date", "ts_code", "weight")
 
 
 @query("read_daily_range", f"SELECT ts_code, trade_date, close FROM v_day WHERE trade_date {_BETWEEN} AND ts_code = 'Brand#11'", "close")

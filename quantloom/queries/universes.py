@@ -30,7 +30,7 @@ def resolve_symbols(v):
     return op.resolve_symbols(v.sql(_ASKED), v.sql(_TWICE))
 
 
-_CODES = ["S00007", "S00003", "S00010", "S00001"]
+_CODES = ["S00007", "S00003", "S00009", "S00001"]
 
 
 @query("universe_custom", f"SELECT formation_date, ts_code, CAST(list_position({_CODES}, ts_code) - 1 AS INT) AS position FROM ({_ACTIVE}) a WHERE ts_code IN ({', '.join(repr(c) for c in _CODES)})")
@@ -38,12 +38,12 @@ def universe_custom(v):
     return op.universe_custom(_CODES, v.v_reference, _forms(v))
 
 
-_INDEX = f"SELECT f.formation_date, w.con_code AS ts_code FROM (SELECT f.formation_date, max(w.trade_date) AS snapshot FROM ({_FORM}) f JOIN v_index_weight w ON w.trade_date <= f.formation_date GROUP BY f.formation_date) f JOIN v_index_weight w ON w.trade_date = f.snapshot JOIN ({_ACTIVE}) a ON a.formation_date = f.formation_date AND a.ts_code = w.con_code"
+_INDEX = f"SELECT f.formation_date, w.con_code AS ts_code FROM (SELECT f.formation_date, max(w.trade_date) AS snapshot FROM ({_FORM}) f JOIN v_index_weight w ON w.trade_date <= f.formation_date WHERE f.formation_date >= DATE '1995-03-01' GROUP BY f.formation_date) f JOIN v_index_weight w ON w.trade_date = f.snapshot JOIN ({_ACTIVE}) a ON a.formation_date = f.formation_date AND a.ts_code = w.con_code"
 
 
 @query("universe_index", _INDEX)
 def universe_index(v):
-    return op.universe_index(v.v_index_weight, "IDX", v.v_reference, _forms(v))
+    return op.universe_index(v.v_index_weight, "IDX", v.v_reference, _forms(v).where("formation_date >= DATE '1995-03-01'"))
 
 
 _ALL = f"SELECT formation_date, ts_code FROM ({_ACTIVE}) a WHERE market IN ('MAIN', 'GROWTH') AND exchange = 'SSE' AND curr_type = 'CNY'"
@@ -65,7 +65,7 @@ def universe_schedule(v):
 
 @query("schedule_panel", f"SELECT formation_date, ts_code FROM ({_ALL}) a UNION SELECT formation_date, ts_code FROM ({_INDEX}) b")
 def schedule_panel(v):
-    return op.schedule([_all(v), op.universe_index(v.v_index_weight, "IDX", v.v_reference, _forms(v))])
+    return op.schedule([_all(v), op.universe_index(v.v_index_weight, "IDX", v.v_reference, _forms(v).where("formation_date >= DATE '1995-03-01'"))])
 
 
 @query("period_constituents", "SELECT DISTINCT con_code AS ts_code FROM v_index_weight WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'")

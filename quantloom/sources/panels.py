@@ -58,10 +58,20 @@ def uncovered(dates: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def read_covered(dataset: DataFrame, dates: DataFrame, coverage: DataFrame) -> DataFrame:
-    """The rows of the requested dates; an error if any date isn't covered."""
+    """The rows of the requested dates; an error if any date isn't covered.
+
+    Of a dataset partitioned by year and month, only the dates' partitions are scanned: they are
+    found at run time, from the broadcast table of dates.
+    """
     if not uncovered(dates, coverage).isEmpty():
         raise ValueError("not all requested dates are covered")
-    return dataset.join(F.broadcast(dates.select("trade_date").distinct()), "trade_date", "left_semi")
+    first, last = dates.agg(F.min("trade_date"), F.max("trade_date")).first()
+    asked = dates.select("trade_date").where(F.col("trade_date").between(F.lit(first), F.lit(last))).distinct()
+    keys = ["trade_date"]
+    if {"year", "month"} <= set(dataset.columns):
+        asked = asked.withColumns({"year": F.year("trade_date"), "month": F.month("trade_date")})
+        keys = ["year", "month", "trade_date"]
+    return dataset.join(F.broadcast(asked), keys, "left_semi")  # a row for each date
 
 
 def read_range(dataset: DataFrame, start, end, code: str | None = None, date: str = "trade_date") -> DataFrame:

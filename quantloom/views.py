@@ -43,7 +43,7 @@ VIEWS = {
                CASE s_suppkey % 2 WHEN 0 THEN 'SSE' ELSE 'SZSE' END AS exchange, 'CNY' AS curr_type,
                CASE WHEN s_suppkey % 7 = 3 THEN 'D' WHEN s_suppkey % 11 = 5 THEN 'P' ELSE 'L' END AS list_status,
                {add_days(DATE '1995-01-01', 7 * s_suppkey)} AS list_date,
-               CASE WHEN s_suppkey % 7 = 3 THEN {add_days(DATE '1998-01-01', 5 * s_suppkey)} END AS delist_date
+               CASE WHEN s_suppkey % 7 = 3 THEN {add_days(DATE '1998-01-01', 7 * s_suppkey)} END AS delist_date
         FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "v_index_weight": """
         SELECT 'IDX' AS index_code, ts_code AS con_code, trade_date, amount / sum(amount) OVER (PARTITION BY trade_date) AS weight

@@ -194,3 +194,65 @@ def test_compositions_divide_by_the_valid_weight(spark):
     assert whole == {"A": 5.25, "B": None}
     few = {r["ts_code"]: r["score"] for r in composition.compose(long, weights, least=2).collect()}
     assert few == {"A": 1.75, "B": None}
+
+
+def test_covered_dates_prune_partitions(spark, tmp_path):
+    from quantloom.sources import panels
+
+    rows = spark.createDataFrame([(day(i), f"c{k}", float(i)) for i in range(0, 400, 3) for k in range(3)], "trade_date date, ts_code string, close double")
+    panels.write_partitioned(rows, str(tmp_path / "daily"))
+    dates = spark.createDataFrame([(day(3),), (day(6),), (None,)], "trade_date date")
+    coverage = spark.createDataFrame([("d", "ALL", str(day(i)), "COMPLETE") for i in (3, 6)], "dataset_id string, scope_key string, unit string, status string")
+    got = panels.read_covered(spark.read.parquet(str(tmp_path / "daily")), dates.where("trade_date IS NOT NULL"), coverage)
+    assert sorted((r["trade_date"], r["ts_code"]) for r in got.collect()) == [(day(i), f"c{k}") for i in (3, 6) for k in range(3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    with pytest.raises(ValueError, match="not all requested"):
+        panels.read_covered(rows, rows.select("trade_date"), coverage)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 1000])
+def test_user_factors_in_chunks_are_those_of_whole_histories(spark, chunk):
+    from quantloom.operators import factors
+
+    panel = spark.createDataFrame([(c, day(i), float((i * 7) % 11)) for c in "AB" for i in range(23)], "ts_code string, trade_date date, x double").repartition(4)
+    function = lambda rows: rows["x"].rolling(4).sum()
+    values = lambda frame: {(r[0], r[1]): None if r[2] is None or r[2] != r[2] else r[2] for r in frame.collect()}
+    whole = values(factors.user_factor(panel, "f", function, ["x"]))
+    assert len(whole) == 46 and values(factors.user_factor(panel, "f", function, ["x"], lookback=3, chunk=chunk)) == whole
+
+
+def test_universes_that_prove_nothing_fail(spark):
+    reference = "ts_code string, list_date date, delist_date date"
+    good = [("A", day(0), None), ("B", day(5), day(20))]
+    forms = spark.createDataFrame([(day(10),)], "formation_date date")
+    frame = spark.createDataFrame(good, reference)
+    assert {r["ts_code"] for r in universes.active(frame, forms).collect()} == {"A", "B"}
+    for bad in (("C", None, None), ("D", day(5), day(4))):
+        with pytest.raises(Exception, match="prove no lifecycle"):
+            universes.active(spark.createDataFrame([*good, bad], reference), forms).collect()
+    assert [tuple(r) for r in universes.universe_custom(["B", "A"], frame, forms).orderBy("position").collect()] == [(day(10), "B", 0), (day(10), "A", 1)]
+    with pytest.raises(Exception, match="not one reference row"):
+        universes.universe_custom(["B", "Z"], frame, forms).collect()
+    shape = "index_code string, con_code string, trade_date date, weight double"
+    assert universes.universe_index(spark.createDataFrame([("I", "A", day(9), 1.0)], shape), "I", frame, forms).count() == 1
+    for weights, told in (([("I", "A", day(9), 0.5), ("I", "A", day(9), 0.5)], "twice"), ([("I", "Z", day(9), 1.0)], "without a reference row"), ([("I", "A", day(11), 1.0)], "no index snapshot")):
+        with pytest.raises(Exception, match=told):
+            universes.universe_index(spark.createDataFrame(weights, shape), "I", frame, forms).collect()
+
+
+def test_return_windows_are_resolved_and_full(spark):
+    from quantloom.operators import signals
+
+    chosen = spark.createDataFrame([(day(4), "A"), (day(4), "B")], "trade_date date, ts_code string")
+    status = [(day(i), "A", "SUSPENDED" if i == 3 else "AVAILABLE") for i in range(5)] + [(day(i), "B", "PRE_LISTING" if i < 4 else "AVAILABLE") for i in range(5)]
+    returns = [(day(i), "A", i / 10) for i in (0, 1, 2, 4)] + [(day(4), "B", 0.7)]
+    frames = lambda s, r: signals.resolved_returns(spark.createDataFrame(s, "trade_date date, ts_code string, status string"), spark.createDataFrame(r, RETURNS))
+    got = sorted((r["ts_code"], r["return_date"], r["ret"]) for r in signals.return_window(chosen, frames(status, returns), days(spark, 5), 3).collect())
+    assert got == [("A", day(2), 0.2), ("A", day(3), 0.0), ("A", day(4), 0.4), ("B", day(4), 0.7)]
+    with pytest.raises(Exception, match="not enough calendar history"):
+        signals.return_window(chosen, frames(status, returns), days(spark, 5), 6).collect()
+    with pytest.raises(Exception, match="return is missing"):
+        signals.return_window(chosen, frames(status, returns[1:]), days(spark, 5), 5).collect()
+    with pytest.raises(Exception, match="no status"):
+        signals.return_window(chosen, frames(status[1:], returns[1:]), days(spark, 5), 5).collect()

@@ -50,7 +50,7 @@ def test_zero_deviation_does_not_clip_and_small_sections_are_null(spark):
 def test_asof_takes_the_latest_of_one_effective_row(spark):
     panel = spark.createDataFrame([("A", day(i)) for i in (0, 5, 10)], "ts_code string, trade_date date")
     records = spark.createDataFrame([("A", day(1), day(-30), 1.0), ("A", day(4), day(-60), 2.0), ("B", day(1), day(0), 9.0)], "ts_code string, ann_date date, end_date date, value double")
-    got = {r[0]: r[4] for r in joins.asof_financials(panel, records, ["value"]).collect()}
+    got = {r[0]: r[4] for r in joins.asof_financials(panel, records, ["value"], lag=0).collect()}
     assert got == {day(0): None, day(5): 2.0, day(10): 2.0}
 
 
