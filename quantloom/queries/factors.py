@@ -131,9 +131,9 @@ def next_return(v):
     return op.next_return(v.v_ret.select("ts_code", "trade_date", "ret"), "ret")
 
 
-@query("user_factor", "SELECT ts_code, trade_date, CASE WHEN count(*) OVER w = 5 THEN avg(amount / vol) OVER w END AS mean_price FROM v_day WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", "mean_price")
+@query("user_factor", "SELECT ts_code, trade_date, CASE WHEN count(*) OVER w = 5 THEN avg(sqrt(amount / vol)) OVER w END AS mean_price FROM v_day WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", "mean_price")
 def user_factor(v):
-    return op.user_factor(v.v_day, "mean_price", lambda rows: (rows["amount"] / rows["vol"]).rolling(5).mean(), ["amount", "vol"], lookback=4, chunk=100)
+    return op.user_factor(v.v_day, "mean_price", lambda rows: ((rows["amount"] / rows["vol"]) ** 0.5).rolling(5).mean(), ["amount", "vol"], lookback=4, chunk=500)
 
 
 @query(

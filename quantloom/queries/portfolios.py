@@ -9,6 +9,7 @@ from ..operators import calendars as cal
 from ..operators import risk
 from ..operators import signals as op
 from ..registry import query
+from .learning import _kept
 
 _SIGNALS = "SELECT trade_date, ts_code, prediction AS score, row_number() OVER (PARTITION BY trade_date ORDER BY prediction DESC, ts_code) AS rank FROM v_pred"
 
@@ -240,10 +241,11 @@ def _cashed(v):
 
 
 def _drift(v):
-    held, days, returns = _cashed(v), cal.open_days(v.v_calendar), v.v_dret
+    """Drifted holdings as a table, as the ledger and the values of days both read them."""
+    held, days, returns = _cashed(v), cal.open_days(v.v_calendar), _kept(v, v.v_dret, "daily-returns")
     traded = returns.select("trade_date", "ts_code", F.lit("AVAILABLE").alias("traded"))
     status = bt.held_days(held, days).join(traded, ["trade_date", "ts_code"], "left").select("trade_date", "ts_code", F.coalesce("traded", F.lit("SUSPENDED")).alias("status"))
-    return bt.drifted(held, bt.resolve_return(status, returns), days)
+    return _kept(v, bt.drifted(held, bt.resolve_return(status, returns), days), "drift")
 
 
 @query("weight_drift", _DRIFT, "value cash weight before gain")
@@ -257,8 +259,8 @@ _LEDGER = f"""SELECT *, (sum(abs(weight_change)) OVER (PARTITION BY effective_da
     FROM (SELECT * FROM ({_DRIFT}) d WHERE trade_date IN (SELECT effective_date FROM v_hold)) p FULL JOIN ({_CASHED}) h ON h.effective_date = p.trade_date AND h.ts_code = p.ts_code) a) b"""
 
 
-def _ledger(v):
-    return bt.rebalance_ledger(_cashed(v), _drift(v))
+def _ledger(v, drift=None):
+    return bt.rebalance_ledger(_cashed(v), _drift(v) if drift is None else drift)
 
 
 @query("rebalance_ledger", _LEDGER, "pre_weight target_weight weight_change pre_cash target_cash turnover notional")
@@ -274,7 +276,8 @@ _NAV_DOUBLES = "gross_return cost turnover notional net_return gross_nav net_nav
 
 
 def _nav(v):
-    return bt.daily_nav(_drift(v), _ledger(v), 0.001)
+    drift = _drift(v)
+    return bt.daily_nav(drift, _ledger(v, drift), 0.001)
 
 
 @query("daily_nav", _NAV, _NAV_DOUBLES)
@@ -352,7 +355,8 @@ def ledger_rules(v):
 
 @query("pre_state_check", f"SELECT effective_date, count(*) AS keys, count(CASE WHEN ts_code = 'Brand#11' AND month(effective_date) = 4 THEN 1 END) AS different FROM ({_LEDGER}) l GROUP BY effective_date")
 def pre_state_check(v):
-    return bt.pre_state_check(_drift(v), v.spark.sql(_TAMPERED.replace("ledger", "{ledger}"), ledger=_ledger(v)))
+    drift = _drift(v)
+    return bt.pre_state_check(drift, v.spark.sql(_TAMPERED.replace("ledger", "{ledger}"), ledger=_ledger(v, drift)))
 
 
 _ODD = "SELECT trade_date, is_rebalance, CASE WHEN day(trade_date) = 3 THEN 0.01E0 ELSE cost END AS cost, CASE WHEN day(trade_date) = 4 THEN 0.1E0 ELSE turnover END AS turnover, CASE WHEN day(trade_date) IN (4, 5) THEN 0.1E0 ELSE notional END AS notional, CASE WHEN day(trade_date) = 6 THEN 0E0 ELSE net_nav END AS net_nav, gross_nav FROM nav"

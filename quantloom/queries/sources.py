@@ -82,9 +82,9 @@ def _partitioned(v, frame, name: str):
     return v.spark.read.parquet(path)
 
 
-@query("read_covered_slice", f"SELECT trade_date, ts_code, close FROM v_day WHERE trade_date IN (SELECT trade_date FROM ({_COVERED}) c)", "close")
+@query("read_covered_slice", f"SELECT trade_date, ts_code, sqrt(close) AS close FROM v_day WHERE trade_date IN (SELECT trade_date FROM ({_COVERED}) c)", "close")
 def read_covered_slice(v):
-    daily = _partitioned(v, v.v_day.select("trade_date", "ts_code", "close"), "daily")
+    daily = _partitioned(v, v.v_day.select("trade_date", "ts_code", F.sqrt("close").alias("close")), "daily")
     return src.read_covered(daily, v.sql(_COVERED), v.v_coverage).select("trade_date", "ts_code", "close")
 
 

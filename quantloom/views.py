@@ -80,7 +80,7 @@ VIEWS |= {
     # a monthly selection of daily codes, effective on the next open day; mean prices jump about, so
     # daily returns are small parts of theirs
     "v_pred": "SELECT trade_date, ts_code, ret AS prediction, forward_return AS target, industry, total_mv FROM v_ret WHERE ret IS NOT NULL",
-    "v_dret": "SELECT ts_code, trade_date, 0.02E0 * (close / lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) - 1) AS ret FROM v_day",
+    "v_dret": "SELECT ts_code, trade_date, 0.002E0 * (close / lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) - 1) AS ret FROM v_day",
     "v_pick": """
         SELECT m AS formation_date, ts_code, amount AS score, CAST(n AS INT) AS rank FROM (
         SELECT last_day(trade_date) AS m, ts_code, sum(amount) AS amount, row_number() OVER (PARTITION BY last_day(trade_date) ORDER BY sum(amount) DESC, ts_code) AS n FROM v_day GROUP BY last_day(trade_date), ts_code) p WHERE n <= 5""",
