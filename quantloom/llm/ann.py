@@ -5,6 +5,12 @@ beside their original vectors. A query visits its best lists; there, tables of i
 products with the residual codes' centroids score all members, and the best of each block
 are ranked again by the exact inner product. Lists, and the queries that visit them, are
 split into blocks of bounded size, so a hot list is dealt over many tasks.
+
+No member of a list has a larger inner product with q than q * centre + |q| * radius, the
+radius being the largest residual in the list. Once a query's best lists have given it k
+scores, lists whose bound is below the k-th aren't visited; nothing is lost by that. The
+same bound on a member's quantisation error tells which members a guess can't rule out, so
+that a search can also be exact.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ MOST_ROWS = 1 << 15  # a task's members, and its queries, at most on average
 SCORES = 1 << 22  # guessed products in memory at once
 RERANK = 60
 HOME = 8  # lists of a query that are searched first
+SLACK = 1e-9  # of rounding in bounds, relative to the lengths of the vectors
 VISITED = 0.85  # share of the lists that a query visits, 16 of them at least; vectors with clusters need far fewer
 
 
@@ -63,6 +70,18 @@ class InvertedFile:
         rest = x - self.centers[at]
         return at, np.stack([_nearest(rest[:, s], b) for s, b in zip(self.parts(), self.books, strict=True)], 1).astype(np.uint8)
 
+    def residuals(self, x: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths of the vectors' residuals, and of what the codes leave of them, with room for rounding."""
+        rest = x - self.centers[at]
+        kept = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
+        far, lost = np.linalg.norm(rest, axis=1), np.linalg.norm(rest - kept, axis=1)
+        room = SLACK * (np.linalg.norm(self.centers, axis=1)[at] + far)
+        return far + room, lost + room
+
+    def reachable(self, queries: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """The largest inner product that a member of each list can have: queries x lists."""
+        return queries @ self.centers.T + np.linalg.norm(queries, axis=1)[:, None] * radius[None, :]
+
     def approximate(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances (inner products): queries x members of list `which`."""
         out = np.repeat((queries @ self.centers[which])[:, None], len(codes), 1)
@@ -114,7 +133,7 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
-def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float = VISITED, rerank: int = RERANK) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float = VISITED, rerank: int = RERANK, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of every row whose id `one_in` divides, among all other rows.
 
     Vectors that are null, zero, of another length than most, or with null or non-finite
@@ -122,6 +141,8 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
     rows that share an id are candidates each, but not of a query with that id; as queries each
     has its own `k` neighbours, so that an id that occurs twice has every rank twice; with at most
     `k` candidates all are found; an empty table has no result; other columns aren't read.
+    `exact` visits every list, and ranks every member, that the bounds don't rule out, whatever `visited`
+    and `rerank` say: the result is then that of brute force.
     """
     spark = embeddings.sparkSession
     kind = embeddings.schema["vec_id"].dataType.simpleString()
@@ -139,14 +160,16 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, codes = index.encode(_matrix(batch.column(1), dim))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vec", "list", "codes"])
+                x = _matrix(batch.column(1), dim)
+                at, codes = index.encode(x)
+                far, lost = index.residuals(x, at, codes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(far), pa.array(lost)], names=["vec_id", "vec", "list", "codes", "far", "lost"])
 
-    members = stored(vectors.select("vec_id", "vec").mapInArrow(encode, f"vec_id {kind}, vec binary, list long, codes binary"), "ann-lists")
-    held = np.zeros(len(index.centers), np.int64)
-    for r in members.groupBy("list").count().collect():  # a row for each list, MOST_LISTS of them at most
-        held[r["list"]] = r["count"]
-    least = max(16, round(visited * len(held)))
+    members = stored(vectors.select("vec_id", "vec").mapInArrow(encode, f"vec_id {kind}, vec binary, list long, codes binary, far double, lost double"), "ann-lists")
+    held, radius = np.zeros(len(index.centers), np.int64), np.zeros(len(index.centers))
+    for r in members.groupBy("list").agg(F.count(F.lit(1)).alias("rows"), F.max("far").alias("far")).collect():  # a row for each list, MOST_LISTS of them at most
+        held[r["list"]], radius[r["list"]] = r["rows"], r["far"]
+    least = len(held) if exact else max(16, round(visited * len(held)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,6 +184,16 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
                 lists = [[row[:n][held[row[:n]] > 0] for row, n in zip(order, home.tolist(), strict=True)], [row[m:n][held[row[m:n]] > 0] for row, m, n in zip(order, home.tolist(), full.tolist(), strict=True)]]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, pa.list_(pa.int64())) for x in lists]], names=["vec_id", "vec", "home", "others"])
 
+    def skip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                most = index.reachable(_matrix(part.column("vec"), dim), radius)
+                bound = part.column("bound").to_numpy()
+                others = [np.array(x, np.int64) for x in part.column("others").to_pylist()]
+                lists = [x[row[x] >= b] for x, row, b in zip(others, most, bound.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("query", "vec_id", "vec")], pa.array(lists, pa.list_(pa.int64())), part.column("bound")], names=["query", "vec_id", "vec", "others", "bound"])
+
     asked = members.where(F.col("vec_id") % one_in == 0).select("vec_id", "vec")
     asked = asked.join(asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same")), "vec_id").select("vec_id", "vec", "same")
     visits = asked.mapInArrow(visit, f"vec_id {kind}, vec binary, home array<bigint>, others array<bigint>")
@@ -174,6 +207,7 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
         if asks.num_rows and own.num_rows:
             q, x = _matrix(asks.column("vec"), dim), _matrix(own.column("vec"), dim)
             codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
+            lost, length = own.column("lost").to_numpy(), np.linalg.norm(q, axis=1)
             keys, q_ids, ids, bound = asks.column("query").to_numpy(), asks.column("vec_id").to_numpy(), own.column("vec_id").to_numpy(), asks.column("bound").to_numpy()
             for begin in range(0, len(q), step := max(1, SCORES // len(x))):
                 part = slice(begin, begin + step)
@@ -182,12 +216,16 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
                 best = np.argsort(-guess, 1, kind="stable")[:, : max(rerank, k)]
                 for i, row in enumerate(best, begin):
                     row = row[ids[row] != q_ids[i]]
-                    exact = (x[row] * q[i]).sum(1)
-                    row, exact = row[exact >= bound[i]], exact[exact >= bound[i]]
-                    top = np.lexsort((ids[row], -exact))[:k]
+                    score = (x[row] * q[i]).sum(1)
+                    if exact and len(row) >= k:  # also the members whose guess may be too low by what their codes lost
+                        reach = guess[i - begin] + length[i] * lost
+                        row = np.flatnonzero(reach >= max(bound[i], np.partition(score, -k)[-k]))
+                        score = (x[row] * q[i]).sum(1)
+                    row, score = row[score >= bound[i]], score[score >= bound[i]]
+                    top = np.lexsort((ids[row], -score))[:k]
                     out[0].append(np.full(len(top), q_ids[i]))
                     out[1].append(ids[row][top])
-                    out[2].append(exact[top])
+                    out[2].append(score[top])
                     out[3].append(np.full(len(top), keys[i]))
         cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
         return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], float), "query": cat(out[3], np.int64)})
@@ -199,8 +237,8 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
         plan = F.broadcast(of_members.join(of_visits, "list"))  # a row for each list
         block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("long")
         turn = F.pmod(F.xxhash64("query"), F.col("turns")).cast("long")
-        left = members.join(plan, "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "vec_id", "vec", "codes", F.lit(0.0).alias("bound"), F.lit(None).cast("long").alias("query"))
-        right = visits.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "vec_id", "vec", F.lit(None).cast("binary").alias("codes"), "bound", "query")
+        left = members.join(plan, "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "vec_id", "vec", "codes", "lost", F.lit(0.0).alias("bound"), F.lit(None).cast("long").alias("query"))
+        right = visits.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "vec_id", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("lost"), "bound", "query")
         return left.unionByName(right).groupBy("list", "block", "turn").applyInArrow(search, "query_id long, vec_id long, score double, query long")
 
     best_first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
@@ -208,7 +246,9 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
     home = queries.select("query", "vec_id", "vec", F.explode("home").alias("list"), F.lit(float("-inf")).alias("bound"))
     first = stored(scan(home).withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).drop("rank"), "ann-home")
     bounds = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
-    others = queries.join(bounds, "query", "left").select("query", "vec_id", "vec", F.explode("others").alias("list"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    bounded = queries.join(bounds, "query", "left").select("query", "vec_id", "vec", "others", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    kept = bounded.mapInArrow(skip, f"query long, vec_id {kind}, vec binary, others array<bigint>, bound double")
+    others = kept.select("query", "vec_id", "vec", F.explode("others").alias("list"), "bound")
     ranked = first.unionByName(scan(stored(others, "ann-others"))).withColumn("rank", F.row_number().over(best_first))
     return ranked.where(F.col("rank") <= k).select(F.col("query_id").cast(kind), "rank", F.col("vec_id").cast(kind), "score")
 
