@@ -15,6 +15,7 @@ are hashed parts of a source, of a bounded number of documents.
 from __future__ import annotations
 
 import json
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from .common import fresh, stored
 WEIGHTS = (1, 2, 3)
 LIMIT = 3.0
 CELL_DOCS = 1000
-STEPS = 40
+STEPS = 40  # Newton steps; what hasn't converged by then is bisected
+HALVINGS = 200  # no bracket of doubles has more
 TOLERANCE = 1e-7
 
 
@@ -76,8 +78,9 @@ def solve(counts: DataFrame, goals: DataFrame, limit: float = LIMIT, steps: int
     """`goals` with the multiplier `lam` of every source; null where every rate is the limit.
 
     `counts` (source, size, docs) should be stored: each Newton step aggregates it once. Only
-    one row for each source travels between steps; the step ends when each source's tokens
-    are within `tolerance` of the target, or after `steps`.
+    one row for each source travels between steps. Steps end when each source's tokens are
+    within `tolerance` of the target, or its bracket holds no other double; after `steps` of
+    them brackets are halved, and a source that doesn't converge then fails.
     """
     spark = counts.sparkSession
     rows = [r.asDict() for r in goals.collect()]  # a row for each source
@@ -86,10 +89,12 @@ def solve(counts: DataFrame, goals: DataFrame, limit: float = LIMIT, steps: int
         full = r["target"] >= limit * r["source_size"]
         state[r["source"]] = {"lam": 0.0, "lo": None, "hi": None, "done": full or r["target"] <= 0, "full": full, "target": r["target"]}
     span = {r["source"]: r for r in counts.where("size > 0").groupBy("source").agg(F.min("size").alias("least"), F.max("size").alias("most")).collect()}
-    for _ in range(steps):
+    for turn in count():
         todo = [(s, x["lam"]) for s, x in state.items() if not x["done"]]
         if not todo:
             break
+        if turn >= steps + HALVINGS:
+            raise ValueError(f"no multiplier found for the sources {[s for s, _ in todo]}")
         current = _table(spark, counts, todo)
         size, rate = F.col("size").cast("double"), tilt(F.col("lam"), F.col("size").cast("double"), limit)
         inside = F.col("lam") * size < F.log(F.lit(float(limit)))
@@ -107,7 +112,9 @@ def solve(counts: DataFrame, goals: DataFrame, limit: float = LIMIT, steps: int
             step = x["lam"] - gap / r["slope"] if r["slope"] > 0 else None
             lo, hi, least = x["lo"], x["hi"], span[r["source"]]["least"]
             if lo is not None and hi is not None:
-                x["lam"] = step if step is not None and lo < step < hi else (lo + hi) / 2
+                newton = turn < steps and step is not None and lo < step < hi
+                x["lam"] = step if newton else (lo + hi) / 2
+                x["done"] = not newton and x["lam"] in (lo, hi)
             else:  # no bracket yet: a Newton step, at most twice as far as the last
                 far = max(abs(x["lam"]) * 2, 1.0 / max(span[r["source"]]["most"], 1), 1e-12)
                 move = abs(step - x["lam"]) if step is not None else far
