@@ -37,7 +37,8 @@ SEED = 28
 SPAN = WINDOW - SEED + 1
 BLOCK_BYTES = 6 << 20
 RUN_BYTES = 1 << 16  # text that is hashed at once: its arrays fit a core's cache
-SAMPLE_DOCS = 3000  # splitters come from the anchors of about so many documents
+SAMPLE_DOCS = 3000  # splitters come from the anchors of about so many documents,
+BUCKET_DOCS = 4  # and of so many more for each bucket
 
 _M = [pow(int(_MULT), e, 1 << 64) for e in range(WINDOW + 1)]
 _LAST = np.iinfo(np.int64).max
@@ -232,8 +233,8 @@ def _replies(table, verdict, sizes, kind):
 
 
 def _splitters(docs: DataFrame, buckets: int, rows: int) -> np.ndarray:
-    """Keys that cut a sample of the anchored suffixes into equal parts."""
-    one_in = max(1, rows // SAMPLE_DOCS)
+    """Keys that cut a sample of the anchored suffixes into equal parts; the sample grows with the buckets."""
+    one_in = max(1, rows // (SAMPLE_DOCS + BUCKET_DOCS * buckets))
 
     def sample(batches):
         for batch in batches:
