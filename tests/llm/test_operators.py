@@ -408,6 +408,41 @@ def test_nearest_of_repeated_queries(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
 
 
+def test_nearest_exactly(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 16)) * rng.uniform(0.2, 3, (900, 1))  # no clusters, different lengths
+    x[300:340] = x[300]
+    rows = [(i, v.tolist(), 1, "q") for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, query string")  # names that the operator uses itself
+    want = []
+    for q in range(0, 900, 20):
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        want += [(q, n + 1, int(i), round(float(score[i]), 9)) for n, i in enumerate(np.lexsort((np.arange(900), -score))[:10])]
+    got = ann.nearest(table, 10, exact=True, rerank=10).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == want
+
+
+def test_bounds_of_lists():
+    rng = np.random.default_rng(10)
+    centers = rng.normal(size=(60, 24))
+    x = centers[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 24)) * 0.05
+    index = ann.fit(x, 60)
+    at, codes = index.encode(x)
+    far, lost = index.residuals(x, at, codes)
+    radius = np.zeros(len(index.centers))
+    np.maximum.at(radius, at, far)
+    queries, exact = x[::20], x[::20] @ x.T
+    most = index.reachable(queries, radius)
+    assert (exact <= most[:, at]).all()
+    for which in range(len(index.centers)):
+        own = np.flatnonzero(at == which)
+        guess = index.approximate(queries, which, codes[own])
+        assert (np.abs(exact[:, own] - guess) <= np.linalg.norm(queries, axis=1)[:, None] * lost[own]).all()
+    kth = np.partition(exact, -20, 1)[:, -20:-19]
+    assert (most >= kth).mean() < 0.2  # of clustered vectors few lists are left
+
+
 @pytest.mark.parametrize("least", [0, 20])
 def test_archives(spark, tmp_path, least):
     r = random.Random(3)
@@ -464,6 +499,17 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("steps", [0, 3, 40])
+def test_multipliers_are_found_by_halving_too(spark, steps):
+    counts = spark.createDataFrame([("a", 5, 40), ("a", 900, 3), ("b", 1, 7), ("b", 100_000, 1), ("c", 10, 5)], "source string, size long, docs long")
+    goals = spark.createDataFrame([("a", 2900, 1450.0), ("b", 100_007, 150_000.0), ("c", 50, 150.0)], "source string, source_size long, target double")
+    lam = {r["source"]: r["lam"] for r in mixing.solve(counts, goals, steps=steps).collect()}
+    assert lam["c"] is None  # at the limit
+    for source, table, target in (("a", [(5, 40), (900, 3)], 1450), ("b", [(1, 7), (100_000, 1)], 150_000)):
+        tokens = sum(size * n * min(3.0, math.exp(min(lam[source] * size, 2))) for size, n in table)
+        assert abs(tokens - target) <= 1e-6 * target
+
+
 def test_mixing_keeps_texts_without_words(spark):
     table = spark.createDataFrame([(1, None, "a"), (2, " ", "b")], "doc_id long, text string, source string")
     assert [r["copies"] for r in mixing.mix(table).collect()] == [1, 1]
