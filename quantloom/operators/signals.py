@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.math import ratio
 from .backtest import resolve_return
+from .risk import complete_cases
 
 
 def day() -> WindowSpec:
@@ -48,9 +50,20 @@ def proportional(chosen: DataFrame, column: str) -> DataFrame:
     return chosen.withColumn("target_weight", ratio(x, F.sum(x).over(day())))
 
 
-def weight_inverse_volatility(chosen: DataFrame, volatility: DataFrame) -> DataFrame:
-    joined = chosen.join(volatility.select("trade_date", "ts_code", "volatility"), ["trade_date", "ts_code"])
-    return proportional(joined.withColumn("_inverse", ratio(F.lit(1.0), F.col("volatility"))), "_inverse").drop("_inverse")
+def weight_inverse_volatility(chosen: DataFrame, volatility: DataFrame, fail: bool = True) -> DataFrame:
+    """Weights in proportion to 1 / volatility, of all the chosen codes of a date.
+
+    A code without a finite, positive volatility fails the query, or, without `fail`, makes all weights of
+    its date null: the others are never weighted as if it weren't there.
+    """
+    joined = chosen.join(volatility.select("trade_date", "ts_code", "volatility"), ["trade_date", "ts_code"], "left")
+    x = F.col("volatility")
+    good = F.coalesce((x > 0) & (x < float("inf")), F.lit(False))
+    told = F.raise_error(F.concat_ws(" ", F.lit("no finite, positive volatility of"), "ts_code", "trade_date")).cast("double")
+    inverse = F.when(good, F.lit(1.0) / x).otherwise(told if fail else F.lit(None).cast("double"))
+    rows = joined.withColumn("_inverse", inverse)
+    whole = F.count("_inverse").over(day()) == F.count(F.lit(1)).over(day())
+    return rows.withColumn("target_weight", F.when(whole, ratio(F.col("_inverse"), F.sum("_inverse").over(day())))).drop("_inverse")
 
 
 def capped_allocation(chosen: DataFrame, column: str, cap: float) -> DataFrame:
@@ -115,54 +128,76 @@ def sample_volatility(window: DataFrame, least: int) -> DataFrame:
 
 def min_variance_weights(covariance: np.ndarray, cap: float = 1.0) -> np.ndarray:
     """Weights of least variance that are not negative, at most `cap` and sum to 1, by an active set checked for optimality."""
-    n = len(covariance)
-    c = covariance + 1e-12 * np.trace(covariance) / n * np.eye(n)
-    low, high = np.zeros(n, bool), np.zeros(n, bool)
-    w = np.full(n, 1 / n)
-    for _ in range(20 * n):
-        free = ~(low | high)
-        fixed = high * cap
-        if free.any():
-            k = int(free.sum())
-            system = np.block([[c[np.ix_(free, free)], -np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
-            x = np.linalg.solve(system, np.append(-c[np.ix_(free, high)] @ fixed[high], 1 - fixed.sum()))
+    values, vectors = np.linalg.eigh(covariance)
+    return least_variance((vectors * np.sqrt(np.maximum(values, 0))).T, cap)
+
+
+def least_variance(root: np.ndarray, cap: float = 1.0) -> np.ndarray:
+    """As `min_variance_weights`, of the covariance root' root with a trillionth of its mean variance on the diagonal.
+
+    Starts at a corner, the calmest assets at the cap and one free, and frees one asset at a time, so that
+    the free ones hardly outnumber the rows of `root`: no assets x assets matrix is formed.
+    """
+    n = root.shape[1]
+    variance = (root**2).sum(0)
+    ridge = 1e-12 * (variance.sum() / n or 1.0)
+    calm = np.argsort(variance, kind="stable")
+    full = min(int(1 / cap + 1e-12), n - 1)
+    low, high = np.ones(n, bool), np.zeros(n, bool)
+    low[calm[: full + 1]] = False
+    high[calm[:full]] = True
+    w = high * cap
+    w[calm[full]] = 1 - full * cap
+    for _ in range(100 * n):
+        free, fixed = np.flatnonzero(~(low | high)), high * cap
+        k, part = len(free), root[:, free]
+        if k:
+            system = np.ones((k + 1, k + 1))
+            system[:k, :k] = part.T @ part + ridge * np.eye(k)
+            system[:k, k], system[k, k] = -1, 0
+            x = np.linalg.solve(system, np.append(-part.T @ (root @ fixed), 1 - fixed.sum()))
             target, level = fixed.copy(), x[-1]
             target[free] = x[:-1]
         else:
-            target, level = fixed, np.median(c @ fixed)
-        step, hit = 1.0, -1
-        for i in np.flatnonzero(free):
-            d = target[i] - w[i]
-            room = (w[i] / -d if target[i] < -1e-14 else (cap - w[i]) / d if target[i] > cap + 1e-14 else 1.0) if d else 1.0
-            if room < step:
-                step, hit = max(room, 0.0), i
+            target, level = fixed, np.median(root.T @ (root @ fixed) + ridge * fixed)
+        d, room = (target - w)[free], np.ones(k)
+        down, up = target[free] < -1e-14, target[free] > cap + 1e-14
+        room[down] = w[free][down] / -d[down]
+        room[up] = (cap - w[free][up]) / d[up]
+        hit = int(np.argmin(room)) if k else -1
+        step = max(room[hit], 0.0) if k else 1.0
         w = w + step * (target - w)
-        if hit >= 0:
-            (low if target[hit] < w[hit] else high)[hit] = True
+        if step < 1:
+            (low if down[hit] else high)[free[hit]] = True
             continue
-        gradient = c @ w - level
+        gradient = root.T @ (root @ w) + ridge * w - level
         wrong = np.where(low, -gradient, 0) + np.where(high, gradient, 0)
         worst = int(np.argmax(wrong))
         if wrong[worst] <= 1e-12 * max(1.0, abs(level)):
-            break
+            return np.clip(w, 0, cap)
         low[worst] = high[worst] = False
-    return np.clip(w, 0, cap)
+    raise ArithmeticError(f"no weights of least variance found for {n} assets")
 
 
 def weight_min_variance(window: DataFrame, cap: float, least: int) -> DataFrame:
-    """Least-variance weights of each formation date from its complete-case returns; a date's assets are one small group."""
-
-    def solve(rows):
-        table = rows.pivot(index="return_date", columns="ts_code", values="ret").dropna()
-        codes = list(table.columns)
-        out = rows[["trade_date"]].iloc[:0].copy()
-        if len(table) >= max(least, 2) and len(codes) * cap >= 1:
-            w = min_variance_weights(np.atleast_2d(np.cov(table.to_numpy(), rowvar=False)), cap)
-            out = out.reindex(range(len(codes)))
-            out["trade_date"] = rows["trade_date"].iloc[0]
-            out["ts_code"], out["target_weight"] = codes, w
+    """Least-variance weights of each formation date from its complete-case returns; none where these are fewer than
+    `least` (2 at least) dates, or the cap leaves weight over.
+
+    Each asset's returns are one row of an array before dates are dealt, so a date's group has a row for each
+    asset and holds assets x return dates numbers.
+    """
+    date, code = (window.schema[c].dataType.simpleString() for c in ("trade_date", "ts_code"))
+    rows = complete_cases(window, max(least, 2))
+    series = rows.groupBy("trade_date", "ts_code").agg(F.sort_array(F.collect_list(F.struct("return_date", "ret"))).alias("x"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ts_code")
+        x = np.array(table.column("x").to_pylist(), float).T
+        if len(table) * cap < 1 - 1e-12:
+            table, w = table.slice(0, 0), np.zeros(0)
         else:
-            out["ts_code"], out["target_weight"] = [], []
-        return out
+            w = least_variance((x - x.mean(0)) / (len(x) - 1) ** 0.5, cap)
+        return pa.table({"trade_date": table.column("trade_date"), "ts_code": table.column("ts_code"), "target_weight": w})
 
-    return window.groupBy("trade_date").applyInPandas(solve, "trade_date date, ts_code string, target_weight double")
+    series = series.select("trade_date", "ts_code", F.col("x.ret").alias("x"))
+    return series.groupBy("trade_date").applyInArrow(solve, f"trade_date {date}, ts_code {code}, target_weight double")

@@ -59,8 +59,14 @@ def universe_index(weights: DataFrame, index_code: str, reference: DataFrame, fo
     return checked.join(active(reference, formations).select("formation_date", "ts_code"), ["formation_date", "ts_code"], "left_semi").select("formation_date", "ts_code")
 
 
-def universe_all(reference: DataFrame, formations: DataFrame, markets: list[str], exchanges: list[str], currencies: list[str]) -> DataFrame:
-    kept = reference.where(F.col("market").isin(markets) & F.col("exchange").isin(exchanges) & F.col("curr_type").isin(currencies))
+def universe_all(reference: DataFrame, formations: DataFrame, markets: list[str], exchanges: list[str], currencies: list[str], other_markets: list[str] = ()) -> DataFrame:
+    """The listed codes of the given markets, exchanges and currencies.
+
+    A market that is neither among `markets` nor `other_markets`, known ones that are left out, fails; a null one is left out.
+    """
+    told = F.raise_error(F.concat_ws(" ", F.lit("unknown market"), "market", F.lit("of"), "ts_code")).cast("boolean")
+    kind = F.when(F.col("market").isin(markets), F.lit(True)).when(F.col("market").isNull() | F.col("market").isin(list(other_markets)), F.lit(False)).otherwise(told)
+    kept = reference.where(kind).where(F.col("exchange").isin(exchanges) & F.col("curr_type").isin(currencies))
     return active(kept, formations).select("formation_date", "ts_code")
 
 

@@ -60,11 +60,14 @@ _ASKED = f"SELECT c.* FROM ({_CHOSEN}) c JOIN ({_DATES}) d ON d.trade_date = c.t
 _WINDOW = f"SELECT c.trade_date, c.ts_code, w.trade_date AS return_date, coalesce(r.ret, 0) AS ret FROM ({_ASKED}) c JOIN ({_DATES}) d ON d.trade_date = c.trade_date JOIN ({_DATES}) w ON w.pos BETWEEN d.pos - 11 AND d.pos JOIN ({_MONTHLY}) s ON s.ts_code = c.ts_code AND s.trade_date = w.trade_date AND s.status <> 'PRE_LISTING' LEFT JOIN v_ret r ON r.ts_code = c.ts_code AND r.trade_date = w.trade_date"
 
 
+def _asked(v, days):
+    return _chosen(v).join(F.broadcast(days.where("pos >= 12").select(F.col("cal_date").alias("trade_date"))), "trade_date", "left_semi")
+
+
 def _window(v):
     days = v.sql(_DATES).withColumnRenamed("trade_date", "cal_date")
     resolved = op.resolved_returns(v.sql(_MONTHLY), v.v_ret.where("ret IS NOT NULL").select("trade_date", "ts_code", "ret"))
-    asked = _chosen(v).join(F.broadcast(days.where("pos >= 12").select(F.col("cal_date").alias("trade_date"))), "trade_date", "left_semi")
-    return op.return_window(asked, resolved, days, 12)
+    return op.return_window(_asked(v, days), resolved, days, 12)
 
 
 @query("return_window", _WINDOW, "ret")
@@ -80,12 +83,14 @@ def sample_vol(v):
     return op.sample_volatility(_window(v), 6)
 
 
-_INVERSE = f"SELECT *, inverse / nullif(sum(inverse) OVER (PARTITION BY trade_date), 0) AS target_weight FROM (SELECT c.trade_date, c.ts_code, c.rank, 1 / nullif(volatility, 0) AS inverse FROM ({_CHOSEN}) c JOIN ({_VOL}) s ON s.trade_date = c.trade_date AND s.ts_code = c.ts_code) i"
+# a date with a code that has no positive volatility has no weights
+_INVERSE = f"SELECT *, CASE WHEN count(inverse) OVER (PARTITION BY trade_date) = count(*) OVER (PARTITION BY trade_date) THEN inverse / sum(inverse) OVER (PARTITION BY trade_date) END AS target_weight FROM (SELECT c.trade_date, c.ts_code, c.rank, CASE WHEN volatility > 0 THEN 1 / volatility END AS inverse FROM ({_ASKED}) c LEFT JOIN ({_VOL}) s ON s.trade_date = c.trade_date AND s.ts_code = c.ts_code) i"
 
 
 @query("weight_inverse_vol", f"SELECT trade_date, ts_code, rank, target_weight FROM ({_INVERSE}) i", "target_weight")
 def weight_inverse_vol(v):
-    return op.weight_inverse_volatility(_chosen(v), op.sample_volatility(_window(v), 6)).select("trade_date", "ts_code", "rank", "target_weight")
+    asked = _asked(v, v.sql(_DATES).withColumnRenamed("trade_date", "cal_date"))
+    return op.weight_inverse_volatility(asked, op.sample_volatility(_window(v), 6), fail=False).select("trade_date", "ts_code", "rank", "target_weight")
 
 
 _BASE = f"SELECT p.trade_date, p.ts_code, p.total_mv FROM v_pred p JOIN ({_CHOSEN}) c ON c.trade_date = p.trade_date AND c.ts_code = p.ts_code WHERE total_mv > 0"
@@ -136,7 +141,7 @@ for _name in ("weight_rules", "weights_engine"):
 
 @query("weight_min_variance")
 def weight_min_variance(v):
-    return op.weight_min_variance(risk.complete_cases(_window(v), 6), 0.5, 6)
+    return op.weight_min_variance(_window(v), 0.5, 6)
 
 
 _COMPLETE = f"""SELECT trade_date, ts_code, return_date, ret, observations FROM (SELECT *, count(DISTINCT return_date) OVER (PARTITION BY trade_date) AS observations FROM (

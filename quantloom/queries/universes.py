@@ -50,7 +50,7 @@ _ALL = f"SELECT formation_date, ts_code FROM ({_ACTIVE}) a WHERE market IN ('MAI
 
 
 def _all(v):
-    return op.universe_all(v.v_reference, _forms(v), ["MAIN", "GROWTH"], ["SSE"], ["CNY"])
+    return op.universe_all(v.v_reference, _forms(v), ["MAIN", "GROWTH"], ["SSE"], ["CNY"], ["STAR"])
 
 
 @query("universe_all", _ALL)

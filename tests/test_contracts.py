@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import backtest, calendars, coverage, quality, universes
+from quantloom.operators import backtest, calendars, coverage, quality, signals, universes
 
 
 def day(n: int) -> datetime.date:
@@ -256,3 +256,25 @@ def test_return_windows_are_resolved_and_full(spark):
         signals.return_window(chosen, frames(status, returns[1:]), days(spark, 5), 5).collect()
     with pytest.raises(Exception, match="no status"):
         signals.return_window(chosen, frames(status[1:], returns[1:]), days(spark, 5), 5).collect()
+
+
+def test_a_code_without_a_volatility_fails(spark):
+    chosen = spark.createDataFrame([(day(d), c) for d in (0, 1) for c in "ABC"], "trade_date date, ts_code string")
+    vols = [(day(0), "A", 1.0), (day(0), "B", 2.0), (day(0), "C", 4.0), (day(1), "A", 1.0), (day(1), "B", 0.0)]
+    for more in ([], [(day(1), "C", None)], [(day(1), "C", math.inf)], [(day(1), "C", math.nan)]):
+        volatility = spark.createDataFrame(vols + more, "trade_date date, ts_code string, volatility double")
+        with pytest.raises(Exception, match="no finite, positive volatility"):
+            signals.weight_inverse_volatility(chosen, volatility).collect()
+        got = {(r["trade_date"], r["ts_code"]): r["target_weight"] for r in signals.weight_inverse_volatility(chosen, volatility, fail=False).collect()}
+        assert [got[day(0), c] for c in "ABC"] == pytest.approx([4 / 7, 2 / 7, 1 / 7])
+        assert [got[day(1), c] for c in "ABC"] == [None] * 3
+
+
+def test_an_unknown_market_fails(spark):
+    shape = "ts_code string, market string, exchange string, curr_type string, list_date date, delist_date date"
+    rows = [("A", "MAIN", "X", "C", day(0), None), ("B", "OTHER", "X", "C", day(0), None), ("C", None, "X", "C", day(0), None), ("D", "MAIN", "Y", "C", day(0), None)]
+    formed = spark.createDataFrame([(day(3),)], "formation_date date")
+    got = universes.universe_all(spark.createDataFrame(rows, shape), formed, ["MAIN"], ["X"], ["C"], ["OTHER"]).collect()
+    assert [r["ts_code"] for r in got] == ["A"]
+    with pytest.raises(Exception, match="unknown market"):
+        universes.universe_all(spark.createDataFrame([*rows, ("E", "NEW", "Y", "Z", day(0), None)], shape), formed, ["MAIN"], ["X"], ["C"], ["OTHER"]).collect()

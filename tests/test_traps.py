@@ -77,6 +77,32 @@ def test_least_variance_is_optimal():
             assert v @ c @ v >= best - 1e-9
 
 
+def test_least_variance_of_a_thousand_assets():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 1000)) * rng.uniform(0.5, 2, 1000) + rng.normal(size=(60, 1))
+    root = (x - x.mean(0)) / 59**0.5
+    for cap in (1.0, 0.05, 0.001):
+        w = signals.least_variance(root, cap)
+        assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and w.max() <= cap + 1e-9
+        gradient = root.T @ (root @ w)
+        free = (w > 1e-12) & (w < cap - 1e-12)
+        level = gradient[free].mean() if free.any() else gradient[w > 1e-12].max()
+        assert np.allclose(gradient[free], level, atol=1e-9)
+        assert (gradient[w <= 1e-12] >= level - 1e-9).all() and (gradient[w >= cap - 1e-12] <= level + 1e-9).all()
+
+
+def test_least_variance_by_date_takes_complete_cases(spark):
+    x = np.random.default_rng(5).normal(size=(9, 4))
+    rows = [(day(d), f"c{j}", day(-i), None if (d, i, j) == (1, 3, 2) else float(x[i, j])) for d in (0, 1, 2) for i in range(9) for j in range(4) if d < 2 or i < 3]
+    got = signals.weight_min_variance(spark.createDataFrame(rows, "trade_date date, ts_code string, return_date date, ret double"), 0.6, 5).collect()
+    found = {d: np.array([r["target_weight"] for r in sorted(got, key=lambda r: r["ts_code"]) if r["trade_date"] == d]) for d in (day(0), day(1), day(2))}
+    assert np.allclose(found[day(0)], signals.min_variance_weights(np.cov(x, rowvar=False), 0.6), atol=1e-8)
+    assert np.allclose(found[day(1)], signals.min_variance_weights(np.cov(np.delete(x, 3, 0), rowvar=False), 0.6), atol=1e-8)
+    assert len(found[day(2)]) == 0  # three dates are too few
+    few = spark.createDataFrame([r for r in rows if r[1] == "c0"], "trade_date date, ts_code string, return_date date, ret double")
+    assert signals.weight_min_variance(few, 0.6, 5).count() == 0  # one asset at most 0.6
+
+
 def test_moments_do_not_depend_on_blocks(spark):
     x = np.random.default_rng(3).normal(size=(9, 12))
     rows = spark.createDataFrame([(day(0), f"c{i}", day(j), float(x[i, j])) for i in range(9) for j in range(12)], "trade_date date, ts_code string, return_date date, ret double")
