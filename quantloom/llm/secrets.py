@@ -12,6 +12,9 @@ as its symbols coincide more often, with a spread that shrinks with the length;
 tail there is the p-value of a discovery, so short runs need stronger evidence. These are
 controlled by Benjamini and Hochberg's procedure in each stratum of encoding and length
 class, over a histogram of all candidates of the corpus, those that the tests reject included.
+
+Candidates are runs of all lengths that can be discoveries at all: the procedure never passes a p-value above
+its rate, and that of a run whose symbols all differ, the least that its length allows, falls with the length.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ ASSIGN_LONG = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run that is too short holds no longer one
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}"
 # Rates at which two symbols of a text coincide, and sums of cubed symbol rates.
 TEXT_COINCIDENCE = {"hex": 0.12, "base32": 0.0667, "base64": 0.0667}
 TEXT_CUBES = {"hex": 0.018, "base32": 0.0054, "base64": 0.0054}
@@ -39,6 +42,8 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+# Lengths below 20 are classes of their own, as nearly all of their runs are words.
+SHORT_CLASS = 20
 LEAST_RANDOM = 0.001  # a candidate whose combined tests reject randomness at this level is none
 DISCOVERY_RATE = 0.01
 BINS_A_DECADE, DECADES = 10, 30
@@ -67,6 +72,18 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None
     return F.aggregate(zipped, begin, step, lambda acc: F.flatten(F.concat(acc["runs"], F.array(acc["spans"]))))
 
 
+def least_p(encoding: str, n: int) -> float:
+    """The p-value under written language of `n` symbols that all differ, which no run of that length is below."""
+    text = TEXT_COINCIDENCE[encoding]
+    var = 2 * text * (1 - text) / (n * (n - 1)) + 4 * (TEXT_CUBES[encoding] - text * text) / n
+    return math.erfc(text / math.sqrt(2 * var)) / 2
+
+
+def shortest(rate: float) -> int:
+    """The shortest length at which a run of some encoding can be a discovery at `rate`."""
+    return next(n for n in range(2, 1 << 20) if any(least_p(e, n) <= rate + 1e-6 for e in ALPHABETS))
+
+
 def _normal_cdf(z: Column) -> Column:
     """Zelen and Severo's approximation, with an absolute error below 1e-7, and an exponential tail beyond 6."""
     a = F.abs(z)
@@ -138,11 +155,13 @@ def _bin(p: Column) -> Column:
 
 
 def _stratum(encoding: Column, n: Column) -> Column:
-    return F.concat_ws(":", encoding, F.least(F.floor(F.log2(n.cast("double"))), F.lit(12)).cast("string"))
+    octave = F.least(F.floor(F.log2(n.cast("double"))), F.lit(12)).cast("string")
+    return F.concat_ws(":", encoding, octave, F.when(n < SHORT_CLASS, "short"))
 
 
-def _with_candidates(docs: DataFrame) -> DataFrame:
+def _with_candidates(docs: DataFrame, rate: float) -> DataFrame:
     """doc_id, base (spans) and candidates (start, end, encoding, n, p_random, p_text) of every row."""
+    candidate = CANDIDATE % shortest(rate)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text, none = F.col("text"), F.array().cast(_SPAN)
     base = F.concat(
@@ -150,8 +169,8 @@ def _with_candidates(docs: DataFrame) -> DataFrame:
         F.when(text.rlike(ACCESS), _spans(text, ACCESS, 1)).otherwise(none),
         F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(none),
     )
-    found = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, 3)).otherwise(none)
-    runs = F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike(candidate), _spans(text, candidate, 3)).otherwise(none)
+    runs = F.when(text.rlike(candidate), F.regexp_extract_all(text, F.lit(candidate), F.lit(0))).otherwise(F.array().cast("array<string>"))
     tested = F.zip_with(found, runs, lambda s, r: F.struct(s["start"].alias("start"), s["end"].alias("end"), r.alias("run")))
     out = F.transform(tested, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tests(x["run"]).alias("test")))
     return docs.select("doc_id", F.array_sort(base).alias("base"), out.alias("candidates"))
@@ -178,7 +197,7 @@ def scan_secrets(docs: DataFrame, rate: float = DISCOVERY_RATE, least_random: fl
     their spans each; an empty table has no candidates and no discoveries; other columns
     aren't read. A random span that a pattern's span covers is not repeated.
     """
-    found = stored(_with_candidates(docs), "secret-candidates")
+    found = stored(_with_candidates(docs, rate), "secret-candidates")
     plausible = F.filter("candidates", lambda c: c["test"]["p_random"] >= least_random)
     listed = found.select(F.explode("candidates").alias("c")).select(_stratum(F.col("c.test.encoding"), F.col("c.test.n")).alias("stratum"), _bin(F.col("c.test.p_text")).alias("bin"))
     limits = discovery_bins(listed, rate)
