@@ -33,7 +33,7 @@ ASSIGN_LONG = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run that is too short holds no longer one
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}"  # sought only where a run begins
 # Rates at which two symbols of a text coincide, and sums of cubed symbol rates.
 TEXT_COINCIDENCE = {"hex": 0.12, "base32": 0.0667, "base64": 0.0667}
 TEXT_CUBES = {"hex": 0.018, "base32": 0.0054, "base64": 0.0054}
@@ -52,9 +52,9 @@ SPAN_RUN = 1000  # spans of a text that are gathered at a time
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None, least: int = 0) -> Column:
-    """Spans (start, kind, end), in code points, of the leftmost non-overlapping matches."""
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None, least: int = 0, matches: Column | None = None) -> Column:
+    """Spans (start, kind, end), in code points, of the leftmost non-overlapping matches (extracted here if not given)."""
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if matches is None else matches
     value = matches if value_group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), F.zip_with(matches, value, lambda m, v: F.struct(F.length(m).alias("n"), F.length(v).alias("v"))), lambda g, m: F.struct(F.length(g).alias("g"), m["n"].alias("n"), m["v"].alias("v")))
 
@@ -100,8 +100,10 @@ def _cauchy(*p_values: Column) -> Column:
     return 0.5 - F.atan(reduce(lambda a, x: a + x, heavy) / len(heavy)) / math.pi
 
 
-def _tests(run: Column) -> Column:
-    """encoding, n, p_random (three tests against uniform symbols) and p_text (chi-squared against written language)."""
+def _tests(run: Column, rate: float) -> Column:
+    """encoding, n, p_text (chi-squared against written language) and, where that allows a discovery at `rate`,
+    p_random (three tests against uniform symbols), which is null elsewhere."""
+    limit = rate + 1e-6
     body = F.regexp_replace(F.translate(run, "-_", "+/"), "=+$", "")
     encoding = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
 
@@ -112,17 +114,16 @@ def _tests(run: Column) -> Column:
     n, k = F.length(body).cast("double"), choose({e: float(len(a)) for e, a in ALPHABETS.items()})
     alphabet = choose({e: a for e, a in ALPHABETS.items()})
     chars = F.filter(F.split(body, ""), lambda c: F.length(c) > 0)
-    at = F.transform(chars, lambda c: F.position(c, alphabet).cast("double") - 1)
-
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
     squares = total(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0))))
     # in two steps, as every reference to a column would otherwise compute it again
-    facts = F.struct(encoding.alias("encoding"), n.alias("n"), k.alias("k"), squares.alias("squares"), at.alias("at"))
+    facts = F.struct(encoding.alias("encoding"), n.alias("n"), k.alias("k"), squares.alias("squares"), chars.alias("chars"), alphabet.alias("alphabet"))
 
     def judge(f: Column) -> Column:
-        n, k, at = f["n"], f["k"], f["at"]
+        n, k = f["n"], f["k"]
+        at = F.transform(f["chars"], lambda c: F.position(c, f["alphabet"]).cast("double") - 1)
         free = k - 1
         chi = f["squares"] * k / n - n
         p_chi = 1 - _normal_cdf((F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
@@ -136,16 +137,12 @@ def _tests(run: Column) -> Column:
         middle, spread = (k - 1) / 2, (k * k - 1) / 12
         serial = total(F.transform(pairs, lambda p: (p["x"] - middle) * (p["y"] - middle))) / (spread * F.sqrt(n - 1))
         p_serial = 2 * _normal_cdf(-F.abs(serial))
-        rate = (f["squares"] - n) / (n * (n - 1))
+        coincidence = (f["squares"] - n) / (n * (n - 1))
         text = reduce(lambda c, e: c.when(f["encoding"] == e, TEXT_COINCIDENCE[e]), list(ALPHABETS)[1:], F.when(f["encoding"] == "hex", TEXT_COINCIDENCE["hex"]))
         cubes = reduce(lambda c, e: c.when(f["encoding"] == e, TEXT_CUBES[e]), list(ALPHABETS)[1:], F.when(f["encoding"] == "hex", TEXT_CUBES["hex"]))
         var = 2 * text * (1 - text) / (n * (n - 1)) + 4 * (cubes - text * text) / n
-        return F.struct(
-            f["encoding"].alias("encoding"),
-            n.cast("long").alias("n"),
-            _cauchy(p_chi, p_runs, p_serial).alias("p_random"),
-            _normal_cdf((rate - text) / F.sqrt(var)).alias("p_text"),
-        )
+        p_text = _normal_cdf((coincidence - text) / F.sqrt(var))
+        return F.struct(f["encoding"].alias("encoding"), n.cast("long").alias("n"), p_text.alias("p_text"), F.when(p_text <= limit, _cauchy(p_chi, p_runs, p_serial)).alias("p_random"))
 
     return F.transform(F.array(facts), judge)[0]
 
@@ -169,10 +166,11 @@ def _with_candidates(docs: DataFrame, rate: float) -> DataFrame:
         F.when(text.rlike(ACCESS), _spans(text, ACCESS, 1)).otherwise(none),
         F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(none),
     )
-    found = F.when(text.rlike(candidate), _spans(text, candidate, 3)).otherwise(none)
-    runs = F.when(text.rlike(candidate), F.regexp_extract_all(text, F.lit(candidate), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    docs = docs.withColumn("_runs", F.regexp_extract_all(text, F.lit(candidate), F.lit(0)))
+    runs = F.col("_runs")
+    found = F.when(F.size(runs) > 0, _spans(text, candidate, 3, matches=runs)).otherwise(none)
     tested = F.zip_with(found, runs, lambda s, r: F.struct(s["start"].alias("start"), s["end"].alias("end"), r.alias("run")))
-    out = F.transform(tested, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tests(x["run"]).alias("test")))
+    out = F.transform(tested, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tests(x["run"], rate).alias("test")))
     return docs.select("doc_id", F.array_sort(base).alias("base"), out.alias("candidates"))
 
 
