@@ -39,22 +39,25 @@ def suspension_events(rows: DataFrame) -> DataFrame:
     return rows.select("trade_date", F.trim("ts_code").alias("ts_code"), F.upper(F.trim("suspend_type")).alias("suspend_type"), F.when(timing != "", timing).alias("suspend_timing")).distinct()
 
 
-def resolve_return(status: DataFrame, returns: DataFrame, robust: bool = False, fail: bool = True) -> DataFrame:
+def resolve_return(status: DataFrame, returns: DataFrame, robust: bool = False, fail: bool = True, early: bool = False) -> DataFrame:
     """Observed returns, 0 on a proven suspension (if robust, on unknown gaps too).
 
     A return that isn't finite or stands on any other status than AVAILABLE or DELIST_DATE, and a
     gap without resolution, are conflicts: the query fails on them, or names them in `conflict`
-    if not to `fail`. A null return is a gap.
+    if not to `fail`. A null return is a gap. If `early`, days before the listing have no return, whatever
+    `returns` says of them, and are no conflict.
     """
     joined = status.join(returns.select("trade_date", "ts_code", "ret"), ["trade_date", "ts_code"], "left")
     there = F.col("ret").isNotNull()
     zero = F.col("status").isin("SUSPENDED", *(["UNKNOWN_MISSING"] if robust else []))
+    before = F.col("status") == "PRE_LISTING" if early else F.lit(False)
     conflict = (
-        F.when(there & finite(F.col("ret")).isNull(), "return is not finite")
+        F.when(before, F.lit(None).cast("string"))
+        .when(there & finite(F.col("ret")).isNull(), "return is not finite")
         .when(there & ~F.col("status").isin("AVAILABLE", "DELIST_DATE"), "return conflicts with status")
         .when(~there & ~zero, "return is missing")
     )
-    value = F.when(conflict.isNull(), F.coalesce("ret", F.lit(0.0)))
+    value = F.when(conflict.isNull() & ~before, F.coalesce("ret", F.lit(0.0)))
     if not fail:
         return joined.select("trade_date", "ts_code", "status", value.alias("ret"), conflict.alias("conflict"))
     told = F.concat_ws(" ", conflict, "trade_date", "ts_code", "status")

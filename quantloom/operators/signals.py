@@ -117,9 +117,8 @@ def return_window(chosen: DataFrame, resolved: DataFrame, days: DataFrame, n: in
 
 def resolved_returns(status: DataFrame, returns: DataFrame) -> DataFrame:
     """trade_date, ts_code, status and return of every code and day, each resolved once: 0 when suspended, none
-    before the listing; conflicts and unknown gaps fail."""
-    early = status.where("status = 'PRE_LISTING'").select("trade_date", "ts_code", "status", F.lit(None).cast("double").alias("ret"))
-    return resolve_return(status.where("status <> 'PRE_LISTING'"), returns).unionByName(early)
+    before the listing; conflicts and unknown gaps fail. Rows without a status are left out."""
+    return resolve_return(status.where("status IS NOT NULL"), returns, early=True)
 
 
 def sample_volatility(window: DataFrame, least: int) -> DataFrame:

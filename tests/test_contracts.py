@@ -8,6 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom import catalog
 from quantloom.operators import backtest, calendars, coverage, quality, signals, universes
 
 
@@ -278,3 +279,19 @@ def test_an_unknown_market_fails(spark):
     assert [r["ts_code"] for r in got] == ["A"]
     with pytest.raises(Exception, match="unknown market"):
         universes.universe_all(spark.createDataFrame([*rows, ("E", "NEW", "Y", "Z", day(0), None)], shape), formed, ["MAIN"], ["X"], ["C"], ["OTHER"]).collect()
+
+
+@pytest.mark.parametrize("name", ["complete_case_window", "covariance", "ledoit_wolf", "weight_min_variance"])
+def test_windows_where_no_table_is_broadcast(spark, name):
+    # a union of listed and unlisted days had twice the partitions that the join above it was planned for
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_days_before_a_listing_have_no_return(spark):
+    status = spark.createDataFrame([(day(0), c, s) for c, s in (("A", "PRE_LISTING"), ("B", "PRE_LISTING"), ("C", "SUSPENDED"), ("D", "AVAILABLE"), ("E", None))], "trade_date date, ts_code string, status string")
+    got = signals.resolved_returns(status, spark.createDataFrame([(day(0), "A", 0.5), (day(0), "D", 0.25)], RETURNS))
+    assert {r["ts_code"]: r["ret"] for r in got.collect()} == {"A": None, "B": None, "C": 0.0, "D": 0.25}
