@@ -176,10 +176,10 @@ def latest_portfolio_date(dates: Column) -> Column:
     return F.max(F.try_to_date(dates, "yyyy-MM-dd"))
 
 
-def industry_distribution(latest: DataFrame) -> DataFrame:
-    """Codes and weight of each industry of a portfolio, with null as unknown."""
+def industry_distribution(held: DataFrame) -> DataFrame:
+    """Codes and weight of each industry of the portfolio of each date, with null as unknown."""
     name = F.coalesce("industry", F.lit(UNKNOWN_INDUSTRY))
-    return latest.groupBy(name.alias("industry")).agg(F.count("ts_code").alias("count"), F.coalesce(F.sum("target_weight"), F.lit(0.0)).alias("weight")).orderBy(F.desc("weight"))
+    return held.groupBy("trade_date", name.alias("industry")).agg(F.count("ts_code").alias("count"), F.coalesce(F.sum("target_weight"), F.lit(0.0)).alias("weight")).orderBy("trade_date", F.desc("weight"))
 
 
 def weight_distribution(held: DataFrame) -> DataFrame:

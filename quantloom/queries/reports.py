@@ -176,9 +176,9 @@ def latest_portfolio_date(v):
     return v.sql(f"SELECT ts_code, CASE WHEN rank = 1 THEN 'none' ELSE CAST(trade_date AS STRING) END AS d FROM ({_HELD}) h").groupBy("ts_code").agg(op.latest_portfolio_date(F.col("d")).alias("last_date"))
 
 
-@query("industry_distribution", f"SELECT industry, count(ts_code) AS count, sum(target_weight) AS weight FROM ({_LATEST}) l GROUP BY industry", "weight")
+@query("industry_distribution", f"SELECT trade_date, coalesce(industry, '未知行业') AS industry, count(ts_code) AS count, sum(target_weight) AS weight FROM ({_HELD}) h GROUP BY 1, 2", "weight")
 def industry_distribution(v):
-    return op.industry_distribution(_latest(v))
+    return op.industry_distribution(v.sql(_HELD))
 
 
 @query("weight_distribution", f"SELECT trade_date, ts_code, target_weight, rank FROM ({_HELD}) h", "target_weight")

@@ -113,3 +113,17 @@ def test_partitions_are_merged(spark, tmp_path):
         with pytest.raises(ValueError):
             panels.write_partitioned(wrong, path)
     assert read() == want
+
+
+def test_industries_of_every_portfolio(spark):
+    held = [(D[0], "A", "x", 0.5), (D[0], "B", None, 0.25), (D[0], "C", None, 0.25), (D[1], "A", "x", 0.75), (D[1], "B", "x", 0.25)]
+    got = reports.industry_distribution(spark.createDataFrame(held, "trade_date date, ts_code string, industry string, target_weight double"))
+    assert sorted(map(tuple, got.select("trade_date", "industry", "count", "weight").collect())) == [(D[0], "x", 1, 0.5), (D[0], reports.UNKNOWN_INDUSTRY, 2, 0.5), (D[1], "x", 2, 1.0)]
+
+
+def test_the_query_of_industries_has_every_date(spark):
+    from quantloom import catalog
+
+    sf = "/root/testdata/sf0.001"
+    dates = lambda name: {r[0] for r in catalog.queries()[name](spark, sf).select("trade_date").distinct().collect()}
+    assert dates("industry_distribution") == dates("weight_distribution")
