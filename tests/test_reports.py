@@ -127,3 +127,16 @@ def test_the_query_of_industries_has_every_date(spark):
     sf = "/root/testdata/sf0.001"
     dates = lambda name: {r[0] for r in catalog.queries()[name](spark, sf).select("trade_date").distinct().collect()}
     assert dates("industry_distribution") == dates("weight_distribution")
+
+
+def test_published_inputs_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    path = panels.publish_inputs({"a": spark.range(50).mapInArrow(count, "id long")}, f"file://{tmp_path}")
+    assert seen.value == 50
+    assert path.endswith(panels.identity({"a": spark.read.parquet(f"{path}/a")}))
