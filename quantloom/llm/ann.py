@@ -133,6 +133,31 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
+def _reaching(q: np.ndarray, x: np.ndarray, guess: np.ndarray, lost: np.ndarray, bound: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, place in x, inner product) of all pairs that can be among a query's `k` best of x and aren't below its bound.
+
+    A pair without a guess (minus infinity) is none. Where nothing bounds a query yet, the k-th product of its
+    `rerank` best guesses does. What a guess and what its code lost can't bring up to the bound is not ranked.
+    """
+    length, floor, n = np.linalg.norm(q, axis=1), bound.copy(), min(max(rerank, k), len(x))
+    room = SLACK * length * np.linalg.norm(x, axis=1).max()
+    unbounded = np.flatnonzero(np.isneginf(bound)) if len(x) >= k else np.zeros(0, np.int64)
+    for i in range(0, len(unbounded), step := max(1, SCORES // (n * x.shape[1]))):
+        part = unbounded[i : i + step]
+        first = np.argpartition(-guess[part], n - 1, 1)[:, :n]
+        score = np.where(np.take_along_axis(guess[part], first, 1) > -np.inf, np.einsum("qnd,qd->qn", x[first], q[part]), -np.inf)
+        floor[part] = np.partition(score, n - k, 1)[:, n - k]
+    least = (floor - room)[:, None]
+    keep = (guess > -np.inf) & (guess + length[:, None] * lost >= least)
+    some = np.flatnonzero(keep.any(0))
+    at, row = np.nonzero(keep[:, some] & (q @ x[some].T >= least))
+    row = some[row]
+    step = max(1, SCORES // x.shape[1])
+    score = np.concatenate([(x[row[i : i + step]] * q[at[i : i + step]]).sum(1) for i in range(0, len(at), step)] or [np.zeros(0)])
+    good = score >= bound[at]
+    return at[good], row[good], score[good]
+
+
 def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float = VISITED, rerank: int = RERANK, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of every row whose id `one_in` divides, among all other rows.
 
@@ -207,20 +232,24 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
         if asks.num_rows and own.num_rows:
             q, x = _matrix(asks.column("vec"), dim), _matrix(own.column("vec"), dim)
             codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-            lost, length = own.column("lost").to_numpy(), np.linalg.norm(q, axis=1)
+            lost = own.column("lost").to_numpy()
             keys, q_ids, ids, bound = asks.column("query").to_numpy(), asks.column("vec_id").to_numpy(), own.column("vec_id").to_numpy(), asks.column("bound").to_numpy()
             for begin in range(0, len(q), step := max(1, SCORES // len(x))):
                 part = slice(begin, begin + step)
                 guess = index.approximate(q[part], key[0].as_py(), codes)
                 guess[q_ids[part, None] == ids[None, :]] = -np.inf
+                if exact:
+                    at, row, score = _reaching(q[part], x, guess, lost, bound[part], k, rerank)
+                    order = np.lexsort((ids[row], -score, at))
+                    order = order[np.arange(len(order)) - np.searchsorted(at[order], at[order]) < k]
+                    at, row = at[order] + begin, row[order]
+                    for o, found in zip(out, (q_ids[at], ids[row], score[order], keys[at]), strict=True):
+                        o.append(found)
+                    continue
                 best = np.argsort(-guess, 1, kind="stable")[:, : max(rerank, k)]
                 for i, row in enumerate(best, begin):
                     row = row[ids[row] != q_ids[i]]
                     score = (x[row] * q[i]).sum(1)
-                    if exact and len(row) >= k:  # also the members whose guess may be too low by what their codes lost
-                        reach = guess[i - begin] + length[i] * lost
-                        row = np.flatnonzero(reach >= max(bound[i], np.partition(score, -k)[-k]))
-                        score = (x[row] * q[i]).sum(1)
                     row, score = row[score >= bound[i]], score[score >= bound[i]]
                     top = np.lexsort((ids[row], -score))[:k]
                     out[0].append(np.full(len(top), q_ids[i]))
@@ -254,4 +283,4 @@ def nearest(embeddings: DataFrame, k: int = 20, one_in: int = 20, visited: float
 
 
 def op8_nearest(spark, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), exact=True)

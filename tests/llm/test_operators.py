@@ -423,6 +423,18 @@ def test_nearest_exactly(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == want
 
 
+def test_the_search_query_finds_the_nearest_of_very_unequal_lengths(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(2000, 64)) * np.exp(3 * rng.normal(size=(2000, 1)))).astype("f4").astype(float)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = []
+    for q in range(0, 2000, 20):
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        want += [(q, n + 1, int(i), float(score[i])) for n, i in enumerate(np.lexsort((np.arange(2000), -score))[:20])]
+    assert sorted(map(tuple, ann.op8_nearest(spark, str(tmp_path)).collect())) == want
+
+
 def test_bounds_of_lists():
     rng = np.random.default_rng(10)
     centers = rng.normal(size=(60, 24))
