@@ -57,8 +57,7 @@ _NEW = "SELECT ts_code, trade_date, CASE WHEN vol > 120 THEN close + 1 ELSE clos
     "close dv_ttm",
 )
 def canonical_upsert(v):
-    # both pulls come from one scan's sums, so that equal values are equal
-    rows = v.sql("SELECT ts_code, trade_date, round(close, 6) AS close, vol, round(turnover_rate, 6) AS turnover_rate FROM v_month")
+    rows = v.v_month  # sums in one order, so that equal values of both pulls are equal
     old = rows.where("year(trade_date) < 1999").selectExpr("ts_code", "trade_date", "close", "CASE WHEN vol > 60 THEN turnover_rate END AS dv_ttm")
     new = rows.where("year(trade_date) > 1996").selectExpr("ts_code", "trade_date", "CASE WHEN vol > 120 THEN close + 1 ELSE close END AS close", "turnover_rate AS dv_ttm")
     return op.canonical_upsert(old, new, ["ts_code", "trade_date"], ("dv_ttm",))
