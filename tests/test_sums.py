@@ -13,7 +13,7 @@ from quantloom import catalog
 from quantloom.views import Views, with_views
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["base_factors", "canonical_upsert", "batch_qcut", "compose_dynamic", "compose_score", "composite_score", "evaluate_panel", "exposure_table", "feature_coverage", "fill_by_industry", "fill_median", "ic_by_date"]
+QUERIES = ["base_factors", "canonical_upsert", "batch_qcut", "compose_dynamic", "compose_score", "composite_score", "evaluate_panel", "exposure_table", "feature_coverage", "fill_by_industry", "fill_median", "ic_by_date", "ic_stats"]
 
 
 @pytest.fixture(scope="module")
