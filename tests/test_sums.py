@@ -10,6 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from quantloom import catalog
+from quantloom.queries import sources
+from quantloom.sources import panels
 from quantloom.views import Views, with_views
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +73,29 @@ def test_query(spark, dealt, duck, name):
     frame = catalog.queries()[name](spark, dealt)
     got = sorted(repr(tuple(r)) for r in frame.collect())
     assert got == rows_of(duck, catalog.oracle_sql()[name], frame.columns)
+
+
+def test_each_published_set_is_computed(spark, dealt, monkeypatch):
+    calls, tables = [], sources._tables
+
+    def count(v):
+        calls.append(tables(v))
+        return calls[-1]
+
+    monkeypatch.setattr(sources, "_tables", count)
+    got = {r["name"]: r["is_first"] for r in catalog.queries()["publish_research_inputs"](spark, dealt).collect()}
+    assert got == {"first": True, "again": True, "changed": False}
+    assert len(calls) == 3
+    assert calls[0]["factors"].columns == ["trade_date", "ts_code", "factor_a", "factor_b"]
+
+
+def test_a_published_id_does_not_depend_on_tasks(spark, dealt):
+    def published():
+        return panels.identity(sources._tables(Views(spark, dealt)))
+
+    first = published()
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")  # files share a task
+    try:
+        assert published() == first
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
